@@ -170,9 +170,9 @@ def _order(docs: DataFrame, n: int, bits: int) -> np.ndarray:
 def _prefixes(n: int, bits: int, percent: int, shared):
     def flush(held):
         h, node, size, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(h, kind="stable")
-        h, node, size, at = h[order], node[order], size[order], at[order]
-        p = (h >> np.uint64(64 - bits)).astype(np.int64)
+        p = (h & np.uint64((1 << bits) - 1)).astype(np.int64)  # low bits: prefixes hold small hashes, so the top bits are uneven
+        order = np.argsort(p, kind="stable")
+        p, h, node, size, at = p[order], h[order], node[order], size[order], at[order]
         cuts = runs(p)
         rows = [(int(p[a]), h[a:b].tobytes(), node[a:b].tobytes(), size[a:b].tobytes(), at[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         cols = list(zip(*rows, strict=True))
