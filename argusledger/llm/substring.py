@@ -26,7 +26,7 @@ from argusledger.functions.tables import small
 from argusledger.llm.common import NOT_SPACE, Words, chunks, cut, drop_cut, grams, mix64, partitions, runs
 
 #: Bytes of text of one slice, in which repeats are settled before the shuffle.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 10 << 20
 _ROW = "p int, kind int, id long, a binary, b binary, c binary, d binary, e binary"
 
 
@@ -123,7 +123,7 @@ def _seed(n: int, k: int, bits: int):
                 at = np.unique(anchor[whole])
                 doc = np.searchsorted(w.span, at, "right") - 1
                 ids = part.column("_rid").to_numpy(zero_copy_only=False)[doc]
-                found.append((ids, at - w.span[doc], g[at], g[at], None))
+                found.append((ids, at - w.span[doc], mix64(g[at]), g[at], None))  # anchors are small hashes: mixed, they are dealt out evenly
                 held += len(w.raw)
                 if held >= SLICE_BYTES:
                     yield _out(found, bits)
@@ -152,7 +152,7 @@ def _extend(n: int, k: int, bits: int):
                 low = (grams(mix64(w.hash ^ np.uint64(0x5851F42D4C957F2D)), n)[at] >> np.uint64(32)).astype(np.uint32)
                 doc = np.searchsorted(w.span, at, "right") - 1
                 ids = part.column("_rid").to_numpy(zero_copy_only=False)[doc]
-                found.append((ids, at - w.span[doc], g[anchor[at]] if len(at) else key, key, low))
+                found.append((ids, at - w.span[doc], mix64(g[anchor[at]]) if len(at) else key, key, low))
                 held += len(w.raw)
                 if held >= SLICE_BYTES:
                     yield _out(found, bits)
