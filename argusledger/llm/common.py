@@ -19,7 +19,14 @@ __all__ = ["BROADCAST_ROWS", "NOT_SPACE", "WORD", "Words", "binary", "chunks", "
 CHUNK_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch, unless the session sets its own: texts can be long.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,8 +8,9 @@ similarity of at least ``percent`` / 100, which is tested on whole sets.
    the others by hash.  The order steers cost only; any order gives the same links.
 2. Index: similar sets share a shingle in their prefixes, so only prefixes are listed, with set size and position.
    Lists are sorted by size and cut into blocks; a block whose best position cannot reach the overlap is skipped.
-3. First answers: in each list a set is paired with the list's leader of its size group; each set's most promising
-   leader is verified, and the links' components follow.
+3. First answers: in each list a set is paired with the list's leader of its size group, then, in rounds, with a few
+   sets of other components; each set's most promising partners are verified, and the links' components follow.  The
+   rounds end when they find little.
 4. Derived answers: only pairs of different components are left.  A leader's overlap with another leader bounds the
    overlaps of the sets that resemble the two: overlap(x, y) <= overlap(lx, ly) + |x - lx| + |y - ly|.  Pairs that
    the bound cannot settle are verified one by one.
@@ -23,7 +24,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from argusledger.functions.tables import BROADCAST_ROWS, cut, drop_cut, partitions, skew_join, small
@@ -33,9 +35,11 @@ from argusledger.operators.graph import connected_components
 #: Frequent shingles that the order knows (the most frequent ones), and how frequent one must be.
 FREQUENT, OFTEN = 1 << 19, 12
 #: Shingles that a task gathers before it sends them on.
-SLICE = 3_000_000
+SLICE = 1_500_000
 #: Sets of one leader that one task compares.
 GROUP = 2000
+#: Rounds of first answers, at most; what they leave is settled in the last step.
+ROUNDS = 5
 _BLOCK = 64
 
 
@@ -59,9 +63,9 @@ def _sets(batches, n: int):
 
 
 def _node(x: np.ndarray) -> int:
-    """The class of a set: a hash that doesn't depend on order."""
-    total = np.array([mix64(x ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(x))], np.uint64)
-    return int(mix64(total).view(np.int64)[0])
+    """The class of a set (ascending, distinct)."""
+    h = xxhash.xxh3_64_intdigest(x)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _classes(batches, n: int):
@@ -195,7 +199,7 @@ def _prefixes(n: int, bits: int, percent: int, shared):
             first = size + (-percent * size // 100) + 1
             held.append((x[:first], np.full(first, node, np.int64), np.full(first, size, np.uint32), np.arange(first, dtype=np.uint32)))
             count += first
-            if count >= SLICE // 3:
+            if count >= SLICE // 2:
                 yield flush(held)
                 held, count = [], 0
         if held:
@@ -204,7 +208,7 @@ def _prefixes(n: int, bits: int, percent: int, shared):
     return run
 
 
-def _lists(batches):
+def _lists(batches, percent: int):
     """Lists of two classes or more, each sorted by size and position."""
     names = ["p", "list", "node", "size", "at"]
     for p, rows in _by_part(batches, ("h", "node", "size", "at")):
@@ -220,6 +224,14 @@ def _lists(batches):
             edge = runs(h)
             more = np.repeat(np.diff(edge) > 1, np.diff(edge))
             h, node, size, at = h[more], node[more], size[more], at[more]
+        if len(h):
+            # In lists of two, the common case, an entry without a partner in reach goes.
+            edge = runs(h)
+            two = edge[:-1][np.diff(edge) == 2]
+            off = two[~_reach(size[two], at[two], size[two + 1], at[two + 1], percent)]
+            keep = np.ones(len(h), bool)
+            keep[off] = keep[off + 1] = False
+            h, node, size, at = h[keep], node[keep], size[keep], at[keep]
         if len(h):
             edge = runs(h)
             number = np.repeat(np.arange(len(edge) - 1, dtype=np.uint32), np.diff(edge))
@@ -260,19 +272,57 @@ def _leaders(percent: int):
     return run
 
 
+def _label(comps, node, row):
+    """The component of each node; a node without links is its own."""
+    keys, values = comps.value if comps else (np.frombuffer(row["keys"], np.int64), np.frombuffer(row["values"], np.int64))
+    if not len(keys):
+        return node
+    slot = np.minimum(np.searchsorted(keys, node), len(keys) - 1)
+    return np.where(keys[slot] == node, values[slot], node)
+
+
+def _partners(percent: int, turn: int, comps):
+    """In each list, each set with a few sets of other components that are in reach."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                number, node, size, at = _arrays(row)
+                comp = _label(comps, node, row)
+                edge = runs(number)
+                mixed = np.maximum.reduceat(comp, edge[:-1]) != np.minimum.reduceat(comp, edge[:-1])
+                mine = np.repeat(mixed, np.diff(edge))
+                if not mine.any():
+                    continue
+                node, size, at, comp, number = node[mine], size[mine], at[mine], comp[mine], number[mine]
+                edge = runs(number)
+                first, m = np.repeat(edge[:-1], np.diff(edge)), np.repeat(np.diff(edge), np.diff(edge))
+                place = np.arange(len(node)) - first
+                seed = mix64(node.view(np.uint64) ^ np.uint64(turn * 1_000_003 + row["p"]) ^ (number.astype(np.uint64) << np.uint64(20)))
+                pairs = []
+                for k in range(4):
+                    shift = 1 + ((seed >> np.uint64(16 * k)) % (m - 1).astype(np.uint64)).astype(np.int64)
+                    to = first + (place + shift) % m
+                    ok = (comp[to] != comp) & _reach(size, at, size[to], at[to], percent)
+                    pairs.append((node[ok], node[to][ok]))
+                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                if len(a):
+                    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                    shared = np.diff(np.concatenate([new, [len(a)]]))
+                    a, b = a[new], b[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
+
+    return run
+
+
 # --- 4: what is left -------------------------------------------------------------------------
 
 
 def _cross(percent: int, comps):
     """Pairs in a list that can reach their overlap and aren't connected yet."""
 
-    def label(node, row):
-        keys, values = comps.value if comps else (np.frombuffer(row["keys"], np.int64), np.frombuffer(row["values"], np.int64))
-        if not len(keys):
-            return node
-        slot = np.minimum(np.searchsorted(keys, node), len(keys) - 1)
-        return np.where(keys[slot] == node, values[slot], node)
-
     def pairs(node, size, at, comp):
         m = len(node)
         starts = np.arange(0, m, _BLOCK)
@@ -289,34 +339,43 @@ def _cross(percent: int, comps):
             if len(j):
                 yield np.full(len(j), node[i]), node[j]
 
+    def distinct(found):
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 number, node, size, at = _arrays(row)
-                comp = label(node, row)
+                comp = _label(comps, node, row)
                 edge = runs(number)
                 mixed = np.maximum.reduceat(comp, edge[:-1]) != np.minimum.reduceat(comp, edge[:-1])
-                found = [x for k in np.flatnonzero(mixed) for x in pairs(*(v[edge[k] : edge[k + 1]] for v in (node, size, at, comp)))]
+                found, held = [], 0
+                for k in np.flatnonzero(mixed).tolist():
+                    for x in pairs(*(v[edge[k] : edge[k + 1]] for v in (node, size, at, comp))):
+                        found.append(x)
+                        held += len(x[0])
+                    if held > 500_000:
+                        yield distinct(found)
+                        found, held = [], 0
                 if found:
-                    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                    a, b = np.minimum(a, b), np.maximum(a, b)
-                    order = np.lexsort((b, a))
-                    a, b = a[order], b[order]
-                    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                    yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+                    yield distinct(found)
 
     return run
 
 
-def _lists_with_components(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between components.  The components are broadcast where they are few enough, else joined."""
+def _with_components(lists: DataFrame, comps: DataFrame, make, schema: str) -> DataFrame:
+    """``make(components)`` over the lists.  The components are broadcast where they are few enough, else joined."""
     spark = lists.sparkSession
     if comps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         got = comps.toArrow()
         keys, values = got.column("node").to_numpy(), got.column("component").to_numpy()
         order = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[order], values[order]))
-        return lists.mapInArrow(_cross(percent, shared), "a long, b long")
+        return lists.mapInArrow(make(spark.sparkContext.broadcast((keys[order], values[order]))), schema)
 
     def nodes(batches):
         for batch in batches:
@@ -330,7 +389,7 @@ def _lists_with_components(lists: DataFrame, comps: DataFrame, percent: int) ->
 
     own = lists.mapInArrow(nodes, "p int, node long").join(comps, "node").groupBy("p").applyInArrow(pack, "p int, keys binary, values binary")
     full = lists.join(own, "p", "left").withColumns({c: F.coalesce(c, F.lit(b"")) for c in ("keys", "values")})
-    return full.mapInArrow(_cross(percent, None), "a long, b long")
+    return full.mapInArrow(make(None), schema)
 
 
 # --- verification ----------------------------------------------------------------------------
@@ -369,17 +428,23 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "size_a", "size_b", "overlap"])
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+def _listed(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = np.unique(np.frombuffer(row["node"], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(own)], names=["node"])
+
+
+def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, size_a, size_b, overlap) of every pair (a, b) of classes, from whole sets.
 
     A class's set goes to the group of each b that it is paired with; groups are split after GROUP sets.
     """
-    parts = partitions(docs.sparkSession)
+    parts = partitions(sets.sparkSession)
     groups = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.expr(f"cast((n + {GROUP - 1}) div {GROUP} as int)"))
     mine = skew_join(pairs, groups, "b", "n").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
     leads = groups.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
     targets = cut(mine.unionByName(leads))
-    sets = docs.mapInArrow(_ship(n), "node long, items binary")
     dealt = sets.join(small(targets), "node").repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "kind")
     out = cut(dealt.mapInArrow(_compare, "a long, b long, size_a long, size_b long, overlap long").distinct())
     drop_cut(targets)
@@ -394,30 +459,52 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     own = docs.select("text")
     order = spark.sparkContext.broadcast(_order(own, n, bits))
     index = own.mapInArrow(_prefixes(n, bits, percent, order), "p int, h binary, node binary, size binary, at binary")
-    lists = cut(index.repartition(parts, "p").mapInArrow(_lists, "p int, list binary, node binary, size binary, at binary"))
+    lists = cut(index.repartition(parts, "p").mapInArrow(lambda batches: _lists(batches, percent), "p int, list binary, node binary, size binary, at binary"))
+    listed = cut(lists.mapInArrow(_listed, "node long").distinct())
+    sets = cut(own.mapInArrow(_ship(n), "node long, items binary").join(small(listed), "node"))
     similar = f"100 * overlap >= {percent} * (size_a + size_b - overlap)"
 
-    led = lists.mapInArrow(_leaders(percent), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    first = cut(led.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
-    found = overlaps(own, first, n).filter(similar)
-    comps = cut(connected_components(found, "a", "b"))
-
-    left = cut(_lists_with_components(lists, comps, percent).distinct())
+    found = known = spark.createDataFrame([], "a long, b long, size_a long, size_b long, overlap long")
+    comps = spark.createDataFrame([], "node long, component long")
+    for turn in range(ROUNDS):
+        if turn == 0:
+            some = lists.mapInArrow(_leaders(percent), "a long, b long, shared long")
+        else:
+            some = _with_components(lists, comps, lambda c, turn=turn: _partners(percent, turn, c), "a long, b long, shared long")
+        best = Window.partitionBy("a").orderBy(F.desc("shared"), F.xxhash64("a", "b"))
+        some = some.groupBy("a", "b").agg(F.sum("shared").alias("shared")).withColumn("_r", F.row_number().over(best))
+        some = some.filter(F.col("_r") <= 1 << turn).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        some = cut(some.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        checked = overlaps(sets, some)
+        known = cut(known.unionByName(checked))
+        good, tried = checked.filter(similar).count(), some.count()
+        if good:
+            found = known.filter(similar)
+            comps = cut(connected_components(found, "a", "b"))
+        if good <= 0.02 * tried and (turn or not good):
+            break
+
+    left = _with_components(lists, comps, lambda c: _cross(percent, c), "a long, b long").distinct()
+    left = cut(left.join(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
     info = found.select(F.col("a").alias("node"), F.col("b").alias("lead"), (F.col("size_a") - F.col("overlap")).alias("extra"), F.col("size_a").alias("own"))
-    info = info.groupBy("node").agg(F.min(F.struct("lead", "extra", "own")).alias("x")).select("node", "x.*")
+    info = cut(info.groupBy("node").agg(F.min(F.struct("lead", "extra", "own")).alias("x")).select("node", "x.*"))
     side = lambda k: small(info).select(F.col("node").alias(k), F.col("lead").alias(f"l{k}"), F.col("extra").alias(f"e{k}"), F.col("own").alias(f"s{k}"))
     led = left.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), F.coalesce("ea", F.lit(0)).alias("ea"), F.coalesce("eb", F.lit(0)).alias("eb"), "sa", "sb")
     led = cut(led.withColumns({"x": F.least("la", "lb"), "y": F.greatest("la", "lb")}))
-    known = overlaps(own, led.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct(), n)
-    both = led.join(small(known.select(F.col("a").alias("x"), F.col("b").alias("y"), "size_a", "size_b", "overlap")), ["x", "y"], "left")
+    ask = led.select(F.col("y").alias("a"), F.col("x").alias("b")).filter("a <> b").distinct()
+    fresh = overlaps(sets, cut(ask.join(known.select("a", "b"), ["a", "b"], "left_anti")))
+    known = known.unionByName(fresh)
+    both = led.join(small(known.select(F.col("a").alias("y"), F.col("b").alias("x"), "size_a", "size_b", "overlap")), ["x", "y"], "left")
     direct = (F.col("ea") == 0) & (F.col("eb") == 0) & F.least("a", "b").eqNullSafe(F.col("x")) & F.greatest("a", "b").eqNullSafe(F.col("y"))
-    own_size = lambda k: F.coalesce(f"s{k}", F.when(F.col(f"l{k}") == F.col("x"), F.col("size_a")).otherwise(F.col("size_b")))
+    own_size = lambda k: F.coalesce(f"s{k}", F.when(F.col(f"l{k}") == F.col("y"), F.col("size_a")).otherwise(F.col("size_b")))
     both = both.withColumn("both_sizes", own_size("a") + own_size("b"))
     need = F.expr(f"({percent} * both_sizes + {99 + percent}) div {100 + percent}")
     open_ = both.filter(~direct & (F.col("overlap").isNull() | (F.col("overlap") + F.col("ea") + F.col("eb") >= need))).select("a", "b").distinct()
-    late = overlaps(own, cut(open_), n).filter(similar)
-    out = found.select("a", "b").unionByName(known.filter(similar).select("a", "b")).unionByName(late.select("a", "b"))
-    return out.distinct()
+    late = overlaps(sets, cut(open_)).filter(similar)
+    out = cut(known.filter(similar).select("a", "b").unionByName(late.select("a", "b")).distinct())
+    for done in (lists, sets, listed, left, led):
+        drop_cut(done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
