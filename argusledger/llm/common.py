@@ -16,7 +16,7 @@ from argusledger.functions.tables import BROADCAST_ROWS, cut, drop_cut, partitio
 __all__ = ["BROADCAST_ROWS", "NOT_SPACE", "WORD", "Words", "binary", "chunks", "cut", "drop_cut", "grams", "mix64", "partitions", "process_cache", "read", "runs", "shared_dir", "skew_join", "text_bytes", "ws_trim_count"]
 
 #: Bytes of text that one pass of the numpy kernel handles at once (a longer text is one chunk).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = (1 << 20) - 1
 
 
 #: Rows of an Arrow batch, unless the session sets its own: texts can be long.
