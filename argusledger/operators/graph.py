@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argusledger.functions.tables import cut, drop_cut, skew_join
 
+#: Up to so many edges one task settles the components (tens of MB); beyond it the star steps do, over all executors.
+ONE_TASK_EDGES = 500_000
+
 
 def _print(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
@@ -27,15 +32,38 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _one_task(batches):
+    """(node, component) of all edges (u, v): hooking of roots and pointer jumping."""
+    parts = list(batches)
+    table = pa.Table.from_batches(parts) if parts else None
+    if table is None or not table.num_rows:
+        return
+    both = pa.chunked_array([*table.column("u").chunks, *table.column("v").chunks])
+    names, place = np.unique(both.to_numpy(), return_inverse=True)
+    u, v = place[: table.num_rows], place[table.num_rows :]
+    label = np.arange(len(names))
+    while (label[u] != label[v]).any():
+        least = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u].copy(), least)
+        np.minimum.at(label, label[v].copy(), least)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(names, both.type), pa.array(names[label], both.type)], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component) for every endpoint; the component is its smallest node.
 
-    Alternating large-star and small-star steps; the rounds grow with the logarithm of the longest path.
+    A graph of at most ``one_task_edges`` distinct edges is settled in one task; a larger one by alternating large-star and small-star steps, whose rounds grow with the logarithm of the longest path.
     Each round is written to the shared folder, so a lost executor costs one round at most.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
-    nodes = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    now = cut(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    all_pairs = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if all_pairs.count() <= one_task_edges:
+        kind = all_pairs.schema["u"].dataType.simpleString()
+        return all_pairs.repartition(1).mapInArrow(_one_task, f"node {kind}, component {kind}")
+    nodes = cut(all_pairs.select(F.col("u").alias("node")).unionByName(all_pairs.select(F.col("v").alias("node"))).distinct())
+    now = cut(all_pairs.filter("u <> v"))
     seen = _print(now)
     for _ in range(max_rounds):
         if not seen[0]:
