@@ -1,11 +1,4 @@
 """Training-data operators: decontamination, mixing, deduplication, search, scoring and token output.
 
-Nothing else in the package imports this subpackage.  Functions that run on executors are shipped
-with the tasks (pickled by value), so executors need not have this package installed.
+Nothing else in the package imports this subpackage.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

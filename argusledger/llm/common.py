@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from argusledger.functions.tables import BROADCAST_ROWS, cut, drop_cut, partitions, shared_dir, skew_join
 
-__all__ = ["BROADCAST_ROWS", "NOT_SPACE", "WORD", "Words", "binary", "chunks", "cut", "drop_cut", "grams", "mix64", "partitions", "process_cache", "read", "runs", "shared_dir", "skew_join", "text_bytes", "ws_trim_count"]
+__all__ = ["BROADCAST_ROWS", "NOT_SPACE", "WORD", "Words", "binary", "chunks", "cut", "drop_cut", "grams", "mix64", "partitions", "process_cache", "read", "release", "runs", "shared_dir", "skew_join", "text_bytes", "ws_trim_count"]
 
 #: Bytes of text that one pass of the numpy kernel handles at once (a longer text is one chunk).
 CHUNK_BYTES = (1 << 20) - 1
@@ -41,6 +41,16 @@ def process_cache(name: str) -> dict:
     return mod.__dict__.setdefault(name, {})
 
 
+def release() -> None:
+    """Give back memory that this Python worker no longer uses: workers stay for later tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 # --- word kernel -----------------------------------------------------------------------------
 
 _SPACE = np.ones(256, bool)

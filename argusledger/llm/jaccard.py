@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from argusledger.functions.tables import BROADCAST_ROWS, cut, drop_cut, partitions, skew_join, small
-from argusledger.llm.common import NOT_SPACE, Words, chunks, grams, mix64, runs
+from argusledger.llm.common import NOT_SPACE, Words, chunks, grams, mix64, release, runs
 from argusledger.operators.graph import connected_components
 
 #: Frequent shingles that the order knows (the most frequent ones), and how frequent one must be.
@@ -77,6 +77,7 @@ def _classes(batches, n: int):
             if node not in seen:
                 seen.add(node)
                 yield node, x
+    release()
 
 
 def _members(n: int):
@@ -142,6 +143,7 @@ def _by_part(batches, columns):
             parts.setdefault(p, []).append([c[i].as_py() for c in cols])
     while parts:
         yield parts.popitem()
+    release()
 
 
 def _frequent(batches):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argusledger.functions.tables import small
-from argusledger.llm.common import NOT_SPACE, Words, chunks, cut, drop_cut, grams, mix64, partitions, runs
+from argusledger.llm.common import NOT_SPACE, Words, chunks, cut, drop_cut, grams, mix64, partitions, release, runs
 
 #: Bytes of text of one slice, in which repeats are settled before the shuffle.
 SLICE_BYTES = 10 << 20
@@ -129,6 +129,8 @@ def _seed(n: int, k: int, bits: int):
                     yield _out(found, bits)
                     found, held = [], 0
         yield _out(found, bits)
+        found = []
+        release()
 
     return run
 
@@ -158,6 +160,8 @@ def _extend(n: int, k: int, bits: int):
                     yield _out(found, bits)
                     found, held = [], 0
         yield _out(found, bits)
+        found = []
+        release()
 
     return run
 
