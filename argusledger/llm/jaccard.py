@@ -37,7 +37,7 @@ FREQUENT, OFTEN = 1 << 19, 12
 #: Shingles that a task gathers before it sends them on.
 SLICE = 1_500_000
 #: Sets of one leader that one task compares.
-GROUP = 2000
+GROUP = 250
 #: Rounds of first answers, at most; what they leave is settled in the last step.
 ROUNDS = 5
 _BLOCK = 64
@@ -473,17 +473,18 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
             some = lists.mapInArrow(_leaders(percent), "a long, b long, shared long")
         else:
             some = _with_components(lists, comps, lambda c, turn=turn: _partners(percent, turn, c), "a long, b long, shared long")
-        best = Window.partitionBy("a").orderBy(F.desc("shared"), F.xxhash64("a", "b"))
-        some = some.groupBy("a", "b").agg(F.sum("shared").alias("shared")).withColumn("_r", F.row_number().over(best))
-        some = some.filter(F.col("_r") <= 1 << turn).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        some = cut(some.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        best = Window.partitionBy("x").orderBy(F.desc("shared"), F.xxhash64("a", "b"))
+        some = some.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        some = some.select(F.col("a").alias("x"), F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "shared")
+        some = some.join(known.select("a", "b"), ["a", "b"], "left_anti").withColumn("_r", F.row_number().over(best))
+        some = cut(some.filter(F.col("_r") <= 1 << turn).select("a", "b").distinct())
         checked = overlaps(sets, some)
         known = cut(known.unionByName(checked))
         good, tried = checked.filter(similar).count(), some.count()
         if good:
             found = known.filter(similar)
             comps = cut(connected_components(found, "a", "b"))
-        if good <= 0.02 * tried and (turn or not good):
+        if good <= 0.01 * tried and (turn or not good):
             break
 
     left = _with_components(lists, comps, lambda c: _cross(percent, c), "a long, b long").distinct()
