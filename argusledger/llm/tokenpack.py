@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from argusledger.llm.common import cut, partitions, process_cache
+from argusledger.llm.common import chunks, cut, partitions, process_cache, release
 
 MAGIC, BLOCK, PACK_IDS = b"ATPK", 4096, 1 << 20
 _HEAD = "<4sIIIQQ"
 #: Pieces that a worker keeps the ids of.
-CACHE = 400_000
+CACHE = 120_000
 
 
 # --- the format ------------------------------------------------------------------------------
@@ -99,50 +100,52 @@ class Pack:
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library.
 
-    Its pre-tokenizer cuts a text into pieces, each of which is encoded for itself, so the library's ids of a piece
-    are kept and looked up when the piece comes again.  Texts with characters on which the two pattern engines could
-    differ, or with a special token's string, go to the library whole.
+    Its pre-tokenizer cuts a text into pieces, each of which is encoded for itself, so a batch's distinct pieces go to
+    the library once, and the ids of the first ``CACHE`` pieces are kept.  Texts with characters on which the two
+    pattern engines could differ, or with a special token's string, go to the library whole.
     """
 
     def __init__(self, spec: str):
         import json
+        import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
         plan = json.loads(spec)
         split = plan.get("pre_tokenizer") or {}
-        special = [regex.escape(t["content"]) for t in plan.get("added_tokens", [])]
+        self.special = [t["content"] for t in plan.get("added_tokens", [])]
         known = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and plan.get("normalizer") is None
-        # Plain: printable ASCII, tab, newline, Latin letters, general punctuation; no special token.
-        self.plain = regex.compile(r"[\t\n\r\x20-\x7E¡-ɏ‐-‧‰-⁞]*") if known else None
-        self.special = regex.compile("|".join(special)) if special else None
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        # Plain: printable ASCII, tab, newline, Latin letters and marks but no fractions or superscripts, general punctuation.
+        self.plain = re.compile(r"[\t\n\r\x20-\x7E\u00A1-\u00B1\u00B4-\u00B8\u00BA\u00BB\u00BF-\u024F\u2010-\u2027\u2030-\u205E]*") if known else None
+        self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
         self.kept: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        if self.plain is None or not self.plain.fullmatch(text) or (self.special and self.special.search(text)):
-            return self._whole(text)
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        out = [b""] * len(texts)
+        whole, cut_up = [], []
+        for i, text in enumerate(texts):
+            if text and (self.plain is None or not self.plain.fullmatch(text) or any(x in text for x in self.special)):
+                whole.append(i)
+            elif text:
+                cut_up.append((i, self.pieces.findall(text)))
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         kept = self.kept
-        pieces = self.pieces.findall(text)
-        try:
-            return b"".join([kept[x] for x in pieces])
-        except KeyError:
-            pass
-        new = list({x for x in pieces if x not in kept})
-        if len(kept) + len(new) > CACHE:
-            kept.clear()
-            new = list(set(pieces))
-        for x, ids in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            kept[x] = np.array(ids.ids, "<u4").tobytes()
-        return b"".join([kept[x] for x in pieces])
+        new = list(set().union(*[x for _, x in cut_up]).difference(kept))
+        ids = dict(zip(new, self._ids(new), strict=True))
+        if len(kept) + len(ids) <= CACHE:
+            kept.update(ids)
+            look = kept.__getitem__
+        else:
+            look = (kept | ids).__getitem__  # a copy of the kept ones: cheap beside the batch's pieces
+        for i, x in cut_up:
+            out[i] = b"".join(map(look, x))
+        return out
 
 
 def _encoder(spec: str) -> Encoder:
@@ -172,16 +175,18 @@ def _encode(shared, bits: int, end: int):
 
         ids, own, size = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                x = coder.encode(text.as_py()) + stop
-                ids.append(x)
-                own.append(doc)
-                size += len(x) // 4
-                if size >= PACK_IDS:
-                    yield flush()
-                    ids, own, size, seq = [], [], 0, seq + 1
+            for some in chunks(batch, "text"):
+                for doc, x in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text").to_pylist()), strict=True):
+                    ids.append(x + stop)
+                    own.append(doc)
+                    size += len(x) // 4 + 1
+                    if size >= PACK_IDS:
+                        yield flush()
+                        ids, own, size, seq = [], [], 0, seq + 1
         if own:
             yield flush()
+        ids, own = [], []
+        release()
 
     return run
 
@@ -214,6 +219,7 @@ def _list(batches):
             n = np.diff(p.starts)
             sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(p.starts[:-1].tolist(), p.starts[1:].tolist(), strict=True)]
             doc = [None if i < row["n_null"] else x for i, x in enumerate(p.doc_ids.tolist())]
+            del flat
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row["base"] + p.starts[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
