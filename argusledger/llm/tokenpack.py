@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from argusledger.llm.common import chunks, cut, partitions, process_cache, relea
 
 MAGIC, BLOCK, PACK_IDS = b"ATPK", 4096, 1 << 20
 _HEAD = "<4sIIIQQ"
-#: Pieces that a worker keeps the ids of.
-CACHE = 120_000
+#: Words, and pieces, that a worker keeps the ids of.
+CACHE = 400_000
 
 
 # --- the format ------------------------------------------------------------------------------
@@ -100,9 +101,11 @@ class Pack:
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library.
 
-    Its pre-tokenizer cuts a text into pieces, each of which is encoded for itself, so a batch's distinct pieces go to
-    the library once, and the ids of the first ``CACHE`` pieces are kept.  Texts with characters on which the two
-    pattern engines could differ, or with a special token's string, go to the library whole.
+    Its pre-tokenizer cuts a text into pieces, each of which is encoded for itself, and always cuts before a space that
+    a character follows.  So a batch's distinct words, with the space before them, are looked up; those not known
+    are cut into pieces, and only pieces not known go to the library.  The first words and pieces that a worker meets,
+    the frequent ones, are kept.  Texts with characters on which the two pattern engines could differ, or with a
+    special token's string, go to the library whole.
     """
 
     def __init__(self, spec: str):
@@ -119,6 +122,8 @@ class Encoder:
         # Plain: printable ASCII, tab, newline, Latin letters and marks but no fractions or superscripts, general punctuation.
         self.plain = re.compile(r"[\t\n\r\x20-\x7E\u00A1-\u00B1\u00B4-\u00B8\u00BA\u00BB\u00BF-\u024F\u2010-\u2027\u2030-\u205E]*") if known else None
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+        self.loose = re.compile(r" (?=\s|\Z)")
+        self.words: dict[str, bytes] = {}
         self.kept: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -127,27 +132,37 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out = [b""] * len(texts)
-        whole, cut_up = [], []
+        whole, cut_up, spaced = [], [], []
         for i, text in enumerate(texts):
             if text and (self.plain is None or not self.plain.fullmatch(text) or any(x in text for x in self.special)):
                 whole.append(i)
-            elif text:
+            elif text and self.loose.search(text):
                 cut_up.append((i, self.pieces.findall(text)))
+            elif text:
+                first, _, rest = text.partition(" ")
+                cut_up.append((i, self.pieces.findall(first)))
+                if rest:
+                    spaced.append((i, rest.split(" ")))
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        kept = self.kept
-        new = list(set().union(*[x for _, x in cut_up]).difference(kept))
-        ids = dict(zip(new, self._ids(new), strict=True))
-        if len(kept) + len(ids) <= CACHE:
-            kept.update(ids)
-            look = kept.__getitem__
-        else:
-            look = (kept | ids).__getitem__  # a copy of the kept ones: cheap beside the batch's pieces
+        words = {x: self.pieces.findall(" " + x) for x in set().union(*[x for _, x in spaced]).difference(self.words)}
+        new = list(set().union(*[x for _, x in cut_up], *words.values()).difference(self.kept))
+        self.kept.update(zip(new, self._ids(new), strict=True))
+        look = self.kept.__getitem__
+        self.words.update((x, b"".join(map(look, y))) for x, y in words.items())
         for i, x in cut_up:
             out[i] = b"".join(map(look, x))
+        look = self.words.__getitem__
+        for i, x in spaced:
+            out[i] += b"".join(map(look, x))
+        self.kept, self.words = _trim(self.kept), _trim(self.words)
         return out
 
 
+def _trim(kept: dict[str, bytes]) -> dict[str, bytes]:
+    return kept if len(kept) <= CACHE else dict(islice(kept.items(), CACHE // 2))
+
+
 def _encoder(spec: str) -> Encoder:
     import os
 
