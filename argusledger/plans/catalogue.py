@@ -1,4 +1,368 @@
-"""Registered queries over the driver tables, with the SQL of each."""
+"""Registered queries over the driver tables, with the SQL of each.  A view is one SQL text for both engines."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from argusledger.functions import normalise as N
+from argusledger.operators import assurance, evidence, merge, risk
+from argusledger.sources import readers
+from argusledger.sources import schema as S
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations")
+
+VIEWS = {
+    "transfers": "select concat('A', l_suppkey, '-', l_partkey % 6) as src, concat('A', l_suppkey, '-', l_orderkey % 6) as dst, l_extendedprice as amount, l_shipdate as ts, l_returnflag = 'R' as sar from lineitem where (l_orderkey % 97) < (l_suppkey % 7)",
+    "txn": "select concat('T', o_orderkey) as transaction_id, concat('C', o_custkey) as source_account, concat('M', o_custkey % 50) as destination_account, o_totalprice as amount, 'USD' as currency, o_orderdate as ts, o_orderpriority as channel, n_name as jurisdiction, o_orderstatus = 'F' as sar_linked from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey",
+    "txn_multi": "select 0 as src, o_orderkey as rn, concat('T', o_orderkey) as id, o_totalprice as amount, 'USD' as currency, o_orderdate as ts from orders where o_orderkey % 3 <> 0 union all select 1, o_orderkey, concat('t', o_orderkey), case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end, case when o_orderkey % 7 = 0 then 'EUR' else 'USD' end, case when o_orderkey % 11 = 0 then o_orderdate + interval '1' day else o_orderdate end from orders where o_orderkey % 2 = 0",
+    "weekly": "select concat('U', user_id, '-', event_type, '-', event_id % 4) as src, concat('U', user_id, '-sink-', event_id % 4) as dst, value as amount, ts, case when event_type = 'purchase' then 'AE' else 'GB' end as dest_country, event_type = 'error' as sar from events",
+    "reports": "select doc_id as report_id, concat(coalesce(text, ''), ' T', 1 + doc_id % 4, '-', lpad(cast(doc_id % 1000 as varchar(9)), 3, '0'), ' T1-', lpad(cast(doc_id % 7 as varchar(9)), 3, '0'), ' T1-', lpad(cast(doc_id % 7 as varchar(9)), 3, '0')) as text from documents",
+    "valid_ids": "select distinct concat('T', 1 + o_custkey % 3, '-', lpad(cast(o_custkey % 500 as varchar(9)), 3, '0')) as id from orders",
+    "gold_ids": "select distinct concat('T1-', lpad(cast(n_nationkey % 13 as varchar(9)), 3, '0')) as id from nation",
+    "claims": "select conv_id as report_id, turn as claim_id, case when turn % 4 = 0 then ' Supported ' when turn % 4 = 1 then 'contradicted' when turn % 4 = 2 then 'supported' else null end as support, concat('T', 1 + conv_id % 3, '-', lpad(cast(turn % 500 as varchar(9)), 3, '0')) as cited from conversations",
+    "runs": "select concat('run', doc_id % 50) as run_id, avg(quality) as q, avg(toxic) as t, count(*) as n from labels group by concat('run', doc_id % 50)",
+    "policy": "select * from (values ('quality_rate', 'Quality', 'higher_is_better', 0.85, 'rate', true), ('toxic_rate', 'Toxic', 'lower_is_better', 0.12, 'rate', true), ('row_count', 'Rows', 'higher_is_better', 8.0, 'count', false)) as p(metric, label, direction, threshold, unit, required)",
+    "measured": "select run_id, 'quality_rate' as metric, cast(q as double) as value from runs union all select run_id, 'toxic_rate', cast(t as double) from runs where n % 5 <> 0 union all select run_id, 'row_count', cast(n as double) from runs",
+    "refs": "select concat('R', s_suppkey) as record_id, case when s_suppkey % 4 = 0 then concat('T', s_suppkey * 37) when s_suppkey % 4 = 1 then concat('C', s_suppkey) when s_suppkey % 4 = 2 then concat('e', s_suppkey) else concat('X', s_suppkey) end as ref from supplier",
+    "ids": "select upper(concat('t', o_orderkey)) as id, 'transaction' as type from orders union all select concat('C', c_custkey), 'customer' from customer union all select concat('E', s_suppkey), 'evidence' from supplier where s_suppkey % 3 = 0",
+}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def needed(sql: str, own: str = "") -> list[str]:
+    """Views that a text names, those they stand on first."""
+    import re
+
+    out: list[str] = []
+    for name in VIEWS:
+        if name != own and re.search(rf"\b{name}\b", sql):
+            out += [x for x in [*needed(VIEWS[name], name), name] if x not in out]
+    return out
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    import re
+
+    for v in [*needed(VIEWS[name], name), name]:
+        for t in TABLES:
+            if re.search(rf"\b{t}\b", VIEWS[v]):
+                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        spark.sql(VIEWS[v]).createOrReplaceTempView(v)
+    return spark.table(name)
+
+
+def with_views(sql: str, recursive: bool = False, extra: str = "") -> str:
+    parts = [f"{v} as ({VIEWS[v]})" for v in needed(extra + sql)]
+    return ("with recursive " if recursive else "with ") + ",\n".join([*parts, *([extra] if extra else [])]) + "\n" + sql
+
+
+def query(sql: str | None = None, extra: str = "", recursive: bool = False):
+    """Registers a function (V: name -> view) as a query with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: view(spark, sf_dir, name))
+        if sql:
+            SQL[f.__name__] = with_views(sql, recursive, extra) if needed(extra + sql) else sql
+        return f
+
+    return add
+
+
+REACH = """e as (select distinct src, dst from transfers),
+und as (select src as a, dst as b from e union select dst, src from e),
+w as (select distinct a as node, a as seen from und union select w.node, und.b from w join und on und.a = w.seen),
+comp as (select node, min(seen) as component from w group by 1),
+r as (select src as node, dst as seen from e union select r.node, e.dst from r join e on e.src = r.seen),
+scc as (select n.node, least(n.node, coalesce(min(x.seen), n.node)) as scc from comp n left join (select a.node, a.seen from r a join r b on a.node = b.seen and a.seen = b.node) x on x.node = n.node group by n.node),
+sz as (select scc, count(*) as size from scc group by 1),
+circ as (select c.component, count(*) as edge_count, count(*) filter (where s.scc = d.scc and z.size >= 2 and e.src <> e.dst) as cycle_edges from e join comp c on c.node = e.src join scc s on s.node = e.src join scc d on d.node = e.dst join sz z on z.scc = s.scc group by 1),
+acc as (select component, count(*) as account_count from comp group by 1),
+m as (select component, account_count, total_value, cycle_edges / greatest(edge_count, 1) as circular_flow, sar_ratio, transfers, transfers / greatest(span / 3600.0, 0.01) as velocity
+  from (select c.component, cast(sum(cast(amount as decimal(18,2))) as double) as total_value, avg(cast(sar as int)) as sar_ratio, count(*) as transfers, epoch(max(ts)) - epoch(min(ts)) as span from transfers t join comp c on c.node = t.src group by 1)
+  join acc using (component) join circ using (component)),
+k as (select concat('cluster_', row_number() over (order by component)) as cluster_id, * from m)"""
+
+
+@query("select src, dst, cast(sum(cast(amount as decimal(18,2))) as decimal(28,2)) as weight, count(*) as n from transfers group by 1, 2")
+def edge_weights(V):
+    """AGG-01, GRF-01."""
+    return risk.edge_weights(V("transfers"))
+
+
+@query("select src as node from transfers union select dst from transfers")
+def graph_nodes(V):
+    """AGG-02."""
+    return risk.graph_nodes(V("transfers"))
+
+
+@query("select node, component, count(*) over (partition by component) as account_count from comp", REACH, True)
+def wcc_components(V):
+    """GRF-02, AGG-03."""
+    weak = risk.weak_components(V("transfers").select("src", "dst").distinct())
+    return weak.join(weak.groupBy("component").agg(F.count("*").alias("account_count")), "component").select("node", "component", "account_count")
+
+
+@query("select node, scc, size from scc join sz using (scc)", REACH, True)
+def scc_components(V):
+    """GRF-03, AGG-04."""
+    edges = V("transfers").select("src", "dst").distinct()
+    strong = risk.strong_components(edges, risk.weak_components(edges))
+    return strong.join(strong.groupBy("scc").agg(F.count("*").alias("size")), "scc").select("node", "scc", "size")
+
+
+@query("select component, edge_count, cycle_edges, cycle_edges / greatest(edge_count, 1) as circular_flow from circ", REACH, True)
+def circular_flow(V):
+    """AGG-05, JON-05, JON-06."""
+    edges = V("transfers").select("src", "dst").distinct()
+    weak = risk.weak_components(edges)
+    return risk.circular_flow(edges, weak, risk.strong_components(edges, weak))
+
+
+@query("select cluster_id, component, account_count, total_value, circular_flow, round_even(sar_ratio, 6) as sar_ratio, transfers, round_even(velocity, 6) as velocity from k", REACH, True)
+def cluster_metrics(V):
+    """AGG-06, AGG-07, JON-07, WIN-01."""
+    return risk.cluster_metrics(V("transfers")).withColumns({"sar_ratio": F.bround("sar_ratio", 6), "velocity": F.bround("velocity", 6)})
+
+
+_MM = "case when min({0}) over () = max({0}) over () then 0.0 else ({0} - min({0}) over ()) / (max({0}) over () - min({0}) over ()) end"
+
+
+@query(f"""select cluster_id, account_count, round_even(total_value, 4) as total_value, round_even(circular_flow, 4) as circular_flow, round_even(risk, 4) as risk_score
+from (select *, {_MM.format('raw')} as risk from (select *, 0.35::double * {_MM.format('total_value')} + 0.25::double * circular_flow + 0.15::double * {_MM.format('account_count')} + 0.15::double * {_MM.format('velocity')} + 0.10::double * sar_ratio as raw from k)) where risk >= 0.65""", REACH, True)
+def cluster_risk(V):
+    """GRF-04, AGG-08, AGG-09, FLT-02, SCL-07, SCL-08, SRT-01: the flagship."""
+    return risk.cluster_risk(V("transfers"))
+
+
+@query("select transaction_id, source_account, destination_account, cast(cast(amount as decimal(18,2)) as double) as amount, 'USD' as currency, epoch(ts)::bigint as ts, channel, jurisdiction, sar_linked, 'csv' as source_type from txn")
+def normalise_transactions(V):
+    """PRJ-01..03, SCL-01..04: rows as untidy text, made canonical."""
+    rows = V("txn").select(F.concat(F.lit("  "), "transaction_id", F.lit("\t")).alias("txn_id"), F.col("source_account").alias("from_account"), F.col("destination_account").alias("to_account"),
+                           F.format_number("amount", 2).alias("amount"), F.lit(" usd ").alias("currency"), F.col("ts").cast("string").alias("timestamp"), "channel", F.col("jurisdiction").alias("destination_country"), F.when(F.col("sar_linked"), "yes").otherwise("no").alias("sar_linked"))
+    out = readers.map_transactions(rows, "csv").filter("problem is null")
+    return out.select("transaction_id", "source_account", "destination_account", F.col("amount").cast("double").alias("amount"), "currency", F.unix_timestamp("timestamp").alias("ts"), "channel", "jurisdiction", "sar_linked", F.col("source_lineage.source_type").alias("source_type"))
+
+
+@query("select concat('T', o_orderkey) as transaction_id, case when o_orderkey % 5 = 0 then 'invalid amount' when o_orderkey % 7 = 0 then 'invalid timestamp' when o_orderkey % 11 = 0 then 'invalid currency' end as problem from orders where o_orderkey % 5 = 0 or o_orderkey % 7 = 0 or o_orderkey % 11 = 0")
+def reject_invalid_rows(V):
+    """FLT-01."""
+    key = F.substring("transaction_id", 2, 20).cast("long")
+    rows = V("txn").select("transaction_id", "source_account", "destination_account", F.when(key % 5 == 0, "12x").otherwise(F.col("amount").cast("string")).alias("amount"),
+                           F.when(key % 7 == 0, "soon").otherwise(F.col("ts").cast("string")).alias("timestamp"), F.when(key % 11 == 0, "US1").otherwise("USD").alias("currency"))
+    return readers.map_transactions(rows, "csv").filter("problem is not null").select("transaction_id", "problem")
+
+
+@query("select concat('L', l_orderkey, '-', l_linenumber) as id, count(*) as n from lineitem group by 1 having count(*) > 1")
+def duplicate_ids(V):
+    """WIN-03."""
+    V("transfers")
+    from pyspark.sql import SparkSession as P
+
+    return readers.duplicate_ids(P.active().table("lineitem").select(F.concat(F.lit("L"), "l_orderkey", F.lit("-"), "l_linenumber").alias("k")), "k")
+
+
+_SEEN = "seen as (select *, row_number() over w as n, first_value(id) over w as id0, first_value(amount) over w as amount0, first_value(currency) over w as currency0, first_value(ts) over w as ts0 from txn_multi window w as (partition by upper(id) order by src, rn))"
+
+
+def _multi(V):
+    rows = V("txn_multi").select(F.col("src").alias("_src"), F.col("rn").alias("_row"), F.col("id").alias("transaction_id"), F.lit("A").alias("source_account"), F.lit("B").alias("destination_account"), F.col("amount").cast("decimal(38,10)").alias("amount"), "currency", F.col("ts").cast("timestamp").alias("timestamp"),
+                                 F.lit(None).cast("string").alias("channel"), F.lit(None).cast("string").alias("jurisdiction"), F.lit(False).alias("sar_linked"), F.lit(None).cast(S.LINEAGE).alias("source_lineage"))
+    return merge.merge_collection(rows, "transactions", ["_src", "_row"])
+
+
+@query("select id as transaction_id, amount, currency, epoch(ts)::bigint as ts from seen where n = 1", _SEEN)
+def merge_kept(V):
+    """DOM-01, WIN-02, SET-01."""
+    return _multi(V)[0].select("transaction_id", F.col("amount").cast("double").alias("amount"), "currency", F.unix_timestamp("timestamp").alias("ts"))
+
+
+@query("select 'transaction' as record_type, id as record_id, case when ts <> ts0 then 'timestamp_mismatch' when currency <> currency0 then 'currency_mismatch' else 'conflicting_value' end as conflict_type from seen where n > 1 and (ts <> ts0 or currency <> currency0 or amount <> amount0)", _SEEN)
+def merge_conflicts(V):
+    """DOM-02, JON-01."""
+    return _multi(V)[1].select("record_type", "record_id", "conflict_type")
+
+
+@query("select concat('R', s_suppkey) as record_id, 'missing_reference' as conflict_type, side from (select s_suppkey, 'source' as side, s_suppkey as k from supplier union all select s_suppkey, 'target', s_suppkey + 40 from supplier) where k not in (select n_nationkey from nation) order by 1")
+def missing_reference(V):
+    """JON-02, SET-01."""
+    V("refs")
+    from pyspark.sql import SparkSession as P
+
+    spark = P.active()
+    sup = spark.table("supplier").select(F.concat(F.lit("R"), "s_suppkey").alias("relationship_id"), F.concat(F.lit("n"), "s_suppkey").alias("source_entity_id"), F.concat(F.lit("n"), F.col("s_suppkey") + 40).alias("target_entity_id"))
+    V("txn")
+    out = merge.missing_references(sup, spark.table("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("entity_id")))
+    return out.select("record_id", "conflict_type", F.regexp_extract("description", "unknown (\\w+) entity", 1).alias("side"))
+
+
+@query("select id, string_agg(distinct type, '/' order by type) as types from ids group by id")
+def record_type_index(V):
+    """AGG-17."""
+    return V("ids").groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("type")), "/").alias("types"))
+
+
+@query("select 'relationship' as record_type, record_id, ref, case when max(i.id) is null then 'dangling' else 'incompatible' end as issue from refs left join ids i on i.id = upper(ref) group by record_id, ref having count(*) filter (where type in ('evidence', 'transaction')) = 0")
+def reference_issues(V):
+    """JON-03, DOM-04."""
+    index = V("ids").groupBy("id").agg(F.sort_array(F.collect_set("type")).alias("types"))
+    return merge.reference_issues(V("refs").select(F.lit("relationship").alias("record_type"), "record_id", "ref"), index)
+
+
+@query("select record_id as sar_id, ref from refs where upper(ref) not in (select id from ids where type = 'transaction')")
+def sar_missing_transactions(V):
+    """JON-04."""
+    index = V("ids").groupBy("id").agg(F.sort_array(F.collect_set("type")).alias("types"))
+    return merge.missing_transactions(V("refs").select(F.col("record_id").alias("sar_id"), F.array("ref").alias("transaction_ids")), index).select("sar_id", "ref")
+
+
+@query("select 'jurisdictions' as collection, count(*) as records, (select sha256(string_agg(h, '' order by g)) from (select left(x, 3) as g, sha256(string_agg(x, '' order by x)) as h from (select sha256(concat('N', n_nationkey, '|', n_name, '|', case when n_nationkey % 2 = 0 then 'true' else 'false' end)) as x from nation) group by 1)) as hash from nation")
+def content_hash(V):
+    """DOM-06, SCL-12, SCL-13, SRT-02."""
+    V("txn")
+    from pyspark.sql import SparkSession as P
+
+    rows = P.active().table("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 2 == 0).alias("high_risk"))
+    return merge.collection_hash(rows, "jurisdictions")
+
+
+@query("select 'transactions' as collection, count(*) as records from txn union all select 'customers', count(*) from customer")
+def record_counts(V):
+    """AGG-10."""
+    from pyspark.sql import SparkSession as P
+
+    from argusledger.sources.sinks import record_counts as counts
+
+    return counts({"transactions": V("txn"), "customers": P.active().table("customer")})
+
+
+_WEEK = "wk as (select *, cast(date_trunc('week', ts) as date) as start_date from weekly), acct as (select start_date, src as a from wk union all select start_date, dst from wk), fresh as (select start_date, count(*) as f from (select a, min(start_date) as start_date from acct group by 1) group by 1), uq as (select start_date, count(distinct a) as u from acct group by 1), sm as (select start_date, count(*) as n, cast(sum(cast(amount as decimal(18,2))) as double) as v, count(*) filter (where dest_country in ('AE','RU','CY','NG','TR')) as hr, count(*) filter (where sar) as sr from wk group by 1)"
+
+
+@query(f"select concat('week_', row_number() over (order by start_date)) as week, start_date, cast(start_date + 6 as date) as end_date, n as transfer_count, u as unique_accounts, v as total_value, coalesce(f, 0) as new_accounts_count, hr as high_risk_dest_count, sr as sar_count, round_even({_MM.format('(cast(coalesce(f, 0) + hr + sr as double))')}, 4) as anomaly_score from sm join uq using (start_date) left join fresh using (start_date)", _WEEK)
+def weekly_summary(V):
+    """TSK-06, WIN-05, SCL-23, FLT-04, AGG-08."""
+    return risk.weekly_summary(V("weekly"))
+
+
+@query("select report_id, upper(unnest(regexp_extract_all(text, '\\bT[123]-\\d{3}\\b'))) as id, 1 as one from reports".join(["select report_id, id, count(*) as times from (", ") group by 1, 2"]))
+def citation_counts(V):
+    """SCL-09, AGG-12."""
+    return evidence.cited(V("reports"))
+
+
+_TRACE = "c as (select report_id, id, count(*) as times from (select report_id, upper(unnest(regexp_extract_all(text, '\\bT[123]-\\d{3}\\b'))) as id from reports) group by 1, 2), g as (select report_id, cast(sum(times) as bigint) as cited_total, count(*) as cited_distinct, count(*) filter (where id in (select id from valid_ids)) as grounded, count(*) filter (where id not in (select id from valid_ids)) as fabricated, count(*) filter (where id in (select id from valid_ids) and id in (select id from gold_ids)) as matched, string_agg(id, ',' order by id) filter (where id not in (select id from valid_ids)) as fabricated_ids from c group by 1), p as (select r.report_id, coalesce(cited_total, 0) as cited_total, coalesce(cited_distinct, 0) as cited_distinct, coalesce(grounded, 0) as grounded, coalesce(fabricated, 0) as fabricated, coalesce(matched, 0) as matched, coalesce(fabricated_ids, '') as fabricated_ids, (select count(*) from gold_ids) as gold_total from reports r left join g using (report_id)), q as (select *, case when grounded > 0 then round_even(matched / grounded, 4) end as precision, case when gold_total > 0 then round_even(matched / gold_total, 4) end as recall from p)"
+
+
+@query("select *, case when precision + recall > 0 then round_even(2 * precision * recall / (precision + recall), 4) end as f1 from q", _TRACE)
+def traceability(V):
+    """DOM-07, JON-08, JON-09, AGG-13."""
+    return evidence.traceability(V("reports"), V("valid_ids"), V("gold_ids")).drop("grounded_ids", "matched_ids")
+
+
+_CLAIMS = "sc as (select report_id, claim_id, case when cited not in (select id from valid_ids) then 'unsupported' when lower(trim(coalesce(support, 'unsupported'))) in ('supported', 'contradicted') then lower(trim(support)) else 'unsupported' end as scored from claims)"
+
+
+def _scored(V):
+    return evidence.score_claims(V("claims").withColumn("cited_ids", F.array("cited")), V("valid_ids"))
+
+
+@query("select report_id, claim_id, scored from sc", _CLAIMS)
+def claim_scoring(V):
+    """DOM-08, JON-10."""
+    return _scored(V)
+
+
+@query("select report_id, count(*) as claims, count(*) filter (where scored = 'supported') as supported, count(*) filter (where scored = 'unsupported') as unsupported, count(*) filter (where scored = 'contradicted') as contradicted, round_even(count(*) filter (where scored <> 'supported') / count(*), 4) as eghr_rate from sc group by 1", _CLAIMS)
+def eghr_rate(V):
+    """AGG-11."""
+    return evidence.hallucination_rate(_scored(V))
+
+
+@query("select run_id, cast(sum(score) as bigint) as total, cast(sum(mx) as bigint) as maximum, round_even(sum(score) / sum(mx), 4) as percentage, case when round_even(sum(score) / sum(mx), 4) >= 0.8 then 'PASS' else 'FAIL' end as verdict from (select concat('run', doc_id % 50) as run_id, quality as score, 1 as mx from labels) group by 1")
+def rubric_totals(V):
+    """AGG-14."""
+    V("runs")
+    from pyspark.sql import SparkSession as P
+
+    return evidence.rubric_totals(P.active().table("labels").select(F.concat(F.lit("run"), F.col("doc_id") % 50).alias("run_id"), F.col("quality").alias("score"), F.lit(1).alias("max")), 0.8)
+
+
+_STATUS = "st as (select r.run_id, p.metric, label, direction, cast(threshold as double) as threshold, unit, required, value, case when value is null then 'NOT_EVALUATED' when direction = 'higher_is_better' and value >= threshold or direction = 'lower_is_better' and value <= threshold then 'PASS' else 'FAIL' end as status from runs r cross join policy p left join measured m on m.run_id = r.run_id and m.metric = p.metric)"
+
+
+def _status(V):
+    policy = V("policy").withColumn("threshold", F.col("threshold").cast("double"))
+    return assurance.metric_status(V("runs"), policy, V("measured"))
+
+
+@query("select run_id, metric, status from st", _STATUS)
+def metric_status(V):
+    """DOM-10, JON-11."""
+    return _status(V).select("run_id", "metric", "status")
+
+
+_DECIDE = ", dc as (select run_id, count(*) filter (where status <> 'NOT_EVALUATED') as evaluated, count(*) filter (where status = 'FAIL' and required) as required_failed, count(*) filter (where status = 'FAIL' and not required) as optional_failed, count(*) filter (where status = 'NOT_EVALUATED') as not_evaluated from st group by 1), de as (select *, case when evaluated = 0 or required_failed > 0 then 'NOT_READY_FOR_DEPLOYMENT' when optional_failed + not_evaluated > 0 then 'PASS_WITH_CONDITIONS' else 'PASS' end as decision from dc)"
+
+
+@query("select * from de", _STATUS + _DECIDE)
+def assurance_decision(V):
+    """DOM-11."""
+    return assurance.decide(_status(V))
+
+
+@query("select run_id, case when evaluated % 2 = 0 and required_failed = 0 then 'NOT_READY_FOR_DEPLOYMENT' else decision end as decision, case when optional_failed > 1 then 5 when required_failed > 1 then 1 when evaluated % 2 = 0 and required_failed = 0 then 4 when decision = 'PASS_WITH_CONDITIONS' then 3 when decision = 'NOT_READY_FOR_DEPLOYMENT' then 4 else 0 end as exit_code from de", _STATUS + _DECIDE)
+def exit_code(V):
+    """DOM-12, DOM-19, DOM-22."""
+    d = assurance.decide(_status(V))
+    gated = assurance.case_gate(F.col("decision"), F.col("evaluated") % 2 == 0, F.when(F.col("required_failed") == 0, 1).otherwise(0), F.lit(0))
+    zero = F.lit(0)
+    return d.select("run_id", gated.alias("decision"), assurance.exit_code(F.col("optional_failed") > 1, F.when(F.col("required_failed") > 1, 1).otherwise(0), zero, zero, gated).alias("exit_code"))
+
+
+_PAIR = ", b as (select * from st where run_id = 'run1'), c as (select * from st where run_id = 'run2' and metric <> 'row_count')"
+
+
+@query("select metric, coalesce(b.label, c.label) as label, b.value as baseline, c.value as candidate, c.value - b.value as change, case when c.value - b.value is null then 'unknown' when abs(c.value - b.value) < 1e-9 then 'unchanged' when (coalesce(c.direction, b.direction) = 'lower_is_better') = (c.value > b.value) then 'worse' else 'better' end as trend, coalesce(c.status = 'FAIL' and b.status is distinct from 'FAIL', false) as newly_failed, coalesce(b.status = 'FAIL' and c.status = 'PASS', false) as newly_passed from b full outer join c using (metric)", _STATUS + _PAIR)
+def regress_deltas(V):
+    """DOM-13..15, JON-12, MSC-02, SET-03."""
+    st = _status(V)
+    return assurance.compare(st.filter("run_id = 'run1'"), st.filter("run_id = 'run2' and metric <> 'row_count'")).drop("direction", "unit")
+
+
+@query("select run_id, 'task' as field, 'task1' as reference_value, concat('task', n % 3) as value from runs where run_id <> 'run1' and concat('task', n % 3) <> 'task1' and (select n % 3 from runs where run_id = 'run1') >= 0")
+def compat_warnings(V):
+    """DOM-16, JON-13, AGG-16, MSC-05."""
+    none = F.lit(None).cast("string")
+    runs = V("runs").select("run_id", F.when(F.col("run_id") == "run1", "task1").otherwise(F.concat(F.lit("task"), F.col("n") % 3)).alias("task"), none.alias("policy_id"), F.lit("1.0").alias("policy_version"), none.alias("benchmark_version"), F.when(F.col("run_id") != "run1", "x").alias("dataset_hash"))
+    marks = assurance.fingerprint(_status(V))
+    return assurance.compatibility(runs.join(marks, "run_id", "left"), "run1")
+
+
+@query()
+def mule_findings(V):
+    """TSK-07: our rules; the task fixes the output's schema only."""
+    rows = V("transfers").withColumn("txn_id", F.concat("src", F.lit(">"), "dst", F.lit("@"), F.col("ts").cast("string")))
+    return risk.mule_findings(rows)
+
+
+@query()
+def markdown_sections(V):
+    """SCL-19."""
+    V("reports")
+    from pyspark.sql import SparkSession as P
+
+    return evidence.markdown_sections(P.active().table("documents").select("doc_id", "text"), "doc_id")
+
+
+@query("select sql, tbl, upper(trim(cur)) as code, case when length(trim(cur)) = 3 then false else true end as bad from (select concat('select * from t', n_nationkey, ' where 1=1') as sql, concat('t', n_nationkey) as tbl, concat(' ', left(lower(n_name), 3 + n_nationkey % 2), ' ') as cur from nation)")
+def scalar_functions(V):
+    """SCL-03, SCL-15."""
+    V("txn")
+    from pyspark.sql import SparkSession as P
+
+    rows = P.active().table("nation").select(F.concat(F.lit("select * from t"), "n_nationkey", F.lit(" where 1=1")).alias("sql"), F.concat(F.lit(" "), F.left(F.lower("n_name"), 3 + F.col("n_nationkey") % 2), F.lit(" ")).alias("cur"))
+    return rows.select("sql", N.table_of(F.col("sql")).alias("tbl"), N.parse_currency(F.col("cur")).alias("code"), N.bad_currency(F.col("cur")).alias("bad"))
