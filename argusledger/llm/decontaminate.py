@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argusledger.llm.common import WORD, Words, chunks, cut, grams
+from argusledger.llm.common import WORD, Words, chunks, cut, grams, release
 
 #: Benchmark text that is broadcast at once.  A larger benchmark is scanned in blocks of about this size.
 BLOCK_BYTES = 16 << 20
@@ -88,7 +88,7 @@ def _without(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hit: np.ndar
 _STATE = ("_dc_words", "_dc_hits", "_dc_items")
 
 
-def _scan(shared, n: int, text_col: str, excise: bool):
+def _scan(shared, text_col: str):
     def run(batches):
         block = shared.value
         for batch in batches:
@@ -110,6 +110,7 @@ def _scan(shared, n: int, text_col: str, excise: bool):
                 columns["_dc_hits"] = pa.array(marks, pa.binary())
                 columns["_dc_items"] = pa.array(names, pa.list_(pa.string()))
                 yield pa.RecordBatch.from_pydict(columns)
+        release()
 
     return run
 
@@ -155,13 +156,13 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str =
     out = out.withColumns({"_dc_words": F.lit(0).cast("long"), "_dc_hits": F.lit(None).cast("binary"), "_dc_items": F.lit(None).cast("array<string>")})
     for b in range(blocks):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(_item_block([(r.i, r.t) for r in mine.toLocalIterator()], n))
-        out = out.mapInArrow(_scan(shared, n, text_col, excise), out.schema)
-        if blocks > 1:
-            out = cut(out)
-    kinds = [f.simpleString().replace(f"{f.name}:", f"`{f.name}` ", 1) for f in docs.select(*[F.col(f"`{c}`") for c in names]).schema.fields]
+        scan = _scan(spark.sparkContext.broadcast(_item_block([(r.i, r.t) for r in mine.toLocalIterator()], n)), text_col)
+        if b < blocks - 1:
+            out = cut(out.mapInArrow(scan, out.schema))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in names]).schema.fields]
     schema = ", ".join([*kinds, "dc_n_words long", "dc_n_hit long", "dc_items array<string>"])
-    return out.mapInArrow(_finish(text_col, excise, names), schema)
+    finish = _finish(text_col, excise, names)
+    return out.mapInArrow(lambda batches: finish(scan(batches)), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents", text_col: str = "text") -> DataFrame:

@@ -186,12 +186,12 @@ def _prefixes(n: int, bits: int, percent: int, shared):
 
     def run(batches):
         often = shared.value
-        seen = np.zeros(1 << 24, bool)
-        seen[often & np.uint64((1 << 24) - 1)] = True
+        seen = np.zeros(1 << 22, bool)
+        seen[often & np.uint64((1 << 22) - 1)] = True
         held, count = [], 0
         for node, x in _classes(batches, n):
             top = x >> np.uint64(32 - bits)
-            late = seen[top & np.uint64((1 << 24) - 1)]
+            late = seen[top & np.uint64((1 << 22) - 1)]
             if late.any():
                 at = np.flatnonzero(late)
                 slot = np.minimum(np.searchsorted(often, top[at]), len(often) - 1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argusledger.llm.common import _LOWER, chunks, text_bytes
+from argusledger.llm.common import _LOWER, chunks, release, text_bytes
 
 #: Labelled documents that the model is fitted on, at most; hash buckets, width of an embedding, n-gram lengths.
 FIT, BUCKETS, WIDTH, GRAMS = 4000, 1 << 16, 16, (2, 4)
@@ -163,6 +163,7 @@ def _score(shared):
                 lang = [model.langs[i] if ok else "und" for i, ok in zip(top.tolist(), letter.tolist(), strict=True)]
                 columns = {c: part.column(c) for c in part.schema.names if c != "_letter"}
                 yield pa.RecordBatch.from_pydict(columns | {"li_lang": pa.array(lang, pa.string()), "li_score": pa.array(best, pa.float64()), "li_rejected": pa.array(~letter | (best < model.least))})
+        release()
 
     return run
 

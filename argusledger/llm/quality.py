@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argusledger.llm.common import NOT_SPACE, Words, chunks
+from argusledger.llm.common import NOT_SPACE, Words, chunks, release
 
 #: Labelled rows that rules are fitted on, at most.
 FIT = 8000
@@ -93,6 +93,7 @@ def _stats(batches):
             own = statistics(part.column("text"))
             columns = {c: part.column(c) for c in part.schema.names if c != "text"}
             yield pa.RecordBatch.from_pydict(columns | {f"qs_{k}": pa.array(v, pa.float64()) for k, v in own.items()})
+    release()
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
