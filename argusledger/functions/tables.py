@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a broadcast side may have at most; beyond it a shuffle join is used.
 BROADCAST_ROWS = 2_000_000
+#: Row groups of :func:`cut`: writers hold one in memory for each task.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/argus-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._argus_path = path
     return out
