@@ -35,7 +35,7 @@ from argusledger.operators.graph import connected_components
 #: Frequent shingles that the order knows (the most frequent ones), and how frequent one must be.
 FREQUENT, OFTEN = 1 << 19, 12
 #: Shingles that a task gathers before it sends them on.
-SLICE = 1_500_000
+SLICE = 800_000
 #: Sets of one leader that one task compares.
 GROUP = 250
 #: Rounds of first answers, at most; what they leave is settled in the last step.
