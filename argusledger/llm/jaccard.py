@@ -39,7 +39,7 @@ SLICE = 800_000
 #: Sets of one leader that one task compares.
 GROUP = 250
 #: Rounds of first answers, at most; what they leave is settled in the last step.
-ROUNDS = 5
+ROUNDS = 7
 _BLOCK = 64
 
 
@@ -302,11 +302,14 @@ def _partners(percent: int, turn: int, comps):
                 place = np.arange(len(node)) - first
                 seed = mix64(node.view(np.uint64) ^ np.uint64(turn * 1_000_003 + row["p"]) ^ (number.astype(np.uint64) << np.uint64(20)))
                 pairs = []
-                for k in range(4):
-                    shift = 1 + ((seed >> np.uint64(16 * k)) % (m - 1).astype(np.uint64)).astype(np.int64)
-                    to = first + (place + shift) % m
-                    ok = (comp[to] != comp) & _reach(size, at, size[to], at[to], percent)
-                    pairs.append((node[ok], node[to][ok]))
+                for k in range(4 << min(turn, 4)):
+                    some = np.flatnonzero(m > max(1, k - 2))  # a short list needs few turns
+                    if not len(some):
+                        break
+                    shift = 1 + (mix64(seed[some] + np.uint64(k)) % (m[some] - 1).astype(np.uint64)).astype(np.int64)
+                    to = first[some] + (place[some] + shift) % m[some]
+                    ok = (comp[to] != comp[some]) & _reach(size[some], at[some], size[to], at[to], percent)
+                    pairs.append((node[some][ok], node[to][ok]))
                 a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 order = np.lexsort((b, a))
                 a, b = a[order], b[order]
@@ -477,14 +480,14 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         some = some.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
         some = some.select(F.col("a").alias("x"), F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "shared")
         some = some.join(known.select("a", "b"), ["a", "b"], "left_anti").withColumn("_r", F.row_number().over(best))
-        some = cut(some.filter(F.col("_r") <= 1 << turn).select("a", "b").distinct())
+        some = cut(some.filter(F.col("_r") <= (1 if turn == 0 else 2 << turn)).select("a", "b").distinct())
         checked = overlaps(sets, some)
         known = cut(known.unionByName(checked))
         good, tried = checked.filter(similar).count(), some.count()
         if good:
             found = known.filter(similar)
             comps = cut(connected_components(found, "a", "b"))
-        if good <= 0.01 * tried and (turn or not good):
+        if good <= 0.003 * tried and (turn or not good):
             break
 
     left = _with_components(lists, comps, lambda c: _cross(percent, c), "a long, b long").distinct()
