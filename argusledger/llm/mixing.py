@@ -37,7 +37,7 @@ def water_fill(sizes: list[int], weights: list[float], total: float, cap: float)
         unit = left / sum(weights[i] for i in open_)
         full = [i for i in open_ if weights[i] * unit >= cap * sizes[i]]
         for i in full or open_:
-            out[i] = cap * sizes[i] if full else weights[i] * unit
+            out[i] = float(cap * sizes[i]) if full else weights[i] * unit
         if not full:
             break
         left -= sum(out[i] for i in full)
