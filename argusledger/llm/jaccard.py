@@ -39,7 +39,7 @@ SLICE = 800_000
 #: Sets of one leader that one task compares.
 GROUP = 250
 #: Rounds of first answers, at most; what they leave is settled in the last step.
-ROUNDS = 7
+ROUNDS = 6
 _BLOCK = 64
 
 

@@ -28,8 +28,8 @@ from argusledger.llm.common import chunks, cut, partitions, process_cache, relea
 
 MAGIC, BLOCK, PACK_IDS = b"ATPK", 4096, 1 << 20
 _HEAD = "<4sIIIQQ"
-#: Words, and pieces, that a worker keeps the ids of: in a task, and after it.
-CACHE, KEEP = 300_000, 40_000
+#: Words, and pieces, that a worker keeps the ids of.
+CACHE = 300_000
 
 
 # --- the format ------------------------------------------------------------------------------
@@ -158,13 +158,9 @@ class Encoder:
         self.kept, self.words = _trim(self.kept), _trim(self.words)
         return out
 
-    def settle(self) -> None:
-        """Between tasks just the most frequent (the first met) stay."""
-        self.kept, self.words = _trim(self.kept, KEEP, KEEP), _trim(self.words, KEEP, KEEP)
 
-
-def _trim(kept: dict[str, bytes], most: int = CACHE, to: int = CACHE // 2) -> dict[str, bytes]:
-    return kept if len(kept) <= most else dict(islice(kept.items(), to))
+def _trim(kept: dict[str, bytes]) -> dict[str, bytes]:
+    return kept if len(kept) <= CACHE else dict(islice(kept.items(), CACHE // 2))
 
 
 def _encoder(spec: str) -> Encoder:
@@ -205,7 +201,8 @@ def _encode(shared, bits: int, end: int):
         if own:
             yield flush()
         ids, own = [], []
-        coder.settle()
+        coder = None
+        process_cache("encoders").clear()  # workers stay, for stages that need their memory
         release()
 
     return run
