@@ -20,7 +20,7 @@ CHUNK_BYTES = (1 << 20) - 1
 
 
 #: Rows of an Arrow batch, unless the session sets its own: texts can be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argusledger.llm.common import cut, ws_trim_count
+from argusledger.llm.common import cut, release, ws_trim_count
 
 #: Shards over all sources, besides one for each source, and the least words of a shard.
 MAX_SHARDS, SHARD_WORDS = 10_000, 200_000
@@ -173,6 +173,7 @@ def _pieces(names: list[str], text_col: str):
                 texts.append("\n".join(r[text_col][spans[a][0] : spans[b - 1][1]] for a, b in cuts))
             out = batch.select(names).take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else out.column(c) for c in names], names=names)
+        release()
 
     return run
 
