@@ -28,8 +28,8 @@ from argusledger.llm.common import chunks, cut, partitions, process_cache, relea
 
 MAGIC, BLOCK, PACK_IDS = b"ATPK", 4096, 1 << 20
 _HEAD = "<4sIIIQQ"
-#: Words, and pieces, that a worker keeps the ids of: in a task, and after it.
-CACHE, KEEP = 300_000, 40_000
+#: Words that a worker keeps the ids of: in a task, and after it.
+CACHE, KEEP = 500_000, 100_000
 
 
 # --- the format ------------------------------------------------------------------------------
@@ -98,14 +98,22 @@ class Pack:
 # --- encoding --------------------------------------------------------------------------------
 
 
+def _alphabet() -> dict[int, int]:
+    """Byte-level BPE's character for each byte: itself if it prints, else the next from U+0100 on.  Byte 0, which no plain
+    text has, becomes the space that parts pieces."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)).difference(shown))
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)} | {0: 0x20}
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer cuts a text into pieces, each of which is encoded for itself, and always cuts before a space that
-    a character follows.  So a batch's distinct words, with the space before them, are looked up; those not known
-    are cut into pieces, and only pieces not known go to the library.  The first words and pieces that a worker meets,
-    the frequent ones, are kept.  Texts with characters on which the two pattern engines could differ, or with a
-    special token's string, go to the library whole.
+    a character follows.  So a batch's words, with the space before them, are looked up, and those not known are cut
+    into pieces that go to the library's model as one string; byte lengths of its ids tell where a word's ids end.  The
+    first words that a worker meets, the frequent ones, are kept.  Texts with characters on which the two pattern
+    engines could differ, or with a special token's string, go to the library whole.
     """
 
     def __init__(self, spec: str):
@@ -113,57 +121,83 @@ class Encoder:
         import re
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Tokenizer.from_str(spec)
         plan = json.loads(spec)
-        split = plan.get("pre_tokenizer") or {}
+        split, model = plan.get("pre_tokenizer") or {}, plan["model"]
         self.special = [t["content"] for t in plan.get("added_tokens", [])]
+        self.alphabet = _alphabet()
+        vocabulary = model["vocab"] if model.get("type") == "BPE" else {}
         known = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and plan.get("normalizer") is None
+        known = known and all(chr(c) in vocabulary for b, c in self.alphabet.items() if b) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         # Plain: printable ASCII, tab, newline, Latin letters and marks but no fractions or superscripts, general punctuation.
         self.plain = re.compile(r"[\t\n\r\x20-\x7E\u00A1-\u00B1\u00B4-\u00B8\u00BA\u00BB\u00BF-\u024F\u2010-\u2027\u2030-\u205E]*") if known else None
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
         self.loose = re.compile(r" (?=\s|\Z)")
         self.words: dict[str, bytes] = {}
-        self.kept: dict[str, bytes] = {}
+        if known:
+            self.model = Tokenizer(self.library.model)
+            self.model.pre_tokenizer = CharDelimiterSplit(" ")
+            self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.lengths[i] = len(token)  # a character a byte
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _by_model(self, pieces: list[str], sizes: list[int]) -> list[bytes]:
+        """Ids of strings of ``sizes`` bytes, whose pieces follow each other."""
+        if not pieces:
+            return [b""] * len(sizes)
+        text = "\0".join(pieces).encode().decode("latin-1").translate(self.alphabet)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.lengths[ids])
+        to = 4 * (np.searchsorted(ends, np.cumsum(sizes), "left") + 1)
+        raw, to = ids.tobytes(), [0, *to.tolist()]
+        return [raw[a:b] for a, b in zip(to, to[1:], strict=False)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out = [b""] * len(texts)
-        whole, cut_up, spaced = [], [], []
+        whole, starts, spaced = [], [], []
+        new: dict[str, None] = {}
         for i, text in enumerate(texts):
             if text and (self.plain is None or not self.plain.fullmatch(text) or any(x in text for x in self.special)):
                 whole.append(i)
-            elif text and self.loose.search(text):
-                cut_up.append((i, self.pieces.findall(text)))
+            elif text and (text[0] == " " or self.loose.search(text)):
+                starts.append((i, text))
             elif text:
                 first, _, rest = text.partition(" ")
-                cut_up.append((i, self.pieces.findall(first)))
+                starts.append((i, first))
                 if rest:
-                    spaced.append((i, rest.split(" ")))
+                    words = rest.split(" ")
+                    found = list(map(self.words.get, words))
+                    gaps = [k for k, x in enumerate(found) if x is None]
+                    new.update((words[k], None) for k in gaps)
+                    spaced.append((i, words, found, gaps))
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        words = {x: self.pieces.findall(" " + x) for x in set().union(*[x for _, x in spaced]).difference(self.words)}
-        new = list(set().union(*[x for _, x in cut_up], *words.values()).difference(self.kept))
-        self.kept.update(zip(new, self._ids(new), strict=True))
-        look = self.kept.__getitem__
-        self.words.update((x, b"".join(map(look, y))) for x, y in words.items())
-        for i, x in cut_up:
-            out[i] = b"".join(map(look, x))
-        look = self.words.__getitem__
-        for i, x in spaced:
-            out[i] += b"".join(map(look, x))
-        self.kept, self.words = _trim(self.kept), _trim(self.words)
+        pieces = self.pieces.findall(" " + " ".join(new)) if new else []
+        for _, x in starts:
+            pieces += self.pieces.findall(x)
+        ids = self._by_model(pieces, [len(x.encode()) + 1 for x in new] + [len(x.encode()) for _, x in starts])
+        self.words.update(zip(new, ids[: len(new)], strict=True))
+        for (i, _), x in zip(starts, ids[len(new) :], strict=True):
+            out[i] = x
+        for i, words, found, gaps in spaced:
+            for k in gaps:
+                found[k] = self.words[words[k]]
+            out[i] += b"".join(found)
+        self.words = _trim(self.words)
         return out
 
     def settle(self) -> None:
         """Between tasks just the most frequent (the first met) stay."""
-        self.kept, self.words = _trim(self.kept, KEEP, KEEP), _trim(self.words, KEEP, KEEP)
+        self.words = _trim(self.words, KEEP, KEEP)
 
 
-def _trim(kept: dict[str, bytes], most: int = CACHE, to: int = CACHE // 2) -> dict[str, bytes]:
+def _trim(kept: dict[str, bytes], most: int = CACHE, to: int = CACHE // 4) -> dict[str, bytes]:
     return kept if len(kept) <= most else dict(islice(kept.items(), to))
 
 

@@ -127,6 +127,20 @@ def test_packs(bits):
     assert (p.ids() == ids).all() and (p.ids(333, 7777) == ids[333:7777]).all() and len(p.document(1)) == 0 and (p.document(2) == ids[5:]).all()
 
 
+def test_encoder_agrees_with_the_library(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        coder = tokenpack.Encoder(f.read())
+    monkeypatch.setattr(tokenpack._trim, "__defaults__", (60, 20))
+    rng, parts = random.Random(5), [" ", " ", "  ", "\n", "\t", "a", "é", "ß", "don't", "'s", "1", "23", "_", "...", "<|", "x", "<|endoftext|>", "½", "—", "\u3000", "日本", "\xa0", "\xad", "\r\n"]
+    texts = ["".join(rng.choice(parts[: 16 if rng.random() < 0.7 else None]) for _ in range(rng.randrange(14))) for _ in range(5000)]
+    got = [x for i in range(0, len(texts), 97) for x in coder.encode(texts[i : i + 97])]
+    assert got == coder._ids(texts)
+
+
 def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
