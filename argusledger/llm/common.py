@@ -13,20 +13,27 @@ from pyspark.sql import functions as F
 
 from argusledger.functions.tables import BROADCAST_ROWS, cut, drop_cut, partitions, shared_dir, skew_join
 
-__all__ = ["BROADCAST_ROWS", "NOT_SPACE", "WORD", "Words", "binary", "chunks", "cut", "drop_cut", "grams", "mix64", "partitions", "process_cache", "read", "release", "runs", "shared_dir", "skew_join", "text_bytes", "ws_trim_count"]
+__all__ = ["BROADCAST_ROWS", "NOT_SPACE", "WORD", "Words", "binary", "chunks", "cut", "drop_cut", "grams", "limit_batches", "mix64", "partitions", "process_cache", "read", "release", "runs", "shared_dir", "skew_join", "text_bytes", "ws_trim_count"]
 
 #: Bytes of text that one pass of the numpy kernel handles at once (a longer text is one chunk).
-CHUNK_BYTES = (1 << 20) - 1
+CHUNK_BYTES = (1 << 18) - 1
 
 
-#: Rows of an Arrow batch, unless the session sets its own: texts can be long.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch, unless the session sets its own: texts can be long.
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 19
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows and about BATCH_BYTES at most (or one row)."""
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    if spark.conf.get(rows) == "10000":  # Spark's default
+        spark.conf.set(rows, BATCH_ROWS)
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, BATCH_BYTES)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":  # Spark's default
-        spark.conf.set(key, BATCH_ROWS)
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,10 +48,16 @@ def process_cache(name: str) -> dict:
     return mod.__dict__.setdefault(name, {})
 
 
-def release() -> None:
-    """Give back memory that this Python worker no longer uses: workers stay for later tasks."""
+def release(keep: str = "") -> None:
+    """Give back memory that this Python worker no longer uses: workers stay for later tasks.  What other kinds of tasks
+    cached goes, but for the cache named ``keep``, and so do tables of powers that just a very long text needed."""
     import ctypes
 
+    for name in {"encoders"}.difference([keep]):
+        process_cache(name).clear()
+    kept = process_cache("powers")
+    for base in [b for b, pair in kept.items() if len(pair[0]) > CHUNK_BYTES + 1]:
+        del kept[base]
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:

@@ -240,7 +240,7 @@ def _encode(shared, bits: int, end: int):
             yield flush()
         ids, own = [], []
         coder.settle()
-        release()
+        release(keep="encoders")
 
     return run
 

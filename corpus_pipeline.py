@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 
 from argusledger.functions.tables import cut, small
 from argusledger.llm import decontaminate, jaccard, langid, mixing, tokenpack
-from argusledger.llm.common import read
+from argusledger.llm.common import limit_batches, read
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier doesn't reject."""
+    limit_batches(spark)
     out = langid.identify(docs, langid.train(docs))
     return out.filter(~F.col("li_rejected")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates.  Rows without doc_id stay."""
+    limit_batches(spark)
     found = jaccard.near_duplicates(docs)
     gone = cut(found.filter("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
@@ -37,11 +39,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, a last partial take with the chosen blocks' text."""
+    limit_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its place among all ids, read back from the token packs."""
+    limit_batches(spark)
     return tokenpack.report(docs, public_tokenizers.path(TOKENIZER))
 
 
