@@ -42,6 +42,11 @@ def _features(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key.astype(np.int64), times / times.sum()
 
 
+def _clip(step: np.ndarray) -> np.ndarray:
+    """A step of length 1 at most: texts that are always judged wrongly (noise) can't drive the weights away."""
+    return step / max(1.0, float(np.sqrt((step * step).sum())))
+
+
 class Model:
     """``table``: a row of language scores for each bucket; ``bias``; ``langs``; ``sharp`` (1 / temperature); ``least``."""
 
@@ -77,12 +82,14 @@ class Model:
                     z = np.exp(z - z.max())
                     grad = z / z.sum()
                     grad[y[i]] -= 1
-                    back = weight.T @ grad
-                    weight -= (lr * np.outer(grad, h)).astype(np.float32)
+                    back = _clip(weight.T @ grad)
+                    weight -= (lr * _clip(np.outer(grad, h))).astype(np.float32)
                     bias -= (lr * 0.1 * grad).astype(np.float32)
-                    # A bucket's step is scaled up by the number of buckets: an average gives each a small share only.
-                    embed[key] = rows - np.outer(lr * share * len(key), back).astype(np.float32)
+                    # The average moves by lr * back, however many buckets a text has and however uneven their shares are.
+                    embed[key] = rows - np.outer(lr / (share @ share) * share, back).astype(np.float32)
         self.table = (embed @ weight.T).astype(np.float32)
+        if not np.isfinite(self.table).all():
+            raise FloatingPointError("the language model's training diverged")
         self.bias, self.sharp, self.least = bias.astype(np.float64), 1.0, 0.0
         self._calibrate([_features(snippet(raws[i])) if j % 2 else whole[i] for j, i in enumerate(np.flatnonzero(held).tolist())], y[held])
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from argusledger.llm import annsearch, chatformat, decontaminate, jaccard, langid, linededup, mixing, quality, substring, tokenpack
@@ -165,3 +166,20 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(after.toPandas(), after.schema)
     assert 0 < corpus_pipeline.run(spark, SF).count()
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
+def test_language_model_stays_finite_on_uneven_and_mislabelled_texts():
+    words = {"aa": "der hund und die katze sind nicht da", "bb": "the dog and the cat are not here", "cc": "el perro y el gato no estan aqui"}
+    rng = np.random.default_rng(5)
+    texts, langs = [], []
+    for i in range(150):
+        lang = "abc"[i % 3] * 2
+        text = " ".join(rng.choice(words[lang].split(), 30))
+        if i % 5 == 1:  # one line repeated, then letters in no order: many buckets, nearly all of the share in a few
+            text += " " + words[lang] * 4000 + " " + "".join(chr(97 + x) for x in rng.integers(0, 26, 20_000))
+        texts.append(text)
+        langs.append("abc"[(i + 1) % 3] * 2 if i % 20 == 3 else lang)
+    model = langid.Model(texts, langs)
+    assert np.isfinite(model.table).all() and np.isfinite(model.bias).all()
+    p = model.score(pa.array(list(words.values())))
+    assert np.isfinite(p).all() and [model.langs[k] for k in p.argmax(axis=1)] == list(words)
