@@ -147,3 +147,29 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = {r.start_date: r.transfer_count for r in spark.table("weeks").collect()}
     assert got == {r.start_date: r.transfer_count for r in risk.weekly_summary(rows).collect()}
+
+
+def plain_transfers():
+    """All of lineitem as (src, dst, cents, day, sar), in plain Python."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.001/lineitem.parquet").to_pylist()
+    return [(f"A{r['l_suppkey']}-{r['l_partkey'] % 6}", f"A{r['l_suppkey']}-{r['l_orderkey'] % 6}", round(r["l_extendedprice"] * 100), r["l_shipdate"], r["l_returnflag"] == "R") for r in t]
+
+
+def test_whole_graph_is_all_of_lineitem(spark):
+    rows = plain_transfers()
+    run = lambda name: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = {}
+    for a, b, cents, _, _ in rows:
+        n, total = want.get((a, b), (0, 0))
+        want[a, b] = n + 1, total + cents
+    assert {(r.src, r.dst): (r.n, round(float(r.weight) * 100)) for r in run("whole_edge_weights").collect()} == want
+    group = {x: x for e in want for x in e}
+    for _ in group:
+        for a, b in want:
+            group[a] = group[b] = min(group[a], group[b])
+    assert {r.node: r.component for r in run("whole_wcc_components").collect()} == group
+    m = run("whole_cluster_metrics").collect()
+    assert sum(r.transfers for r in m) == len(rows) and {r.component for r in m} == set(group.values())
+    assert {r.account_id for r in run("mule_findings").collect()} == set(group)
