@@ -7,6 +7,10 @@ Hashes only find candidates: those are grouped by their bytes.
 
 Edge cases: a null text has no lines and keeps the empty text; an empty text is one empty line; rows that
 share a doc_id are one document for the choice of the first occurrence; one-line chunks are always kept.
+
+Chunks leave repeated passages behind: what lies beside a boundary outside the passage, one-line chunks, runs of equal lines.
+``dedup_passages`` has no boundaries: a line goes if it lies in a passage of two lines or more that occurred before, in an
+earlier place that it doesn't overlap.  Pairs of neighbouring lines decide it, as every longer passage is made of them.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ from argusledger.llm.common import cut, skew_join
 DIVISOR = 4
 
 
+def _lines() -> Column:
+    return F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
+
+
 def _with_chunks(docs: DataFrame, divisor: int) -> DataFrame:
     """Adds ``_lines`` and ``_ends``, the last line of each chunk."""
     line_hash = lambda x: F.conv(F.left(F.md5(x.cast("binary")), F.lit(7)), 16, 10).cast("long")
-    lines = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
-    out = docs.withColumn("_lines", lines).withColumn("_hash", F.transform("_lines", line_hash))
+    out = docs.withColumn("_lines", _lines()).withColumn("_hash", F.transform("_lines", line_hash))
 
     def ends(at: Column) -> Column:
         rolled = F.get("_hash", at - 1) * 31 + F.get("_hash", at)
@@ -56,6 +63,23 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     return marked.filter(F.col("first").isNotNull() & ~F.struct("doc_id", "place").eqNullSafe(F.col("first"))).select("doc_id", "place")
 
 
+def _pair_rows(docs: DataFrame) -> DataFrame:
+    """Each line with the next: doc_id, place (of the first) and the two lines' SHA-256, so that no text is shuffled."""
+    rows = docs.select("doc_id", _lines().alias("_lines"))
+    pairs = F.transform(F.slice("_lines", F.lit(1), F.greatest(F.size("_lines") - 1, F.lit(0))), lambda x, i: F.struct(i.alias("place"), F.unhex(F.sha2(F.concat(x, F.lit("\n"), F.get("_lines", i + 1)), 256)).alias("digest")))
+    return rows.select("doc_id", F.explode(pairs).alias("c")).select("doc_id", "c.place", "c.digest")
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, place) of every pair of lines that is removed."""
+    rows = _pair_rows(docs)
+    same = cut(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1"))
+    found = skew_join(rows, same, "digest", "n").filter(F.col("first").isNotNull())
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    # The first itself, or the pair that overlaps it.
+    return found.filter(~(here & F.col("place").between(F.col("first.place"), F.col("first.place") + 1))).select("doc_id", "place")
+
+
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """``docs`` with ``text`` less the removed chunks, and ``ld_lines`` and ``ld_removed``, counts of lines."""
     gone = repeated_chunks(docs, divisor).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("_gone"))
@@ -69,8 +93,20 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     return out.select(*names, F.array_join("_kept", "\n").alias("text"), F.size("_lines").cast("long").alias("ld_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("ld_removed"))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    out = dedup_lines(docs.select("doc_id", "text"))
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` less the repeated passages, and ``ld_lines`` and ``ld_removed``, counts of lines."""
+    gone = repeated_pairs(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("_gone"))
+    out = docs.withColumn("_lines", _lines()).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    out = out.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    every = F.when(F.size("_lines") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size("_lines") - 1))
+    left = F.array_except(every, F.concat("_gone", F.transform("_gone", lambda i: i + 1)))
+    out = out.withColumn("_kept", F.transform(left, lambda i: F.get("_lines", i)))
+    names = [c for c in docs.columns if c != "text"]
+    return out.select(*names, F.array_join("_kept", "\n").alias("text"), F.size("_lines").cast("long").alias("ld_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("ld_removed"))
+
+
+def report(docs: DataFrame, dedup=dedup_lines) -> DataFrame:
+    out = dedup(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -96,3 +132,26 @@ k as (
 select documents.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from documents left join k using (doc_id)
 """
+
+#: DuckDB SQL for op3_line_passages.
+PASSAGES_SQL = """
+with l as (
+  select doc_id, case when text is null then [] else string_split(text, chr(10)) end as lines from documents),
+p as (
+  select doc_id, unnest(lines) as line, unnest(range(0, len(lines))) as i from l),
+w as (
+  select *, lead(line) over (partition by doc_id order by i) as line2 from p),
+f as (
+  select doc_id, i, first_value(doc_id) over o as doc0, first_value(i) over o as i0
+  from w where line2 is not null window o as (partition by line, line2 order by doc_id, i)),
+b as (
+  select doc_id, i from f where doc_id <> doc0 or i - i0 >= 2),
+g as (
+  select doc_id, i from b union select doc_id, i + 1 from b),
+k as (
+  select p.doc_id, count(*) as n_lines, count(g.i) as n_removed,
+    string_agg(case when g.i is null then line end, chr(10) order by p.i) as kept
+  from p left join g on g.doc_id = p.doc_id and g.i = p.i group by 1)
+select documents.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from documents left join k using (doc_id)
+"""

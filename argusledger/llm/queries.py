@@ -22,6 +22,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read(spark, sf_dir, "documents"))
 
 
+def op3_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(read(spark, sf_dir, "documents"), linededup.dedup_passages)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(read(spark, sf_dir, "documents"))
 
@@ -58,12 +62,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_mixing, op3_line_dedup, op4_jaccard_join, op5_chat_format, op6_substring_dedup, op7_nearest, op8_language_id, op9_quality, op10_token_pack, pipeline)
+    for f in (op1_decontaminate, op2_mixing, op3_line_dedup, op3_line_passages, op4_jaccard_join, op5_chat_format, op6_substring_dedup, op7_nearest, op8_language_id, op9_quality, op10_token_pack, pipeline)
 }
 #: None for 2 and 7 to 10 and the pipeline: their tests hold them against brute force, round trips or held-out rows.
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
     "op3_line_dedup": linededup.SQL,
+    "op3_line_passages": linededup.PASSAGES_SQL,
     "op4_jaccard_join": jaccard.SQL,
     "op5_chat_format": chatformat.SQL,
     "op6_substring_dedup": substring.SQL,

@@ -183,3 +183,19 @@ def test_language_model_stays_finite_on_uneven_and_mislabelled_texts():
     assert np.isfinite(model.table).all() and np.isfinite(model.bias).all()
     p = model.score(pa.array(list(words.values())))
     assert np.isfinite(p).all() and [model.langs[k] for k in p.argmax(axis=1)] == list(words)
+
+
+def test_repeated_passages_go_whole(spark):
+    rng, rows = np.random.default_rng(2), []
+    plain = lambda k: [f"own {x}" for x in rng.integers(0, 1 << 40, k)]
+    planted = [[f"p{j} line {i}" for i in range(3 + j)] for j in range(20)] + [["same"] * 7]
+    for at in range(4):
+        for j, lines in enumerate(planted):
+            rows.append((at * 100 + j, "\n".join([*plain(3), *lines, *plain(3)])))
+    rows += [(1000, "x\nx\nx"), (1001, "alone"), (1002, None), (1003, rows[5][1])]
+    got = {r.doc_id: r for r in linededup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for at in range(4):
+        for j, lines in enumerate(planted):
+            first = 0 if j < 20 else 5  # of seven equal lines the first two stay
+            assert got[at * 100 + j].ld_removed == (len(lines) if at else first)
+    assert (got[1000].text, got[1001].text, got[1002].text, got[1003].text) == ("x\nx\nx", "alone", "", "")
