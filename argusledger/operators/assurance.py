@@ -44,6 +44,16 @@ def decision_rank(decision: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in DECISION_RANK.items() for x in kv])[decision], F.lit(3))
 
 
+def is_regression(baseline: Column, candidate: Column) -> Column:
+    """Strictly worse than the baseline; an unknown decision is the worst."""
+    return decision_rank(candidate) > decision_rank(baseline)
+
+
+def overall_verdict(tests: Column, judge: Column) -> Column:
+    """Of the exit codes of the tests and the judge; null: the judge was not run."""
+    return F.when((tests == 0) & (judge.isNull() | (judge == 0)), "PASS").otherwise("FAIL")
+
+
 def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """Full outer join of (metric, label, direction, unit, value, status): change, trend, newly failed, newly passed."""
     b, c = (df.select("metric", *[F.col(k).alias(f"{p}_{k}") for k in ("label", "direction", "unit", "value", "status")]) for df, p in ((baseline, "b"), (candidate, "c")))

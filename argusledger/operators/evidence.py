@@ -14,7 +14,7 @@ def cited(reports: DataFrame) -> DataFrame:
 
 
 def traceability(reports: DataFrame, valid: DataFrame, gold: DataFrame | None) -> DataFrame:
-    """Per report: counts, sorted lists, precision, recall and F1 (from the rounded two).
+    """Per report: counts, sorted lists (the gold ids that it doesn't cite among them), precision, recall and F1 (from the rounded two).
 
     ``valid`` (id) and ``gold`` (id) are the case's ids.  Null metrics: not evaluable.  The gold set is small by
     definition (annotations of one case) and is joined per report; reports are never paired with each other.
@@ -30,8 +30,10 @@ def traceability(reports: DataFrame, valid: DataFrame, gold: DataFrame | None) -
     out = reports.select("report_id").join(per, "report_id", "left").na.fill(0).na.fill("")
     if gold is None:
         none = F.lit(None).cast("double")
-        return out.withColumns({"gold_total": F.lit(None).cast("long"), "precision": none, "recall": none, "f1": none})
-    out = out.crossJoin(F.broadcast(gold.agg(F.countDistinct(F.upper("id")).alias("gold_total"))))  # one row
+        return out.withColumns({"gold_total": F.lit(None).cast("long"), "missing_ids": F.lit(""), "precision": none, "recall": none, "f1": none})
+    every = F.sort_array(F.collect_set(F.upper("id")))
+    out = out.crossJoin(F.broadcast(gold.agg(every.alias("_gold")).withColumn("gold_total", F.size("_gold").cast("long"))))  # one row
+    out = out.withColumn("missing_ids", F.array_join(F.array_except("_gold", F.split("matched_ids", ",")), ",")).drop("_gold")
     out = out.withColumn("precision", F.when(F.col("grounded") > 0, round4(F.col("matched") / F.col("grounded")))).withColumn("recall", F.when(F.col("gold_total") > 0, round4(F.col("matched") / F.col("gold_total"))))
     total = F.col("precision") + F.col("recall")
     return out.withColumn("f1", F.when(total > 0, round4(2 * F.col("precision") * F.col("recall") / total)))

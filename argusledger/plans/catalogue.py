@@ -272,8 +272,17 @@ _TRACE = "c as (select report_id, id, count(*) as times from (select report_id,
 
 @query("select *, case when precision + recall > 0 then round_even(2 * precision * recall / (precision + recall), 4) end as f1 from q", _TRACE)
 def traceability(V):
-    """DOM-07, JON-08, JON-09, AGG-13."""
-    return evidence.traceability(V("reports"), V("valid_ids"), V("gold_ids")).drop("grounded_ids", "matched_ids")
+    """DOM-07, JON-08, AGG-13; the lists are in gold_citations."""
+    return evidence.traceability(V("reports"), V("valid_ids"), V("gold_ids")).drop("grounded_ids", "matched_ids", "missing_ids")
+
+
+_LISTS = _TRACE + ", gr as (select report_id, id from c where id in (select id from valid_ids)), mg as (select r.report_id, g.id from reports r cross join gold_ids g where (r.report_id, g.id) not in (select report_id, id from gr)), li as (select report_id, string_agg(id, ',' order by id) as grounded_ids, string_agg(id, ',' order by id) filter (where id in (select id from gold_ids)) as matched_ids from gr group by 1), ml as (select report_id, string_agg(id, ',' order by id) as missing_ids from mg group by 1)"
+
+
+@query("select report_id, coalesce(grounded_ids, '') as grounded_ids, coalesce(matched_ids, '') as matched_ids, coalesce(missing_ids, '') as missing_ids from reports left join li using (report_id) left join ml using (report_id)", _LISTS)
+def gold_citations(V):
+    """DOM-07, JON-09."""
+    return evidence.traceability(V("reports"), V("valid_ids"), V("gold_ids")).select("report_id", "grounded_ids", "matched_ids", "missing_ids")
 
 
 _CLAIMS = "sc as (select report_id, claim_id, case when cited not in (select id from valid_ids) then 'unsupported' when lower(trim(coalesce(support, 'unsupported'))) in ('supported', 'contradicted') then lower(trim(support)) else 'unsupported' end as scored from claims)"
@@ -329,19 +338,35 @@ def assurance_decision(V):
 
 @query("select run_id, case when evaluated % 2 = 0 and required_failed = 0 then 'NOT_READY_FOR_DEPLOYMENT' else decision end as decision, case when optional_failed > 1 then 5 when required_failed > 1 then 1 when evaluated % 2 = 0 and required_failed = 0 then 4 when decision = 'PASS_WITH_CONDITIONS' then 3 when decision = 'NOT_READY_FOR_DEPLOYMENT' then 4 else 0 end as exit_code from de", _STATUS + _DECIDE)
 def exit_code(V):
-    """DOM-12, DOM-19, DOM-22."""
+    """DOM-12, DOM-19."""
     d = assurance.decide(_status(V))
     gated = assurance.case_gate(F.col("decision"), F.col("evaluated") % 2 == 0, F.when(F.col("required_failed") == 0, 1).otherwise(0), F.lit(0))
     zero = F.lit(0)
     return d.select("run_id", gated.alias("decision"), assurance.exit_code(F.col("optional_failed") > 1, F.when(F.col("required_failed") > 1, 1).otherwise(0), zero, zero, gated).alias("exit_code"))
 
 
+@query("select de.run_id, b.decision as baseline_decision, de.decision, case de.decision when 'PASS' then 0 when 'PASS_WITH_CONDITIONS' then 1 else 2 end > case b.decision when 'PASS' then 0 when 'PASS_WITH_CONDITIONS' then 1 else 2 end as is_regression from de, de b where b.run_id = 'run1' and de.run_id <> 'run1'", _STATUS + _DECIDE)
+def regressions(V):
+    """DOM-13: each run's decision against that of run1."""
+    d = assurance.decide(_status(V)).select("run_id", "decision")
+    first = d.filter("run_id = 'run1'").select(F.col("decision").alias("baseline_decision"))  # one row
+    return d.filter("run_id <> 'run1'").crossJoin(F.broadcast(first)).select("run_id", "baseline_decision", "decision", assurance.is_regression(F.col("baseline_decision"), F.col("decision")).alias("is_regression"))
+
+
+@query("select run_id, case when required_failed > 1 then 'FAIL' when not_evaluated = 0 and optional_failed > 0 then 'FAIL' else 'PASS' end as overall_verdict from de", _STATUS + _DECIDE)
+def overall_verdict(V):
+    """DOM-22: required metrics stand for the tests, optional ones for the judge, who is not run where a value is missing."""
+    d = assurance.decide(_status(V))
+    tests, judge = F.when(F.col("required_failed") > 1, 1).otherwise(0), F.when(F.col("not_evaluated") == 0, F.col("optional_failed"))
+    return d.select("run_id", assurance.overall_verdict(tests, judge).alias("overall_verdict"))
+
+
 _PAIR = ", b as (select * from st where run_id = 'run1'), c as (select * from st where run_id = 'run2' and metric <> 'row_count')"
 
 
 @query("select metric, coalesce(b.label, c.label) as label, b.value as baseline, c.value as candidate, c.value - b.value as change, case when c.value - b.value is null then 'unknown' when abs(c.value - b.value) < 1e-9 then 'unchanged' when (coalesce(c.direction, b.direction) = 'lower_is_better') = (c.value > b.value) then 'worse' else 'better' end as trend, coalesce(c.status = 'FAIL' and b.status is distinct from 'FAIL', false) as newly_failed, coalesce(b.status = 'FAIL' and c.status = 'PASS', false) as newly_passed from b full outer join c using (metric)", _STATUS + _PAIR)
 def regress_deltas(V):
-    """DOM-13..15, JON-12, MSC-02, SET-03."""
+    """DOM-14, DOM-15, JON-12, MSC-02, SET-03."""
     st = _status(V)
     return assurance.compare(st.filter("run_id = 'run1'"), st.filter("run_id = 'run2' and metric <> 'row_count'")).drop("direction", "unit")
 

@@ -173,3 +173,21 @@ def test_whole_graph_is_all_of_lineitem(spark):
     m = run("whole_cluster_metrics").collect()
     assert sum(r.transfers for r in m) == len(rows) and {r.component for r in m} == set(group.values())
     assert {r.account_id for r in run("mule_findings").collect()} == set(group)
+
+
+def test_missing_gold_ids(spark):
+    r = spark.createDataFrame([("r", "T1-001, T1-003, T9-001"), ("s", None), ("t", "t1-002 T1-002 T1-004 T1-005")], "report_id string, text string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    valid = ids("T1-001", "T1-002", "T1-004")
+    got = {x.report_id: (x.grounded_ids, x.matched_ids, x.missing_ids, x.gold_total) for x in evidence.traceability(r, valid, ids("T1-003", "t1-001", "T1-002", "T1-001")).collect()}
+    assert got == {"r": ("T1-001", "T1-001", "T1-002,T1-003", 3), "s": ("", "", "T1-001,T1-002,T1-003", 3), "t": ("T1-002,T1-004", "T1-002", "T1-001,T1-003", 3)}
+    assert [x.missing_ids for x in evidence.traceability(r, valid, ids()).collect()] == [x.missing_ids for x in evidence.traceability(r, valid, None).collect()] == [""] * 3
+
+
+def test_regression_and_verdict(spark):
+    names = ["PASS", "PASS_WITH_CONDITIONS", "NOT_READY_FOR_DEPLOYMENT", "odd"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    got = pairs.select("a", "b", assurance.is_regression(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [r.x for r in got] == [names.index(r.b) > names.index(r.a) for r in got]
+    codes = spark.createDataFrame([(0, None), (0, 0), (0, 1), (1, None), (1, 0)], "t int, j int")
+    assert [r[0] for r in codes.select(assurance.overall_verdict(F.col("t"), F.col("j"))).collect()] == ["PASS", "PASS", "FAIL", "FAIL", "FAIL"]
