@@ -19,6 +19,7 @@ VIEWS = {
     "ledger": "select concat('A', l_suppkey, '-', l_partkey % 6) as src, concat('A', l_suppkey, '-', l_orderkey % 6) as dst, l_extendedprice as amount, l_shipdate as ts, l_returnflag = 'R' as sar from lineitem",
     "txn": "select concat('T', o_orderkey) as transaction_id, concat('C', o_custkey) as source_account, concat('M', o_custkey % 50) as destination_account, o_totalprice as amount, 'USD' as currency, o_orderdate as ts, o_orderpriority as channel, n_name as jurisdiction, o_orderstatus = 'F' as sar_linked from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey",
     "txn_multi": "select 0 as src, o_orderkey as rn, concat('T', o_orderkey) as id, o_totalprice as amount, 'USD' as currency, o_orderdate as ts from orders where o_orderkey % 3 <> 0 union all select 1, o_orderkey, concat('t', o_orderkey), case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end, case when o_orderkey % 7 = 0 then 'EUR' else 'USD' end, case when o_orderkey % 11 = 0 then o_orderdate + interval '1' day else o_orderdate end from orders where o_orderkey % 2 = 0",
+    "txn_both": "select 0 as src, o_orderkey as rn, concat('T', o_orderkey) as id, o_totalprice as amount, 'USD' as currency, o_orderdate as ts from orders union all select 1, o_orderkey, concat('t', o_orderkey), case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end, case when o_orderkey % 7 = 0 then 'EUR' else 'USD' end, case when o_orderkey % 11 = 0 then o_orderdate + interval '1' day else o_orderdate end from orders where o_orderkey % 2 = 0",
     "weekly": "select concat('U', user_id, '-', event_type, '-', event_id % 4) as src, concat('U', user_id, '-sink-', event_id % 4) as dst, value as amount, ts, case when event_type = 'purchase' then 'AE' else 'GB' end as dest_country, event_type = 'error' as sar from events",
     "reports": "select doc_id as report_id, concat(coalesce(text, ''), ' T', 1 + doc_id % 4, '-', lpad(cast(doc_id % 1000 as varchar(9)), 3, '0'), ' T1-', lpad(cast(doc_id % 7 as varchar(9)), 3, '0'), ' T1-', lpad(cast(doc_id % 7 as varchar(9)), 3, '0')) as text from documents",
     "valid_ids": "select distinct concat('T', 1 + o_custkey % 3, '-', lpad(cast(o_custkey % 500 as varchar(9)), 3, '0')) as id from orders",
@@ -62,7 +63,7 @@ def with_views(sql: str, recursive: bool = False, extra: str = "", skip=()) -> s
 
 
 #: Views that hold a part of their table, and the ones that hold all of it.
-WHOLE = {"transfers": "ledger"}
+WHOLE = {"transfers": "ledger", "txn_multi": "txn_both"}
 
 
 def query(sql: str | None = None, extra: str = "", recursive: bool = False, whole: bool = False):
@@ -187,13 +188,13 @@ def _multi(V):
     return merge.merge_collection(rows, "transactions", ["_src", "_row"])
 
 
-@query("select id as transaction_id, amount, currency, epoch(ts)::bigint as ts from seen where n = 1", _SEEN)
+@query("select id as transaction_id, amount, currency, epoch(ts)::bigint as ts from seen where n = 1", _SEEN, whole=True)
 def merge_kept(V):
     """DOM-01, WIN-02, SET-01."""
     return _multi(V)[0].select("transaction_id", F.col("amount").cast("double").alias("amount"), "currency", F.unix_timestamp("timestamp").alias("ts"))
 
 
-@query("select 'transaction' as record_type, id as record_id, case when ts <> ts0 then 'timestamp_mismatch' when currency <> currency0 then 'currency_mismatch' else 'conflicting_value' end as conflict_type from seen where n > 1 and (ts <> ts0 or currency <> currency0 or amount <> amount0)", _SEEN)
+@query("select 'transaction' as record_type, id as record_id, case when ts <> ts0 then 'timestamp_mismatch' when currency <> currency0 then 'currency_mismatch' else 'conflicting_value' end as conflict_type from seen where n > 1 and (ts <> ts0 or currency <> currency0 or amount <> amount0)", _SEEN, whole=True)
 def merge_conflicts(V):
     """DOM-02, JON-01."""
     return _multi(V)[1].select("record_type", "record_id", "conflict_type")

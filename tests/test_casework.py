@@ -191,3 +191,11 @@ def test_regression_and_verdict(spark):
     assert [r.x for r in got] == [names.index(r.b) > names.index(r.a) for r in got]
     codes = spark.createDataFrame([(0, None), (0, 0), (0, 1), (1, None), (1, 0)], "t int, j int")
     assert [r[0] for r in codes.select(assurance.overall_verdict(F.col("t"), F.col("j"))).collect()] == ["PASS", "PASS", "FAIL", "FAIL", "FAIL"]
+
+
+def test_whole_merge_has_all_orders(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    kept = catalogue.QUERIES["whole_merge_kept"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.transaction_id for r in kept) == sorted(f"T{r.o_orderkey}" for r in orders.collect())
+    found = catalogue.QUERIES["whole_merge_conflicts"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.record_id for r in found} == {f"t{r.o_orderkey}" for r in orders.collect() if r.o_orderkey % 2 == 0 and any(r.o_orderkey % k == 0 for k in (5, 7, 11))}
