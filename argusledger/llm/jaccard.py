@@ -16,8 +16,8 @@ similarity of at least ``percent`` / 100, which is tested on whole sets.
    the bound cannot settle are verified one by one.
 
 Edge cases: null or empty texts and texts without words have the empty set and are linked with nothing; rows
-that share a doc_id are one document for the components; a null doc_id is returned with its component's smallest
-doc_id.  Classes are told apart by 64-bit hashes.
+that share a doc_id are rows of their own, each in the component of its own text; a null doc_id is returned with its
+component's smallest doc_id.  Classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -514,16 +514,21 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, node (class) and component_id."""
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, node (class), component (its smallest class) and component_id."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = cut(own.mapInArrow(_members(n), "doc_id long, n_shingles long, node long"))
     comps = connected_components(links(own, n, percent), "a", "b")
     classes = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     classes = cut(classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     roots = classes.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("w"))
-    named = skew_join(classes, roots, "component", "w").select("node", "component_id", "n")
+    named = skew_join(classes, roots, "component", "w").select("node", "component", "component_id", "n")
     out = skew_join(members, named, "node", "n")
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "node", "component", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def classes_of(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """Per row of ``rows`` (key: long, text): key, n_shingles and node (class)."""
+    return rows.select(F.col(key).alias("doc_id"), "text").mapInArrow(_members(n), "doc_id long, n_shingles long, node long").withColumnRenamed("doc_id", key)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -25,11 +25,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates.  Rows without doc_id stay."""
+    """One row of each group of near duplicates, of those with its smallest doc_id; rows without words stay.
+
+    A doc_id of one row says whether the row stays.  Rows whose doc_id occurs again or is null are decided by their own text's class.
+    """
     limit_batches(spark)
-    found = jaccard.near_duplicates(docs)
+    found = cut(jaccard.near_duplicates(docs))
     gone = cut(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id"))
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if not again.limit(1).count():
+        return left
+    ids = again.withColumnRenamed("doc_id", "_id")
+    odd = cut(docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+    rows = cut(jaccard.classes_of(odd, "_row"))
+    names = found.filter("n_shingles > 0").select("node", "component", "component_id").distinct()
+    named = odd.select("_row", "doc_id", F.xxhash64("text").alias("_h")).join(rows, "_row").join(names.join(small(rows.select("node").distinct()), "node", "left_semi"), "node")
+    first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("_h", "_row")).alias("x")).select("x._row")
+    kept = cut(first.unionByName(rows.filter("n_shingles = 0").select("_row")))
+    return left.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(odd.join(small(kept), "_row", "left_semi").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

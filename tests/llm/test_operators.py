@@ -199,3 +199,16 @@ def test_repeated_passages_go_whole(spark):
             first = 0 if j < 20 else 5  # of seven equal lines the first two stay
             assert got[at * 100 + j].ld_removed == (len(lines) if at else first)
     assert (got[1000].text, got[1001].text, got[1002].text, got[1003].text) == ("x\nx\nx", "alone", "", "")
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    import corpus_pipeline
+
+    own = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    a, b, c, d, e, f = map(own, "abcdef")
+    rows = [(1, a, "x"), (2, a + " tail", "x"), (3, b, "x"), (3, b, "y"), (4, c, "x"), (4, a, "x"), (5, c, "x"), (6, d, "x"), (6, e, "x"), (None, f, "x"), (None, f, "x"), (None, a, "x"), (7, "", "x"), (7, "", "x"), (8, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, a), (3, b), (4, c), (6, d), (6, e), (None, f), (7, ""), (7, ""), (8, None), (None, "")]
+    assert sorted(repr((r.doc_id, r.text)) for r in got.collect()) == sorted(map(repr, want))
