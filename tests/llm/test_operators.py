@@ -212,3 +212,41 @@ def test_near_duplicates_are_decided_by_row(spark):
     assert got.columns == docs.columns
     want = [(1, a), (3, b), (4, c), (6, d), (6, e), (None, f), (7, ""), (7, ""), (8, None), (None, "")]
     assert sorted(repr((r.doc_id, r.text)) for r in got.collect()) == sorted(map(repr, want))
+
+
+def test_pipeline_keeps_what_plain_rules_keep(spark):
+    from collections import Counter
+
+    import corpus_pipeline
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    con = duckdb.connect()
+    con.execute(f"create view benchmark as select * from '{SF}/benchmark.parquet'")
+
+    def plain(documents, name, keep):
+        con.register("documents", documents)
+        return Counter(x for (x,) in con.sql(f"select doc_id from ({SQL[name]}) where {keep}").fetchall())
+
+    docs, ids = spark.read.parquet(f"{SF}/documents.parquet"), lambda t: Counter(t.column("doc_id").to_pylist())
+    stages, before = dict(corpus_pipeline.STAGES), docs.toArrow()
+    now = lambda name: stages[name](spark, spark.createDataFrame(before), SF).toArrow()
+    after = now("language_id")
+    assert not ids(after) - ids(before) and sum((ids(before) - ids(after)).values()) <= 2
+    before = after
+    after = now("ngram_jaccard_join")
+    assert ids(after) == plain(before, "op4_jaccard_join", "doc_id = component_id")
+    before = after
+    after = now("benchmark_decontamination")
+    assert ids(after) == plain(before, "op1_decontaminate", "not contaminated")
+    before = after
+    after = now("source_mixing")
+    assert set(ids(after)) <= set(ids(before))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for r in after.to_pylist():
+        x = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((r["doc_id"], len(x), zlib.crc32(x.tobytes())))
+    got = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == sorted(want)

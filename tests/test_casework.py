@@ -199,3 +199,11 @@ def test_whole_merge_has_all_orders(spark):
     assert sorted(r.transaction_id for r in kept) == sorted(f"T{r.o_orderkey}" for r in orders.collect())
     found = catalogue.QUERIES["whole_merge_conflicts"](spark, "/root/testdata/sf0.001").collect()
     assert {r.record_id for r in found} == {f"t{r.o_orderkey}" for r in orders.collect() if r.o_orderkey % 2 == 0 and any(r.o_orderkey % k == 0 for k in (5, 7, 11))}
+
+
+def test_mule_golden(spark):
+    rows = [("a", "m", 100.0, True), ("m", "b", 90.0, False), *[(f"s{i}", "c", 5.0, False) for i in range(3)], *[("d", f"t{i}", 5.0, False) for i in range(3)], ("x", "y", 1.0, False)]
+    t = spark.createDataFrame([(a, b, v, s, f"{a}>{b}") for a, b, v, s in rows], "src string, dst string, amount double, sar boolean, txn_id string")
+    got = {r.account_id: (r.classification, r.confidence, r.supporting_txn_ids) for r in risk.mule_findings(t).collect()}
+    low = {k: ("legitimate", 0.5, i) for k, i in (("b", "m>b"), ("x", "x>y"), ("y", "x>y"), *((f"s{i}", f"s{i}>c") for i in range(3)), *((f"t{i}", f"d>t{i}") for i in range(3)))}
+    assert got == {"a": ("suspicious", 0.7, "a>m"), "m": ("mule", 0.9, "a>m;m>b"), "c": ("collector", 0.7, "s0>c;s1>c;s2>c"), "d": ("distributor", 0.7, "d>t0;d>t1;d>t2"), **low}
