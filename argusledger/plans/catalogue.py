@@ -235,7 +235,7 @@ def sar_missing_transactions(V):
 
 @query("select 'jurisdictions' as collection, count(*) as records, (select sha256(string_agg(h, '' order by g)) from (select left(x, 3) as g, sha256(string_agg(x, '' order by x)) as h from (select sha256(concat('N', n_nationkey, '|', n_name, '|', case when n_nationkey % 2 = 0 then 'true' else 'false' end)) as x from nation) group by 1)) as hash from nation")
 def content_hash(V):
-    """DOM-06, SCL-12, SCL-13, SRT-02."""
+    """SCL-12, SCL-13, SRT-02: one small collection; DOM-06 is case_hashes."""
     V("txn")
     from pyspark.sql import SparkSession as P
 
@@ -243,6 +243,33 @@ def content_hash(V):
     return merge.collection_hash(rows, "jurisdictions")
 
 
+#: Collections that the driver tables fill: SQL of their rows, fields as in the schema.
+CASE = {
+    "transactions": "select transaction_id, source_account, destination_account, cast(cast(amount as decimal(18,2)) as decimal(38,10)) as amount, currency, cast(ts as timestamp) as timestamp, channel, jurisdiction, sar_linked from txn",
+    "accounts": "select concat('C', c_custkey) as account_id, c_name as owner, cast(null as varchar(9)) as institution, 'USD' as currency from customer",
+    "customers": "select concat('C', c_custkey) as customer_id, c_name as name, c_mktsegment as risk_rating, n_name as jurisdiction from customer join nation on c_nationkey = n_nationkey",
+    "entities": "select concat('E', s_suppkey) as entity_id, 'supplier' as entity_type, s_name as display_name from supplier",
+    "alerts": "select concat('L', event_id) as alert_id, concat('U', user_id) as case_id, event_type as typology, cast(null as varchar(9)) as severity from events",
+    "jurisdictions": "select concat('N', n_nationkey) as code, n_name as name, n_nationkey % 2 = 0 as high_risk from nation",
+}
+VIEWS |= {f"case_{k}": v for k, v in CASE.items()}
+
+
+def _line(collection: str) -> str:
+    fields = [x.split() for x in S.COLLECTIONS[collection][3].split(", ")]
+    fields = [f"strftime({name}, '%Y-%m-%d %H:%M:%S')" if kind == "timestamp" else f"cast({name} as varchar)" for name, kind in fields]
+    return "concat_ws('|', " + ", ".join(f"coalesce(regexp_replace({x}, '([\\\\|;,])', '\\\\\\1', 'g'), '')" for x in fields) + ")"
+
+
+_HASHES = "hs as (" + " union all ".join(f"select '{k}' as collection, sha256({_line(k)}) as x from case_{k}" for k in CASE) + "), hg as (select collection, left(x, 3) as g, count(*) as n, sha256(string_agg(x, '' order by x)) as h from hs group by 1, 2)"
+
+
+@query("select collection, cast(sum(n) as bigint) as records, sha256(string_agg(h, '' order by g)) as hash from hg group by 1", _HASHES)
+def case_hashes(V):
+    """DOM-06, AGG-10: records and hash of each collection of a case over all driver rows."""
+    return assurance.union([merge.collection_hash(V(f"case_{k}"), k) for k in CASE])
+
+
 @query("select 'transactions' as collection, count(*) as records from txn union all select 'customers', count(*) from customer")
 def record_counts(V):
     """AGG-10."""

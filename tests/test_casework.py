@@ -207,3 +207,10 @@ def test_mule_golden(spark):
     got = {r.account_id: (r.classification, r.confidence, r.supporting_txn_ids) for r in risk.mule_findings(t).collect()}
     low = {k: ("legitimate", 0.5, i) for k, i in (("b", "m>b"), ("x", "x>y"), ("y", "x>y"), *((f"s{i}", f"s{i}>c") for i in range(3)), *((f"t{i}", f"d>t{i}") for i in range(3)))}
     assert got == {"a": ("suspicious", 0.7, "a>m"), "m": ("mule", 0.9, "a>m;m>b"), "c": ("collector", 0.7, "s0>c;s1>c;s2>c"), "d": ("distributor", 0.7, "d>t0;d>t1;d>t2"), **low}
+
+
+def test_case_hashes_cover_the_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.collection: r.records for r in catalogue.QUERIES["case_hashes"](spark, sf).collect()}
+    n = lambda t: spark.read.parquet(f"{sf}/{t}.parquet").count()
+    assert got == {"transactions": n("orders"), "accounts": n("customer"), "customers": n("customer"), "entities": n("supplier"), "alerts": n("events"), "jurisdictions": n("nation")}
