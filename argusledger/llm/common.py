@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argusledger.functions.tables import BROADCAST_ROWS, cut, drop_cut, partitions, shared_dir, skew_join
+from argusledger.functions.tables import BROADCAST_ROWS, Shield, cut, drop_cut, partitions, shared_dir, skew_join, small
 
-__all__ = ["BROADCAST_ROWS", "NOT_SPACE", "WORD", "Words", "binary", "chunks", "cut", "drop_cut", "grams", "limit_batches", "mix64", "partitions", "process_cache", "read", "release", "runs", "shared_dir", "skew_join", "text_bytes", "ws_trim_count"]
+__all__ = ["BROADCAST_ROWS", "NOT_SPACE", "WORD", "Shield", "Words", "binary", "chunks", "cut", "drop_cut", "grams", "limit_batches", "mix64", "partitions", "process_cache", "read", "release", "runs", "row_key", "shared_dir", "skew_join", "small", "text_bytes", "ws_trim_count"]
 
 #: Bytes of text that one pass of the numpy kernel handles at once (a longer text is one chunk).
 CHUNK_BYTES = (1 << 18) - 1
@@ -42,6 +42,12 @@ def ws_trim_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def row_key(*columns: str) -> list[Column]:
+    """Two 64-bit hashes with different seeds, ``k1`` and ``k2``: rows equal in the columns have equal keys, and at 2e10 rows
+    two different ones share both with a chance below 1e-17."""
+    return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit("k2"), *reversed(columns)).alias("k2")]
+
+
 def process_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, over tasks."""
     mod = sys.modules.setdefault("_argusledger_process_cache", types.ModuleType("_argusledger_process_cache"))

@@ -250,3 +250,29 @@ def test_pipeline_keeps_what_plain_rules_keep(spark):
         want.append((r["doc_id"], len(x), zlib.crc32(x.tobytes())))
     got = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == sorted(want)
+
+
+Q, R = ("\n".join(f"{k}{i} word" for i in range(40)) for k in "qr")
+#: Ids that repeat with other texts, or are missing.
+REPEATED = [(1, Q), (2, Q), (2, R), (3, None), (None, Q), (None, R + "\nmore"), (None, "x\ny\nz\nw"), (2, Q), (4, ""), (5, "a"), (6, "s\ns\ns\ns\ns"), (7, "s\ns\ns\ns\ns")]
+
+
+def by_sql(sql, **views):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, rows in views.items():
+        con.register(name, rows.toArrow())
+    return sorted(map(repr, con.sql(sql).to_arrow_table().to_pylist()))
+
+
+def rows_of(df, sql_columns):
+    return sorted(repr({c: r[c] for c in sql_columns}) for r in df.toArrow().to_pylist())
+
+
+def test_lines_of_repeated_ids(spark):
+    docs = spark.createDataFrame(REPEATED, "doc_id long, text string")
+    names = ("doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert rows_of(linededup.report(docs), names) == by_sql(linededup.SQL, documents=docs)
+    assert rows_of(linededup.report(docs, linededup.dedup_passages), names) == by_sql(linededup.PASSAGES_SQL, documents=docs)
+    assert all(r.ld_removed < 5 for r in linededup.dedup_lines(docs).filter("doc_id is null and text like '%more%'").collect())  # R's first place
