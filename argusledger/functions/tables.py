@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MADE: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that :func:`cut` makes inside are deleted at the end, but for those taken out of the list it gives."""
+    _MADE.append(made := [])
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
+        for df in made:
+            drop_cut(df)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -33,6 +49,8 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._argus_path = path
+    for made in _MADE[-1:]:
+        made.append(out)
     return out
 
 
