@@ -6,11 +6,14 @@ sources, then over each source's shards; within a shard the documents, in a seed
 of words that is cut into blocks, of which a quota is chosen by seeded systematic selection.  A quota above
 the shard's number of blocks takes each block again, ``cap`` times at most.
 
-Only (id, source, size) is shuffled, never a text.  The driver sees one row per source and per shard: there
-are at most ``MAX_SHARDS`` shards plus one per source.
-
-Edge cases: a null text has no words and is taken 0 times; null sources are one source, the last; rows that
-repeat are separate documents; an empty table mixes to nothing.
+:func:`mix` shuffles (row, id, source, hash, size), never a text; :func:`mixed_documents` shuffles the texts once.  The driver
+sees one row per source and per shard: at most ``MAX_SOURCES`` sources (beyond them an error is raised), and ``MAX_SHARDS``
+shards plus one per source.
+
+Edge cases: a null or empty text has no words and is taken 0 times; null sources are one source, the last; rows that share
+an id, or have none, are documents of their own, dealt to shards by their text too; rows equal in id, source and text are
+numbered, so that a third of all rows being copies still spreads over all shards; an empty table mixes to nothing.
+Other columns, of any names, pass through :func:`mixed_documents`.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argusledger.llm.common import cut, release, ws_trim_count
+from argusledger.llm.common import Shield, cut, release, small, ws_trim_count
 
 #: Shards over all sources, besides one for each source, and the least words of a shard.
 MAX_SHARDS, SHARD_WORDS = 10_000, 200_000
+#: Sources that the driver plans, at most.
+MAX_SOURCES = 1_000_000
 #: Words of a block, at most; a power of two, halved until the smallest target has about a thousand blocks.
 MAX_BLOCK = 512
 
@@ -78,7 +83,9 @@ def apportion(shares: list[float], seats: int, most: list[int]) -> list[int]:
 def _plan(sized: DataFrame, weights: tuple[float, ...], cap: int, share: float, seed: int) -> tuple[DataFrame, int]:
     """One row per (source, shard) with its stream's length and quota of blocks; and the block's words."""
     spark = sized.sparkSession
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    totals = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     totals.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
     sizes = [r["size"] for r in totals]
     whole = sum(sizes)
@@ -91,7 +98,7 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], cap: int, share: float,
     per = max(SHARD_WORDS, -(-whole // MAX_SHARDS))
     rows = [(r.source, s, t, max(1, -(-s // per)), q) for r, s, t, q in zip(totals, sizes, targets, quotas, strict=True)]
     by_source = spark.createDataFrame(rows, "source string, source_size long, target double, shards long, quota long")
-    dealt = sized.join(F.broadcast(by_source.select(F.col("source").alias("s2"), "shards")), F.col("source").eqNullSafe(F.col("s2")))
+    dealt = sized.join(small(by_source.select(F.col("source").alias("s2"), "shards")), F.col("source").eqNullSafe(F.col("s2")))
     shards: dict[str | None, list[tuple[int, int]]] = {}
     for r in dealt.groupBy("source", _shard(seed).alias("shard")).agg(F.sum("size").alias("size")).collect():
         shards.setdefault(r.source, []).append((r.shard, r["size"]))
@@ -104,27 +111,52 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], cap: int, share: float,
 
 
 def _shard(seed: int) -> Column:
-    return F.pmod(F.xxhash64("id", F.lit(seed)), F.col("shards"))
+    return F.pmod(F.xxhash64("id", "hash", "copy", F.lit(seed)), F.col("shards"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, id, source, hash, size) with ``copy``, which counts the rows that are equal but for ``row``.
+
+    They are counted within the partitions that they come from, and those counts are added up: no task sees all of a group.
+    """
+    key = ["id", "source", "hash"]
+    equal = lambda other: [F.col(k).eqNullSafe(F.col(f"{other}_{k}")) for k in key]
+    again = cut(rows.groupBy(*[F.col(k).alias(f"a_{k}") for k in key]).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if not again.limit(1).count():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    side = small(again)
+    part = F.shiftright(F.col("row"), 33)  # of monotonically_increasing_id
+    many = rows.join(side, equal("a"), "left_semi").withColumn("part", part)
+    many = cut(many.withColumn("copy", F.row_number().over(Window.partitionBy(*key, "part").orderBy("row"))))
+    counts = many.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = counts.withColumn("before", before).select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("part").alias("o_part"), "before")
+    many = many.join(small(offset), [*equal("o"), F.col("part") == F.col("o_part")]).select(*rows.columns, (F.col("copy") + F.col("before") - 1).cast("long").alias("copy"))
+    return rows.join(side, equal("a"), "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(many)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0, seed: int = 11,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, source, size, source_size, target, taken, and where it lies in its shard's stream.
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: Column | None = None) -> DataFrame:
+    """Per row: row (``row``, else a number), id, source, size, source_size, target, taken, and where it lies in its shard's stream.
 
     ``taken`` counts the words of the chosen blocks that the document has, repeats included.
     ``repeats``, ``extra``, ``blocks``, ``turn``, ``begin`` and ``block`` tell which blocks they are:
     each block ``repeats`` times, and block j once more if
     ``(j * extra + turn) div blocks`` steps up from j to j + 1.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), ws_trim_count(F.col(text_col)).alias("size")))
+    row = F.monotonically_increasing_id() if row is None else row
+    rows = cut(docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("hash"), ws_trim_count(F.col(text_col)).alias("size")))
+    sized = cut(_numbered(rows))
     plan, block = _plan(sized, weights, cap, share, seed)
     b = F.lit(block).cast("long")
     count = plan.groupBy("source").agg(F.max("shards").alias("shards")).select(F.col("source").alias("s1"), "shards")
-    out = sized.join(F.broadcast(count), F.col("source").eqNullSafe(F.col("s1"))).withColumn("shard", _shard(seed)).drop("s1", "shards")
-    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size")
-    out = out.withColumn("stop", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("stop") - F.col("size"))
+    out = sized.join(small(count), F.col("source").eqNullSafe(F.col("s1"))).withColumn("shard", _shard(seed)).drop("s1", "shards")
+    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", "hash", "copy", F.lit(seed + 1)), "id", "hash", "copy")
+    some = out.filter("size > 0").withColumn("stop", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
+    # Rows without words have no place in a stream, so that any number of them burdens no shard.
+    out = some.unionByName(out.filter("size = 0").withColumn("stop", F.lit(0).cast("long"))).withColumn("begin", F.col("stop") - F.col("size"))
     right = plan.select(F.col("source").alias("s2"), F.col("shard").alias("k2"), "source_size", "target", "stream", "quota")
-    out = out.join(F.broadcast(right), F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("k2"))).drop("s2", "k2")
+    out = out.join(small(right), F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("k2"))).drop("s2", "k2")
     out = out.withColumn("blocks", F.greatest(F.expr(f"(stream + {block - 1}) div {block}"), F.lit(1).cast("long")))
     out = out.withColumns({"repeats": F.expr("quota div blocks"), "extra": F.expr("quota % blocks"), "turn": F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.col("blocks")), "block": b})
     f = lambda j: F.expr(f"(({j}) * extra + turn) div blocks")
@@ -139,7 +171,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, s
     return out.withColumn("taken", taken.cast("long"))
 
 
-def _pieces(names: list[str], text_col: str):
+_PLAN = ("size", "repeats", "extra", "blocks", "turn", "begin", "block")
+
+
+def _pieces(names: list[str]):
     """Whole copies, then the text from each run of chosen blocks."""
     import re
 
@@ -147,32 +182,31 @@ def _pieces(names: list[str], text_col: str):
 
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
+    def cuts_of(text, size, extra, blocks, turn, begin, block):
+        step = lambda j: (j * extra + turn) // blocks
+        chosen = [j for j in range(begin // block, (begin + size - 1) // block + 1) if step(j + 1) > step(j)]
+        spans = [m.span() for m in word.finditer(text)] if chosen else []
+        cuts: list[list[int]] = []
+        for j in chosen:
+            a, b = max(0, j * block - begin), min(size, (j + 1) * block - begin)
+            if cuts and cuts[-1][1] == a:
+                cuts[-1][1] = b
+            else:
+                cuts.append([a, b])
+        return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in cuts) if cuts else None
+
     def run(batches):
         for batch in batches:
             take, texts = [], []
-            rows = batch.select([text_col, "_size", "_repeats", "_extra", "_blocks", "_turn", "_begin", "_block"]).to_pylist()
-            for i, r in enumerate(rows):
-                take += [i] * r["_repeats"]
-                texts += [r[text_col]] * r["_repeats"]
-                extra, blocks, turn, size, begin, block = (r[f"_{k}"] for k in ("extra", "blocks", "turn", "size", "begin", "block"))
-                if not extra or not size:
-                    continue
-                step = lambda j: (j * extra + turn) // blocks  # noqa: B023, E731
-                chosen = [j for j in range(begin // block, (begin + size - 1) // block + 1) if step(j + 1) > step(j)]
-                if not chosen:
-                    continue
-                spans = [m.span() for m in word.finditer(r[text_col])]
-                cuts: list[list[int]] = []
-                for j in chosen:
-                    a, b = max(0, j * block - begin), min(size, (j + 1) * block - begin)
-                    if cuts and cuts[-1][1] == a:
-                        cuts[-1][1] = b
-                    else:
-                        cuts.append([a, b])
-                take.append(i)
-                texts.append("\n".join(r[text_col][spans[a][0] : spans[b - 1][1]] for a, b in cuts))
+            plan = zip(*[batch.column(f"m_{k}").to_pylist() for k in _PLAN], strict=True)
+            column = batch.column("text")
+            for i, (size, repeats, extra, blocks, turn, begin, block) in enumerate(plan):
+                text = column[i].as_py() if size else None
+                part = cuts_of(text, size, extra, blocks, turn, begin, block) if extra and size else None
+                take += [i] * (repeats + (part is not None))
+                texts += [text] * repeats + [part] * (part is not None)
             out = batch.select(names).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else out.column(c) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else out.column(c) for c in names], names=names)
         release()
 
     return run
@@ -181,16 +215,13 @@ def _pieces(names: list[str], text_col: str):
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0, seed: int = 11) -> DataFrame:
     """The mix itself: documents as often as they are taken, a last partial take with just the chosen blocks' text.
 
-    Rows that share a doc_id, source and size share their places in the mix.
+    Each row is taken as :func:`mix` plans it for just that row, whatever other rows share its doc_id and text.
     """
-    plan = mix(docs, weights, cap, share, seed).filter("taken > 0")
-    keep = ["repeats", "extra", "blocks", "turn", "begin", "block"]
-    plan = plan.groupBy("id", F.col("source").alias("src"), "size").agg(*[F.min(k).alias(f"_{k}") for k in keep]).withColumnRenamed("size", "_size")
-    sized = docs.withColumns({"_s0": ws_trim_count(F.col("text"))})
-    on = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").cast("string").eqNullSafe(F.col("src")) & (F.col("_s0") == F.col("_size"))
-    names = docs.columns
-    both = sized.join(plan, on).select(*names, "_size", *[f"_{k}" for k in keep])
-    return both.mapInArrow(_pieces(names, "text"), docs.schema)
+    own = Shield(docs, "doc_id", "text", "source")
+    rows = cut(own.df.withColumn("m_row", F.monotonically_increasing_id()))
+    plan = mix(rows, weights, cap, share, seed, row=F.col("m_row")).filter("taken > 0").select(F.col("row").alias("m_row"), *[F.col(k).alias(f"m_{k}") for k in _PLAN])
+    out = rows.join(plan, "m_row").select(*own.inner, *[f"m_{k}" for k in _PLAN]).mapInArrow(_pieces(own.inner), own.df.schema)
+    return own.back(out)
 
 
 def report(docs: DataFrame) -> DataFrame:
