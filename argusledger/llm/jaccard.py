@@ -15,9 +15,14 @@ similarity of at least ``percent`` / 100, which is tested on whole sets.
    overlaps of the sets that resemble the two: overlap(x, y) <= overlap(lx, ly) + |x - lx| + |y - ly|.  Pairs that
    the bound cannot settle are verified one by one.
 
+:func:`links` returns enough links to connect whatever the join connects; :func:`all_links` returns every link between classes,
+and :func:`link_counts` each row's class and its number of links.
+
 Edge cases: null or empty texts and texts without words have the empty set and are linked with nothing; rows
-that share a doc_id are rows of their own, each in the component of its own text; a null doc_id is returned with its
-component's smallest doc_id.  Classes are told apart by 64-bit hashes.
+that share a doc_id are documents of their own, each in the component of its own text; a null doc_id is returned with its
+component's smallest doc_id, null if it has none; an empty table gives an empty one.  Only doc_id and text are read, so
+other columns may have any names.  Classes are named by a 64-bit hash of the set; a second one tests the names, and where
+two sets share a name all are named anew with another seed.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from argusledger.functions.tables import BROADCAST_ROWS, cut, drop_cut, partitions, skew_join, small
-from argusledger.llm.common import NOT_SPACE, Words, chunks, grams, mix64, release, runs
+from argusledger.llm.common import NOT_SPACE, Shield, Words, chunks, grams, mix64, release, runs
 from argusledger.operators.graph import connected_components
 
 #: Frequent shingles that the order knows (the most frequent ones), and how frequent one must be.
@@ -62,40 +67,46 @@ def _sets(batches, n: int):
                 yield part, d, x
 
 
-def _node(x: np.ndarray) -> int:
+def _node(x: np.ndarray, seed: int = 0) -> int:
     """The class of a set (ascending, distinct)."""
-    h = xxhash.xxh3_64_intdigest(x)
+    h = xxhash.xxh3_64_intdigest(x, seed)
     return h - (1 << 64) if h >> 63 else h
 
 
-def _classes(batches, n: int):
+#: Seeds of the class names that are tried, and of the hash that tests them.
+_SEEDS, _TEST = (0, 1, 2, 3), 1_000_003
+
+
+def _classes(batches, n: int, seed: int = 0):
     """(node, shingles), each class once a task."""
     seen: set[int] = set()
     for _, _, x in _sets(batches, n):
         if len(x):
-            node = _node(x)
+            node = _node(x, seed)
             if node not in seen:
                 seen.add(node)
                 yield node, x
     release()
 
 
-def _members(n: int):
+def _members(n: int, seed: int = 0):
     def run(batches):
         ids: list = []
         nodes: list[int] = []
         sizes: list[int] = []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+        tests: list[int] = []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, sizes, nodes, tests)], names=["doc_id", "n_shingles", "node", "test"])
         last = None
         for part, d, x in _sets(batches, n):
             if part is not last:
                 last, own = part, part.column("doc_id").to_pylist()
             ids.append(own[d])
-            nodes.append(_node(x))
+            nodes.append(_node(x, seed))
+            tests.append(_node(x, _TEST))
             sizes.append(len(x))
             if len(ids) >= 20_000:
                 yield flush()
-                ids, nodes, sizes = [], [], []
+                ids, nodes, sizes, tests = [], [], [], []
         yield flush()
 
     return run
@@ -135,14 +146,19 @@ def _count(n: int, bits: int):
 
 
 def _by_part(batches, columns):
-    """p -> its rows' values, once all are in."""
-    parts: dict[int, list] = {}
+    """p and its rows' values, of rows sorted by p: one part is held at a time."""
+    held, now = [], None
     for batch in batches:
         cols = [batch.column(c) for c in columns]
         for i, p in enumerate(batch.column("p").to_pylist()):
-            parts.setdefault(p, []).append([c[i].as_py() for c in cols])
-    while parts:
-        yield parts.popitem()
+            if p != now and held:
+                yield now, held
+                held = []
+            now = p
+            held.append([c[i].as_py() for c in cols])
+    if held:
+        yield now, held
+    held = []
     release()
 
 
@@ -165,7 +181,7 @@ def _frequent(batches):
 def _order(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """Top bits of the most frequent shingles, ascending: at most FREQUENT of them reach the driver."""
     parts = partitions(docs.sparkSession)
-    often = docs.mapInArrow(_count(n, bits), "p int, keys binary, many binary, times binary").repartition(parts, "p").mapInArrow(_frequent, "key long, times long")
+    often = docs.mapInArrow(_count(n, bits), "p int, keys binary, many binary, times binary").repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_frequent, "key long, times long")
     top = often.orderBy(F.desc("times"), "key").limit(FREQUENT).select("key").toArrow()
     return np.sort(top.column("key").to_numpy().astype(np.uint64))
 
@@ -173,7 +189,7 @@ def _order(docs: DataFrame, n: int, bits: int) -> np.ndarray:
 # --- 2: the index ----------------------------------------------------------------------------
 
 
-def _prefixes(n: int, bits: int, percent: int, shared):
+def _prefixes(n: int, bits: int, percent: int, shared, seed: int = 0):
     def flush(held):
         h, node, size, at = (np.concatenate(x) for x in zip(*held, strict=True))
         p = (h & np.uint64((1 << bits) - 1)).astype(np.int64)  # low bits: prefixes hold small hashes, so the top bits are uneven
@@ -189,7 +205,7 @@ def _prefixes(n: int, bits: int, percent: int, shared):
         seen = np.zeros(1 << 22, bool)
         seen[often & np.uint64((1 << 22) - 1)] = True
         held, count = [], 0
-        for node, x in _classes(batches, n):
+        for node, x in _classes(batches, n, seed):
             top = x >> np.uint64(32 - bits)
             late = seen[top & np.uint64((1 << 22) - 1)]
             if late.any():
@@ -400,10 +416,10 @@ def _with_components(lists: DataFrame, comps: DataFrame, make, schema: str) -> D
 # --- verification ----------------------------------------------------------------------------
 
 
-def _ship(n: int):
+def _ship(n: int, seed: int = 0):
     def run(batches):
         nodes, blobs, size = [], [], 0
-        for node, x in _classes(batches, n):
+        for node, x in _classes(batches, n, seed):
             nodes.append(node)
             blobs.append(x.tobytes())
             size += len(x)
@@ -456,18 +472,53 @@ def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def links(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """Verified links (a, b) between classes: enough of them to connect whatever the join connects."""
+def _index(docs: DataFrame, n: int, percent: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of the lists, of the classes in them, and of these classes' sets."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    bits = min(16, max(1, (4 * parts - 1).bit_length()))
+    bits = min(24, max(1, (4 * parts - 1).bit_length()))
     own = docs.select("text")
     order = spark.sparkContext.broadcast(_order(own, n, bits))
-    index = own.mapInArrow(_prefixes(n, bits, percent, order), "p int, h binary, node binary, size binary, at binary")
-    lists = cut(index.repartition(parts, "p").mapInArrow(lambda batches: _lists(batches, percent), "p int, list binary, node binary, size binary, at binary"))
+    index = own.mapInArrow(_prefixes(n, bits, percent, order, seed), "p int, h binary, node binary, size binary, at binary")
+    lists = cut(index.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(lambda batches: _lists(batches, percent), "p int, list binary, node binary, size binary, at binary"))
     listed = cut(lists.mapInArrow(_listed, "node long").distinct())
-    sets = cut(own.mapInArrow(_ship(n), "node long, items binary").join(small(listed), "node"))
-    similar = f"100 * overlap >= {percent} * (size_a + size_b - overlap)"
+    sets = cut(own.mapInArrow(_ship(n, seed), "node long, items binary").join(small(listed), "node").dropDuplicates(["node"]))
+    return lists, listed, sets
+
+
+def _similar(percent: int) -> str:
+    return f"100 * overlap >= {percent} * (size_a + size_b - overlap)"
+
+
+def all_links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0) -> DataFrame:
+    """Every link (a, b, size_a, size_b, overlap), a > b, between classes: all pairs in reach of a list are verified.
+
+    A group of G similar but different sets has G * G / 2 links, and so has this result; copies are one class.
+    """
+    lists, listed, sets = _index(docs, n, percent, seed)
+    none = docs.sparkSession.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    out = cut(overlaps(sets, cut(lists.mapInArrow(_cross(percent, none), "a long, b long").distinct())).filter(_similar(percent)))
+    for done in (lists, listed, sets):
+        drop_cut(done)
+    return out
+
+
+def link_counts(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """Per row: doc_id, n_shingles, node (class), and n_links, the number of other rows that it is linked with."""
+    own, members, classes, seed = _named(docs, n)
+    found = all_links(own, n, percent, seed)
+    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = classes.select("node", "n")
+    beside = both.join(size.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    per = cut(size.join(beside, "node", "left").select("node", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    return skew_join(members, per, "node", "n").select("doc_id", "n_shingles", "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0) -> DataFrame:
+    """Verified links (a, b) between classes: enough of them to connect whatever the join connects."""
+    spark = docs.sparkSession
+    lists, listed, sets = _index(docs, n, percent, seed)
+    similar = _similar(percent)
 
     found = known = spark.createDataFrame([], "a long, b long, size_a long, size_b long, overlap long")
     comps = spark.createDataFrame([], "node long, component long")
@@ -513,12 +564,22 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     return out
 
 
+def _named(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(doc_id, text), tables of all rows' classes and of the classes, and the seed that names each set differently."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for seed in _SEEDS:
+        members = cut(own.mapInArrow(_members(n, seed), "doc_id long, n_shingles long, node long, test long"))
+        classes = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.struct("test", "n_shingles")).alias("low"), F.max(F.struct("test", "n_shingles")).alias("high"))
+        classes = cut(classes)
+        if not classes.filter("low <> high").limit(1).count():
+            return own, members.drop("test"), classes.drop("low", "high"), seed
+    raise RuntimeError("sets share their names with every seed")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, node (class), component (its smallest class) and component_id."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = cut(own.mapInArrow(_members(n), "doc_id long, n_shingles long, node long"))
-    comps = connected_components(links(own, n, percent), "a", "b")
-    classes = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    own, members, classes, seed = _named(docs, n)
+    comps = connected_components(links(own, n, percent, seed), "a", "b")
     classes = cut(classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     roots = classes.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("w"))
     named = skew_join(classes, roots, "component", "w").select("node", "component", "component_id", "n")
@@ -526,9 +587,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     return out.select("doc_id", "n_shingles", "node", "component", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def classes_of(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """Per row of ``rows`` (key: long, text): key, n_shingles and node (class)."""
-    return rows.select(F.col(key).alias("doc_id"), "text").mapInArrow(_members(n), "doc_id long, n_shingles long, node long").withColumnRenamed("doc_id", key)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest doc_id (null last), then by its text's hash.
+
+    It is decided by row, so a row never goes for what another row of its doc_id says, and rows without doc_id are judged
+    like any other.  Rows without words stay, repeated ones too.
+    """
+    own = Shield(docs, "doc_id", "text")
+    rows = cut(own.df.withColumns({"m_row": F.monotonically_increasing_id(), "m_hash": F.xxhash64("text")}))
+    found = cut(near_duplicates(rows.select(F.col("m_row").alias("doc_id"), "text"), n, percent).filter("n_shingles > 0").select(F.col("doc_id").alias("m_row"), "component"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "m_hash", "m_row")
+    first = found.join(rows.select("m_row", "doc_id", "m_hash"), "m_row").groupBy("component").agg(F.min(order).alias("x")).select("x.m_row")
+    gone = cut(found.select("m_row").join(first, "m_row", "left_anti"))
+    return own.back(rows.join(small(gone), "m_row", "left_anti"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -537,18 +610,20 @@ def report(docs: DataFrame) -> DataFrame:
 
 #: DuckDB SQL for op4.
 SQL = r"""
-with recursive w as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+with recursive w as materialized (
+  select row_number() over () as rid, doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from (select distinct doc_id, text from documents)),
 s as (
-  select distinct doc_id, hash(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) as s
-  from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from w where len(w) > 0)),
-n as (select doc_id, count(*) as n from s group by 1),
+  select distinct rid, hash(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) as s
+  from (select rid, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from w where len(w) > 0)),
+n as (select rid, count(*) as n from s group by 1),
 o as (
-  select a.doc_id as x, b.doc_id as y, count(*) as o from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+  select a.rid as x, b.rid as y, count(*) as o from s a join s b on a.s = b.s and a.rid < b.rid group by 1, 2),
 l as (
-  select x, y from o join n a on a.doc_id = x join n b on b.doc_id = y where 100 * o >= 75 * (a.n + b.n - o)),
+  select x, y from o join n a on a.rid = x join n b on b.rid = y where 100 * o >= 75 * (a.n + b.n - o)),
 e as (select x, y from l union all select y, x from l),
-r as (select doc_id as node, doc_id as seen from n union select r.node, e.y from r join e on e.x = r.seen)
-select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, w.doc_id) as component_id
-from w left join n using (doc_id) left join (select node, min(seen) as component_id from r group by 1) c on c.node = w.doc_id
+r as (select rid as node, rid as seen from n union select r.node, e.y from r join e on e.x = r.seen),
+c as (select node, min(doc_id) as component_id from r join w on w.rid = seen group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, case when n.n is null then d.doc_id else c.component_id end as component_id
+from documents d join w on w.doc_id is not distinct from d.doc_id and w.text is not distinct from d.text left join n using (rid) left join c on c.node = rid
 """
