@@ -5,7 +5,9 @@ its n-grams; an item of fewer words, but not none, is one window.  A document's
 hash and each hit is verified byte by byte.
 
 Edge cases: a null or empty text has no words and no hit; items with null id or no words are ignored;
-repeated items count once; repeated documents are judged row by row; an empty benchmark hits nothing.
+repeated items count once; repeated documents are judged row by row, whatever their doc_ids; an empty benchmark hits nothing,
+an empty table gives an empty one.  Other columns, of any names, pass through; input columns named ``dc_n_words``,
+``dc_n_hit`` or ``dc_items`` are replaced.
 """
 
 from __future__ import annotations
@@ -16,58 +18,81 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from argusledger.llm.common import WORD, Words, chunks, cut, grams, release
+from argusledger.llm.common import WORD, Shield, Words, chunks, cut, grams, release
 
 #: Benchmark text that is broadcast at once.  A larger benchmark is scanned in blocks of about this size.
 BLOCK_BYTES = 16 << 20
 _BITS = 22
 
 
-def _item_block(items: list[tuple[str, str]], n: int) -> dict:
-    """By window length: sorted hashes, a bitmap over their top bits, and the windows of each hash."""
-    by_length: dict[int, dict[int, dict[bytes, set[str]]]] = {}
+class Windows:
+    """All windows of one length: hashes in ascending order, where each window's words lie in ``text``, and whose they are.
+
+    Arrays only: 28 bytes a window besides the benchmark's text.
+    """
+
+    def __init__(self, size: int, text: np.ndarray, items: list[str], hashes, starts, ends, owners):
+        order = np.argsort(hashes, kind="stable")
+        self.size, self.text, self.items = size, text, items
+        self.keys, self.starts, self.ends, self.owners = hashes[order], starts[order], ends[order], owners[order]
+        self.seen = np.zeros(1 << _BITS, bool)
+        self.seen[self.keys >> np.uint64(64 - _BITS)] = True
+
+    def owners_of(self, h: np.uint64, words: bytes) -> frozenset[str]:
+        """Items that have just these words (parted by one space) as a window."""
+        lo, hi = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
+        return frozenset(self.items[self.owners[i]] for i in range(lo, hi) if self.text[self.starts[i] : self.ends[i]].tobytes() == words)
+
+
+def _item_block(items, n: int) -> list[Windows]:
+    """The windows of items (id, text), by length.  The texts are kept as their words, parted by one space."""
+    names: list[str] = []
+    texts: list[np.ndarray] = []
+    by_length: dict[int, list] = {}
+    at = 0
     for item, text in items:
         w = Words(pa.array([text], pa.string()), WORD, lower=True)
-        if not len(w.starts):
+        count = len(w.starts)
+        if not count:
             continue
-        words = [w.raw[a:b].tobytes() for a, b in zip(w.starts, w.ends, strict=True)]
-        size = min(n, len(words))
-        for i, h in enumerate(grams(w.hash, size).tolist()):
-            same = by_length.setdefault(size, {}).setdefault(h, {})
-            same.setdefault(b" ".join(words[i : i + size]), set()).add(item)
-    out = {}
-    for size, windows in by_length.items():
-        keys = np.sort(np.fromiter(windows, np.uint64, len(windows)))
-        seen = np.zeros(1 << _BITS, bool)
-        seen[keys >> np.uint64(64 - _BITS)] = True
-        out[size] = (keys, seen, windows)
-    return out
-
-
-def _mark(words: Words, block: dict) -> tuple[np.ndarray, list[set[str]]]:
+        size = min(n, count)
+        text = np.frombuffer(b" ".join(w.raw[a:b].tobytes() for a, b in zip(w.starts, w.ends, strict=True)), np.uint8)
+        edge = at + np.concatenate([[0], np.cumsum(w.ends - w.starts + 1)])  # where each word starts
+        windows = count - size + 1
+        by_length.setdefault(size, []).append((grams(w.hash, size), edge[:windows], edge[size:] - 1, np.full(windows, len(names), np.int32)))
+        texts += [text, np.frombuffer(b" ", np.uint8)]
+        at += len(text) + 1
+        names.append(item)
+    whole = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+    return [Windows(size, whole, names, *(np.concatenate(x) for x in zip(*parts, strict=True))) for size, parts in by_length.items()]
+
+
+def _mark(words: Words, block: list[Windows]) -> tuple[np.ndarray, list[set[str]]]:
     """Which words are inside a window, and each text's items."""
     n = len(words.starts)
     inside = np.zeros(n + 1, np.int64)
     found: list[set[str]] = [set() for _ in range(len(words.off) - 1)]
-    for size, (keys, seen, windows) in block.items():
+    for own in block:
+        size, keys = own.size, own.keys
         g = grams(words.hash, size)
-        at = np.flatnonzero(seen[g >> np.uint64(64 - _BITS)])
+        at = np.flatnonzero(own.seen[g >> np.uint64(64 - _BITS)])
         if not len(at):
             continue
         slot = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
         at = at[keys[slot] == g[at]]
         doc = np.searchsorted(words.span, at, "right") - 1
         ok = at + size <= words.span[doc + 1]
-        known: dict[tuple[int, bytes], set[str] | None] = {}
+        known: dict[tuple[int, bytes], frozenset[str]] = {}
         for i, d in zip(at[ok].tolist(), doc[ok].tolist(), strict=True):
             h = int(g[i])
             region = words.raw[words.starts[i] : words.ends[i + size - 1]].tobytes()
             if (h, region) not in known:
                 text = b" ".join(words.raw[words.starts[j] : words.ends[j]].tobytes() for j in range(i, i + size))
-                known[h, region] = windows[h].get(text)
+                known[h, region] = own.owners_of(g[i], text)
             items = known[h, region]
-            if items is not None:
+            if items:
                 inside[i] += 1
                 inside[i + size] -= 1
                 found[d] |= items
@@ -85,7 +110,7 @@ def _without(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hit: np.ndar
     return b"".join(out).decode("utf-8")
 
 
-_STATE = ("_dc_words", "_dc_hits", "_dc_items")
+_STATE = ("m_words", "m_hits", "m_items")
 
 
 def _scan(shared, text_col: str):
@@ -98,7 +123,7 @@ def _scan(shared, text_col: str):
                 total = np.concatenate([[0], np.cumsum(hit)])
                 counts = w.span[1:] - w.span[:-1]
                 hits = total[w.span[1:]] - total[w.span[:-1]]
-                marks, names = part.column("_dc_hits").to_pylist(), part.column("_dc_items").to_pylist()
+                marks, names = part.column("m_hits").to_pylist(), part.column("m_items").to_pylist()
                 for d in np.flatnonzero(hits).tolist():
                     own = hit[w.span[d] : w.span[d + 1]]
                     if marks[d] is not None:
@@ -106,9 +131,9 @@ def _scan(shared, text_col: str):
                     marks[d] = np.packbits(own).tobytes()
                     names[d] = sorted(found[d].union(names[d] or ()))
                 columns = {c: part.column(c) for c in part.schema.names if c not in _STATE}
-                columns["_dc_words"] = pa.array(counts, pa.int64())
-                columns["_dc_hits"] = pa.array(marks, pa.binary())
-                columns["_dc_items"] = pa.array(names, pa.list_(pa.string()))
+                columns["m_words"] = pa.array(counts, pa.int64())
+                columns["m_hits"] = pa.array(marks, pa.binary())
+                columns["m_items"] = pa.array(names, pa.list_(pa.string()))
                 yield pa.RecordBatch.from_pydict(columns)
         release()
 
@@ -119,8 +144,8 @@ def _finish(text_col: str, excise: bool, names: list[str]):
     def run(batches):
         for batch in batches:
             for part in chunks(batch, text_col):
-                marks, items = part.column("_dc_hits").to_pylist(), part.column("_dc_items").to_pylist()
-                counts = part.column("_dc_words").to_pylist()
+                marks, items = part.column("m_hits").to_pylist(), part.column("m_items").to_pylist()
+                counts = part.column("m_words").to_pylist()
                 hit = [int(np.unpackbits(np.frombuffer(m, np.uint8), count=c).sum()) if m else 0 for m, c in zip(marks, counts, strict=True)]
                 columns = {c: part.column(c) for c in names}
                 if excise and any(hit):
@@ -132,9 +157,9 @@ def _finish(text_col: str, excise: bool, names: list[str]):
                         own = np.unpackbits(np.frombuffer(marks[d], np.uint8), count=counts[d]).astype(bool)
                         texts[d] = _without(raw, w.starts, w.ends, own)
                     columns[text_col] = pa.array(texts, pa.string())
-                columns["dc_n_words"] = pa.array(counts, pa.int64())
-                columns["dc_n_hit"] = pa.array(hit, pa.int64())
-                columns["dc_items"] = pa.array([x or [] for x in items], pa.list_(pa.string()))
+                columns["m_n_words"] = pa.array(counts, pa.int64())
+                columns["m_n_hit"] = pa.array(hit, pa.int64())
+                columns["m_found"] = pa.array([x or [] for x in items], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -144,35 +169,31 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str =
     """``docs`` with ``dc_n_words``, ``dc_n_hit`` and ``dc_items`` (sorted ids of items with occurring windows).
 
     ``excise`` cuts hit spans out of the text.  The benchmark is broadcast in blocks of bounded size, each
-    of which is one narrow pass over the documents: nothing is shuffled.  Columns named ``dc_*`` of ``docs``
-    are replaced.
+    of which is one narrow pass over the documents: nothing is shuffled.
     """
     spark = docs.sparkSession
+    own = Shield(docs, text_col)
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).filter("i is not null and t is not null")
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    total = items.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    out = docs.drop("dc_n_words", "dc_n_hit", "dc_items", *_STATE)
-    names = out.columns
-    out = out.withColumns({"_dc_words": F.lit(0).cast("long"), "_dc_hits": F.lit(None).cast("binary"), "_dc_items": F.lit(None).cast("array<string>")})
+    out = own.df.withColumns({"m_words": F.lit(0).cast("long"), "m_hits": F.lit(None).cast("binary"), "m_items": F.lit(None).cast("array<string>")})
     for b in range(blocks):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        scan = _scan(spark.sparkContext.broadcast(_item_block([(r.i, r.t) for r in mine.toLocalIterator()], n)), text_col)
+        scan = _scan(spark.sparkContext.broadcast(_item_block(((r.i, r.t) for r in mine.toLocalIterator()), n)), text_col)
         if b < blocks - 1:
             out = cut(out.mapInArrow(scan, out.schema))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in names]).schema.fields]
-    schema = ", ".join([*kinds, "dc_n_words long", "dc_n_hit long", "dc_items array<string>"])
-    finish = _finish(text_col, excise, names)
-    return out.mapInArrow(lambda batches: finish(scan(batches)), schema)
+    schema = T.StructType([*own.df.schema.fields, T.StructField("m_n_words", T.LongType()), T.StructField("m_n_hit", T.LongType()), T.StructField("m_found", T.ArrayType(T.StringType()))])
+    finish = _finish(text_col, excise, own.inner)
+    return own.back(out.mapInArrow(lambda batches: finish(scan(batches)), schema), {"dc_n_words": "m_n_words", "dc_n_hit": "m_n_hit", "dc_items": "m_found"})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents", text_col: str = "text") -> DataFrame:
     """``docs`` less every document with a hit, or (``remove="spans"``) less the hit spans of their texts."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove!r}")
-    out = annotate(docs, benchmark, n, text_col, excise=remove == "spans")
-    if remove == "documents":
-        out = out.filter("dc_n_hit = 0")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("dc_n_words", "dc_n_hit", "dc_items", *_STATE)])
+    own = Shield(docs, text_col)
+    out = annotate(own.df, benchmark, n, text_col, excise=remove == "spans")
+    return own.back(out.filter("dc_n_hit = 0") if remove == "documents" else out)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
