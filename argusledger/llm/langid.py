@@ -5,9 +5,12 @@ linear layer gives a score for each language.  Because the average is linear, th
 table of per-n-gram scores, so scoring a whole text is one gather and one sum.  A temperature and the rejection
 threshold are calibrated on documents that SGD did not see.
 
-The model is fitted on a bounded sample of labelled rows (``FIT`` documents over all languages).  Edge cases: a text
+The model is fitted on a bounded sample of labelled rows: ``FIT`` documents over all languages, of each at most ``SNIPPETS``
+pieces of ``SNIPPET`` bytes, spread over the whole text.  Texts are scored whole.  Edge cases: a text
 that is null or has no letter is ``und`` with score 0 and rejected; without labelled rows every text is ``und`` with
-score 0 and none is rejected but those without a letter; repeated rows and ties are judged alike.
+score 0 and none is rejected but those without a letter; repeated rows and ties are judged alike; an empty table gives an
+empty one.  Other columns, of any names, pass through; input columns named ``li_lang``, ``li_score`` or ``li_rejected`` are
+replaced.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from argusledger.llm.common import _LOWER, chunks, release, text_bytes
+from argusledger.llm.common import _LOWER, Shield, chunks, release, text_bytes
 
 #: Labelled documents that the model is fitted on, at most; hash buckets, width of an embedding, n-gram lengths.
 FIT, BUCKETS, WIDTH, GRAMS = 4000, 1 << 16, 16, (2, 4)
+#: What a document gives to the fit, at most: pieces, and bytes of a piece (characters in the query).
+SNIPPETS, SNIPPET = 8, 1024
 
 
 def _ids(raw: np.ndarray, n: int) -> np.ndarray:
@@ -152,9 +158,14 @@ def train(docs: DataFrame, fit: int = FIT) -> Model | None:
     quota = max(20, fit // len(counts))
     pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, quota / n) * (1 << 30)))])
-    rows = own.filter(pick < F.element_at(share, F.col("lang"))).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * fit).toArrow().to_pylist()
+    # A long text is cut to pieces at even distances, so that at most 2 * fit * SNIPPETS * SNIPPET characters reach the driver.
+    most, n = SNIPPETS * SNIPPET, F.length("text")
+    step = ((n - SNIPPET) / (SNIPPETS - 1)).cast("int")
+    pieces = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SNIPPETS - 1)), lambda i: F.substring("text", i * step + 1, F.lit(SNIPPET))), "\n")
+    own = own.select(F.xxhash64("doc_id", "text").alias("h"), pick.alias("pick"), "doc_id", "lang", F.when(n <= most, F.col("text")).otherwise(pieces).alias("text"))
+    rows = own.filter(F.col("pick") < F.element_at(share, F.col("lang"))).orderBy("h", "doc_id").limit(2 * fit).toArrow().to_pylist()
     if not rows:
-        rows = [r.asDict() for r in own.limit(fit).collect()]
+        rows = [r.asDict() for r in own.orderBy("h", "doc_id").limit(fit).collect()]
     return Model([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -165,11 +176,11 @@ def _score(shared):
             for part in chunks(batch, "text"):
                 p = model.score(part.column("text"))
                 top = p.argmax(axis=1)
-                letter = part.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+                letter = part.column("m_letter").to_numpy(zero_copy_only=False).astype(bool)
                 best = np.where(letter, p[np.arange(len(top)), top], 0.0)
                 lang = [model.langs[i] if ok else "und" for i, ok in zip(top.tolist(), letter.tolist(), strict=True)]
-                columns = {c: part.column(c) for c in part.schema.names if c != "_letter"}
-                yield pa.RecordBatch.from_pydict(columns | {"li_lang": pa.array(lang, pa.string()), "li_score": pa.array(best, pa.float64()), "li_rejected": pa.array(~letter | (best < model.least))})
+                columns = {c: part.column(c) for c in part.schema.names if c != "m_letter"}
+                yield pa.RecordBatch.from_pydict(columns | {"m_lang": pa.array(lang, pa.string()), "m_score": pa.array(best, pa.float64()), "m_rejected": pa.array(~letter | (best < model.least))})
         release()
 
     return run
@@ -177,11 +188,19 @@ def _score(shared):
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``li_lang``, ``li_score`` and ``li_rejected``; the text is the only input."""
-    marked = docs.withColumn("_letter", has_letter(F.col("text")))
+    own = Shield(docs, "text")
+    marked = own.df.withColumn("m_letter", has_letter(F.col("text")))
+    new = {"li_lang": "m_lang", "li_score": "m_score", "li_rejected": "m_rejected"}
     if model is None:
-        return marked.withColumns({"li_lang": F.lit("und"), "li_score": F.lit(0.0), "li_rejected": ~F.col("_letter")}).drop("_letter")
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], "li_lang string, li_score double, li_rejected boolean"])
-    return marked.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
+        return own.back(marked.withColumns({"m_lang": F.lit("und"), "m_score": F.lit(0.0), "m_rejected": ~F.col("m_letter")}), new)
+    schema = T.StructType([*own.df.schema.fields, T.StructField("m_lang", T.StringType()), T.StructField("m_score", T.DoubleType()), T.StructField("m_rejected", T.BooleanType())])
+    return own.back(marked.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema), new)
+
+
+def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` less the rejected ones."""
+    own = Shield(docs, "text")
+    return own.back(identify(own.df, model).filter(~F.col("li_rejected")))
 
 
 def report(docs: DataFrame) -> DataFrame:
