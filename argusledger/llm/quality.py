@@ -6,7 +6,9 @@ weighs the rules, with its penalty chosen on rows held apart, and the few that a
 expression over the statistics.
 
 Edge cases: null and empty texts have statistics of 0 and are scored by the rules like any other; labels that are
-null, or of no document, are ignored; with one class of labels, or none, the score is their mean, or 0.5.
+null, or of no document, are ignored; repeated rows are scored alike, and a label of a doc_id holds for all its rows; with one
+class of labels, or none, the score is their mean, or 0.5; an empty table gives an empty one.  Other columns, of any names,
+pass through; input columns named ``qs_score`` or like a statistic (``qs_*`` of STATS) are replaced.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from argusledger.llm.common import NOT_SPACE, Words, chunks, release
+from argusledger.llm.common import NOT_SPACE, Shield, Words, chunks, release
 
 #: Labelled rows that rules are fitted on, at most.
 FIT = 8000
@@ -96,10 +99,15 @@ def _stats(batches):
     release()
 
 
+def _with_statistics(own: Shield) -> DataFrame:
+    kept = [f for f in own.df.schema.fields if f.name != "text"]
+    return own.df.mapInArrow(_stats, T.StructType([*kept, *[T.StructField(f"qs_{k}", T.DoubleType()) for k in STATS]]))
+
+
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with the statistics as columns ``qs_*`` in place of the text."""
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"], *[f"qs_{k} double" for k in STATS]])
-    return docs.mapInArrow(_stats, schema)
+    own = Shield(docs, "text")
+    return own.back(_with_statistics(own), {f"qs_{k}": f"qs_{k}" for k in STATS}, drop=("text",))
 
 
 #: A rule: comparisons (statistic, above?, threshold) that all hold.
@@ -218,7 +226,9 @@ def train(docs: DataFrame, labels: DataFrame, fit: int = FIT, label_col: str = "
 
 def score(docs: DataFrame, rules: list[tuple[Rule, float]], bias: float) -> DataFrame:
     """``docs`` less ``text``, with the statistics and ``qs_score``."""
-    return with_statistics(docs).withColumn("qs_score", compile_rules(rules, bias))
+    own = Shield(docs, "text")
+    out = _with_statistics(own).withColumn("m_score", compile_rules(rules, bias))
+    return own.back(out, {**{f"qs_{k}": f"qs_{k}" for k in STATS}, "qs_score": "m_score"}, drop=("text",))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
