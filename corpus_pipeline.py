@@ -1,16 +1,18 @@
 """A training corpus from ``documents``: language ID, near duplicates, decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; ``run`` writes
-each one's rows as Parquet in the shared folder and reads them again for the next.
+each one's rows as Parquet in the shared folder and reads them again for the next, and then deletes what the stage made.
+
+All stages: an empty table gives an empty one; very long texts are read whole; documents need the columns doc_id, text, lang
+(first stage) and source (fourth); any other columns, of any names, pass through all stages but the last.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from argusledger.functions.tables import cut, small
+from argusledger.functions.tables import cut, drop_cut, scratch
 from argusledger.llm import decontaminate, jaccard, langid, mixing, tokenpack
 from argusledger.llm.common import limit_batches, read
 
@@ -18,47 +20,43 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier doesn't reject."""
+    """Documents whose language the classifier doesn't reject.
+
+    Null texts and texts without a letter are rejected; repeated rows are judged alike; nulls in other columns don't matter.
+    """
     limit_batches(spark)
-    out = langid.identify(docs, langid.train(docs))
-    return out.filter(~F.col("li_rejected")).select(*docs.columns)
+    return langid.recognised(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, of those with its smallest doc_id; rows without words stay.
+    """One row of each group of near duplicates: the smallest doc_id's.
 
-    A doc_id of one row says whether the row stays.  Rows whose doc_id occurs again or is null are decided by their own text's class.
+    Repeated rows are near duplicates.  Rows that share a doc_id, or have none, are judged each by its own text; rows without
+    words (null and empty texts) stay.
     """
     limit_batches(spark)
-    found = cut(jaccard.near_duplicates(docs))
-    gone = cut(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id"))
-    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    if not again.limit(1).count():
-        return left
-    ids = again.withColumnRenamed("doc_id", "_id")
-    odd = cut(docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.monotonically_increasing_id()))
-    rows = cut(jaccard.classes_of(odd, "_row"))
-    names = found.filter("n_shingles > 0").select("node", "component", "component_id").distinct()
-    named = odd.select("_row", "doc_id", F.xxhash64("text").alias("_h")).join(rows, "_row").join(names.join(small(rows.select("node").distinct()), "node", "left_semi"), "node")
-    first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("_h", "_row")).alias("x")).select("x._row")
-    kept = cut(first.unionByName(rows.filter("n_shingles = 0").select("_row")))
-    return left.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(odd.join(small(kept), "_row", "left_semi").select(*docs.columns))
+    return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of the benchmark."""
+    """Documents without any window of the benchmark.  Null and empty texts have none and stay; each row is judged alone."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, a last partial take with the chosen blocks' text."""
+    """Documents as often as the mix takes them, a last partial take with the chosen blocks' text.
+
+    Null texts and texts without words are taken 0 times; null sources are one source; repeated rows are documents of their own.
+    """
     limit_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its place among all ids, read back from the token packs."""
+    """Per document its place among all ids, read back from the token files.
+
+    Null and empty texts have the end id only; rows without doc_id come first, rows that share one by their texts' hashes.
+    """
     limit_batches(spark)
     return tokenpack.report(docs, public_tokenizers.path(TOKENIZER))
 
@@ -76,8 +74,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs)
+    last = None
+    for _, stage in STAGES:
+        with scratch() as made:
+            docs = cut(stage(spark, docs, sf_dir))
+            made.remove(docs)
+        if last is not None:
+            drop_cut(last)
+        last = docs
     return docs
