@@ -276,3 +276,35 @@ def test_lines_of_repeated_ids(spark):
     assert rows_of(linededup.report(docs), names) == by_sql(linededup.SQL, documents=docs)
     assert rows_of(linededup.report(docs, linededup.dedup_passages), names) == by_sql(linededup.PASSAGES_SQL, documents=docs)
     assert all(r.ld_removed < 5 for r in linededup.dedup_lines(docs).filter("doc_id is null and text like '%more%'").collect())  # R's first place
+
+
+def plain_substrings(rows, n):
+    """Per row the kept words, by every window of n words."""
+    from collections import Counter
+
+    words = [(text or "").encode().split() for _, text in rows]
+    times = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    out = []
+    for (doc, _), w in zip(rows, words, strict=True):
+        gone = {j for i in range(len(w) - n + 1) if times[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+        out.append((doc, b" ".join(x for i, x in enumerate(w) if i not in gone).decode(), len(gone)))
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize(("n", "options"), [(6, {}), (6, {"often": 2}), (7, {"often": 3, "slices": (400, 300)}), (35, {"often": 4, "slices": (3000, 2000)})])
+def test_extents_against_all_windows(spark, n, options):
+    rng = np.random.default_rng(n)
+    long = "L" * 300
+    passage = [f"p{i}" for i in range(3 * n)]
+    rows = []
+    for i in range(120):
+        w = rng.choice(["a", "b", "c", long, "\x00é", "d"], rng.integers(0, 5 * n)).tolist() if i % 2 else [f"u{i}_{j}" for j in range(rng.integers(0, 3 * n))]
+        if i % 3 == 0:
+            at, a = rng.integers(0, len(w) + 1), rng.integers(0, n)
+            w[at:at] = passage[a : a + int(rng.integers(n - 2, 2 * n))]
+        rows.append((None if i % 7 == 0 else i % 40, rng.choice([" ", "\n", " \t "]).join(w)))
+    rows += [rows[3], rows[3], (None, None), (5, ""), (6, " ".join(passage)), (7, " ".join(passage[1:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(repr((r.doc_id, r.sd_text, r.sd_removed)) for r in substring.dedup_substrings(docs, n, **options).collect())
+    assert got == plain_substrings(rows, n)
+    assert sum(int(x.rpartition(", ")[2][:-1]) > 0 for x in got) > 20
