@@ -103,7 +103,7 @@ class _Out:
         edge = runs(p[order])
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             own = order[a:b]
-            self.add(int(p[own[0]]), kind, None, None, entries[own].tobytes(), b"".join([extra[i] for i in own.tolist()]) if extra is not None else None)
+            self.add(int(p[own[0]]), kind, None, None, entries[own].tobytes(), pa.compress(b"".join([extra[i] for i in own.tolist()]), "zstd", asbytes=True) if extra is not None else None)
 
     def batch(self) -> pa.RecordBatch:
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -380,8 +380,10 @@ def _join_extents(n: int, k: int):
                 continue
             spots = [r for r in rows if r["kind"] == 2]
             if spots:
-                x = np.concatenate([np.frombuffer(r["rows"], _SPOT) for r in spots])
-                entry, offset = _extend(x, b"".join([r["extra"] for r in spots]), n, k)
+                each = [np.frombuffer(r["rows"], _SPOT) for r in spots]
+                texts = b"".join([pa.decompress(r["extra"], int(x["size"].sum()), "zstd", asbytes=True) for r, x in zip(spots, each, strict=True)])
+                x = np.concatenate(each)
+                entry, offset = _extend(x, texts, n, k)
                 own = x["times"][entry] == 1  # the others are settled
                 entry, offset = entry[own], offset[own]
                 yield _found(_ranges(x["k1"][entry], x["k2"][entry], x["at"][entry].astype(np.int64) - offset))
