@@ -4,16 +4,20 @@ A pack is a self-contained byte string (see :func:`pack`): a header, the documen
 blocks of ``BLOCK`` ids, each id in the fewest bits that hold the vocabulary, lowest bit first, each block on a byte
 boundary.  numpy unpacks a block, a document or all ids without a loop over ids.
 
-Packs are rows of a Parquet table (part, seq, first place, pack), which Spark's writer commits whole or not at all, on any
-store; ``pack`` alone is also a file format of its own.  Documents are in ascending doc_id order (null first; repeated
-ids by a hash of the text).
-
-Edge cases: null and empty texts have the end id only; an empty table gives no packs.
+Each pack is a file, written by an executor straight to the shared folder (any store that pyarrow opens: a mounted folder,
+HDFS, S3, GCS).  A task's files bear its attempt's name, and only files that a finished attempt has listed in the manifest, a
+Parquet table (part, seq, n_ids, n_docs, n_null, file), belong to the output: so lost executors and repeated attempts leave stray
+files at worst.  Documents are in ascending doc_id order (null first; rows that share an id by a hash of the text, equal
+rows in any order), so rows without id are many tasks too.
+
+Edge cases: null and empty texts have the end id only; a text of any length is one document, in a file of its own if it is
+long; an empty table gives no files.  Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from array import array
 from itertools import islice
@@ -24,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from argusledger.llm.common import chunks, cut, partitions, process_cache, release
+from argusledger.llm.common import chunks, partitions, process_cache, release, shared_dir, small
 
 MAGIC, BLOCK, PACK_IDS = b"ATPK", 4096, 1 << 20
 _HEAD = "<4sIIIQQ"
@@ -212,19 +216,36 @@ def _encoder(spec: str) -> Encoder:
     return cache[key]
 
 
-def _encode(shared, bits: int, end: int):
+def _open(path: str):
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+_MANIFEST = "part long, seq long, n_ids long, n_docs long, n_null long, file string"
+
+
+def _encode(shared, bits: int, end: int, folder: str):
     def run(batches):
         coder = _encoder(shared.value)
         stop = np.array([end], "<u4").tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
-        names = ["part", "seq", "n_ids", "n_null", "pack"]
+        task = TaskContext.get()
+        part, seq = task.partitionId(), 0
+        store, root = _open(folder)
+        store.create_dir(root)
 
         def flush():
             flat = np.frombuffer(b"".join(ids), "<u4")
             starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-            raw = pack(flat, starts, np.array([x or 0 for x in own], np.int64), bits)
+            name = f"part-{part:06d}-{seq:05d}-{task.taskAttemptId()}.atpk"
+            with store.open_output_stream(f"{root}/{name}") as f:
+                f.write(pack(flat, starts, np.array([x or 0 for x in own], np.int64), bits))
             # Null doc_ids come first in the order.
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, seq, len(flat), sum(x is None for x in own))] + [pa.array([raw], pa.binary())], names=names)
+            values = (part, seq, len(flat), len(own), sum(x is None for x in own), name)
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in values], names=["part", "seq", "n_ids", "n_docs", "n_null", "file"])
 
         ids, own, size = [], [], 0
         for batch in batches:
@@ -246,9 +267,10 @@ def _encode(shared, bits: int, end: int):
 
 
 def write_packs(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
-    """The packs of ``docs`` (doc_id, text) as a table (part, seq, n_ids, n_null, pack), written to ``path`` or the shared folder.
+    """Writes ``docs`` (doc_id, text) as pack files to the folder ``path``, or one in the shared folder; returns the manifest.
 
-    ``tokenizer`` is the path of a tokenizers file; its content is broadcast (a few MB, whatever the input).
+    The manifest is written beside the files (``path``/manifest), and has each file's full name.  ``tokenizer`` is the path of
+    a tokenizers file; its content is broadcast (a few MB, whatever the input).
     """
     from tokenizers import Tokenizer
 
@@ -256,31 +278,49 @@ def write_packs(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | No
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
     bits = width(max(Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True), end_id + 1))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = own.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    packs = dealt.mapInArrow(_encode(spark.sparkContext.broadcast(spec), bits, end_id), "part long, seq long, n_ids long, n_null long, pack binary")
-    if path is None:
-        return cut(packs)
-    packs.write.parquet(path)
-    return spark.read.schema(packs.schema).parquet(path)
+    path = path or f"{shared_dir(spark)}/argus-packs-{uuid.uuid4().hex}"
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    # The row's number deals out equal rows, of which a hot id can have very many.
+    dealt = own.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "h", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    made = dealt.select("doc_id", "text").mapInArrow(_encode(spark.sparkContext.broadcast(spec), bits, end_id, path), _MANIFEST)
+    made.write.parquet(f"{path}/manifest")
+    return read_manifest(spark, path)
+
+
+def read_manifest(spark, path: str) -> DataFrame:
+    """The manifest of a folder of packs, with each file's path."""
+    return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").withColumn("file", F.concat(F.lit(f"{path}/"), "file"))
+
+
+def open_pack(path: str) -> Pack:
+    """A pack file; on a mounted folder it is mapped, so that just what is asked for is read."""
+    store, name = _open(path)
+    try:
+        with store.open_input_file(name) as f:
+            return Pack(f.read_buffer())
+    except OSError as e:
+        raise FileNotFoundError(f"token pack {path}: {e}") from e
 
 
 def _list(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            p = Pack(row["pack"])
-            flat = p.ids().astype("<u4")
-            n = np.diff(p.starts)
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(p.starts[:-1].tolist(), p.starts[1:].tolist(), strict=True)]
+            p = open_pack(row["file"])
+            n, sums = np.diff(p.starts), [0] * len(p.doc_ids)
+            for at in range(0, p.size, PACK_IDS):  # so that one long document is not unpacked at once
+                flat = memoryview(p.ids(at, at + PACK_IDS).astype("<u4"))
+                some = range(int(np.searchsorted(p.starts, at, "right")) - 1, int(np.searchsorted(p.starts, at + len(flat), "left")))
+                for d, lo, hi in zip(some, p.starts[some.start : some.stop].tolist(), p.starts[some.start + 1 : some.stop + 1].tolist(), strict=True):
+                    sums[d] = zlib.crc32(flat[max(0, lo - at) : hi - at], sums[d])
             doc = [None if i < row["n_null"] else x for i, x in enumerate(p.doc_ids.tolist())]
-            del flat
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row["base"] + p.starts[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            del p
     release()
 
 
 def read_documents(packs: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the packs.  Starts come from the packs' sizes: the driver sees one sum for
-    each partition that wrote packs."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files of a manifest.  Starts come from the files' sizes: the driver sees one
+    sum for each partition that wrote files."""
     spark = packs.sparkSession
     sums = sorted((r.part, r.n) for r in packs.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     bases, at = [], 0
@@ -288,10 +328,10 @@ def read_documents(packs: DataFrame) -> DataFrame:
         bases.append((part, at))
         at += n
     before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = packs.select("part", "seq", before.alias("before"), "n_ids")  # without the packs themselves
-    places = places.join(F.broadcast(spark.createDataFrame(bases, "part long, at long")), "part").select("part", "seq", (F.col("at") + F.col("before")).alias("base"))
-    whole = packs.join(F.broadcast(places) if places.count() <= 1_000_000 else places, ["part", "seq"])
-    return whole.select("base", "n_null", "pack").mapInArrow(_list, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    places = packs.withColumn("before", before).join(small(spark.createDataFrame(bases, "part long, at long")), "part")
+    whole = places.select((F.col("at") + F.col("before")).alias("base"), "n_null", "file")
+    # One file a row: they are dealt out evenly.
+    return whole.repartition(partitions(spark), "file").mapInArrow(_list, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
