@@ -68,7 +68,8 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     # A hot hash is broadcast, so no task gets its rows.
     found = skew_join(hashes, often.withColumn("often", F.lit(True)), "h", "n").filter("often")
     asked = found.groupBy(F.col("doc_id").alias("id2"), F.col("mark").alias("mark2")).agg(F.collect_set("place").alias("asked"))
-    rows = _with_chunks(own.join(asked, _same_document()), divisor)
+    # "merge": texts are shuffled in the same way at every size.
+    rows = _with_chunks(own.join(asked.hint("merge"), _same_document()), divisor)
     rows = cut(rows.select("doc_id", "mark", F.explode(F.transform("asked", lambda i: F.struct(i.alias("place"), _chunk(i).alias("chunk")))).alias("c")).select("doc_id", "mark", "c.place", "c.chunk"))
     # Grouped by the chunk itself: this compares bytes, and a chunk of very many rows is summed up before the shuffle.
     same = rows.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "place")).alias("first")).filter("n > 1")
@@ -101,7 +102,7 @@ def _with_gone(docs: DataFrame, gone: DataFrame) -> tuple[Shield, DataFrame]:
     """``docs`` shielded, with the array ``gone`` of each document's removed places."""
     own = Shield(docs, "doc_id", "text")
     per = gone.groupBy(F.col("doc_id").alias("id2"), F.col("mark").alias("mark2")).agg(F.collect_set("place").alias("gone"))
-    both = _keyed(own.df).join(per, _same_document(), "left").drop("id2", "mark2")
+    both = _keyed(own.df).join(per.hint("merge"), _same_document(), "left").drop("id2", "mark2")
     return own, both.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
 
 
