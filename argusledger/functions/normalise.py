@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 TRUE_TOKENS = ("1", "true", "True", "TRUE", "yes", "Yes", "YES")
 HIGH_RISK_DESTINATIONS = ("AE", "RU", "CY", "NG", "TR")
 CITATION = r"\bT[123]-\d{3}\b"
+CURRENCY = r"\A[A-Z]{3}\z"
 ISO_O = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0+00:00'"
 
 
@@ -49,7 +50,7 @@ def parse_currency(x: Column) -> Column:
 
 def bad_currency(x: Column) -> Column:
     code = parse_currency(x)
-    return code.isNotNull() & ~code.rlike(r"\A[A-Z]{3}\z")
+    return code.isNotNull() & ~code.rlike(CURRENCY)
 
 
 def parse_flag(x: Column) -> Column:
@@ -105,6 +106,11 @@ def redact(text: Column, names: list[str]) -> Column:
     return F.regexp_replace(text, "(" + "|".join(map(re.escape, names)) + r")=\S+", "$1=***REDACTED***") if names else text
 
 
+def up_to_four(x: Column) -> Column:
+    """A number with at most four decimal places and no trailing zeros."""
+    return F.regexp_replace(F.format_string("%.4f", F.bround(x.cast("double"), 4)), r"\.?0+$", "")
+
+
 def percent(x: Column) -> Column:
     return F.format_string("%.1f%%", x * 100)
 

@@ -72,8 +72,18 @@ def merge(spark: SparkSession, sources: list[S.Dataset]) -> S.Case:
         merged[name], found = merge_collection(reduce(DataFrame.unionByName, parts), name, ["_src", "_row"])
         conflicts.append(found)
     conflicts.append(missing_references(merged["relationships"], merged["entities"]))
-    manifest = [spark.createDataFrame([(i, d.name, d.source_type, d.schema_version, d.schema_version == version)], "source_index int, name string, source_type string, schema_version string, used boolean").withColumn("normalisation_hash", F.lit(content_hash(spark, d))) for i, d in enumerate(sources)]
-    return S.Case(merged, reduce(DataFrame.unionByName, conflicts), reduce(DataFrame.unionByName, manifest), version)
+    manifest = [(i, d.name, d.source_type, d.schema_version, d.schema_version == version, *_origin(d), content_hash(spark, d)) for i, d in enumerate(sources)]
+    kind = "source_index int, name string, source_type string, schema_version string, used boolean, adapter string, adapter_version string, normalisation_hash string"
+    return S.Case(merged, reduce(DataFrame.unionByName, conflicts), spark.createDataFrame(manifest, kind), version)
+
+
+def _origin(data: S.Dataset) -> tuple[str | None, str | None]:
+    """Adapter and version, by the lineage of a record of the first collection that has one."""
+    for name in S.COLLECTIONS:
+        rows = data.collections[name].select("source_lineage.adapter", "source_lineage.adapter_version").limit(1).collect() if name in data.collections else []
+        if rows:
+            return rows[0].adapter, rows[0].adapter_version
+    return None, None
 
 
 def load_case(spark: SparkSession, definitions: list[tuple[str, str, dict]], registry) -> S.Case:

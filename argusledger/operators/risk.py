@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argusledger.functions.normalise import HIGH_RISK_DESTINATIONS, clamp01, round4
-from argusledger.functions.tables import cut, small
+from argusledger.functions.tables import cut, partitions, small
 from argusledger.operators.graph import connected_components
 
 # Fixed values.
@@ -116,12 +116,32 @@ def strong_components(edges: DataFrame, weak: DataFrame, task_edges: int = TASK_
 
 
 def min_max(x: str) -> Column:
-    """Over all rows; all equal: 0.  The rows are one per cluster."""
+    """Over all rows, which are few (weeks); all equal: 0."""
     w = Window.partitionBy()
-    low, high = F.min(x).over(w), F.max(x).over(w)
+    return _scaled(x, F.min(x).over(w), F.max(x).over(w))
+
+
+def _scaled(x: str, low: Column, high: Column) -> Column:
     return F.when(low == high, F.lit(0.0)).otherwise((F.col(x) - low) / (high - low))
 
 
+def with_min_max(rows: DataFrame, **scaled: str) -> DataFrame:
+    """``rows`` (a table) with each new column the min-max of another, over any number of rows: the bounds are one row."""
+    bounds = rows.agg(*[f(c).alias(f"_{k}_{n}") for n, c in scaled.items() for k, f in (("low", F.min), ("high", F.max))])
+    both = rows.crossJoin(F.broadcast(bounds))
+    return both.withColumns({n: _scaled(c, F.col(f"_low_{n}"), F.col(f"_high_{n}")) for n, c in scaled.items()}).drop(*bounds.columns)
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with their place in ascending order of the unique ``key``, from 1, as text after ``name``; no task sees all rows."""
+    spark = rows.sparkSession
+    dealt = cut(rows.repartitionByRange(partitions(spark), key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r.p, r["count"]) for r in dealt.groupBy(part.alias("p")).count().collect())  # one row a partition
+    before = spark.createDataFrame([(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)], "_p long, _before long")
+    return dealt.join(small(before), part == F.col("_p")).withColumn("cluster_id", F.concat(F.lit(name), at + F.col("_before") + 1)).drop("_at", "_p", "_before")
+
+
 def circular_flow(edges: DataFrame, weak: DataFrame, strong: DataFrame) -> DataFrame:
     """(component, edge_count, cycle_edges, circular_flow): distinct non-self edges inside a strong component of two or
     more over all distinct edges."""
@@ -144,16 +164,16 @@ def cluster_metrics(transfers: DataFrame) -> DataFrame:
         (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("span"))
     velocity = F.col("transfers") / F.greatest(F.col("span") / 3600.0, F.lit(0.01))
     out = rows.join(weak.groupBy("component").agg(F.count("*").alias("account_count")), "component").join(circular_flow(edges, weak, strong), "component")
-    number = F.row_number().over(Window.partitionBy().orderBy("component"))
-    return out.select(F.concat(F.lit("cluster_"), number).alias("cluster_id"), "component", "account_count", "total_value", "circular_flow", "sar_ratio", "transfers", velocity.alias("velocity"))
+    return numbered(out.withColumn("velocity", velocity), "component", "cluster_").select("cluster_id", "component", "account_count", "total_value", "circular_flow", "sar_ratio", "transfers", "velocity")
 
 
 def cluster_risk(transfers: DataFrame, threshold: float = RISK_THRESHOLD) -> DataFrame:
     """Clusters at or above the threshold (before rounding), by rounded risk."""
     m = cluster_metrics(transfers).withColumns({"circular": clamp01(F.col("circular_flow")), "sar": clamp01(F.col("sar_ratio"))})
-    share = {"total_value": min_max("total_value"), "circular_flow": F.col("circular"), "account_count": min_max("account_count"), "velocity": min_max("velocity"), "sar_ratio": F.col("sar")}
+    m = with_min_max(m, value_share="total_value", account_share="account_count", velocity_share="velocity")
+    share = {"total_value": F.col("value_share"), "circular_flow": F.col("circular"), "account_count": F.col("account_share"), "velocity": F.col("velocity_share"), "sar_ratio": F.col("sar")}
     raw = sum((F.lit(w) * share[k] for k, w in RISK_WEIGHTS.items()), F.lit(0.0))
-    m = m.withColumn("raw", raw).withColumn("risk", min_max("raw")).filter(F.col("risk") >= threshold)
+    m = with_min_max(cut(m.withColumn("raw", raw)), risk="raw").filter(F.col("risk") >= threshold)
     out = m.select("cluster_id", "account_count", round4(F.col("total_value")).alias("total_value"), round4(F.col("circular_flow")).alias("circular_flow"), round4(F.col("risk")).alias("risk_score"))
     return out.orderBy(F.desc("risk_score"), "cluster_id")
 
@@ -177,9 +197,10 @@ def weekly_summary(transfers: DataFrame) -> DataFrame:
 
 def mule_findings(transfers: DataFrame) -> DataFrame:
     """Per account (our rules; the task fixes the schema only): classification, confidence and supporting ids."""
-    side = transfers.select(F.col("src").alias("account_id"), "txn_id", F.col("amount").alias("sent"), F.lit(0.0).alias("got"), "sar").unionByName(
-        transfers.select(F.col("dst").alias("account_id"), "txn_id", F.lit(0.0).alias("sent"), F.col("amount").alias("got"), "sar"))
-    a = side.groupBy("account_id").agg(F.sum("sent").alias("sent"), F.sum("got").alias("got"), F.count_if(F.col("sent") > 0).alias("n_out"), F.count_if(F.col("got") > 0).alias("n_in"), F.max("sar").alias("sar"), F.sort_array(F.collect_set("txn_id")).alias("ids"))
+    money, nothing = F.col("amount").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")
+    side = transfers.select(F.col("src").alias("account_id"), "txn_id", money.alias("sent"), nothing.alias("got"), "sar").unionByName(
+        transfers.select(F.col("dst").alias("account_id"), "txn_id", nothing.alias("sent"), money.alias("got"), "sar"))
+    a = side.groupBy("account_id").agg(F.sum("sent").cast("double").alias("sent"), F.sum("got").cast("double").alias("got"), F.count_if(F.col("sent") > 0).alias("n_out"), F.count_if(F.col("got") > 0).alias("n_in"), F.max("sar").alias("sar"), F.sort_array(F.collect_set("txn_id")).alias("ids"))
     through = F.least("sent", "got") / F.greatest("sent", "got")
     kind = F.when((F.col("n_in") >= 1) & (F.col("n_out") >= 1) & (through >= 0.8) & F.col("sar"), "mule").when((F.col("n_in") >= 3) & (F.col("n_out") <= 1), "collector").when((F.col("n_out") >= 3) & (F.col("n_in") <= 1), "distributor").when(F.col("sar"), "suspicious").otherwise("legitimate")
     sure = F.when(kind == "mule", through).when(kind == "legitimate", F.lit(0.5)).otherwise(F.lit(0.7))

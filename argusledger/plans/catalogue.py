@@ -8,18 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argusledger.functions import normalise as N
-from argusledger.operators import assurance, evidence, merge, risk
-from argusledger.sources import readers
+from argusledger.functions.tables import shared_dir
+from argusledger.operators import assurance, evidence, merge, profiles, risk
+from argusledger.sources import documents, readers, sinks
 from argusledger.sources import schema as S
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations")
 
 VIEWS = {
-    "transfers": "select concat('A', l_suppkey, '-', l_partkey % 6) as src, concat('A', l_suppkey, '-', l_orderkey % 6) as dst, l_extendedprice as amount, l_shipdate as ts, l_returnflag = 'R' as sar from lineitem where (l_orderkey % 97) < (l_suppkey % 7)",
-    "ledger": "select concat('A', l_suppkey, '-', l_partkey % 6) as src, concat('A', l_suppkey, '-', l_orderkey % 6) as dst, l_extendedprice as amount, l_shipdate as ts, l_returnflag = 'R' as sar from lineitem",
+    "transfers": "select concat('A', l_suppkey, '-', l_partkey % 6) as src, concat('A', l_suppkey, '-', l_orderkey % 6) as dst, l_extendedprice as amount, l_shipdate as ts, l_returnflag = 'R' as sar from lineitem",
     "txn": "select concat('T', o_orderkey) as transaction_id, concat('C', o_custkey) as source_account, concat('M', o_custkey % 50) as destination_account, o_totalprice as amount, 'USD' as currency, o_orderdate as ts, o_orderpriority as channel, n_name as jurisdiction, o_orderstatus = 'F' as sar_linked from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey",
-    "txn_multi": "select 0 as src, o_orderkey as rn, concat('T', o_orderkey) as id, o_totalprice as amount, 'USD' as currency, o_orderdate as ts from orders where o_orderkey % 3 <> 0 union all select 1, o_orderkey, concat('t', o_orderkey), case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end, case when o_orderkey % 7 = 0 then 'EUR' else 'USD' end, case when o_orderkey % 11 = 0 then o_orderdate + interval '1' day else o_orderdate end from orders where o_orderkey % 2 = 0",
-    "txn_both": "select 0 as src, o_orderkey as rn, concat('T', o_orderkey) as id, o_totalprice as amount, 'USD' as currency, o_orderdate as ts from orders union all select 1, o_orderkey, concat('t', o_orderkey), case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end, case when o_orderkey % 7 = 0 then 'EUR' else 'USD' end, case when o_orderkey % 11 = 0 then o_orderdate + interval '1' day else o_orderdate end from orders where o_orderkey % 2 = 0",
+    "txn_multi": "select 0 as src, o_orderkey as rn, concat('T', o_orderkey) as id, o_totalprice as amount, 'USD' as currency, o_orderdate as ts from orders union all select 1, o_orderkey, concat('t', o_orderkey), case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end, case when o_orderkey % 7 = 0 then 'EUR' else 'USD' end, case when o_orderkey % 11 = 0 then o_orderdate + interval '1' day else o_orderdate end from orders where o_orderkey % 2 = 0",
     "weekly": "select concat('U', user_id, '-', event_type, '-', event_id % 4) as src, concat('U', user_id, '-sink-', event_id % 4) as dst, value as amount, ts, case when event_type = 'purchase' then 'AE' else 'GB' end as dest_country, event_type = 'error' as sar from events",
     "reports": "select doc_id as report_id, concat(coalesce(text, ''), ' T', 1 + doc_id % 4, '-', lpad(cast(doc_id % 1000 as varchar(9)), 3, '0'), ' T1-', lpad(cast(doc_id % 7 as varchar(9)), 3, '0'), ' T1-', lpad(cast(doc_id % 7 as varchar(9)), 3, '0')) as text from documents",
     "valid_ids": "select distinct concat('T', 1 + o_custkey % 3, '-', lpad(cast(o_custkey % 500 as varchar(9)), 3, '0')) as id from orders",
@@ -46,6 +45,10 @@ def needed(sql: str, own: str = "") -> list[str]:
     return out
 
 
+def active() -> SparkSession:
+    return SparkSession.active()
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     import re
 
@@ -57,30 +60,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def with_views(sql: str, recursive: bool = False, extra: str = "", skip=()) -> str:
-    parts = [f"{v} as ({VIEWS[v]})" for v in needed(extra + sql) if v not in skip]
+def with_views(sql: str, recursive: bool = False, extra: str = "") -> str:
+    parts = [f"{v} as ({VIEWS[v]})" for v in needed(extra + sql)]
     return ("with recursive " if recursive else "with ") + ",\n".join([*parts, *([extra] if extra else [])]) + "\n" + sql
 
 
-#: Views that hold a part of their table, and the ones that hold all of it.
-WHOLE = {"transfers": "ledger", "txn_multi": "txn_both"}
-
-
-def query(sql: str | None = None, extra: str = "", recursive: bool = False, whole: bool = False):
-    """Registers a function (V: name -> view) as a query with its SQL; with ``whole`` once more as whole_NAME, which reads the views of WHOLE."""
-
-    def put(name, f, sql, extra, views):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda v: view(spark, sf_dir, views.get(v, v)))
-        if sql:
-            SQL[name] = with_views(sql, recursive, extra, views) if needed(extra + sql) else sql
+def query(sql: str | None = None, extra: str = "", recursive: bool = False):
+    """Registers a function (V: name -> view) as a query with its SQL."""
 
     def add(f):
-        put(f.__name__, f, sql, extra, {})
-        if whole:
-            texts = [sql, extra]
-            for part, table in WHOLE.items():
-                texts = [t.replace(f"from {part}", f"from {table}") for t in texts]
-            put(f"whole_{f.__name__}", f, *texts, WHOLE)
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda v: view(spark, sf_dir, v))
+        if sql:
+            SQL[f.__name__] = with_views(sql, recursive, extra) if needed(extra + sql) else sql
         return f
 
     return add
@@ -101,26 +92,26 @@ m as (select component, account_count, total_value, cycle_edges / greatest(edge_
 k as (select concat('cluster_', row_number() over (order by component)) as cluster_id, * from m)"""
 
 
-@query("select src, dst, cast(sum(cast(amount as decimal(18,2))) as decimal(28,2)) as weight, count(*) as n from transfers group by 1, 2", whole=True)
+@query("select src, dst, cast(sum(cast(amount as decimal(18,2))) as decimal(28,2)) as weight, count(*) as n from transfers group by 1, 2")
 def edge_weights(V):
     """AGG-01, GRF-01."""
     return risk.edge_weights(V("transfers"))
 
 
-@query("select src as node from transfers union select dst from transfers", whole=True)
+@query("select src as node from transfers union select dst from transfers")
 def graph_nodes(V):
     """AGG-02."""
     return risk.graph_nodes(V("transfers"))
 
 
-@query("select node, component, count(*) over (partition by component) as account_count from comp", REACH, True, whole=True)
+@query("select node, component, count(*) over (partition by component) as account_count from comp", REACH, True)
 def wcc_components(V):
     """GRF-02, AGG-03."""
     weak = risk.weak_components(V("transfers").select("src", "dst").distinct())
     return weak.join(weak.groupBy("component").agg(F.count("*").alias("account_count")), "component").select("node", "component", "account_count")
 
 
-@query("select node, scc, size from scc join sz using (scc)", REACH, True, whole=True)
+@query("select node, scc, size from scc join sz using (scc)", REACH, True)
 def scc_components(V):
     """GRF-03, AGG-04."""
     edges = V("transfers").select("src", "dst").distinct()
@@ -128,7 +119,7 @@ def scc_components(V):
     return strong.join(strong.groupBy("scc").agg(F.count("*").alias("size")), "scc").select("node", "scc", "size")
 
 
-@query("select component, edge_count, cycle_edges, cycle_edges / greatest(edge_count, 1) as circular_flow from circ", REACH, True, whole=True)
+@query("select component, edge_count, cycle_edges, cycle_edges / greatest(edge_count, 1) as circular_flow from circ", REACH, True)
 def circular_flow(V):
     """AGG-05, JON-05, JON-06."""
     edges = V("transfers").select("src", "dst").distinct()
@@ -136,7 +127,7 @@ def circular_flow(V):
     return risk.circular_flow(edges, weak, risk.strong_components(edges, weak))
 
 
-@query("select cluster_id, component, account_count, total_value, circular_flow, round_even(sar_ratio, 6) as sar_ratio, transfers, round_even(velocity, 6) as velocity from k", REACH, True, whole=True)
+@query("select cluster_id, component, account_count, total_value, circular_flow, round_even(sar_ratio, 6) as sar_ratio, transfers, round_even(velocity, 6) as velocity from k", REACH, True)
 def cluster_metrics(V):
     """AGG-06, AGG-07, JON-07, WIN-01."""
     return risk.cluster_metrics(V("transfers")).withColumns({"sar_ratio": F.bround("sar_ratio", 6), "velocity": F.bround("velocity", 6)})
@@ -146,7 +137,7 @@ _MM = "case when min({0}) over () = max({0}) over () then 0.0 else ({0} - min({0
 
 
 @query(f"""select cluster_id, account_count, round_even(total_value, 4) as total_value, round_even(circular_flow, 4) as circular_flow, round_even(risk, 4) as risk_score
-from (select *, {_MM.format('raw')} as risk from (select *, 0.35::double * {_MM.format('total_value')} + 0.25::double * circular_flow + 0.15::double * {_MM.format('account_count')} + 0.15::double * {_MM.format('velocity')} + 0.10::double * sar_ratio as raw from k)) where risk >= 0.65""", REACH, True, whole=True)
+from (select *, {_MM.format('raw')} as risk from (select *, 0.35::double * {_MM.format('total_value')} + 0.25::double * circular_flow + 0.15::double * {_MM.format('account_count')} + 0.15::double * {_MM.format('velocity')} + 0.10::double * sar_ratio as raw from k)) where risk >= 0.65""", REACH, True)
 def cluster_risk(V):
     """GRF-04, AGG-08, AGG-09, FLT-02, SCL-07, SCL-08, SRT-01: the flagship."""
     return risk.cluster_risk(V("transfers"))
@@ -174,9 +165,7 @@ def reject_invalid_rows(V):
 def duplicate_ids(V):
     """WIN-03."""
     V("transfers")
-    from pyspark.sql import SparkSession as P
-
-    return readers.duplicate_ids(P.active().table("lineitem").select(F.concat(F.lit("L"), "l_orderkey", F.lit("-"), "l_linenumber").alias("k")), "k")
+    return readers.duplicate_ids(active().table("lineitem").select(F.concat(F.lit("L"), "l_orderkey", F.lit("-"), "l_linenumber").alias("k")), "k")
 
 
 _SEEN = "seen as (select *, row_number() over w as n, first_value(id) over w as id0, first_value(amount) over w as amount0, first_value(currency) over w as currency0, first_value(ts) over w as ts0 from txn_multi window w as (partition by upper(id) order by src, rn))"
@@ -188,13 +177,13 @@ def _multi(V):
     return merge.merge_collection(rows, "transactions", ["_src", "_row"])
 
 
-@query("select id as transaction_id, amount, currency, epoch(ts)::bigint as ts from seen where n = 1", _SEEN, whole=True)
+@query("select id as transaction_id, amount, currency, epoch(ts)::bigint as ts from seen where n = 1", _SEEN)
 def merge_kept(V):
     """DOM-01, WIN-02, SET-01."""
     return _multi(V)[0].select("transaction_id", F.col("amount").cast("double").alias("amount"), "currency", F.unix_timestamp("timestamp").alias("ts"))
 
 
-@query("select 'transaction' as record_type, id as record_id, case when ts <> ts0 then 'timestamp_mismatch' when currency <> currency0 then 'currency_mismatch' else 'conflicting_value' end as conflict_type from seen where n > 1 and (ts <> ts0 or currency <> currency0 or amount <> amount0)", _SEEN, whole=True)
+@query("select 'transaction' as record_type, id as record_id, case when ts <> ts0 then 'timestamp_mismatch' when currency <> currency0 then 'currency_mismatch' else 'conflicting_value' end as conflict_type from seen where n > 1 and (ts <> ts0 or currency <> currency0 or amount <> amount0)", _SEEN)
 def merge_conflicts(V):
     """DOM-02, JON-01."""
     return _multi(V)[1].select("record_type", "record_id", "conflict_type")
@@ -204,32 +193,38 @@ def merge_conflicts(V):
 def missing_reference(V):
     """JON-02, SET-01."""
     V("refs")
-    from pyspark.sql import SparkSession as P
-
-    spark = P.active()
+    spark = active()
     sup = spark.table("supplier").select(F.concat(F.lit("R"), "s_suppkey").alias("relationship_id"), F.concat(F.lit("n"), "s_suppkey").alias("source_entity_id"), F.concat(F.lit("n"), F.col("s_suppkey") + 40).alias("target_entity_id"))
     V("txn")
     out = merge.missing_references(sup, spark.table("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("entity_id")))
     return out.select("record_id", "conflict_type", F.regexp_extract("description", "unknown (\\w+) entity", 1).alias("side"))
 
 
+def _indexed(V) -> dict[str, DataFrame]:
+    """Collections whose ids are those of the view ``ids``."""
+    V("ids")
+    t = active().table
+    return {"transactions": t("orders").select(F.concat(F.lit("t"), "o_orderkey").alias("transaction_id")), "customers": t("customer").select(F.concat(F.lit("C"), "c_custkey").alias("customer_id")),
+            "evidence": t("supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("e"), "s_suppkey").alias("evidence_id"))}
+
+
 @query("select id, string_agg(distinct type, '/' order by type) as types from ids group by id")
 def record_type_index(V):
     """AGG-17."""
-    return V("ids").groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("type")), "/").alias("types"))
+    return merge.record_type_index(active(), _indexed(V)).select("id", F.array_join("types", "/").alias("types"))
 
 
 @query("select 'relationship' as record_type, record_id, ref, case when max(i.id) is null then 'dangling' else 'incompatible' end as issue from refs left join ids i on i.id = upper(ref) group by record_id, ref having count(*) filter (where type in ('evidence', 'transaction')) = 0")
 def reference_issues(V):
     """JON-03, DOM-04."""
-    index = V("ids").groupBy("id").agg(F.sort_array(F.collect_set("type")).alias("types"))
+    index = merge.record_type_index(active(), _indexed(V))
     return merge.reference_issues(V("refs").select(F.lit("relationship").alias("record_type"), "record_id", "ref"), index)
 
 
 @query("select record_id as sar_id, ref from refs where upper(ref) not in (select id from ids where type = 'transaction')")
 def sar_missing_transactions(V):
     """JON-04."""
-    index = V("ids").groupBy("id").agg(F.sort_array(F.collect_set("type")).alias("types"))
+    index = merge.record_type_index(active(), _indexed(V))
     return merge.missing_transactions(V("refs").select(F.col("record_id").alias("sar_id"), F.array("ref").alias("transaction_ids")), index).select("sar_id", "ref")
 
 
@@ -237,9 +232,7 @@ def sar_missing_transactions(V):
 def content_hash(V):
     """SCL-12, SCL-13, SRT-02: one small collection; DOM-06 is case_hashes."""
     V("txn")
-    from pyspark.sql import SparkSession as P
-
-    rows = P.active().table("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 2 == 0).alias("high_risk"))
+    rows = active().table("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("code"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 2 == 0).alias("high_risk"))
     return merge.collection_hash(rows, "jurisdictions")
 
 
@@ -273,11 +266,7 @@ def case_hashes(V):
 @query("select 'transactions' as collection, count(*) as records from txn union all select 'customers', count(*) from customer")
 def record_counts(V):
     """AGG-10."""
-    from pyspark.sql import SparkSession as P
-
-    from argusledger.sources.sinks import record_counts as counts
-
-    return counts({"transactions": V("txn"), "customers": P.active().table("customer")})
+    return sinks.record_counts({"transactions": V("txn"), "customers": active().table("customer")})
 
 
 _WEEK = "wk as (select *, cast(date_trunc('week', ts) as date) as start_date from weekly), acct as (select start_date, src as a from wk union all select start_date, dst from wk), fresh as (select start_date, count(*) as f from (select a, min(start_date) as start_date from acct group by 1) group by 1), uq as (select start_date, count(distinct a) as u from acct group by 1), sm as (select start_date, count(*) as n, cast(sum(cast(amount as decimal(18,2))) as double) as v, count(*) filter (where dest_country in ('AE','RU','CY','NG','TR')) as hr, count(*) filter (where sar) as sr from wk group by 1)"
@@ -336,9 +325,7 @@ def eghr_rate(V):
 def rubric_totals(V):
     """AGG-14."""
     V("runs")
-    from pyspark.sql import SparkSession as P
-
-    return evidence.rubric_totals(P.active().table("labels").select(F.concat(F.lit("run"), F.col("doc_id") % 50).alias("run_id"), F.col("quality").alias("score"), F.lit(1).alias("max")), 0.8)
+    return evidence.rubric_totals(active().table("labels").select(F.concat(F.lit("run"), F.col("doc_id") % 50).alias("run_id"), F.col("quality").alias("score"), F.lit(1).alias("max")), 0.8)
 
 
 _STATUS = "st as (select r.run_id, p.metric, label, direction, cast(threshold as double) as threshold, unit, required, value, case when value is null then 'NOT_EVALUATED' when direction = 'higher_is_better' and value >= threshold or direction = 'lower_is_better' and value <= threshold then 'PASS' else 'FAIL' end as status from runs r cross join policy p left join measured m on m.run_id = r.run_id and m.metric = p.metric)"
@@ -408,10 +395,13 @@ def compat_warnings(V):
     return assurance.compatibility(runs.join(marks, "run_id", "left"), "run1")
 
 
-@query()
+_MULE = "tx as (select src, dst, cast(amount as decimal(18,2)) as amount, sar, concat(src, '>', dst, '@', strftime(ts, '%Y-%m-%d %H:%M:%S')) as txn_id from transfers), sd as (select src as account_id, txn_id, amount as sent, cast(0 as decimal(18,2)) as got, sar from tx union all select dst, txn_id, 0, amount, sar from tx), ac as (select account_id, cast(sum(sent) as double) as sent, cast(sum(got) as double) as got, count(*) filter (where sent > 0) as n_out, count(*) filter (where got > 0) as n_in, bool_or(sar) as sar, string_agg(distinct txn_id, ';' order by txn_id) as ids from sd group by 1), th as (select *, least(sent, got) / greatest(sent, got) as through from ac), kd as (select *, case when n_in >= 1 and n_out >= 1 and through >= 0.8 and sar then 'mule' when n_in >= 3 and n_out <= 1 then 'collector' when n_out >= 3 and n_in <= 1 then 'distributor' when sar then 'suspicious' else 'legitimate' end as kind from th)"
+
+
+@query("select account_id, kind as classification, round_even(case kind when 'mule' then through when 'legitimate' then 0.5 else 0.7 end, 4) as confidence, ids as supporting_txn_ids from kd", _MULE)
 def mule_findings(V):
     """TSK-07: our rules; the task fixes the output's schema only."""
-    rows = V("ledger").withColumn("txn_id", F.concat("src", F.lit(">"), "dst", F.lit("@"), F.col("ts").cast("string")))
+    rows = V("transfers").withColumn("txn_id", F.concat("src", F.lit(">"), "dst", F.lit("@"), F.col("ts").cast("string")))
     return risk.mule_findings(rows)
 
 
@@ -419,16 +409,285 @@ def mule_findings(V):
 def markdown_sections(V):
     """SCL-19."""
     V("reports")
-    from pyspark.sql import SparkSession as P
-
-    return evidence.markdown_sections(P.active().table("documents").select("doc_id", "text"), "doc_id")
+    return evidence.markdown_sections(active().table("documents").select("doc_id", "text"), "doc_id")
 
 
 @query("select sql, tbl, upper(trim(cur)) as code, case when length(trim(cur)) = 3 then false else true end as bad from (select concat('select * from t', n_nationkey, ' where 1=1') as sql, concat('t', n_nationkey) as tbl, concat(' ', left(lower(n_name), 3 + n_nationkey % 2), ' ') as cur from nation)")
 def scalar_functions(V):
     """SCL-03, SCL-15."""
     V("txn")
-    from pyspark.sql import SparkSession as P
-
-    rows = P.active().table("nation").select(F.concat(F.lit("select * from t"), "n_nationkey", F.lit(" where 1=1")).alias("sql"), F.concat(F.lit(" "), F.left(F.lower("n_name"), 3 + F.col("n_nationkey") % 2), F.lit(" ")).alias("cur"))
+    rows = active().table("nation").select(F.concat(F.lit("select * from t"), "n_nationkey", F.lit(" where 1=1")).alias("sql"), F.concat(F.lit(" "), F.left(F.lower("n_name"), 3 + F.col("n_nationkey") % 2), F.lit(" ")).alias("cur"))
     return rows.select("sql", N.table_of(F.col("sql")).alias("tbl"), N.parse_currency(F.col("cur")).alias("code"), N.bad_currency(F.col("cur")).alias("bad"))
+
+
+# --- sources and sinks: what is written is read again -------------------------------------------
+
+
+def _place(name: str) -> str:
+    """A new folder in the shared one."""
+    import uuid
+
+    return f"{shared_dir(active())}/argus-{name}-{uuid.uuid4().hex}"
+
+
+def _canonical(V) -> DataFrame:
+    """All orders as canonical transactions."""
+    rows = V("txn").select("transaction_id", "source_account", "destination_account", F.col("amount").cast("decimal(18,2)").cast("string").alias("amount"), "currency", F.col("ts").cast("string").alias("timestamp"), "channel", "jurisdiction", F.when(F.col("sar_linked"), "true").otherwise("false").alias("sar_linked"))
+    return readers.map_transactions(rows, "table").drop("problem")
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select("transaction_id", "source_account", "destination_account", F.col("amount").cast("double").alias("amount"), "currency", F.unix_timestamp("timestamp").alias("ts"), "channel", "jurisdiction", "sar_linked", F.col("source_lineage.source_type").alias("source_type"))
+
+
+def _round_trip(kind: str) -> str:
+    return f"select transaction_id, source_account, destination_account, cast(cast(amount as decimal(18,2)) as double) as amount, currency, epoch(ts)::bigint as ts, channel, jurisdiction, sar_linked, '{kind}' as source_type from txn"
+
+
+@query(_round_trip("csv"))
+def csv_roundtrip(V):
+    """SRC-01, SNK-02, SCL-14."""
+    rows, path = _canonical(V), _place("csv")
+    sinks.write_csv(rows, path)
+    return _told(readers.read_csv(active(), path).collections["transactions"])
+
+
+@query(_round_trip("json"))
+def json_roundtrip(V):
+    """SRC-02, SNK-03, PRJ-04."""
+    rows, path = _canonical(V), _place("json")
+    sinks.write_collection(rows.drop("source_lineage"), "transaction_id", path)
+    path = f"{path}.json" if documents.exists(active(), f"{path}.json") else f"{path}.jsonl"
+    return _told(readers.read_json(active(), path).collections["transactions"])
+
+
+@query(_round_trip("json"))
+def jsonl_roundtrip(V):
+    """SRC-03."""
+    rows, path = _canonical(V), f"{_place('lines')}.jsonl"
+    sinks.write_jsonl(rows.drop("source_lineage"), "transaction_id", path)
+    return _told(readers.read_json(active(), path).collections["transactions"])
+
+
+@query(_round_trip("parquet"))
+def parquet_roundtrip(V):
+    """SRC-04, SNK-01, SCL-05."""
+    rows, path = _canonical(V), _place("parquet")
+    sinks.write_parquet(rows, path)
+    return _told(readers.read_parquet(active(), path).collections["transactions"])
+
+
+@query("select 'entity' as kind, concat('n', n_nationkey) as id, 'nation' as type, n_name as a, null as b, '' as refs from nation union all select 'entity', concat('s', s_suppkey), 'unknown', null, null, '' from supplier union all select 'relationship', concat('r', s_suppkey), case when s_suppkey % 2 = 0 then 'based_in' else 'related_to' end, concat('s', s_suppkey), concat('n', s_nationkey), concat('T', s_suppkey, '/T', s_suppkey + 1) from supplier")
+def graphml_roundtrip(V):
+    """SRC-09, JON-14, SCL-10, WIN-04."""
+    V("refs")
+    V("txn")
+    t, path = active().table, _place("graph")
+    data = lambda k, v: F.concat(F.lit(f'<data key="{k}">'), v, F.lit("</data>"))
+    node = t("nation").select(F.concat(F.lit('<node id="n'), "n_nationkey", F.lit('">'), data("label", F.lit("nation")), data("name", F.col("n_name")), F.lit("</node>")).alias("value")).unionByName(t("supplier").select(F.concat(F.lit('<node id="s'), "s_suppkey", F.lit('"></node>')).alias("value")))
+    edge = t("supplier").select(F.concat(F.lit('<edge id="r'), "s_suppkey", F.lit('" source="s'), "s_suppkey", F.lit('" target="n'), "s_nationkey", F.lit('">'), F.when(F.col("s_suppkey") % 2 == 0, data("type", F.lit("based_in"))).otherwise(""), data("evidence_ids", F.concat(F.lit("T"), "s_suppkey", F.lit(", ,T"), F.col("s_suppkey") + 1)), F.lit("</edge>")).alias("value"))
+    # One document, as the format wants it.
+    lines = node.unionByName(edge).agg(F.concat(F.lit("<graphml><graph>"), F.array_join(F.collect_list("value"), "\n"), F.lit("</graph></graphml>")).alias("value"))
+    lines.write.text(path)
+    g = readers.read_graphml(active(), path).collections
+    none = F.lit(None).cast("string")
+    ents = g["entities"].select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), F.col("entity_type").alias("type"), F.col("display_name").alias("a"), none.alias("b"), F.lit("").alias("refs"))
+    return ents.unionByName(g["relationships"].select(F.lit("relationship").alias("kind"), F.col("relationship_id").alias("id"), F.col("relationship_type").alias("type"), F.col("source_entity_id").alias("a"), F.col("target_entity_id").alias("b"), F.array_join("evidence_ids", "/").alias("refs")))
+
+
+@query("select src, dst, txn_id, cast(cast(amount as decimal(18,2)) as double) as amount, epoch(ts)::bigint as ts, sar from (select source_account as src, destination_account as dst, transaction_id as txn_id, amount, ts, sar_linked as sar from txn)")
+def ledger_roundtrip(V):
+    """SRC-10, SNK-02 without quotes."""
+    path = _place("ledger")
+    flag = F.when(F.col("sar_linked"), "1").otherwise("0")
+    V("txn").select(F.col("transaction_id").alias("txn_id"), F.col("ts").cast("string").alias("timestamp"), "source_account", "destination_account", F.col("amount").cast("decimal(18,2)").alias("amount"), flag.alias("sar_linked")).write.option("header", True).csv(path)
+    return documents.read_ledger(active(), path).select("src", "dst", "txn_id", "amount", F.unix_timestamp("ts").alias("ts"), "sar")
+
+
+@query(f"""select cluster_id, account_count, regexp_replace(printf('%.4f', round_even(total_value, 4)), '\\.?0+$', '') as total_value, regexp_replace(printf('%.4f', round_even(circular_flow, 4)), '\\.?0+$', '') as circular_flow_score, regexp_replace(printf('%.4f', round_even(risk, 4)), '\\.?0+$', '') as risk_score
+from (select *, {_MM.format('raw')} as risk from (select *, 0.35::double * {_MM.format('total_value')} + 0.25::double * circular_flow + 0.15::double * {_MM.format('account_count')} + 0.15::double * {_MM.format('velocity')} + 0.10::double * sar_ratio as raw from k)) where risk >= 0.65""", REACH, True)
+def clusters_file(V):
+    """SNK-07."""
+    path = _place("clusters")
+    sinks.write_clusters(risk.cluster_risk(V("transfers")), path)
+    return active().read.option("header", True).schema("cluster_id string, account_count long, total_value string, circular_flow_score string, risk_score string").csv(path)
+
+
+@query("select upper(id) as id from valid_ids union select upper(id) from gold_ids")
+def grounding_files(V):
+    """SRC-11, SRC-12, SRC-13: ids of a CSV and a JSON file; a file of another kind and a missing one add none."""
+    path = _place("ground")
+    V("valid_ids").select(F.concat(F.lit(" "), "id").alias("txn_id")).coalesce(1).write.option("header", True).csv(f"{path}/a.csv")
+    sinks.write_text(active(), active().createDataFrame([("x",)], "x string").select(F.lit("")).first()[0], f"{path}/c.txt")
+    rows = V("gold_ids").select(F.lower("id").alias("txn_id"))
+    rows.agg(F.concat(F.lit('{"transfers":'), F.to_json(F.collect_list(F.struct("txn_id"))), F.lit("}")).alias("value")).write.text(f"{path}/b.json")
+    return documents.grounding(active(), [f"{path}/{x}" for x in ("a.csv", "b.json", "c.txt", "none.json")])
+
+
+@query("select upper(id) as id from gold_ids")
+def gold_file(V):
+    """SRC-14."""
+    path = f"{_place('gold')}/gold.json"
+    V("gold_ids").agg(F.to_json(F.struct(F.collect_list(F.lower("id")).alias("gold_evidence_txn_ids"))).alias("value")).write.text(path)
+    return documents.read_gold(active(), path)
+
+
+@query("select concat('run', doc_id % 50) as run, count(*) as total, count(*) filter (where quality = 1 and toxic = 0) as passed, count(*) filter (where toxic = 1) as failed, count(*) filter (where quality = 0 and toxic = 0) as skipped, 0 as other from labels where quality is not null and toxic is not null group by 1")
+def test_outcomes(V):
+    """SRC-16, AGG-15: all labels as single results in a file for each run."""
+    V("runs")
+    path = _place("trx")
+    rows = active().table("labels").filter("quality is not null and toxic is not null").select(F.concat(F.lit("run"), F.col("doc_id") % 50).alias("run"), F.concat(F.lit('<UnitTestResult testName="t'), "doc_id", F.lit('" outcome="'), F.when(F.col("toxic") == 1, "Failed").when(F.col("quality") == 1, "Passed").otherwise("NotExecuted"), F.lit('"></UnitTestResult>')).alias("x"))
+    whole = rows.groupBy("run").agg(F.concat(F.lit('<TestRun><ResultSummary outcome="Failed"/><Results>'), F.array_join(F.collect_list("x"), "\n"), F.lit("</Results></TestRun>")).alias("value"))
+    whole.repartition("run").write.partitionBy("run").text(path)
+    found = documents.read_test_results(active(), f"{path}/*").withColumn("run", F.regexp_extract(F.input_file_name(), "run=([^/]*)/", 1))
+    return profiles.test_counts(found)
+
+
+@query("select metric, label, direction, cast(threshold as double) as threshold, unit, required, 'p1' as policy_id, 'gap a/gap b' as gaps from policy")
+def policy_file(V):
+    """SRC-18."""
+    path = f"{_place('policy')}/policy.json"
+    rows = V("policy").withColumn("threshold", F.col("threshold").cast("double"))
+    rows.agg(F.collect_list(F.struct(*rows.columns)).alias("thresholds")).select(F.to_json(F.struct(F.lit("p1").alias("policy_id"), F.lit("1").alias("policy_version"), "thresholds", F.array(F.lit("gap a"), F.lit("gap b")).alias("not_yet_implemented_dimensions"))).alias("value")).write.text(path)
+    got = documents.read_policy(active(), path)
+    return got.thresholds.withColumns({"policy_id": F.lit(got.policy_id), "gaps": F.lit("/".join(got.gaps))})
+
+
+@query("select 'kept' as what, case when src = 0 then 'T' else 't' end as prefix, count(*) as n from txn_multi where src = 0 group by 1, 2 union all select 'schema_version_mismatch', 'later', 1")
+def schema_gate(V):
+    """FLT-03: a source of another schema version is left out whole."""
+    rows = V("txn_multi").select("src", F.col("id").alias("transaction_id"), F.lit("A").alias("source_account"), F.lit("B").alias("destination_account"), F.col("amount").cast("decimal(38,10)").alias("amount"), "currency", F.col("ts").cast("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("channel"), F.lit(None).cast("string").alias("jurisdiction"), F.lit(False).alias("sar_linked"), F.lit(None).cast(S.LINEAGE).alias("source_lineage"))
+    part = lambda k: {"transactions": rows.filter(F.col("src") == k).drop("src")}
+    case = merge.merge(active(), [S.Dataset(part(0), "first"), S.Dataset(part(1), "later", "v0")])
+    kept = case.collections["transactions"].groupBy(F.left("transaction_id", F.lit(1)).alias("prefix")).agg(F.count("*").alias("n")).select(F.lit("kept").alias("what"), "prefix", "n")
+    return kept.unionByName(case.conflicts.select(F.col("conflict_type").alias("what"), F.col("record_id").alias("prefix"), F.lit(1).cast("long").alias("n")))
+
+
+def _case(V) -> S.Case:
+    """Orders, customers, evidence, relationships and SARs of the driver tables, merged to one case."""
+    own = {n: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.struct_of(n).fields]) for n, df in _indexed(V).items()}
+    refs = V("refs")
+    own["relationships"] = refs.select(F.col("record_id").alias("relationship_id"), F.lit("a").alias("source_entity_id"), F.lit("a").alias("target_entity_id"), F.lit("x").alias("relationship_type"), F.array("ref").alias("evidence_ids"), F.lit(None).cast(S.LINEAGE).alias("source_lineage"))
+    own["sars"] = refs.select(F.col("record_id").alias("sar_id"), F.lit(None).cast("string").alias("case_id"), F.array("ref").alias("transaction_ids"), F.lit(None).cast("string").alias("narrative"), F.lit(None).cast(S.LINEAGE).alias("source_lineage"))
+    none = active().createDataFrame([], S.struct_of("entities")).select(*S.struct_of("entities").names)
+    return merge.merge(active(), [S.Dataset({**own, "entities": none}, "tables")])
+
+
+_ISSUES = "ri as (select record_id, ref, case when max(i.id) is null then 'dangling' else 'incompatible' end as issue from refs left join ids i on i.id = upper(ref) group by record_id, ref having count(*) filter (where type in ('evidence', 'transaction')) = 0), iss as (select issue, count(*) as n from ri group by 1 union all select 'missing_transaction', count(*) from refs where upper(ref) not in (select id from ids where type = 'transaction'))"
+
+
+@query("select issue, n, 'NOT_READY_FOR_DEPLOYMENT' as decision from iss where n > 0", _ISSUES)
+def integrity_summary(V):
+    """DOM-04, DOM-12, SNK-06: the case's issues by kind, and what they make of a decision that would pass."""
+    issues = merge.validate(active(), _case(V)).groupBy("issue").agg(F.count("*").alias("n"))
+    return issues.withColumn("decision", assurance.case_gate(F.lit("PASS"), F.lit(True), F.col("n"), F.lit(0)))
+
+
+_RUNS = _STATUS + _DECIDE
+GAPS = ("gap a", "Quality")
+
+
+def _documents(V) -> DataFrame:
+    """A profile for each run, written and read again."""
+    path = f"{_place('profiles')}.jsonl"
+    runs = V("runs").select("run_id", F.concat(F.lit("agent-"), F.col("n") % 3).alias("agent"), F.when(F.col("n") % 2 == 0, "m1").alias("model"), F.concat(F.lit("task"), F.col("n") % 3).alias("task"), F.lit(0).alias("tests"), F.lit(None).cast("int").alias("judge"), F.col("q").alias("precision"), F.lit(None).cast("double").alias("recall"))
+    meta = {k: "x" for k in ("generated_at_utc", "benchmark", "jurisdiction_profile", "started_at_utc", "completed_at_utc")}
+    made = profiles.profiles(runs, _status(V), list(GAPS), {"id": "p1", "name": "p", "version": "1", "path": "p.json"}, {**meta, "benchmark_version": "1.0"})
+    documents.write_documents(made, path)
+    return documents.read_profiles(active(), [path])
+
+
+_GAPPED = ", dg as (select run_id, case when evaluated = 0 or required_failed > 0 then 'NOT_READY_FOR_DEPLOYMENT' else 'PASS_WITH_CONDITIONS' end as decision from dc)"
+
+
+@query("select r.run_id, concat('agent-', n % 3) as agent, case when n % 2 = 0 then 'm1' else '?' end as model, concat('task', n % 3) as task, 'p1 v1' as policy, 'n/a' as task_performance, 'n/a' as eghr, printf('%.1f%%', q * 100) as precision, 'n/a' as recall, 'n/a' as trace_f1, 'n/a' as fabricated, decision from runs r join dg using (run_id)", _RUNS + _GAPPED)
+def compare_rows(V):
+    """SRC-19, SNK-09, MSC-03."""
+    return profiles.compare_rows(_documents(V))
+
+
+@query("select 'all' as scope, label as dimension from st where status = 'NOT_EVALUATED' union select 'all', 'gap a' union select 'all', 'Quality' union select 'run1', label from st where run_id = 'run1' and status = 'NOT_EVALUATED' union select 'run1', x from (values ('gap a'), ('Quality')) as v(x) where exists (select 1 from runs where run_id = 'run1')", _RUNS)
+def excluded_dimensions(V):
+    """MSC-04, SET-02: over all runs, and of the baseline only."""
+    docs = _documents(V)
+    both = profiles.excluded_dimensions(docs).withColumn("scope", F.lit("all")).unionByName(profiles.excluded_dimensions(docs, "run1").withColumn("scope", F.lit("run1")))
+    return both.select("scope", "dimension")
+
+
+@query("select run_id, count(*) as metrics, count(*) filter (where status = 'FAIL') as reasons, true as sound from st group by 1", _RUNS)
+def profile_documents(V):
+    """SNK-09, DOM-17, DOM-21: each run's profile has its hash and breaks no rule."""
+    docs = _documents(V)
+    path = f"{_place('profiles')}.jsonl"
+    documents.write_documents(docs, path)
+    text = active().read.text(path).select(F.col("value"), F.get_json_object("value", "$.provenance.run_id").alias("run_id"))
+    bad = profiles.invalid_documents(text, "value", "run_id")
+    return docs.select(F.col("provenance.run_id").alias("run_id"), F.size("metrics").cast("long").alias("metrics"), F.size("deployment_decision.reasons").cast("long").alias("reasons"), F.col("result_hash").startswith("sha256:").alias("ok")).join(bad, "run_id", "left").select("run_id", "metrics", "reasons", (F.col("ok") & F.col("violations").isNull()).alias("sound"))
+
+
+@query("select c.run_id, metric from st c left join (select metric, status from st where run_id = 'run1') b using (metric) where c.status = 'FAIL' and b.status is distinct from 'FAIL' and c.run_id <> 'run1'", _RUNS)
+def newly_failed(V):
+    """DOM-15: thresholds that a run fails and run1 doesn't, from the profiles; SNK-10's parts for all runs."""
+    rows = profiles.metric_rows(_documents(V))
+    first = rows.filter("run_id = 'run1'").select("metric", F.col("status").alias("b_status"))  # the policy's few rows
+    return rows.filter("run_id <> 'run1' and status = 'FAIL'").join(first, "metric", "left").filter(~F.col("b_status").eqNullSafe("FAIL")).select("run_id", "metric")
+
+
+@query("select r.run_id, case when required_failed = 0 then printf('xUnit PASS (%d/%d)', n, n) else printf('xUnit FAIL (%d assertion(s))', required_failed) end || case when n % 5 <> 0 then printf('; judge %s at %.1f%%', case when q >= 0.8 then 'PASS' else 'FAIL' end, q * 100) else '' end as overall_reason, case when required_failed = 0 and (n % 5 = 0 or q >= 0.8) then 'PASS' else 'FAIL' end as overall_verdict from runs r join dc using (run_id)", _RUNS)
+def run_results(V):
+    """SNK-08, MSC-06, MSC-07, DOM-22: a result document a run, archived, and read as one table."""
+    rows = V("runs").join(assurance.decide(_status(V)), "run_id")
+    tests = F.when(F.col("required_failed") == 0, "PASS").otherwise("FAIL")
+    judge = F.when(F.col("n") % 5 != 0, F.when(F.col("q") >= 0.8, "PASS").otherwise("FAIL"))
+    code = lambda x: F.when(x.isNotNull(), F.when(x == "PASS", 0).otherwise(1))
+    path = f"{_place('results')}.jsonl"
+    documents.write_documents(rows.select(F.lit("1.0").alias("schema_version"), "run_id", assurance.overall_verdict(code(tests), code(judge)).alias("overall_verdict"), profiles.verdict_reason(tests, F.col("n"), F.col("n"), F.col("required_failed"), judge, F.col("q")).alias("overall_reason")), path)
+    return active().read.schema("run_id string, overall_verdict string, overall_reason string").json(path)
+
+
+@query("select e.report_id, eghr_rate, cast(unsupported as double) as fabricated, cast(claims as bigint) as n_claims, 'PASS' as verdict from (select report_id, count(*) as claims, count(*) filter (where scored = 'unsupported') as unsupported, round_even(count(*) filter (where scored <> 'supported') / count(*), 4) as eghr_rate from sc group by 1) e", _CLAIMS)
+def judge_reports(V):
+    """SNK-11, DOM-18, MSC-01: claims as JSON, scored; a judge's document a report, and its metrics read from it."""
+    claim = F.struct(F.lit("x").alias("text"), F.array("cited").alias("cited_txn_ids"), "support")
+    raw = V("claims").select("report_id", "claim_id", F.to_json(F.array(claim)).alias("claims"))
+    parsed = raw.select("report_id", "claim_id", F.explode(documents.parse_claims()).alias("c")).select("report_id", "claim_id", "c.support", "c.cited_ids")
+    rate = evidence.hallucination_rate(evidence.score_claims(parsed, V("valid_ids")))
+    judge = F.struct(F.lit("PASS").alias("verdict"), F.struct(F.col("claims").alias("total_claims"), F.col("eghr_rate").alias("rate")).alias("eghr"), F.struct(F.array_repeat(F.lit("T"), F.col("unsupported").cast("int")).alias("fabricated_citations")).alias("evidence_traceability"))
+    path = f"{_place('judge')}.jsonl"
+    documents.write_documents(rate.select("report_id", F.to_json(judge).alias("judge")), path)
+    got = active().read.schema("report_id long, judge string").json(path)
+    m = documents.judge_metrics(F.col("judge"))
+    return got.select("report_id", m["eghr_rate"].alias("eghr_rate"), m["fabricated_citation_count"].alias("fabricated"), F.get_json_object("judge", "$.eghr.total_claims").cast("long").alias("n_claims"), F.get_json_object("judge", "$.verdict").alias("verdict"))
+
+
+@query("select concat('n', n_nationkey, '.md') as name, cast(length(n_name) * 900 + 8 as bigint) as size_bytes, case when length(n_name) * 900 + 8 <= 4000 then repeat(n_name, 900) || ' T1-001 ' else left(repeat(n_name, 900), 4000) || chr(10) || '...[truncated]' end as preview, 1 as citation_count, null as cells from nation union all select concat('n', n_nationkey, '.csv'), cast(length(n_name) + length(cast(n_nationkey as varchar)) + 6 as bigint), null, null, concat('{\"a\":\"', n_name, '\",\"b\":\"', n_nationkey, '\"}') from nation")
+def agent_outputs(V):
+    """SRC-15, FLT-05, MSC-08, SCL-18: a folder of files; a brief is left out, cells stay text."""
+    V("txn")
+    path, t = _place("outputs"), active().table("nation")
+    md = t.select(F.concat(F.lit("n"), "n_nationkey", F.lit(".md")).alias("name"), F.concat(F.repeat("n_name", F.lit(900)), F.lit(" T1-001 ")).alias("text"))
+    csv = t.select(F.concat(F.lit("n"), "n_nationkey", F.lit(".csv")).alias("name"), F.concat(F.lit("a,b\n"), "n_name", F.lit(","), "n_nationkey", F.lit("\n")).alias("text"))
+    brief = active().createDataFrame([("Prompt.md", "x")], "name string, text string")
+    documents.write_files(md.unionByName(csv).unionByName(brief), path)
+    got = documents.collect_outputs(active(), path)
+    return got.select("name", "size_bytes", F.col("content_preview").alias("preview"), "citation_count", F.to_json(F.get("rows", F.lit(0))).alias("cells"))
+
+
+@query("select n_nationkey as id, concat('{\"operational_capabilities\":[\"', n_name, '\"]}') as doc, case when n_nationkey % 2 = 0 then n_name else '' end as tags, concat(cast(n_nationkey as varchar), '.0%') as share, concat('+', n_nationkey, '.0 pp') as points, concat(left(repeat(n_name, 3), 9), '...') as short, concat('KEY=***REDACTED*** ', n_name) as hidden, concat(n_name, '=', n_nationkey) as pair, 'a/b' as listed, case when n_nationkey % 10 = 0 then concat(n_nationkey, '') else concat(n_nationkey, '.5') end as four from nation")
+def scalar_formats(V):
+    """SCL-10, SCL-11, SCL-17, SCL-20, SCL-21, MSC-09, and the number format of SNK-07."""
+    V("txn")
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    doc = F.concat(F.lit('{"operational_capabilities":["'), name, F.lit('"]}'))
+    odd = F.when(k % 2 == 0, doc).otherwise(F.lit("{}"))
+    four = F.when(k % 10 == 0, k.cast("double")).otherwise(k + 0.5)
+    return active().table("nation").select(
+        k.alias("id"), doc.alias("doc"), F.array_join(profiles.capability_tags(odd), "/").alias("tags"), N.percent(k / 100).alias("share"), N.points(k / 100).alias("points"), N.truncate(F.repeat(name, F.lit(3)), 12).alias("short"), N.redact(F.concat(F.lit("KEY=abc "), name), ["KEY"]).alias("hidden"),
+        F.concat_ws("=", F.map_keys(N.key_values(F.concat(name, F.lit("="), k)))[0], F.map_values(N.key_values(F.concat(name, F.lit("="), k)))[0]).alias("pair"), F.array_join(N.comma_list(F.lit(" a, ,b")), "/").alias("listed"), N.up_to_four(four).alias("four"))
+
+
+@query("select 'sha256:' || sha256(concat_ws('|', concat('task', n % 3), case when n % 2 = 0 then 'm1' else '' end, '12', 'local', 'p1', '1')) as config_hash, run_id from runs")
+def config_hashes(V):
+    """DOM-21: how each run was configured."""
+    return V("runs").select(profiles.run_hash(F.concat(F.lit("task"), F.col("n") % 3), F.when(F.col("n") % 2 == 0, "m1"), F.lit(12), F.lit("local"), F.lit("p1"), F.lit("1")).alias("config_hash"), "run_id")

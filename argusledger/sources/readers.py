@@ -11,44 +11,55 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from argusledger.functions import normalise as N
+from argusledger.functions.tables import small
 from argusledger.sources import schema as S
 
 ADAPTER_VERSION = "1.0"
+# Keys under which an object may hold the rows.
 WRAPPERS = ("transactions", "rows", "data", "records")
 
 
-def _field(df: DataFrame, *names: str) -> Column:
-    """The first non-blank of the columns that exist (names without case)."""
-    have = {c.lower(): c for c in df.columns}
+def _named(df: DataFrame, exact: bool) -> dict[str, str]:
+    return {c if exact else c.lower(): c for c in df.columns}
+
+
+def _field(df: DataFrame, *names: str, exact: bool = False) -> Column:
+    """The first non-blank of the columns that exist (names without case, unless ``exact``)."""
+    have = _named(df, exact)
     own = [F.col(f"`{have[n]}`").cast("string") for n in names if n in have]
     return N.first_non_blank(*own) if own else F.lit(None).cast("string")
 
 
-def _raw(df: DataFrame, *names: str) -> Column:
+def _raw(df: DataFrame, *names: str, exact: bool = False) -> Column:
     """The first of the columns that exists, as it is: presence decides, not the value."""
-    have = {c.lower(): c for c in df.columns}
+    have = _named(df, exact)
     for n in names:
         if n in have:
             return F.col(f"`{have[n]}`").cast("string")
     return F.lit(None).cast("string")
 
 
-def map_transactions(rows: DataFrame, source_type: str, source_name: str | None = None, table: str | None = None) -> DataFrame:
-    """All-text rows to canonical transactions with ``problem`` (null: valid).  Aliases are tried in order."""
+def map_transactions(rows: DataFrame, source_type: str, source_name: str | None = None, table: str | None = None, exact: bool = False) -> DataFrame:
+    """All-text rows to canonical transactions with ``problem`` (null: valid).  Aliases are tried in order.
+
+    Each field is parsed once, to a struct; validity is judged on what was parsed.
+    """
     adapter = F.lit(source_type)
-    ident = _field(rows, "transaction_id", "txn_id")
-    src, dst = _field(rows, "source_account", "from_account"), _field(rows, "destination_account", "to_account")
-    amount, ts, currency = _raw(rows, "amount"), _raw(rows, "timestamp"), _raw(rows, "currency")
+    raw = lambda *names: _raw(rows, *names, exact=exact)
+    text = lambda *names: _field(rows, *names, exact=exact)
+    parsed = rows.select(
+        text("transaction_id", "txn_id").alias("ident"), text("source_account", "from_account").alias("src"), text("destination_account", "to_account").alias("dst"),
+        N.blank_to_null(raw("amount")).alias("amount_text"), N.parse_amount(raw("amount")).alias("amount"), N.blank_to_null(raw("timestamp")).alias("ts_text"), N.parse_timestamp(raw("timestamp")).alias("ts"),
+        N.parse_currency(raw("currency")).alias("currency"), raw("channel").alias("channel"), raw("jurisdiction", "destination_country").alias("jurisdiction"), N.parse_flag(raw("sar_linked")).alias("sar_linked"))
+    ident = F.col("ident")
     problem = (
-        F.when(ident.isNull(), "missing transaction_id").when(src.isNull(), "missing source_account").when(dst.isNull(), "missing destination_account")
-        .when(N.blank_to_null(amount).isNull(), "missing amount").when(N.parse_amount(amount).isNull(), "invalid amount")
-        .when(N.blank_to_null(ts).isNull(), "missing timestamp").when(N.parse_timestamp(ts).isNull(), "invalid timestamp")
-        .when(N.bad_currency(currency), "invalid currency")
+        F.when(ident.isNull(), "missing transaction_id").when(F.col("src").isNull(), "missing source_account").when(F.col("dst").isNull(), "missing destination_account")
+        .when(F.col("amount_text").isNull(), "missing amount").when(F.col("amount").isNull(), "invalid amount")
+        .when(F.col("ts_text").isNull(), "missing timestamp").when(F.col("ts").isNull(), "invalid timestamp")
+        .when(F.col("currency").isNotNull() & ~F.col("currency").rlike(N.CURRENCY), "invalid currency")
     )
-    return rows.select(
-        ident.alias("transaction_id"), src.alias("source_account"), dst.alias("destination_account"), N.parse_amount(amount).alias("amount"),
-        N.parse_currency(currency).alias("currency"), N.parse_timestamp(ts).alias("timestamp"), _raw(rows, "channel").alias("channel"),
-        _raw(rows, "jurisdiction", "destination_country").alias("jurisdiction"), N.parse_flag(_raw(rows, "sar_linked")).alias("sar_linked"),
+    return parsed.select(
+        ident.alias("transaction_id"), F.col("src").alias("source_account"), F.col("dst").alias("destination_account"), "amount", "currency", F.col("ts").alias("timestamp"), "channel", "jurisdiction", "sar_linked",
         F.struct(adapter.alias("source_type"), F.lit(source_name).cast("string").alias("source_name"), F.lit(table).cast("string").alias("table"),
                  ident.alias("source_record_id"), F.concat(adapter, F.lit("-adapter")).alias("adapter"), F.lit(ADAPTER_VERSION).alias("adapter_version")).alias("source_lineage"),
         problem.alias("problem"),
@@ -71,15 +82,15 @@ def strict(mapped: DataFrame, key: str = "transaction_id") -> DataFrame:
     return mapped.drop("problem")
 
 
-def _transactions(rows: DataFrame, kind: str, name: str | None, table: str | None = None) -> S.Dataset:
-    return S.Dataset({"transactions": strict(map_transactions(rows, kind, name, table))}, name or kind, source_type=kind)
+def _transactions(rows: DataFrame, kind: str, name: str | None, table: str | None = None, exact: bool = False) -> S.Dataset:
+    return S.Dataset({"transactions": strict(map_transactions(rows, kind, name, table, exact))}, name or kind, source_type=kind)
 
 
 def read_csv(spark: SparkSession, path: str, name: str | None = None) -> S.Dataset:
     rows = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     if not rows.columns:
         raise S.SourceError(f"{path}: no header")
-    return _transactions(rows, "csv", name or path)
+    return _transactions(rows, "csv", name or path, exact=True)
 
 
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -87,12 +98,20 @@ def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".jsonl"):
         return spark.read.option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
     rows = spark.read.option("multiLine", True).option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
-    held = [w for w in WRAPPERS if w in rows.columns]
+    return _unwrap(spark, path, rows, WRAPPERS)
+
+
+def _unwrap(spark: SparkSession, path: str, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """A top-level array's rows as they are; of an object, those of its first wrapper."""
+    start = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    if start and start[0].value.lstrip("\ufeff \t").startswith("["):
+        return rows
+    held = [w for w in keys if w in rows.columns]
     return rows.selectExpr(f"inline({held[0]})") if held else rows
 
 
 def read_json(spark: SparkSession, path: str, name: str | None = None) -> S.Dataset:
-    return _transactions(read_json_rows(spark, path), "json", name or path)
+    return _transactions(read_json_rows(spark, path), "json", name or path, exact=True)
 
 
 def read_parquet(spark: SparkSession, path: str, name: str | None = None) -> S.Dataset:
@@ -149,12 +168,16 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 def read_graphml(spark: SparkSession, path: str, name: str | None = None) -> S.Dataset:
     """Nodes and edges by Spark's XML source.  Unknown endpoints and repeated edge ids raise."""
     data = "data array<struct<_key:string,_VALUE:string>>"
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path).withColumn("_at", F.monotonically_increasing_id())
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("mode", "FAILFAST").schema(schema).load(path).withColumn("_at", F.monotonically_increasing_id())
     value = lambda key: F.get(F.filter("data", lambda d: d["_key"] == key), F.lit(0))["_VALUE"]
     nodes = last_wins(read("node", f"_id string, {data}").select(F.col("_id").alias("entity_id"), F.coalesce(value("label"), F.lit("unknown")).alias("entity_type"), value("name").alias("display_name"), "_at"), "entity_id", "_at")
     edges = read("edge", f"_id string, _source string, _target string, {data}")
-    # An edge without id is named by its place in the file: files with such edges are read as one partition.
-    place = F.row_number().over(Window.orderBy("_at"))
+    # An edge without id is named by its place: counted within its partition, after the partitions before it.
+    edges = edges.withColumns({"_part": F.shiftright("_at", 33), "_place": F.row_number().over(Window.partitionBy(F.shiftright("_at", 33)).orderBy("_at"))})
+    sizes = sorted((r._part, r["count"]) for r in edges.groupBy("_part").count().collect())  # one row a partition
+    before = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    edges = edges.join(small(spark.createDataFrame(before, "_part long, _before long")), "_part")
+    place = (F.col("_place") + F.col("_before")).cast("string")
     edges = edges.select(F.coalesce("_id", F.concat(F.lit("edge-"), place)).alias("relationship_id"), F.col("_source").alias("source_entity_id"), F.col("_target").alias("target_entity_id"),
                          F.coalesce(value("type"), F.lit("related_to")).alias("relationship_type"), N.comma_list(value("evidence_ids")).alias("evidence_ids"))
     ends = edges.select("relationship_id", F.explode(F.array("source_entity_id", "target_entity_id")).alias("entity_id"))
@@ -189,8 +212,9 @@ def grounding_ids(spark: SparkSession, path: str, column: str = "txn_id") -> Dat
         rows = spark.read.option("header", True).csv(path)
     elif path.endswith(".json"):
         rows = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-        held = [w for w in ("transactions", "rows", "data", "transfers", "records") if w in rows.columns]
-        rows = rows.selectExpr(f"inline({held[0]})") if held else rows
+        if "_corrupt_record" in rows.columns:
+            return none
+        rows = _unwrap(spark, path, rows, ("transactions", "rows", "data", "transfers", "records"))  # fixed values
     else:
         return none
     if column not in rows.columns:

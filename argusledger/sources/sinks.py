@@ -7,8 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argusledger.functions.normalise import iso_o
+from argusledger.functions.normalise import iso_o, up_to_four
 from argusledger.sources import schema as S
+from argusledger.sources.readers import ADAPTER_VERSION
 
 LISTS = ("accounts", "customers", "cases", "alerts", "evidence", "jurisdictions", "sars")
 
@@ -17,10 +18,18 @@ def write_parquet(transactions: DataFrame, path: str) -> None:
     transactions.drop("source_lineage").write.mode("overwrite").parquet(path)
 
 
-def write_csv(transactions: DataFrame, path: str) -> None:
-    """Ordered by id; id column ``txn_id``; ISO timestamps; quoted where a field needs it."""
+#: Rows up to which a collection is written as one JSON array; beyond it, as JSON lines.
+ARRAY_ROWS = 100_000
+
+
+def write_csv(transactions: DataFrame, path: str, quoted: bool = True) -> None:
+    """Ordered by id; id column ``txn_id``; ISO timestamps; quoted where a field needs it, or (``quoted=False``) never."""
     rows = transactions.select(F.col("transaction_id").alias("txn_id"), "source_account", "destination_account", "amount", "currency", iso_o(F.col("timestamp")).alias("timestamp"), "channel", "jurisdiction", F.lower(F.col("sar_linked").cast("string")).alias("sar_linked"))
-    rows.orderBy("txn_id").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    if quoted:
+        rows.orderBy("txn_id").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    else:
+        line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
+        rows.orderBy("txn_id").select(line.alias(",".join(rows.columns))).write.mode("overwrite").option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
 
 
 def write_jsonl(df: DataFrame, key: str, path: str) -> None:
@@ -28,7 +37,9 @@ def write_jsonl(df: DataFrame, key: str, path: str) -> None:
 
 
 def write_clusters(clusters: DataFrame, path: str) -> None:
-    clusters.orderBy(F.desc("risk_score"), "cluster_id").write.mode("overwrite").option("header", True).csv(path)
+    """By risk; numbers with at most four decimal places."""
+    rows = clusters.orderBy(F.desc("risk_score"), "cluster_id").select("cluster_id", "account_count", *[up_to_four(F.col(c)).alias(n) for c, n in (("total_value", "total_value"), ("circular_flow", "circular_flow_score"), ("risk_score", "risk_score"))])
+    rows.write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_case(spark: SparkSession, case: S.Case, root: str) -> list[str]:
@@ -38,13 +49,52 @@ def export_case(spark: SparkSession, case: S.Case, root: str) -> list[str]:
         if df.limit(1).count():
             if name == "transactions":
                 write_csv(df, f"{root}/transactions.csv")
-            else:
-                write_jsonl(df.drop("source_lineage"), S.COLLECTIONS[name][2], f"{root}/{name}.json")
+            elif name in LISTS:
+                write_collection(df.drop("source_lineage"), S.COLLECTIONS[name][2], f"{root}/{name}")
             done.append(name)
+    graph = {n: case.collections[n].drop("source_lineage") for n in ("entities", "relationships") if n in done}
+    if graph:
+        write_graph(spark, graph, f"{root}/relationships")
     write_text(spark, json.dumps(case_manifest(spark, case), indent=2, sort_keys=True), f"{root}/case_manifest.json")
     return done
 
 
+def _array(df: DataFrame, key: str) -> DataFrame:
+    rows = df.select(F.col(key).alias("k"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+    return rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: x.j), ","), F.lit("]")).alias("value"))
+
+
+def _few(df: DataFrame) -> bool:
+    return df.limit(ARRAY_ROWS + 1).count() <= ARRAY_ROWS
+
+
+def write_collection(df: DataFrame, key: str, path: str) -> None:
+    """``path``.json with one array ordered by ``key``, or, of more than ARRAY_ROWS rows, ``path``.jsonl with a row a line."""
+    if _few(df):
+        _array(df, key).write.mode("overwrite").text(f"{path}.json")
+    else:
+        write_jsonl(df, key, f"{path}.jsonl")
+
+
+def write_graph(spark: SparkSession, graph: dict[str, DataFrame], path: str) -> None:
+    """``path``.json with the arrays ``entities`` and ``relationships``; large ones as JSON lines of their own."""
+    if all(map(_few, graph.values())):
+        parts = [_array(df, S.COLLECTIONS[n][2]).select(F.lit(n).alias("n"), "value") for n, df in sorted(graph.items())]
+        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: F.concat(F.lit('"'), x.n, F.lit('":'), x.value)), ",")
+        both.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value")).write.mode("overwrite").text(f"{path}.json")
+    else:
+        for name, df in graph.items():
+            write_jsonl(df, S.COLLECTIONS[name][2], f"{path}-{name}.jsonl")
+
+
+def table_text(title: str, header: list[str], rows: list[list[str]]) -> str:
+    """A table for a console; its cells are text."""
+    wide = [max(len(r[i]) for r in [header, *rows]) for i in range(len(header))]
+    line = lambda r: " | ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip()
+    return "\n".join([f"== {title} ==", line(header), "-+-".join("-" * w for w in wide), *map(line, rows)])
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
@@ -57,11 +107,19 @@ def record_counts(collections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def dataset_manifest(spark: SparkSession, data: S.Dataset, raw_hash: str | None = None) -> dict:
+def dataset_manifest(spark: SparkSession, data: S.Dataset, path: str | None = None, at: str = "") -> dict:
+    """What one source gave; ``path`` names the file that its raw hash is of, a live source has none.  ``at``: ISO time."""
     from argusledger.operators.merge import content_hash
-
-    return {"schema_version": data.schema_version, "source": data.name, "source_type": data.source_type, "raw_hash": raw_hash, "normalisation_hash": content_hash(spark, data),
-            "limitation": None if raw_hash else "live source: its raw bytes cannot be hashed", "counts": {r.collection: r.records for r in record_counts(data.collections).collect()}}
+    from argusledger.operators.profiles import files_hash
+
+    raw = files_hash(spark, [path]) if path else None
+    own = {r.collection: r.records for r in record_counts(data.collections).collect()} if data.collections else {}
+    counts = {n: own.get(n, 0) for n in S.COLLECTIONS}
+    return {
+        "dataset_id": f"{data.source_type}-{at}", "source_type": data.source_type, "source_name": (path or data.name).rstrip("/").rsplit("/", 1)[-1], "adapter": f"{data.source_type}-adapter", "adapter_version": ADAPTER_VERSION,
+        "schema_version": data.schema_version, "record_count": sum(counts.values()), "record_counts_by_type": counts, "snapshot_timestamp": at, "dataset_hash": raw, "normalisation_hash": content_hash(spark, data),
+        "snapshot_limitation": None if raw else "a live source: what it held before normalisation was not kept, so only the canonical rows can be checked",
+    }
 
 
 def case_manifest(spark: SparkSession, case: S.Case) -> dict:

@@ -157,20 +157,20 @@ def plain_transfers():
     return [(f"A{r['l_suppkey']}-{r['l_partkey'] % 6}", f"A{r['l_suppkey']}-{r['l_orderkey'] % 6}", round(r["l_extendedprice"] * 100), r["l_shipdate"], r["l_returnflag"] == "R") for r in t]
 
 
-def test_whole_graph_is_all_of_lineitem(spark):
+def test_graph_is_all_of_lineitem(spark):
     rows = plain_transfers()
     run = lambda name: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     want = {}
     for a, b, cents, _, _ in rows:
         n, total = want.get((a, b), (0, 0))
         want[a, b] = n + 1, total + cents
-    assert {(r.src, r.dst): (r.n, round(float(r.weight) * 100)) for r in run("whole_edge_weights").collect()} == want
+    assert {(r.src, r.dst): (r.n, round(float(r.weight) * 100)) for r in run("edge_weights").collect()} == want
     group = {x: x for e in want for x in e}
     for _ in group:
         for a, b in want:
             group[a] = group[b] = min(group[a], group[b])
-    assert {r.node: r.component for r in run("whole_wcc_components").collect()} == group
-    m = run("whole_cluster_metrics").collect()
+    assert {r.node: r.component for r in run("wcc_components").collect()} == group
+    m = run("cluster_metrics").collect()
     assert sum(r.transfers for r in m) == len(rows) and {r.component for r in m} == set(group.values())
     assert {r.account_id for r in run("mule_findings").collect()} == set(group)
 
@@ -193,11 +193,11 @@ def test_regression_and_verdict(spark):
     assert [r[0] for r in codes.select(assurance.overall_verdict(F.col("t"), F.col("j"))).collect()] == ["PASS", "PASS", "FAIL", "FAIL", "FAIL"]
 
 
-def test_whole_merge_has_all_orders(spark):
+def test_merge_has_all_orders(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    kept = catalogue.QUERIES["whole_merge_kept"](spark, "/root/testdata/sf0.001").collect()
+    kept = catalogue.QUERIES["merge_kept"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(r.transaction_id for r in kept) == sorted(f"T{r.o_orderkey}" for r in orders.collect())
-    found = catalogue.QUERIES["whole_merge_conflicts"](spark, "/root/testdata/sf0.001").collect()
+    found = catalogue.QUERIES["merge_conflicts"](spark, "/root/testdata/sf0.001").collect()
     assert {r.record_id for r in found} == {f"t{r.o_orderkey}" for r in orders.collect() if r.o_orderkey % 2 == 0 and any(r.o_orderkey % k == 0 for k in (5, 7, 11))}
 
 
@@ -214,3 +214,112 @@ def test_case_hashes_cover_the_tables(spark):
     got = {r.collection: r.records for r in catalogue.QUERIES["case_hashes"](spark, sf).collect()}
     n = lambda t: spark.read.parquet(f"{sf}/{t}.parquet").count()
     assert got == {"transactions": n("orders"), "accounts": n("customer"), "customers": n("customer"), "entities": n("supplier"), "alerts": n("events"), "jurisdictions": n("nation")}
+
+
+def put(folder, **files):
+    for name, text in files.items():
+        (folder / name.replace("__", ".").replace("_", "-")).write_text(text if isinstance(text, str) else json.dumps(text))
+
+
+def test_case_and_policy_files(spark, tmp_path):
+    from argusledger.sources import documents
+
+    put(tmp_path, case__json={"case_id": "c", "sources": [{"source_type": "CSV", "path": "a.csv", "role": "bank"}, {"source_type": "postgresql", "connection_profile": "p", "query": "q", "options": {"x": None}}, {"source_type": "csv", "path": "none.csv"}]}, a__csv=CSV)
+    case = documents.read_case(spark, f"{tmp_path}/case.json")
+    assert case.case_id == "c" and [s.source_type for s in case.sources] == ["CSV", "postgresql", "csv"] and case.sources[0].path == f"{tmp_path}/a.csv" and case.sources[1].arguments() == {"connection": "p", "query": "q", "x": ""}
+    got = merge.load_case(spark, case.definitions(), readers.default_registry())
+    assert got.collections["transactions"].count() == 2 and [n for n, _ in got.failures] == ["p", f"{tmp_path}/none.csv"] and got.source_manifest.first().adapter == "csv-adapter"
+    for bad in ("[]", "{", '{"case_id": " ", "sources": [{}]}', '{"case_id": "c", "sources": []}', '{"case_id": "c", "sources": [{"path": "x"}]}'):
+        with pytest.raises(S.InvalidConfiguration):
+            documents.parse_case(bad)
+    good = {"metric": "m", "label": "M", "direction": "lower_is_better", "threshold": 0.5, "unit": "rate"}
+    put(tmp_path, good__json={"policy_id": "p", "thresholds": [good]}, bad__json={"thresholds": [{**good, "threshold": 2}]}, less__json={"thresholds": [{"metric": "m"}]})
+    policy = documents.read_policy(spark, f"{tmp_path}/good.json")
+    assert policy.thresholds.first().required and policy.gaps == [] and policy.policy_id == "p"
+    for name in ("bad", "less", "none"):
+        with pytest.raises(S.AdapterError):
+            documents.read_policy(spark, f"{tmp_path}/{name}.json")
+
+
+def test_evidence_files(spark, tmp_path):
+    from argusledger.operators import profiles
+    from argusledger.sources import documents
+
+    put(tmp_path, g__json={"gold_evidence_txn_ids": ["t1-001", "T1-002"]}, e__json={}, prompt__md="p", rubric__json="{}")
+    assert {r.id for r in documents.read_gold(spark, f"{tmp_path}/g.json").collect()} == {"T1-001", "T1-002"}
+    assert documents.read_gold(spark, f"{tmp_path}/e.json") is None and documents.read_gold(spark, f"{tmp_path}/n.json") is None and documents.read_gold(spark, None) is None
+    assert documents.bundle(spark, str(tmp_path), ["prompt.md", "no.md"], "in") == "----- in:prompt.md -----\np\n----- in:no.md -----\n[MISSING FILE]\n"
+    one = profiles.task_fingerprint(spark, str(tmp_path))
+    put(tmp_path, prompt__md="q")
+    assert one != profiles.task_fingerprint(spark, str(tmp_path)) and profiles.files_hash(spark, [f"{tmp_path}/no.md"]) is None
+    names = ["task-006-a", "task-007-b", "task-0071", "other"]
+    assert [profiles.resolve_task(names, x) for x in ("other", "006", "task-007", "TASK-006", "x")] == ["other", "task-006-a", None, "task-006-a", None]
+    claims = spark.createDataFrame([('[null, {"text": "a"}, {"cited_txn_ids": ["T1"], "support": "Supported"}]',), ("broken",), (None,)], "claims string")
+    assert [[(c.text, c.cited_ids, c.support) for c in r[0]] for r in claims.select(documents.parse_claims()).collect()] == [[("a", [], "unsupported"), ("", ["T1"], "Supported")], [], []]
+
+
+def test_profile_rules(spark, tmp_path):
+    from argusledger.operators import profiles
+    from argusledger.sources import documents
+
+    docs = catalogue._documents(lambda v: catalogue.view(spark, "/root/testdata/sf0.001", v))
+    path = f"{tmp_path}/p.jsonl"
+    documents.write_documents(docs, path)
+    good = json.loads(spark.read.text(path).first().value)
+    assert profiles.violations(good) == []
+    change = lambda **k: profiles.violations({**good, **k})
+    assert change(metrics=None) == ["no metrics", "metrics: not an array"]
+    assert change(result_hash="md5:1") == ["result_hash: not sha256:..."]
+    assert change(metrics=[{**good["metrics"][0], "status": "ODD", "value": None}]) == ["metrics[0]: unknown status ODD"]
+    assert change(metrics=[1]) == ["metrics[0]: not an object"] and change(policy={"id": 1, "name": None, "version": 1}) == ["policy: no path"]
+    assert change(deployment_decision={**good["deployment_decision"], "overall": "MAYBE", "reasons": 1}) == ["deployment_decision: unknown decision MAYBE", "deployment_decision: reasons are no array"]
+    assert "provenance: no run to trace it to" in change(provenance={}) and change(not_evaluated_dimensions=[{}]) == ["not_evaluated_dimensions: not all are text"]
+    bad = spark.createDataFrame([(1, "x"), (2, json.dumps(good)), (3, "[]"), (4, None)], "k long, t string")
+    assert {r.k: r.violations for r in profiles.invalid_documents(bad, "t", "k").collect()} == {1: ["not JSON"], 3: ["not an object"], 4: ["not JSON"]}
+    rows = docs.orderBy("provenance.run_id").withColumn("path", F.lit("x"))
+    ids = [r.run_id for r in rows.select("provenance.run_id").limit(2).collect()]
+    two = rows.filter(F.col("provenance.run_id").isin(*ids))
+    one = profiles.comparison(spark, two, "now")
+    assert [r["run_id"] for r in one["compared_runs"]] == ids and set(one["excluded_dimensions"]) >= {"gap a", "Quality"}
+    check = profiles.regression(spark, two, *ids, "now")
+    assert len(check["metric_deltas"]) == 3 and check["decision_change"]["regression_detected"] in (True, False) and check["baseline"]["run_id"] == ids[0]
+    with pytest.raises(S.InvalidConfiguration):
+        documents.read_profiles(spark, ["a.json"])
+    with pytest.raises(S.SourceError):
+        documents.read_profiles(spark, [path, f"{tmp_path}/none.json"])
+    put(tmp_path, odd__json="{}")
+    with pytest.raises(S.SourceError, match="not a profile"):
+        documents.read_profiles(spark, [path, f"{tmp_path}/odd.json"])
+
+
+def test_exports(spark, tmp_path):
+    a = txns(spark, tmp_path)
+    rows = a.collections["transactions"]
+    sinks.write_csv(rows, f"{tmp_path}/plain", quoted=False)
+    assert spark.read.text(f"{tmp_path}/plain").first().value.startswith("txn_id,source_account,") and spark.read.text(f"{tmp_path}/plain").filter("value like 'T1,A,1,B1,%'").count() == 1
+    m = sinks.dataset_manifest(spark, a, f"{tmp_path}/a.csv", "2026-01-01")
+    assert m["record_count"] == 2 and m["dataset_hash"].startswith("sha256:") and m["snapshot_limitation"] is None and m["source_name"] == "a.csv" and m["adapter"] == "csv-adapter"
+    assert sinks.dataset_manifest(spark, S.Dataset({}, "live", source_type="rest"))["snapshot_limitation"]
+    sinks.write_graph(spark, {"entities": spark.createDataFrame([("e", None)], "entity_id string, entity_type string")}, f"{tmp_path}/g")
+    assert json.loads(spark.read.text(f"{tmp_path}/g.json").first().value) == {"entities": [{"entity_id": "e", "entity_type": None}]}
+    assert sinks.table_text("t", ["a", "bb"], [["x", "y"]]) == "== t ==\na | bb\n--+---\nx | y"
+    plain = [{"txn_id": "T9", "data": [1], "source_account": "a", "destination_account": "b", "amount": "1", "timestamp": "2026-01-01"}]
+    put(tmp_path, list__json=plain, wrap__json={"data": plain})
+    for name in ("list", "wrap"):
+        assert readers.read_json(spark, f"{tmp_path}/{name}.json").collections["transactions"].first().transaction_id == "T9"
+    put(tmp_path, up__csv=CSV.replace("amount", "Amount", 1))
+    with pytest.raises(S.NormalisationError, match="missing amount"):  # names of CSV columns are exact
+        readers.read_csv(spark, f"{tmp_path}/up.csv")
+    put(tmp_path, l__csv="txn_id,timestamp,source_account,destination_account,amount,sar_linked\na,2026-01-01,x,y,1.5,2\n", m__csv="txn_id\n1\n")
+    from argusledger.sources import documents
+
+    assert documents.read_ledger(spark, f"{tmp_path}/l.csv").first().sar is True
+    with pytest.raises(S.SourceError, match="timestamp"):
+        documents.read_ledger(spark, f"{tmp_path}/m.csv")
+
+
+def test_numbers_over_partitions(spark):
+    rows = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.col("id").alias("x")).repartition(7)
+    want = {k: f"c{i + 1}" for i, k in enumerate(sorted(r.k for r in rows.collect()))}
+    assert {r.k: r.cluster_id for r in risk.numbered(rows, "k", "c").collect()} == want
+    assert {r.s for r in risk.with_min_max(rows, s="x").collect()} == {i / 999 for i in range(1000)}
