@@ -2,12 +2,14 @@
 
 Each turn becomes three segments: a head, the escaped text, and an end mark.  Only the text segments of
 roles that ``loss_roles`` names carry the loss flag.  The template's control strings all start with ``<``;
-in texts and roles ``&`` and ``<`` are escaped, so no control string can occur there, and unescaping is
-exact.
+in texts and roles ``&`` and ``<`` are escaped, so no control string can occur there, and in roles the first character of the
+mark after them too; unescaping is exact.
 
 Edge cases: null texts and roles are empty; rows of a conversation are ordered by (turn, role, text), null
 turns first, so repeats and ties have one result; a null conv_id is one conversation; conversations that
-the machine refuses are formatted too and have ``valid`` false.
+the machine refuses are formatted too and have ``valid`` false; an empty table gives an empty one.  A conversation is one row
+of the output, so one that no task could hold can't be formatted at all.  Only conv_id, turn, role and text are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ class ChatTemplate:
         for mark in (self.begin, self.head, self.end, self.finish):
             if mark and not mark.startswith("<"):
                 raise ValueError(f"control strings start with '<': {mark!r}")
+        if not self.head or not self.end:
+            raise ValueError("turns need marks at their start and end")
+        if not self.after_role or self.after_role[0] in "&<;#ampltg0123456789":
+            raise ValueError(f"a role can't be told from what follows it: {self.after_role!r}")
 
 
 DEFAULT = ChatTemplate()
@@ -51,11 +57,11 @@ def unescape(x: Column) -> Column:
 
 
 def _role(x: Column, t: ChatTemplate) -> Column:
-    return F.replace(escape(x), F.lit("\n"), F.lit("&#10;"))
+    return F.replace(escape(x), F.lit(t.after_role[0]), F.lit(f"&#{ord(t.after_role[0])};"))
 
 
-def _unrole(x: Column) -> Column:
-    return unescape(F.replace(x, F.lit("&#10;"), F.lit("\n")))
+def _unrole(x: Column, t: ChatTemplate) -> Column:
+    return unescape(F.replace(x, F.lit(f"&#{ord(t.after_role[0])};"), F.lit(t.after_role[0])))
 
 
 def format_chats(conversations: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame:
@@ -80,7 +86,7 @@ def read_back(formatted: DataFrame, template: ChatTemplate = DEFAULT) -> DataFra
     parts = F.split("formatted", rf"\Q{t.head}\E", -1)
     pieces = F.slice(parts, F.lit(2), F.size(parts))
     turn = lambda x: F.struct(
-        _unrole(F.substring_index(x, t.after_role, 1)).alias("role"),
+        _unrole(F.substring_index(x, t.after_role, 1), t).alias("role"),
         unescape(F.substring_index(F.substring(x, F.length(F.substring_index(x, t.after_role, 1)) + 1 + len(t.after_role), F.length(x)), t.end, 1)).alias("text"))
     return formatted.select("*", F.transform(pieces, turn).alias("turns"), F.transform(F.filter("segments", lambda s: s.loss), lambda s: unescape(s.text)).alias("loss_texts"))
 

@@ -93,12 +93,16 @@ class Model:
                     bias -= (lr * 0.1 * grad).astype(np.float32)
                     # The average moves by lr * back, however many buckets a text has and however uneven their shares are.
                     embed[key] = rows - np.outer(lr / (share @ share) * share, back).astype(np.float32)
+        self.layers = embed, weight  # for tests: not shipped
         self.table = (embed @ weight.T).astype(np.float32)
         if not np.isfinite(self.table).all():
             raise FloatingPointError("the language model's training diverged")
         self.bias, self.sharp, self.least = bias.astype(np.float64), 1.0, 0.0
         self._calibrate([_features(snippet(raws[i])) if j % 2 else whole[i] for j, i in enumerate(np.flatnonzero(held).tolist())], y[held])
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "layers"}
+
     def _calibrate(self, features, y) -> None:
         z = np.array([share @ self.table[key] + self.bias if len(key) else self.bias for key, share in features]).reshape(-1, len(self.langs))
         if not len(z):

@@ -308,3 +308,161 @@ def test_extents_against_all_windows(spark, n, options):
     got = sorted(repr((r.doc_id, r.sd_text, r.sd_removed)) for r in substring.dedup_substrings(docs, n, **options).collect())
     assert got == plain_substrings(rows, n)
     assert sum(int(x.rpartition(", ")[2][:-1]) > 0 for x in got) > 20
+
+
+def test_language_scores_by_plain_sums():
+    """The folded table against the layers themselves, n-gram by n-gram."""
+    texts = ["der hund ist da", "the dog is here", "el perro no esta", "a", "", "xyz " * 300] * 8
+    model = langid.Model(texts, ["de", "en", "es", "en", "de", "es"] * 8, epochs=1)
+    embed, weight = model.layers
+
+    def bucket(gram):
+        x = len(gram)
+        for c in gram:
+            x = (x * 0x01000193 & 0xFFFFFFFF) ^ c
+        x ^= x >> 15
+        return (x * 0x85EBCA6B & 0xFFFFFFFF) >> 16
+
+    got = model.score(pa.array([*texts[:6], "ÜNÏ Hund", None]))
+    for row, text in zip(got, [*texts[:6], "ÜNÏ Hund", ""], strict=True):
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        ids = [bucket(raw[i : i + n]) for n in langid.GRAMS for i in range(len(raw) - n + 1)]
+        z = weight @ np.mean([embed[i] for i in ids], axis=0) if ids else np.zeros(3)
+        z = np.exp((z + model.bias) * model.sharp - ((z + model.bias) * model.sharp).max())
+        assert np.allclose(row, z / z.sum(), atol=1e-4)
+    import pickle
+
+    assert not hasattr(pickle.loads(pickle.dumps(model)), "layers")
+
+
+def test_rules_by_plain_logic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules, bias = quality.train(docs, labels)
+    rows = quality.score(docs.select("doc_id", "text"), rules, bias).toPandas().sort_values("doc_id")
+    for r in rows.to_dict("records"):
+        total = bias + sum(w for rule, w in rules if all(r[f"qs_{k}"] > at if above else r[f"qs_{k}"] <= at for k, above, at in rule))
+        assert abs(r["qs_score"] - 1 / (1 + np.exp(-total))) < 1e-9
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in rows.to_dict("records")[:200]:
+        text = texts[r["doc_id"]]
+        raw, words = text.encode(), text.encode().split()
+        lines = [x.split() for x in raw.split(b"\n")]
+        own = [tuple(x) for x in lines if x]
+        want = {"n_bytes": len(raw), "n_words": len(words), "n_lines": raw.count(b"\n") + bool(raw), "upper": sum(65 <= c <= 90 for c in raw) / max(1, len(raw)), "digit": sum(48 <= c <= 57 for c in raw) / max(1, len(raw)),
+                "distinct": len(set(words)) / max(1, len(words)), "long_words": sum(len(w) > 24 for w in words) / max(1, len(words)), "again": sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words)), "line_again": (len(own) - len(set(own))) / max(1, len(own)) if words else 0}
+        for k, v in want.items():
+            assert abs(r[f"qs_{k}"] - v) < 1e-9, (k, r["doc_id"])
+
+
+def test_taken_words_by_plain_streams(spark):
+    """Each document's share of the chosen blocks, word by word."""
+    rows = [(None, "hot text of six words here", "a") for _ in range(300)] + [(i % 20, "w " * (i * 7 % 60), "abc"[i % 3]) for i in range(200)] + [(3, None, "c"), (None, "", None), (4, "only words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    p = mixing.mix(docs).toPandas()
+    assert len(p) == len(rows)
+    for _, shard in p[p["size"] > 0].groupby(["source", "shard"], dropna=False):
+        shard = shard.sort_values("begin")
+        own = [i for i, n in zip(shard.index, shard["size"], strict=True) for _ in range(n)]  # the stream, word by word
+        assert shard.begin.tolist() == [own.index(i) for i in shard.index] and shard.repeats.nunique() == shard.extra.nunique() == 1
+        first, taken = shard.iloc[0], dict.fromkeys(shard.index, 0)
+        blocks = -(-len(own) // first.block)
+        assert first.blocks == blocks and first.quota == first.repeats * blocks + first.extra
+        for at, i in enumerate(own):
+            j = at // first.block
+            taken[i] += first.repeats + ((j + 1) * first.extra + first.turn) // blocks - (j * first.extra + first.turn) // blocks
+        assert taken == shard.taken.to_dict()
+    got = mixing.mixed_documents(docs).toPandas()
+    count = lambda f, n: f.assign(n=n).groupby("doc_id", dropna=False).n.sum().loc[lambda x: x > 0].to_dict()
+    a, b = count(got, got.text.str.split().str.len()), count(p.rename(columns={"id": "doc_id"}), p.taken)
+    assert {str(k): v for k, v in a.items()} == {str(k): v for k, v in b.items()} and (p.taken <= 3 * p["size"]).all()
+    again = mixing.report(docs.repartition(7)).toPandas()
+    key = ["doc_id", "size", "source", "taken"]
+    assert sorted(map(str, again[key].values.tolist())) == sorted(map(str, p.rename(columns={"id": "doc_id"})[key].values.tolist()))
+
+
+@pytest.mark.parametrize("options", [{}, {"leaf_rows": 32, "split": 200, "block": 64}])
+def test_nearest_of_copies(spark, options):
+    """A vector that a third of all rows hold, scaled copies, repeated ids: against all distances."""
+    rng = np.random.default_rng(3)
+    hot, other = rng.normal(size=8), rng.normal(size=(400, 8)) + 3 * rng.normal(size=(20, 8)).repeat(20, axis=0)
+    rows = [(i, hot.tolist()) for i in range(300)] + [(1000 + i, x.tolist()) for i, x in enumerate(other)] + [(2000, (2 * hot).tolist()), (2001, hot.tolist()), (2001, hot.tolist()), (2050, other[0].tolist()), (2050, other[9].tolist())]
+    got = annsearch.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, **options).collect()
+    want, hit = {}, 0
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        near = {}
+        for a in (np.array(v) for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    s = float(annsearch.cosine(a, np.array([v]))[0])
+                    near[i] = max(near.get(i, -2), s)
+        want[q] = sorted(((-s, i) for i, s in near.items()))[:5]
+    for q, w in want.items():
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r for r, _, _ in own] == [1, 2, 3, 4, 5] and [x[2] for x in own] == sorted((x[2] for x in own), reverse=True)
+        hit += len({i for _, i, _ in own} & {i for _, i in w})
+        if q < 300 or q == 2000:
+            assert [i for _, i, _ in own] == [i for _, i in w]
+    assert hit >= 0.9 * 5 * len(want)
+
+
+#: Names that operators use inside, that they return, or that need quoting.
+CLASH = ["a.b", "text.x", "DOC_ID2", "lines", "ends", "gone", "kept", "mark", "k1", "j2", "places", "m_row", "m_words", "m_letter", "in_0", "in_3", "id", "row", "size", "hash", "copy", "component", "node", "ld_lines", "LD_removed", "sd_text", "dc_items", "li_lang", "qs_upper", "qs_score", "_id", "_lines", "`q`"]
+
+
+@pytest.mark.parametrize("name", ["decontaminate", "spans", "annotate", "mix", "lines", "passages", "substrings", "identify", "quality", "one_of_each", "language_id", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "token_output", "report10", "report4"])
+def test_clashing_columns(spark, name):
+    import corpus_pipeline
+
+    text = "Some words of a text\nthat no other one has in it\nand a last line"
+    docs = spark.createDataFrame([(1, text, "en", "a", *range(len(CLASH))), (2, None, None, None, *[None] * len(CLASH))], ", ".join(["doc_id long", "text string", "lang string", "source string", *[f"`{c.replace('`', '``')}` long" for c in CLASH]]))
+    bench = spark.createDataFrame([(1, "nothing of it")], "item_id long, text string")
+    run = {
+        "decontaminate": lambda: decontaminate.decontaminate(docs, bench), "spans": lambda: decontaminate.decontaminate(docs, bench, remove="spans"), "annotate": lambda: decontaminate.annotate(docs, bench), "mix": lambda: mixing.mixed_documents(docs),
+        "lines": lambda: linededup.dedup_lines(docs), "passages": lambda: linededup.dedup_passages(docs), "substrings": lambda: substring.dedup_substrings(docs), "identify": lambda: langid.identify(docs, langid.train(docs)),
+        "quality": lambda: quality.score(docs, [], 0.0), "one_of_each": lambda: jaccard.one_of_each(docs), "report10": lambda: tokenpack.report(docs), "report4": lambda: jaccard.report(docs), **{k: (lambda f=f: f(spark, docs, SF)) for k, f in corpus_pipeline.STAGES},
+    }[name]
+    new = {"annotate": ("dc_n_words", "dc_n_hit", "dc_items"), "lines": ("ld_lines", "ld_removed"), "passages": ("ld_lines", "ld_removed"), "substrings": ("sd_words", "sd_removed", "sd_text"), "identify": ("li_lang", "li_score", "li_rejected"), "quality": (*[f"qs_{k}" for k in quality.STATS], "qs_score")}.get(name, ())
+    out = run()
+    got = out.toArrow().to_pylist()
+    if name in ("token_output", "report10", "report4"):
+        assert len(got) == 2 and out.columns[0] == "doc_id"
+        return
+    gone = {c.lower() for c in new} | ({"text"} if name in ("substrings", "quality") else set())
+    assert out.columns == [c for c in docs.columns if c.lower() not in gone] + list(new)
+    first = next(r for r in got if r["doc_id"] == 1)
+    assert all(first[c] == i for i, c in enumerate(CLASH) if c.lower() not in gone) and ("text" in gone or first["text"] == text)
+
+
+def test_a_third_of_the_rows_without_id(spark):
+    """Null ids with one text, and with many: every operator against its SQL, tokens against their order."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long + "\nsecond line\nthird") for _ in range(60)] + [(None, f"{i} {long} {i}\nline {i}\nmore") for i in range(30)] + [(i, " ".join(f"u{i}_{j}" for j in range(50))) for i in range(120)] + [(7, "")] * 40 + [(None, None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert rows_of(substring.report(docs), ("doc_id", "n_words", "n_removed", "kept_sha256")) == by_sql(substring.SQL, documents=docs)
+    assert rows_of(linededup.report(docs), ("doc_id", "n_lines", "n_removed", "kept_sha256")) == by_sql(linededup.SQL, documents=docs)
+    assert rows_of(jaccard.report(docs), ("doc_id", "n_shingles", "component_id")) == by_sql(jaccard.SQL, documents=docs)
+    got = tokenpack.report(docs).orderBy("start").collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got] == sorted((r for r, _ in rows), key=lambda x: (x is not None, x or 0))
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    one = {(r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()}
+    assert len([1 for d, t in one if d is None and t]) == 1 and (None, None) in one and (7, "") in one
+
+
+def test_links_are_all_links(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9001, " ".join(f"z{i}" for i in range(60))), (9002, " ".join(f"z{i}" for i in range(61))), (9003, " ".join(f"z{i}" for i in range(4, 64))), (9003, " ".join(f"z{i}" for i in range(60)))], "doc_id long, text string"))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.collect()
+    words = [(r.text or "").translate(lower).encode().split() for r in rows]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+    count = [sum(1 for j, y in enumerate(sets) if i != j and x and y and 100 * len(x & y) >= 75 * len(x | y)) for i, x in enumerate(sets)]
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in jaccard.link_counts(docs).collect()) == sorted((r.doc_id, len(x), n) for r, x, n in zip(rows, sets, count, strict=True))
+
+
+def test_any_mark_after_a_role(spark):
+    conv = spark.createDataFrame([(1, 0, "a: b", "x: <y>"), (1, 1, "assistant", ": ")], "conv_id long, turn long, role string, text string")
+    t = chatformat.ChatTemplate(after_role=": ")
+    back = chatformat.read_back(chatformat.format_chats(conv, t), t).first()
+    assert [tuple(x) for x in back.turns] == [("a: b", "x: <y>"), ("assistant", ": ")] and back.loss_texts == [": "]
+    for bad in ({"after_role": ""}, {"after_role": "&"}, {"head": ""}, {"end": "x"}):
+        with pytest.raises(ValueError):
+            chatformat.ChatTemplate(**bad)
