@@ -482,7 +482,7 @@ def _index(docs: DataFrame, n: int, percent: int, seed: int) -> tuple[DataFrame,
     index = own.mapInArrow(_prefixes(n, bits, percent, order, seed), "p int, h binary, node binary, size binary, at binary")
     lists = cut(index.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(lambda batches: _lists(batches, percent), "p int, list binary, node binary, size binary, at binary"))
     listed = cut(lists.mapInArrow(_listed, "node long").distinct())
-    sets = cut(own.mapInArrow(_ship(n, seed), "node long, items binary").join(small(listed), "node").dropDuplicates(["node"]))
+    sets = cut(own.mapInArrow(_ship(n, seed), "node long, items binary").join(small(listed), "node"))
     return lists, listed, sets
 
 
