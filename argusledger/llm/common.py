@@ -42,7 +42,7 @@ def ws_trim_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def row_key(*columns: str) -> list[Column]:
+def row_key(*columns: str | Column) -> list[Column]:
     """Two 64-bit hashes with different seeds, ``k1`` and ``k2``: rows equal in the columns have equal keys, and at 2e10 rows
     two different ones share both with a chance below 1e-17."""
     return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit("k2"), *reversed(columns)).alias("k2")]

@@ -12,7 +12,8 @@ shards plus one per source.
 
 Edge cases: a null or empty text has no words and is taken 0 times; null sources are one source, the last; rows that share
 an id, or have none, are documents of their own, dealt to shards by their text too; rows equal in id, source and text are
-numbered, so that a third of all rows being copies still spreads over all shards; an empty table mixes to nothing.
+numbered, so that a third of all rows being copies still spreads over all shards; an empty table mixes to nothing.  Rows
+equal in all columns are exchangeable, so each of them stands for all in the written mix, as often as they are taken.
 Other columns, of any names, pass through :func:`mixed_documents`.
 """
 
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argusledger.llm.common import Shield, cut, release, small, ws_trim_count
+from argusledger.llm.common import Shield, cut, drop_cut, release, row_key, small, ws_trim_count
 
 #: Shards over all sources, besides one for each source, and the least words of a shard.
 MAX_SHARDS, SHARD_WORDS = 10_000, 200_000
@@ -111,52 +112,54 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], cap: int, share: float,
 
 
 def _shard(seed: int) -> Column:
-    return F.pmod(F.xxhash64("id", "hash", "copy", F.lit(seed)), F.col("shards"))
+    return F.pmod(F.xxhash64("id", "k1", "k2", "copy", F.lit(seed)), F.col("shards"))
+
+
+_KEY = ["k1", "k2"]
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` (row, id, source, hash, size) with ``copy``, which counts the rows that are equal but for ``row``.
+    """``rows`` (row, a number, and k1, k2) with ``copy``, which counts the rows of equal k1 and k2, in place of ``row``.
 
     They are counted within the partitions that they come from, and those counts are added up: no task sees all of a group.
     """
-    key = ["id", "source", "hash"]
-    equal = lambda other: [F.col(k).eqNullSafe(F.col(f"{other}_{k}")) for k in key]
-    again = cut(rows.groupBy(*[F.col(k).alias(f"a_{k}") for k in key]).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    again = cut(rows.groupBy(*_KEY).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     if not again.limit(1).count():
-        return rows.withColumn("copy", F.lit(0).cast("long"))
-    side = small(again)
-    part = F.shiftright(F.col("row"), 33)  # of monotonically_increasing_id
-    many = rows.join(side, equal("a"), "left_semi").withColumn("part", part)
-    many = cut(many.withColumn("copy", F.row_number().over(Window.partitionBy(*key, "part").orderBy("row"))))
-    counts = many.groupBy(*key, "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = counts.withColumn("before", before).select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("part").alias("o_part"), "before")
-    many = many.join(small(offset), [*equal("o"), F.col("part") == F.col("o_part")]).select(*rows.columns, (F.col("copy") + F.col("before") - 1).cast("long").alias("copy"))
-    return rows.join(side, equal("a"), "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(many)
+        return rows.drop("row").withColumn("copy", F.lit(0).cast("long"))
+    names = [c for c in rows.columns if c != "row"]
+    many = rows.join(small(again), _KEY, "left_semi").withColumn("part", F.shiftright(F.col("row"), 33))  # of monotonically_increasing_id
+    many = cut(many.withColumn("copy", F.row_number().over(Window.partitionBy(*_KEY, "part").orderBy("row"))))
+    counts = many.groupBy(*_KEY, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*_KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = counts.select(*_KEY, "part", before.alias("before"))
+    many = many.join(small(offset), [*_KEY, "part"]).select(*names, (F.col("copy") + F.col("before") - 1).cast("long").alias("copy"))
+    return rows.select(*names).join(small(again), _KEY, "left_anti").withColumn("copy", F.lit(0).cast("long")).select(*names, "copy").unionByName(many)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0, seed: int = 11,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: Column | None = None) -> DataFrame:
-    """Per row: row (``row``, else a number), id, source, size, source_size, target, taken, and where it lies in its shard's stream.
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: tuple[Column, Column] | None = None) -> DataFrame:
+    """Per row: id, source, size, source_size, target, taken, and where it lies in its shard's stream.
 
     ``taken`` counts the words of the chosen blocks that the document has, repeats included.
     ``repeats``, ``extra``, ``blocks``, ``turn``, ``begin`` and ``block`` tell which blocks they are:
     each block ``repeats`` times, and block j once more if
     ``(j * extra + turn) div blocks`` steps up from j to j + 1.
+    Rows are told apart by ``key`` (k1 and k2, else hashes of id, source and text) and ``copy``.
     """
-    row = F.monotonically_increasing_id() if row is None else row
-    rows = cut(docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("hash"), ws_trim_count(F.col(text_col)).alias("size")))
+    k1, k2 = key or row_key(id_col, source_col, text_col)
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), ws_trim_count(F.col(text_col)).alias("size")))
     sized = cut(_numbered(rows))
+    drop_cut(rows)
     plan, block = _plan(sized, weights, cap, share, seed)
     b = F.lit(block).cast("long")
     count = plan.groupBy("source").agg(F.max("shards").alias("shards")).select(F.col("source").alias("s1"), "shards")
     out = sized.join(small(count), F.col("source").eqNullSafe(F.col("s1"))).withColumn("shard", _shard(seed)).drop("s1", "shards")
-    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", "hash", "copy", F.lit(seed + 1)), "id", "hash", "copy")
+    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", "k1", "k2", "copy", F.lit(seed + 1)), "id", "k1", "k2", "copy")
     some = out.filter("size > 0").withColumn("stop", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     # Rows without words have no place in a stream, so that any number of them burdens no shard.
     out = some.unionByName(out.filter("size = 0").withColumn("stop", F.lit(0).cast("long"))).withColumn("begin", F.col("stop") - F.col("size"))
-    right = plan.select(F.col("source").alias("s2"), F.col("shard").alias("k2"), "source_size", "target", "stream", "quota")
-    out = out.join(small(right), F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("k2"))).drop("s2", "k2")
+    right = plan.select(F.col("source").alias("s2"), F.col("shard").alias("shard2"), "source_size", "target", "stream", "quota")
+    out = out.join(small(right), F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("shard2"))).drop("s2", "shard2")
     out = out.withColumn("blocks", F.greatest(F.expr(f"(stream + {block - 1}) div {block}"), F.lit(1).cast("long")))
     out = out.withColumns({"repeats": F.expr("quota div blocks"), "extra": F.expr("quota % blocks"), "turn": F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.col("blocks")), "block": b})
     f = lambda j: F.expr(f"(({j}) * extra + turn) div blocks")
@@ -218,9 +221,16 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     Each row is taken as :func:`mix` plans it for just that row, whatever other rows share its doc_id and text.
     """
     own = Shield(docs, "doc_id", "text", "source")
-    rows = cut(own.df.withColumn("m_row", F.monotonically_increasing_id()))
-    plan = mix(rows, weights, cap, share, seed, row=F.col("m_row")).filter("taken > 0").select(F.col("row").alias("m_row"), *[F.col(k).alias(f"m_{k}") for k in _PLAN])
-    out = rows.join(plan, "m_row").select(*own.inner, *[f"m_{k}" for k in _PLAN]).mapInArrow(_pieces(own.inner), own.df.schema)
+    plain = [F.to_json(F.col(f.name)) if "map" in f.dataType.simpleString() else F.col(f.name) for f in own.df.schema.fields]
+    keyed = own.df.select("*", *row_key(*plain))
+    plan = cut(mix(keyed, weights, cap, share, seed, key=(F.col("k1"), F.col("k2"))).filter("taken > 0 or copy = 1").select(*_KEY, "copy", "taken", *[F.col(k).alias(f"m_{k}") for k in _PLAN]))
+    again = cut(plan.filter("copy = 1").select(*_KEY))  # keys of several rows
+    plan = plan.filter("taken > 0").drop("copy", "taken")
+    state = [f"m_{k}" for k in _PLAN]
+    if again.limit(1).count():
+        one = keyed.join(small(again), _KEY, "left_semi").groupBy(*_KEY).agg(F.first(F.struct(*own.inner)).alias("row"))
+        keyed = keyed.join(small(again), _KEY, "left_anti").select(*own.inner, *_KEY).unionByName(one.select(*[F.col(f"row.{c}").alias(c) for c in own.inner], *_KEY))
+    out = keyed.join(plan, _KEY).select(*own.inner, *state).mapInArrow(_pieces(own.inner), own.df.schema)
     return own.back(out)
 
 
