@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from argusledger.functions.tables import BROADCAST_ROWS, cut, drop_cut, partitions, skew_join, small
-from argusledger.llm.common import NOT_SPACE, Shield, Words, chunks, grams, mix64, release, runs
+from argusledger.llm.common import NOT_SPACE, Shield, Words, chunks, grams, mix64, release, row_key, runs
 from argusledger.operators.graph import connected_components
 
 #: Frequent shingles that the order knows (the most frequent ones), and how frequent one must be.
@@ -89,24 +89,29 @@ def _classes(batches, n: int, seed: int = 0):
     release()
 
 
-def _members(n: int, seed: int = 0):
+def _members(n: int, seed: int = 0, keep: tuple[str, ...] = ()):
+    """Each row's doc_id, size, class and test, and its columns ``keep`` (long)."""
+
     def run(batches):
         ids: list = []
+        kept: list[list] = [[] for _ in keep]
         nodes: list[int] = []
         sizes: list[int] = []
         tests: list[int] = []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, sizes, nodes, tests)], names=["doc_id", "n_shingles", "node", "test"])
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, sizes, nodes, tests, *kept)], names=["doc_id", "n_shingles", "node", "test", *keep])
         last = None
         for part, d, x in _sets(batches, n):
             if part is not last:
-                last, own = part, part.column("doc_id").to_pylist()
+                last, own, others = part, part.column("doc_id").to_pylist(), [part.column(c).to_pylist() for c in keep]
             ids.append(own[d])
+            for c, x_ in zip(kept, others, strict=True):
+                c.append(x_[d])
             nodes.append(_node(x, seed))
             tests.append(_node(x, _TEST))
             sizes.append(len(x))
             if len(ids) >= 20_000:
                 yield flush()
-                ids, nodes, sizes, tests = [], [], [], []
+                ids, nodes, sizes, tests, kept = [], [], [], [], [[] for _ in keep]
         yield flush()
 
     return run
@@ -564,11 +569,11 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0) -> Data
     return out
 
 
-def _named(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def _named(docs: DataFrame, n: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(doc_id, text), tables of all rows' classes and of the classes, and the seed that names each set differently."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     for seed in _SEEDS:
-        members = cut(own.mapInArrow(_members(n, seed), "doc_id long, n_shingles long, node long, test long"))
+        members = cut(own.mapInArrow(_members(n, seed, keep), ", ".join([f"{c} long" for c in ("doc_id", "n_shingles", "node", "test", *keep)])))
         classes = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(F.struct("test", "n_shingles")).alias("low"), F.max(F.struct("test", "n_shingles")).alias("high"))
         classes = cut(classes)
         if not classes.filter("low <> high").limit(1).count():
@@ -576,15 +581,15 @@ def _named(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame, in
     raise RuntimeError("sets share their names with every seed")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, node (class), component (its smallest class) and component_id."""
-    own, members, classes, seed = _named(docs, n)
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, node (class), component (its smallest class), component_id and the columns ``keep`` (long)."""
+    own, members, classes, seed = _named(docs, n, keep)
     comps = connected_components(links(own, n, percent, seed), "a", "b")
     classes = cut(classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     roots = classes.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("w"))
     named = skew_join(classes, roots, "component", "w").select("node", "component", "component_id", "n")
     out = skew_join(members, named, "node", "n")
-    return out.select("doc_id", "n_shingles", "node", "component", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", *keep, "n_shingles", "node", "component", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 
@@ -592,16 +597,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (null last), then by its text's hash.
 
-    It is decided by row, so a row never goes for what another row of its doc_id says, and rows without doc_id are judged
-    like any other.  Rows without words stay, repeated ones too.
+    It is decided by doc_id and text together, so a row never goes for what another row of its doc_id says, and rows without
+    doc_id are judged like any other; of rows equal in both one stays.  Rows without words stay, repeated ones too.
     """
-    own = Shield(docs, "doc_id", "text")
-    rows = cut(own.df.withColumns({"m_row": F.monotonically_increasing_id(), "m_hash": F.xxhash64("text")}))
-    found = cut(near_duplicates(rows.select(F.col("m_row").alias("doc_id"), "text"), n, percent).filter("n_shingles > 0").select(F.col("doc_id").alias("m_row"), "component"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "m_hash", "m_row")
-    first = found.join(rows.select("m_row", "doc_id", "m_hash"), "m_row").groupBy("component").agg(F.min(order).alias("x")).select("x.m_row")
-    gone = cut(found.select("m_row").join(first, "m_row", "left_anti"))
-    return own.back(rows.join(small(gone), "m_row", "left_anti"))
+    own, key = Shield(docs, "doc_id", "text"), ["k1", "k2"]
+    keyed = own.df.select("*", *row_key("doc_id", "text"))
+    found = cut(near_duplicates(keyed, n, percent, (*key,)).filter("n_shingles > 0").select("doc_id", *key, "component"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)
+    first = cut(found.groupBy("component").agg(F.min(order).alias("x")).select("x.k1", "x.k2"))
+    times = found.groupBy(*key).agg(F.count("*").alias("n"))
+    again = cut(times.filter("n > 1").select(*key).join(first, key, "left_semi"))
+    gone = cut(times.select(*key).join(first, key, "left_anti"))
+    left = keyed.join(small(gone.unionByName(again)), key, "left_anti")
+    if again.limit(1).count():
+        one = keyed.join(small(again), key, "left_semi").groupBy(*key).agg(F.first(F.struct(*own.inner)).alias("row"))
+        left = left.select(*own.inner).unionByName(one.select(*[F.col(f"row.{c}").alias(c) for c in own.inner]))
+    return own.back(left)
 
 
 def report(docs: DataFrame) -> DataFrame:
