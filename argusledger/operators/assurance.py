@@ -81,23 +81,5 @@ def exit_code(invalid: Column, agent: Column, tests: Column, judge: Column, deci
     return F.when(invalid, 5).when(agent != 0, 1).when((tests != 0) | (judge != 0), 2).when(decision == "PASS_WITH_CONDITIONS", 3).when(decision == "NOT_READY_FOR_DEPLOYMENT", 4).otherwise(0)
 
 
-PROFILE_KEYS = {"schema_version": str, "run_id": str, "policy": dict, "metrics": list, "status_summary": dict, "generated_at": str}
-
-
-def profile_violations(profile: dict) -> list[str]:
-    """All violations of one assurance profile (a driver-side document)."""
-    out = [f"missing {k}" for k in PROFILE_KEYS if k not in profile]
-    out += [f"{k} must be {t.__name__}" for k, t in PROFILE_KEYS.items() if k in profile and not isinstance(profile[k], t)]
-    decision = (profile.get("status_summary") or {}).get("assurance_decision") if isinstance(profile.get("status_summary"), dict) else None
-    if decision is not None and decision not in DECISION_RANK:
-        out.append(f"unknown decision {decision}")
-    for i, m in enumerate(profile["metrics"] if isinstance(profile.get("metrics"), list) else []):
-        if not isinstance(m, dict) or "metric" not in m:
-            out.append(f"metrics[{i}] has no metric")
-        elif m.get("status") not in ("PASS", "FAIL", "NOT_EVALUATED"):
-            out.append(f"metrics[{i}] has status {m.get('status')!r}")
-    return out
-
-
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

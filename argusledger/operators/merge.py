@@ -40,6 +40,7 @@ def merge_collection(rows: DataFrame, collection: str, order: list[str]) -> tupl
     seen = first_seen(rows, key, order)
     kept = seen.filter("_n = 1").drop("_n", "_first", *order)
     later = seen.filter("_n > 1").withColumn("conflict_type", conflict_type(collection)).filter("conflict_type is not null")
+    # The wording of conflicts, here and below.
     text = F.concat(F.lit(f"{kind} '"), F.col(f"_first.{key}"), F.lit("' differs across sources"))
     if collection == "transactions":
         for c, what, name in (("currency", "currencies", "currency_mismatch"), ("timestamp", "timestamps", "timestamp_mismatch")):

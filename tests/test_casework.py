@@ -130,7 +130,6 @@ def test_assurance_rules(spark):
     assert assurance.decide(assurance.metric_status(runs, p.limit(1), at)).first().decision == "PASS"
     assert assurance.decide(assurance.metric_status(runs, p.limit(1), at), gaps=1).first().decision == "PASS_WITH_CONDITIONS"
     assert assurance.decide(assurance.metric_status(runs, p.limit(1), at.limit(0))).first().decision == "NOT_READY_FOR_DEPLOYMENT"
-    assert assurance.profile_violations({"metrics": [{}]})
 
 
 def test_scalars(spark):
