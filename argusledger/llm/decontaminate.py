@@ -12,7 +12,6 @@ an empty table gives an empty one.  Other columns, of any names, pass through; i
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

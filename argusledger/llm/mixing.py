@@ -13,14 +13,13 @@ shards plus one per source.
 Edge cases: a null or empty text has no words and is taken 0 times; null sources are one source, the last; rows that share
 an id, or have none, are documents of their own, dealt to shards by their text too; rows equal in id, source and text are
 numbered, so that a third of all rows being copies still spreads over all shards; an empty table mixes to nothing.  Rows
-equal in all columns are exchangeable, so each of them stands for all in the written mix, as often as they are taken.
+equal in id, source and text are exchangeable: one of them stands for all in the written mix, as often as they are taken.
 Other columns, of any names, pass through :func:`mixed_documents`.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,17 +136,16 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0, seed: int = 11,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: tuple[Column, Column] | None = None) -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row: id, source, size, source_size, target, taken, and where it lies in its shard's stream.
 
     ``taken`` counts the words of the chosen blocks that the document has, repeats included.
     ``repeats``, ``extra``, ``blocks``, ``turn``, ``begin`` and ``block`` tell which blocks they are:
     each block ``repeats`` times, and block j once more if
     ``(j * extra + turn) div blocks`` steps up from j to j + 1.
-    Rows are told apart by ``key`` (k1 and k2, else hashes of id, source and text) and ``copy``.
+    Rows are told apart by ``k1`` and ``k2`` (the :func:`row_key` of id, source and text) and ``copy``.
     """
-    k1, k2 = key or row_key(id_col, source_col, text_col)
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), ws_trim_count(F.col(text_col)).alias("size")))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), *row_key(id_col, source_col, text_col), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), ws_trim_count(F.col(text_col)).alias("size")))
     sized = cut(_numbered(rows))
     drop_cut(rows)
     plan, block = _plan(sized, weights, cap, share, seed)
@@ -221,9 +219,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     Each row is taken as :func:`mix` plans it for just that row, whatever other rows share its doc_id and text.
     """
     own = Shield(docs, "doc_id", "text", "source")
-    plain = [F.to_json(F.col(f.name)) if "map" in f.dataType.simpleString() else F.col(f.name) for f in own.df.schema.fields]
-    keyed = own.df.select("*", *row_key(*plain))
-    plan = cut(mix(keyed, weights, cap, share, seed, key=(F.col("k1"), F.col("k2"))).filter("taken > 0 or copy = 1").select(*_KEY, "copy", "taken", *[F.col(k).alias(f"m_{k}") for k in _PLAN]))
+    keyed = own.df.select("*", *row_key("doc_id", "source", "text"))
+    plan = cut(mix(own.df, weights, cap, share, seed).filter("taken > 0 or copy = 1").select(*_KEY, "copy", "taken", *[F.col(k).alias(f"m_{k}") for k in _PLAN]))
     again = cut(plan.filter("copy = 1").select(*_KEY))  # keys of several rows
     plan = plan.filter("taken > 0").drop("copy", "taken")
     state = [f"m_{k}" for k in _PLAN]
