@@ -181,6 +181,24 @@ def metric_rows(documents: DataFrame) -> DataFrame:
     return rows.select("run_id", "m.metric", F.coalesce("m.label", "m.metric").alias("label"), F.coalesce("m.direction", F.lit("")).alias("direction"), F.coalesce("m.unit", F.lit("rate")).alias("unit"), "m.value", F.coalesce("m.status", F.lit("NOT_EVALUATED")).alias("status"))
 
 
+def console_report(profile: dict) -> str:
+    """A profile's sections for a console (MSC-12); one without rows is left out, missing values are dashes."""
+    from argusledger.sources.sinks import table_text
+
+    show = lambda x: "-" if x is None else f"{x:g}" if isinstance(x, float) else str(x)
+    part = lambda k: profile.get(k) or {}
+    sign = {"higher_is_better": ">=", "lower_is_better": "<="}
+    state, decision = part("status_summary"), part("deployment_decision")
+    sections = [
+        ("run", ["field", "value"], [["agent", part("agent").get("name")], ["model", part("agent").get("model")], ["task", profile.get("scenario_pack")], ["verdict", state.get("benchmark_verdict")]]),
+        ("metrics", ["metric", "value", "threshold", "unit", "status"], [[m.get("label"), m.get("value"), f"{sign.get(m.get('direction'), '')} {show(m.get('threshold'))}".strip(), m.get("unit"), m.get("status")] for m in profile.get("metrics") or []]),
+        ("reasons", ["metric", "actual", "rule", "threshold", "severity"], [[r.get(k) for k in ("label", "actual", "rule", "threshold", "severity")] for r in decision.get("reasons") or []]),
+        ("not evaluated", ["dimension"], [[x] for x in profile.get("not_evaluated_dimensions") or []]),
+        ("decision", ["field", "value"], [["overall", decision.get("overall")], ["reason", decision.get("reason")], ["result hash", profile.get("result_hash")]]),
+    ]
+    return "\n\n".join(table_text(title, header, [list(map(show, r)) for r in rows]) for title, header, rows in sections if rows)
+
+
 def comparison(spark: SparkSession, documents: DataFrame, generated_at: str) -> dict:
     """The machine-readable comparison of a few runs, the first of them the reference."""
     runs = documents.select("path", F.col("agent.name").alias("agent"), F.col("agent.model").alias("model"), F.col("scenario_pack").alias("task"), F.col("policy.id").alias("policy_id"), F.col("policy.version").alias("policy_version"), F.col("status_summary.assurance_decision").alias("assurance_decision"), F.col("provenance.run_id").alias("run_id")).collect()

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argusledger.functions.normalise import HIGH_RISK_DESTINATIONS, clamp01, round4
-from argusledger.functions.tables import cut, partitions, small
+from argusledger.functions.tables import cut, drop_cut, partitions, small
+from argusledger.operators.assurance import union
 from argusledger.operators.graph import connected_components
 
 # Fixed values.
@@ -77,19 +78,49 @@ def _spread(edges: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFra
         came = edges.join(now, edges.src == now.node).select(F.col("dst").alias("node"), "colour")
         after = cut(now.unionByName(came).groupBy("node").agg(F.max("colour").alias("colour")))
         changed = after.alias("a").join(now.alias("b"), "node").filter("a.colour <> b.colour").limit(1).count()
+        drop_cut(now)
         now = after
         if not changed:
             return now
     raise RuntimeError("no fixed point")
 
 
+def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return cut(edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+
+
+def _trim(left: DataFrame, nodes: DataFrame, share: int = 16) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Edges and nodes that can lie on cycles, and tables (node, scc) of those that can't: a node that no other one's edge
+    enters, or none leaves for another one, is a strong component of its own.  Rounds go on while each takes more than a
+    ``share``-th of the nodes, so they are few."""
+    alone = []
+    while True:
+        plain = left.filter("src <> dst")
+        inner = cut(plain.select(F.col("src").alias("node")).intersect(plain.select(F.col("dst").alias("node"))))
+        outer = cut(nodes.join(inner, "node", "left_anti"))
+        before, gone = nodes.count(), outer.count()
+        if gone:
+            alone.append(outer.select("node", F.col("node").alias("scc")))
+            kept = _within(left, inner)
+            drop_cut(left)
+            left = kept
+        drop_cut(nodes)
+        nodes = inner
+        if gone * share <= before:
+            return left, nodes, alone
+
+
 def strong_by_colouring(edges: DataFrame) -> DataFrame:
-    """(node, scc) over all executors: colours spread forward; what reaches back to a colour's root within it is one
-    strong component; the rest goes on."""
+    """(node, scc) over all executors: what lies on no cycle is trimmed; colours spread forward; what reaches back to a
+    colour's root within it is one strong component; the rest goes on."""
     left = cut(edges.select("src", "dst").distinct())
     nodes = cut(graph_nodes(left))
-    done = None
-    while nodes.limit(1).count():
+    done = []
+    while True:
+        left, nodes, alone = _trim(left, nodes)
+        done += alone
+        if not nodes.limit(1).count():
+            break
         colour = _spread(left, nodes.select("node", F.col("node").alias("colour")))
         same = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").filter("c1 = c2")
         turned = cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -98,10 +129,13 @@ def strong_by_colouring(edges: DataFrame) -> DataFrame:
         found = reach.filter("colour = 1").select("node").join(colour, "node").select("node", "colour")
         names = found.groupBy("colour").agg(F.min("node").alias("scc"))
         found = cut(found.join(names, "colour").select("node", "scc"))
-        done = found if done is None else cut(done.unionByName(found))
-        nodes = cut(nodes.join(found, "node", "left_anti"))
-        left = cut(left.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    return done if done is not None else edges.sparkSession.createDataFrame([], "node string, scc string")
+        done.append(found)
+        rest = cut(nodes.join(found, "node", "left_anti"))
+        kept = _within(left, rest)
+        for table in (colour, turned, reach, left, nodes):
+            drop_cut(table)
+        left, nodes = kept, rest
+    return union(done) if done else edges.sparkSession.createDataFrame([], "node string, scc string")
 
 
 def strong_components(edges: DataFrame, weak: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:

@@ -107,6 +107,42 @@ def test_components_and_strong_ones(spark):
     assert one == two and dict(one) == {"a": "a", "b": "a", "c": "a", "d": "d", "x": "x", "p": "p", "q": "q"}
 
 
+def test_strong_ones_after_trimming(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 4}") for i in range(4)]
+    tree = [(f"t{(i - 1) // 2:02d}", f"t{i:02d}") for i in range(1, 40)] + [("t30", "r0"), ("r2", "t99"), ("t99", "t99")]
+    pair = [("r3", "u0"), ("u0", "u1"), ("u1", "u0"), ("u1", "v"), ("v", "w")]
+    edges = spark.createDataFrame(ring + tree + pair, "src string, dst string")
+    weak = graph.connected_components(edges)
+    one, two = (sorted(map(tuple, risk.strong_components(edges, weak, n).collect())) for n in (10**6, 1))
+    assert one == two and len(one) == 40 + 4 + 1 + 4
+    assert {n: c for n, c in one if n != c} == {"r1": "r0", "r2": "r0", "r3": "r0", "u1": "u0"}
+    assert risk.strong_by_colouring(edges.limit(0)).count() == 0
+
+
+def test_synthetic_ledger(spark):
+    from argusledger.sources.synthetic import ledger
+
+    rows = ledger(spark)
+    assert rows.count() == 153 and rows.select("txn_id").distinct().count() == 153 and sorted(rows.collect()) == sorted(ledger(spark).collect()) != sorted(ledger(spark, seed=1).collect())
+    assert rows.filter("source_account = destination_account or amount <= 0").count() == 0
+    t = rows.select(F.col("source_account").alias("src"), F.col("destination_account").alias("dst"), "amount", F.col("timestamp").alias("ts"), (F.col("sar_linked") == 1).alias("sar"))
+    clusters = risk.cluster_metrics(t).collect()
+    assert sorted(r.circular_flow for r in clusters) == [0.0] * 18 + [1.0] * 8 and sorted(r.account_count for r in clusters) == sorted([4] * 18 + [4, 5, 3, 4, 5, 3, 4, 5])
+    assert ledger(spark, rings=0, chains=2, hops=5).count() == 10 and ledger(spark, rings=0, chains=0).count() == 0
+
+
+def test_console_report(spark):
+    from argusledger.operators.profiles import console_report
+
+    profile = {"agent": {"name": "a", "model": None}, "scenario_pack": "t", "status_summary": {"benchmark_verdict": "PASS", "assurance_decision": "PASS_WITH_CONDITIONS"}, "not_evaluated_dimensions": ["gap"],
+               "metrics": [{"label": "Quality", "value": 0.5, "threshold": 0.75, "direction": "higher_is_better", "unit": "rate", "status": "FAIL"}, {"label": "Fakes", "value": None, "threshold": 0, "direction": "lower_is_better", "unit": "count", "status": "NOT_EVALUATED"}],
+               "deployment_decision": {"overall": "PASS_WITH_CONDITIONS", "reason": "why", "reasons": [{"label": "Quality", "actual": 0.5, "threshold": 0.75, "rule": "minimum", "severity": "warning"}]}, "result_hash": "sha256:0"}
+    text = console_report(profile)
+    assert [x for x in text.split("\n") if x.startswith("==")] == ["== run ==", "== metrics ==", "== reasons ==", "== not evaluated ==", "== decision =="]
+    assert "Quality | 0.5   | >= 0.75   | rate  | FAIL" in text and "Fakes   | -     | <= 0      | count | NOT_EVALUATED" in text
+    assert [x for x in console_report({}).split("\n") if x.startswith("==")] == ["== run ==", "== decision =="]
+
+
 def test_risk_all_equal_is_empty(spark):
     t = spark.createDataFrame([("a", "b", 1.0, "2026-01-01", False)], "src string, dst string, amount double, ts string, sar boolean").withColumn("ts", F.to_timestamp("ts"))
     assert risk.cluster_risk(t).count() == 0
