@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argusledger.functions.tables import BROADCAST_ROWS, Shield, cut, drop_cut, partitions, shared_dir, skew_join, small
+from argusledger.functions.tables import BROADCAST_ROWS, Shield, cut, drop_cut, partitions, scratch, shared_dir, skew_join, small
 
-__all__ = ["BROADCAST_ROWS", "NOT_SPACE", "WORD", "Shield", "Words", "binary", "chunks", "cut", "drop_cut", "grams", "limit_batches", "mix64", "partitions", "process_cache", "read", "release", "runs", "row_key", "shared_dir", "skew_join", "small", "text_bytes", "ws_trim_count"]
+__all__ = ["BROADCAST_ROWS", "NOT_SPACE", "WORD", "Shield", "Words", "binary", "chunks", "crc32_sql", "cut", "drop_cut", "grams", "limit_batches", "mix64", "partitions", "process_cache", "read", "release", "runs", "row_key", "scratch", "shared_dir", "skew_join", "small", "text_bytes", "ws_trim_count"]
 
 #: Bytes of text that one pass of the numpy kernel handles at once (a longer text is one chunk).
 CHUNK_BYTES = (1 << 18) - 1
@@ -201,3 +201,9 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
 
 def binary(parts) -> pa.Array:
     return pa.array(list(parts), pa.binary())
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of zlib's CRC-32, unsigned, of an ASCII text."""
+    steps = f"flatten([[ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0] for x in string_split({text}, '')])"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argusledger.llm import annsearch, chatformat, decontaminate, jaccard, langid, linededup, mixing, quality, substring, tokenpack
+from argusledger.llm import annsearch, chatformat, chattrie, decontaminate, jaccard, langid, linededup, mixing, periodic, quality, substring, tokenpack
 from argusledger.llm.common import read
 
 
@@ -54,6 +54,14 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenpack.report(read(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chattrie.report(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_mixing, op3_line_dedup, op3_line_passages, op4_jaccard_join, op5_chat_format, op6_substring_dedup, op7_nearest, op8_language_id, op9_quality, op10_token_pack, pipeline)
+    for f in (op1_decontaminate, op2_mixing, op3_line_dedup, op3_line_passages, op4_jaccard_join, op5_chat_format, op6_substring_dedup, op7_nearest, op8_language_id, op9_quality, op10_token_pack, op12_periodic_runs, op13_prefix_trie, pipeline)
 }
 #: None for 2 and 7 to 10 and the pipeline: their tests hold them against brute force, round trips or held-out rows.
 SQL: dict[str, str] = {
@@ -72,4 +80,6 @@ SQL: dict[str, str] = {
     "op4_jaccard_join": jaccard.SQL,
     "op5_chat_format": chatformat.SQL,
     "op6_substring_dedup": substring.SQL,
+    "op12_periodic_runs": periodic.SQL,
+    "op13_prefix_trie": chattrie.SQL,
 }
