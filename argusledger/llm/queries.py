@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argusledger.llm import annsearch, chatformat, chattrie, decontaminate, jaccard, langid, linededup, mixing, periodic, quality, substring, tokenpack
+from argusledger.llm import annsearch, chatformat, chattrie, decontaminate, embdedup, jaccard, langid, linededup, mixing, periodic, quality, substring, tokenpack
 from argusledger.llm.common import read
 
 
@@ -54,6 +54,10 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenpack.report(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.report(read(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(read(spark, sf_dir, "documents"))
 
@@ -70,9 +74,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_mixing, op3_line_dedup, op3_line_passages, op4_jaccard_join, op5_chat_format, op6_substring_dedup, op7_nearest, op8_language_id, op9_quality, op10_token_pack, op12_periodic_runs, op13_prefix_trie, pipeline)
+    for f in (op1_decontaminate, op2_mixing, op3_line_dedup, op3_line_passages, op4_jaccard_join, op5_chat_format, op6_substring_dedup, op7_nearest, op8_language_id, op9_quality, op10_token_pack, op11_embedding_dedup, op12_periodic_runs, op13_prefix_trie, pipeline)
 }
-#: None for 2 and 7 to 10 and the pipeline: their tests hold them against brute force, round trips or held-out rows.
+#: None for 2, 7 to 11 and the pipeline: their tests hold them against brute force, round trips or held-out rows.
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
     "op3_line_dedup": linededup.SQL,
