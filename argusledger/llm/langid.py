@@ -5,8 +5,9 @@ linear layer gives a score for each language.  Because the average is linear, th
 table of per-n-gram scores, so scoring a whole text is one gather and one sum.  A temperature and the rejection
 threshold are calibrated on documents that SGD did not see.
 
-The model is fitted on a bounded sample of labelled rows: ``FIT`` documents over all languages, of each at most ``SNIPPETS``
-pieces of ``SNIPPET`` bytes, spread over the whole text.  Texts are scored whole.  Edge cases: a text
+The model is fitted on a bounded sample of labelled rows: about ``fit`` documents over the ``languages`` most frequent languages, of
+each at most ``snippets`` pieces of ``snippet`` characters, spread over the whole text (arguments of :func:`train`).  Only those
+languages are learned, whatever others the rows name.  Texts are scored whole.  Edge cases: a text
 that is null or has no letter is ``und`` with score 0 and rejected; without labelled rows every text is ``und`` with
 score 0 and none is rejected but those without a letter; repeated rows and ties are judged alike; an empty table gives an
 empty one.  Other columns, of any names, pass through; input columns named ``li_lang``, ``li_score`` or ``li_rejected`` are
@@ -25,8 +26,10 @@ from argusledger.llm.common import _LOWER, Shield, chunks, release, text_bytes
 
 #: Labelled documents that the model is fitted on, at most; hash buckets, width of an embedding, n-gram lengths.
 FIT, BUCKETS, WIDTH, GRAMS = 4000, 1 << 16, 16, (2, 4)
-#: What a document gives to the fit, at most: pieces, and bytes of a piece (characters in the query).
+#: What a document gives to the fit, at most: pieces, and characters of a piece.
 SNIPPETS, SNIPPET = 8, 1024
+#: Languages that are learned, at most; each gives 20 documents or more, if it has them.
+LANGUAGES = 200
 
 
 def _ids(raw: np.ndarray, n: int) -> np.ndarray:
@@ -152,22 +155,25 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def train(docs: DataFrame, fit: int = FIT) -> Model | None:
-    """A model from the rows of (doc_id, text, lang) that may be learned from; None without any."""
+def train(docs: DataFrame, fit: int = FIT, languages: int = LANGUAGES, snippets: int = SNIPPETS, snippet: int = SNIPPET) -> Model | None:
+    """A model from the rows of (doc_id, text, lang) that may be learned from; None without any.
+
+    The driver sees ``languages`` counts and ``max(2 * fit, 40 * languages)`` rows at most, however many languages there are.
+    """
     own = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return None
     # Of each language an equal share of FIT, chosen by a hash of the row.
     quota = max(20, fit // len(counts))
     pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, quota / n) * (1 << 30)))])
-    # A long text is cut to pieces at even distances, so that at most 2 * fit * SNIPPETS * SNIPPET characters reach the driver.
-    most, n = SNIPPETS * SNIPPET, F.length("text")
-    step = ((n - SNIPPET) / (SNIPPETS - 1)).cast("int")
-    pieces = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SNIPPETS - 1)), lambda i: F.substring("text", i * step + 1, F.lit(SNIPPET))), "\n")
-    own = own.select(F.xxhash64("doc_id", "text").alias("h"), pick.alias("pick"), "doc_id", "lang", F.when(n <= most, F.col("text")).otherwise(pieces).alias("text"))
-    rows = own.filter(F.col("pick") < F.element_at(share, F.col("lang"))).orderBy("h", "doc_id").limit(2 * fit).toArrow().to_pylist()
+    # A long text is cut to pieces at even distances, which bounds what reaches the driver.
+    most, n = snippets * snippet, F.length("text")
+    step = ((n - snippet) / max(1, snippets - 1)).cast("int")
+    pieces = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(snippets - 1)), lambda i: F.substring("text", i * step + 1, F.lit(snippet))), "\n")
+    own = own.filter(F.col("lang").isin(*counts)).select(F.xxhash64("doc_id", "text").alias("h"), pick.alias("pick"), "doc_id", "lang", F.when(n <= most, F.col("text")).otherwise(pieces).alias("text"))
+    rows = own.filter(F.col("pick") < F.element_at(share, F.col("lang"))).orderBy("h", "doc_id").limit(max(2 * fit, 40 * languages)).toArrow().to_pylist()
     if not rows:
         rows = [r.asDict() for r in own.orderBy("h", "doc_id").limit(fit).collect()]
     return Model([r["text"] for r in rows], [r["lang"] for r in rows])

@@ -6,7 +6,8 @@ weighs the rules, with its penalty chosen on rows held apart, and the few that a
 expression over the statistics.
 
 Edge cases: null and empty texts have statistics of 0 and are scored by the rules like any other; labels that are
-null, or of no document, are ignored; repeated rows are scored alike, and a label of a doc_id holds for all its rows; with one
+null, or of no document, are ignored; repeated rows are scored alike, and a label of a doc_id that several rows share is learned
+from one of them, that with the smallest hash of its text; with one
 class of labels, or none, the score is their mean, or 0.5; an empty table gives an empty one.  Other columns, of any names,
 pass through; input columns named ``qs_score`` or like a statistic (``qs_*`` of STATS) are replaced.
 """
@@ -213,13 +214,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit: int = FIT, label_col: str = "quality") -> tuple[list[tuple[Rule, float]], float]:
-    """Rules from the labelled rows that may be learned from: a sample of at most ``2 * fit``, by a hash of the id."""
-    own = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
+    """Rules from the labelled rows that may be learned from: a sample of at most ``2 * fit``, by a hash of the id.
+
+    The driver sees the statistics of one row of each sampled label, however many rows share its doc_id.
+    """
+    own = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id"))).distinct()
     total = own.count()
     share = min(1.0, fit / max(1, total))
     own = own.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("_id"), "_id").limit(2 * fit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text")
-    got = with_statistics(rows).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text", F.xxhash64("text").alias("_h"))
+    told = [f"qs_{k}" for k in STATS]
+    one = with_statistics(rows).groupBy("doc_id", "_y").agg(F.min_by(F.struct(*told), "_h").alias("s"))
+    got = one.select("doc_id", "_y", "s.*").orderBy(F.xxhash64("doc_id"), "doc_id", "_y").toArrow()
     x = np.stack([got.column(f"qs_{k}").to_numpy() for k in STATS], axis=1) if got.num_rows else np.zeros((0, len(STATS)))
     return fit_rules(x, got.column("_y").to_numpy().astype(np.float64))
 

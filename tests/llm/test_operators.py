@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from argusledger.llm import annsearch, chatformat, decontaminate, jaccard, langid, linededup, mixing, quality, substring, tokenpack
 from argusledger.llm.queries import QUERIES, SQL
@@ -242,7 +243,18 @@ def test_pipeline_keeps_what_plain_rules_keep(spark):
     assert ids(after) == plain(before, "op1_decontaminate", "not contaminated")
     before = after
     after = now("source_mixing")
-    assert set(ids(after)) <= set(ids(before))
+    rows = lambda t: zip(t.column("doc_id").to_pylist(), t.column("source").to_pylist(), t.column("text").to_pylist(), strict=True)
+    whole, taken, size = {i: (s, t or "") for i, s, t in rows(before)}, Counter(), Counter()
+    for s, t in whole.values():
+        size[s] += len(t.split())
+    times, cuts = Counter(), Counter()
+    for i, s, t in rows(after):
+        assert whole[i][0] == s and whole[i][1].startswith(t)
+        taken[s] += len(t.split())
+        times[i] += 1
+        cuts[s] += t != whole[i][1]
+    wanted = dict(zip(sorted(size), mixing.water_fill([size[s] for s in sorted(size)], [1 + k % 3 for k in range(len(size))], sum(size.values()), 3), strict=True))
+    assert max(times.values()) <= 3 and max(cuts.values()) <= 1 and all(abs(taken[s] - wanted[s]) <= 1 for s in size)
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
     for r in after.to_pylist():
@@ -354,32 +366,70 @@ def test_rules_by_plain_logic(spark):
             assert abs(r[f"qs_{k}"] - v) < 1e-9, (k, r["doc_id"])
 
 
-def test_taken_words_by_plain_streams(spark):
-    """Each document's share of the chosen blocks, word by word."""
-    rows = [(None, "hot text of six words here", "a") for _ in range(300)] + [(i % 20, "w " * (i * 7 % 60), "abc"[i % 3]) for i in range(200)] + [(3, None, "c"), (None, "", None), (4, "only words", None)]
+def test_taken_words_by_plain_streams(spark, monkeypatch):
+    """Each document's share of its shard's first words, and every text of the written mix."""
+    import re
+
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 900)
+    rows = [(None, "hot text of six words here", "a") for _ in range(300)] + [(i % 20, "w " * (i * 7 % 60), "abc"[i % 3]) for i in range(200)] + [(3, None, "c"), (None, "", None), (4, "only words", None), (5, " five words\tof a source\n", "tiny")]
+    rows += [(100, " \n ".join(f"w{i}" for i in range(9000)), "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     p = mixing.mix(docs).toPandas()
     assert len(p) == len(rows)
+    text_of, want = {}, []
+    for r in docs.select("text", *mixing.row_key("doc_id", "source", "text")).collect():
+        text_of[r.k1, r.k2] = r.text
     for _, shard in p[p["size"] > 0].groupby(["source", "shard"], dropna=False):
         shard = shard.sort_values("begin")
         own = [i for i, n in zip(shard.index, shard["size"], strict=True) for _ in range(n)]  # the stream, word by word
-        assert shard.begin.tolist() == [own.index(i) for i in shard.index] and shard.repeats.nunique() == shard.extra.nunique() == 1
-        first, taken = shard.iloc[0], dict.fromkeys(shard.index, 0)
-        blocks = -(-len(own) // first.block)
-        assert first.blocks == blocks and first.quota == first.repeats * blocks + first.extra
-        for at, i in enumerate(own):
-            j = at // first.block
-            taken[i] += first.repeats + ((j + 1) * first.extra + first.turn) // blocks - (j * first.extra + first.turn) // blocks
+        first = shard.iloc[0]
+        assert shard.begin.tolist() == [own.index(i) for i in shard.index] and shard.given.nunique() == 1 and first.stream == len(own)
+        taken = dict.fromkeys(shard.index, 0)
+        for at in range(first.given):
+            taken[own[at % len(own)]] += 1
         assert taken == shard.taken.to_dict()
+        for i, n in taken.items():
+            text, size = text_of[shard.k1[i], shard.k2[i]], int(shard["size"][i])
+            want += [text] * (n // size)
+            if n % size:
+                want.append(re.match(r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){%d}" % (n % size), text)[0].rstrip())
+        assert sum(n % s > 0 for n, s in zip(taken.values(), shard["size"], strict=True)) <= 1
+    by_source = p.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (by_source.taken - by_source.target).abs().max() <= 0.5 and by_source.taken["tiny"] == 15
     got = mixing.mixed_documents(docs).toPandas()
-    count = lambda f, n: f.assign(n=n).groupby("doc_id", dropna=False).n.sum().loc[lambda x: x > 0].to_dict()
-    a, b = count(got, got.text.str.split().str.len()), count(p.rename(columns={"id": "doc_id"}), p.taken)
-    assert {str(k): v for k, v in a.items()} == {str(k): v for k, v in b.items()} and (p.taken <= 3 * p["size"]).all()
+    assert sorted(got.text) == sorted(want) and (p.taken <= 3 * p["size"]).all()
     again = mixing.report(docs.repartition(7)).toPandas()
     key = ["doc_id", "size", "source", "taken"]
     assert sorted(map(str, again[key].values.tolist())) == sorted(map(str, p.rename(columns={"id": "doc_id"})[key].values.tolist()))
 
 
+def test_a_small_source_cuts_no_other(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    tiny = spark.createDataFrame([(-1, "just five words of text", "zz")], docs.schema)
+    for df in (docs, docs.unionByName(tiny)):
+        got = mixing.report(df).toPandas()
+        cuts = got[(got["size"] > 0) & (got.taken % got["size"].clip(lower=1) > 0)]
+        assert len(cuts) == len(cuts[["source", "shard"]].drop_duplicates()) <= got.source.nunique() + 1  # one a shard
+        assert got[got.doc_id == -1].taken.tolist() in ([], [15])
+
+
+def test_what_a_fit_may_read(spark, monkeypatch):
+    """A labelled id of 100,000 rows, and 10,000 languages."""
+    words = spark.createDataFrame([(i, f"some text {i} of words, more or less", i % 2) for i in range(1, 60)], "doc_id long, text string, quality int")
+    hot = spark.range(100_000).select((F.lit(61) * F.lit(1)).alias("doc_id"), F.concat(F.lit("copy "), F.col("id")).alias("text"))
+    seen = {}
+    monkeypatch.setattr(quality, "fit_rules", lambda x, y: (seen.update(n=len(y)), ([], 0.0))[1])
+    labels = words.select("doc_id", "quality").unionByName(spark.createDataFrame([(61, 1), (61, 1)], "doc_id long, quality int"))
+    quality.train(words.select("doc_id", "text").unionByName(hot), labels)
+    assert seen["n"] <= 60
+    many = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.concat(F.lit("l"), F.col("id") % 10_000).alias("lang"))
+    monkeypatch.setattr(langid, "Model", lambda texts, langs: seen.update(texts=len(texts), langs=len(set(langs))))
+    langid.train(many.union(spark.range(4000).select("id", F.lit("ein Text"), F.lit("de"))), languages=50)
+    assert seen["langs"] == 50 and seen["texts"] <= 8000
+    langid.train(spark.createDataFrame([(0, "z" * 10**6, "x"), (2, None, "y")], "doc_id long, text string, lang string"), snippets=1, snippet=100)
+
+
 @pytest.mark.parametrize("options", [{}, {"leaf_rows": 32, "split": 200, "block": 64}])
 def test_nearest_of_copies(spark, options):
     """A vector that a third of all rows hold, scaled copies, repeated ids: against all distances."""
