@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,15 +89,18 @@ def _origin(data: S.Dataset) -> tuple[str | None, str | None]:
 
 
 def load_case(spark: SparkSession, definitions: list[tuple[str, str, dict]], registry) -> S.Case:
-    """Sources (name, adapter, options); one that fails is recorded, the others are merged."""
+    """Sources (name, adapter, options or a function that gives them); one that can't be read is recorded, the others are merged.
+
+    Only faults of a source count as such: a wrong call of an adapter is raised.
+    """
     good, failures = [], []
     for name, adapter, options in definitions:
         try:
-            data = registry.resolve(adapter)(spark, **options)
+            data = registry.resolve(adapter)(spark, **(options() if callable(options) else options))
             for df in data.collections.values():
                 df.write.format("noop").mode("overwrite").save()  # read it now, so that a bad file fails here
             good.append(data)
-        except Exception as e:  # noqa: BLE001
+        except (S.AdapterError, PySparkException, OSError) as e:
             failures.append((name, str(e).splitlines()[0]))
     if not good:
         raise S.SourceError(f"no source could be read: {failures}")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ from argusledger.operators import assurance
 from argusledger.sources import readers
 from argusledger.sources import schema as S
 
+# A bundle's header and the mark of a missing file.
+HEADER, MISSING = "----- {label}:{name} -----", "[MISSING FILE]"
 # Files that brief an agent and are not its output, and how a profile's parts are called.
 BRIEFS = ("instruction.md", "prompt.md", "expected-behaviour.md", "tests.md", "judge_report.json", "bench_result.json")
 PREVIEW, CUT_MARK = 4000, "\n...[truncated]"
@@ -70,11 +73,30 @@ class CaseSource:
     options: dict[str, str] = field(default_factory=dict)
 
     def arguments(self) -> dict:
-        """What the source's adapter is called with."""
-        if self.path:
+        """What the source's adapter is called with.  A live source's connection is its profile's, from the environment; an option
+        ``AuthTokenProfile`` names that of a token."""
+        kind = self.source_type.lower()
+        place = readers.Registry.CONNECTED.get(kind)
+        if place is None:
+            if not self.path:
+                raise S.InvalidConfiguration(f"{self.source_type}: a path is needed")
             return {"path": self.path, **self.options}
-        named = {"connection": self.connection_profile, "query": self.query}
-        return {**{k: v for k, v in named.items() if v}, **self.options}
+        out = {place: _connection(self.source_type, self.connection_profile), "name": self.connection_profile, **self.options}
+        token = out.pop("AuthTokenProfile", None)
+        if token and token.strip():
+            out["token"] = _connection(self.source_type, token)
+        if self.query and self.query.strip():
+            out["path" if kind == "rest" else "query"] = self.query
+        return out
+
+
+def _connection(kind: str, profile: str | None) -> str:
+    if not profile or not profile.strip():
+        raise S.InvalidConfiguration(f"{kind}: a connection_profile is needed")
+    try:
+        return N.connection(profile)
+    except LookupError as e:
+        raise S.InvalidConfiguration(str(e.args[0])) from None
 
 
 @dataclass(frozen=True)
@@ -82,9 +104,9 @@ class CaseFile:
     case_id: str
     sources: list[CaseSource]
 
-    def definitions(self) -> list[tuple[str, str, dict]]:
-        """For :func:`argusledger.operators.merge.load_case`, in the file's order."""
-        return [(s.role or s.path or s.connection_profile or s.source_type, s.source_type, s.arguments()) for s in self.sources]
+    def definitions(self) -> list[tuple[str, str, Callable[[], dict]]]:
+        """For :func:`argusledger.operators.merge.load_case`, in the file's order; profiles are resolved as each source is loaded."""
+        return [(s.role or s.path or s.connection_profile or s.source_type, s.source_type, s.arguments) for s in self.sources]
 
 
 def parse_case(text: str, folder: str | None = None) -> CaseFile:
@@ -164,7 +186,7 @@ def bundle(spark: SparkSession, folder: str, names: list[str], label: str) -> st
     parts = []
     for name in names:
         path = posixpath.join(folder, name)
-        parts += [f"----- {label}:{name} -----", read_text(spark, path) if exists(spark, path) else "[MISSING FILE]"]
+        parts += [HEADER.format(label=label, name=name), read_text(spark, path) if exists(spark, path) else MISSING]
     return "\n".join(parts) + "\n" if parts else ""
 
 

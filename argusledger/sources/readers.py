@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import json
-import urllib.error
-import urllib.request
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from argusledger.functions import normalise as N
 from argusledger.functions.tables import small
+from argusledger.sources import live
 from argusledger.sources import schema as S
+from argusledger.sources.live import WRAPPERS
 
 ADAPTER_VERSION = "1.0"
-# Keys under which an object may hold the rows.
-WRAPPERS = ("transactions", "rows", "data", "records")
+#: All names that a transaction's fields may have.
+FIELDS = ("transaction_id", "txn_id", "source_account", "from_account", "destination_account", "to_account", "amount", "currency", "timestamp", "channel", "jurisdiction", "destination_country", "sar_linked")
 
 
 def _named(df: DataFrame, exact: bool) -> dict[str, str]:
@@ -93,21 +93,50 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None) -> S.Datas
     return _transactions(rows, "csv", name or path, exact=True)
 
 
+def from_records(records: DataFrame) -> DataFrame:
+    """JSON objects (``record``) as rows of text: those of FIELDS that any record has."""
+    keys = records.select(F.explode(F.json_object_keys("record")).alias("k")).filter(F.col("k").isin(*FIELDS)).distinct()
+    have = {r.k for r in keys.collect()}
+    own = [c for c in FIELDS if c in have] or ["transaction_id"]
+    # A VARIANT keeps all digits of a number.
+    return records.select(F.try_parse_json("record").alias("v")).select(*[F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in own])
+
+
+def _one_a_line(spark: SparkSession, path: str) -> DataFrame | None:
+    """Records of a document with a bracket or one object a line (see :func:`argusledger.sinks.write_collection`); None for any other layout."""
+    lines = spark.read.text(path).select(F.trim("value").alias("x")).filter("x not in ('', '[', ']')")
+    start = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    if not start or start[0].value.strip("\ufeff \t\r") != "[" or lines.filter(~F.col("x").rlike(r"^\{.*\},?$")).limit(1).count():
+        return None
+    records = lines.select(F.regexp_replace("x", ",$", "").alias("record"))
+    return None if records.filter(F.json_object_keys("record").isNull()).limit(1).count() else records
+
+
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an array, of an object's wrapper array, or of lines (by the suffix .jsonl)."""
     if path.endswith(".jsonl"):
         return spark.read.option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
+    records = _one_a_line(spark, path)
+    if records is not None:
+        return from_records(records)
     rows = spark.read.option("multiLine", True).option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
     return _unwrap(spark, path, rows, WRAPPERS)
 
 
 def _unwrap(spark: SparkSession, path: str, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """A top-level array's rows as they are; of an object, those of its first wrapper."""
+    """A top-level array's rows as they are; of an object, those of its first wrapper.  An object without one is an error."""
     start = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
     if start and start[0].value.lstrip("\ufeff \t").startswith("["):
         return rows
-    held = [w for w in keys if w in rows.columns]
-    return rows.selectExpr(f"inline({held[0]})") if held else rows
+    arrays = {f.name: f.dataType.elementType for f in rows.schema.fields if isinstance(f.dataType, T.ArrayType)}
+    held = [w for w in keys if w in arrays]
+    if not held:
+        raise S.SourceError(f"{path}: neither an array nor an object that wraps one under {', '.join(keys)}")
+    if not isinstance(arrays[held[0]], T.StructType):
+        if rows.filter(F.size(held[0]) > 0).limit(1).count():
+            raise S.SourceError(f"{path}: an array element is no object")
+        return rows.limit(0).select(F.lit(None).cast("string").alias("transaction_id"))
+    return rows.selectExpr(f"inline({held[0]})")
 
 
 def read_json(spark: SparkSession, path: str, name: str | None = None) -> S.Dataset:
@@ -119,36 +148,32 @@ def read_parquet(spark: SparkSession, path: str, name: str | None = None) -> S.D
     return _transactions(rows.select([N.as_text(F.col(f"`{f.name}`"), f.dataType.typeName()).alias(f.name) for f in rows.schema.fields]), "parquet", name or path)
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, kind: str = "postgresql", name: str | None = None, **options: str) -> S.Dataset:
-    """PostgreSQL and SQL Server through Spark's JDBC source (its driver jar comes with the cluster)."""
-    rows = spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
+def read_jdbc(spark: SparkSession, url: str, query: str | None = None, kind: str = "postgresql", name: str | None = None, key: str | None = None, parts: int = 8, **options: str) -> S.Dataset:
+    """PostgreSQL and SQL Server through Spark's JDBC source, in ``parts`` ranges of ``key`` (its driver jar comes with the cluster).
+
+    ``url`` is a JDBC URL or a client's ``Key=Value;…``.  Errors never name the connection.
+    """
+    query = query if query and query.strip() else live.DEFAULT_QUERY
+    address, own = live.jdbc_address(kind, url)
+    try:
+        rows = live.jdbc_rows(spark, address, query, key, int(parts), **{**own, **options})
+    except S.AdapterError:
+        raise
+    except Exception as e:
+        what = str(e).splitlines()[0]
+        for secret in (address, url, *own.values()):
+            what = what.replace(secret, "***")
+        raise S.SourceError(f"{kind} query failed for {name or 'the connection'}: {what}") from None
     text = rows.select([N.as_text(F.col(f"`{f.name}`"), f.dataType.typeName()).alias(f.name) for f in rows.schema.fields])
     words = query.split()
     table = next((b.rstrip(";") for a, b in zip(words, words[1:], strict=False) if a.upper() == "FROM"), None)
     return _transactions(text, kind, name or table, table)
 
 
-def read_rest(spark: SparkSession, base: str, path: str | None = None, token: str | None = None, name: str | None = None, get: Callable | None = None) -> S.Dataset:
-    """One GET, its body an array or a wrapper object.  ``get(url, headers)`` may replace the HTTP client."""
-    url, headers = N.combine_url(base, path), {"Authorization": f"Bearer {token}"} if token else {}
-
-    def fetch(u, h):
-        with urllib.request.urlopen(urllib.request.Request(u, headers=h), timeout=30) as r:  # noqa: S310
-            return r.read().decode()
-
-    try:
-        body = json.loads((get or fetch)(url, headers))
-    except urllib.error.HTTPError as e:
-        raise S.SourceError("authentication failed" if e.code in (401, 403) else f"HTTP status {e.code}") from e
-    except (OSError, ValueError) as e:
-        raise S.SourceError(str(e)) from e
-    if isinstance(body, dict):
-        body = next((body[w] for w in WRAPPERS if isinstance(body.get(w), list)), None)
-    if not isinstance(body, list) or any(not isinstance(r, dict) for r in body):
-        raise S.SourceError("the body is no array of objects")
-    keys = sorted({k for r in body for k in r})
-    rows = [tuple(None if r.get(k) is None else r[k] if isinstance(r[k], str) else json.dumps(r[k]) for k in keys) for r in body]
-    return _transactions(spark.createDataFrame(rows, ", ".join(f"`{k}` string" for k in keys)), "rest", name or base)
+def read_rest(spark: SparkSession, base: str, path: str | None = None, paths: list[str] | None = None, token: str | None = None, name: str | None = None, get: Callable[[str, dict], str] | None = None) -> S.Dataset:
+    """One GET, or one for each of ``paths``, on executors; bodies are arrays or wrapper objects.  ``get(url, headers)`` may replace the HTTP client."""
+    records = live.rest_records(spark, [N.combine_url(base, p) for p in paths or [path]], token, get)
+    return _transactions(from_records(records), "rest", name or base, exact=True)
 
 
 def _graph(entities: DataFrame, relationships: DataFrame, kind: str, name: str | None) -> S.Dataset:
@@ -166,22 +191,27 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def read_graphml(spark: SparkSession, path: str, name: str | None = None) -> S.Dataset:
-    """Nodes and edges by Spark's XML source.  Unknown endpoints and repeated edge ids raise."""
-    data = "data array<struct<_key:string,_VALUE:string>>"
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("mode", "FAILFAST").schema(schema).load(path).withColumn("_at", F.monotonically_increasing_id())
-    value = lambda key: F.get(F.filter("data", lambda d: d["_key"] == key), F.lit(0))["_VALUE"]
-    nodes = last_wins(read("node", f"_id string, {data}").select(F.col("_id").alias("entity_id"), F.coalesce(value("label"), F.lit("unknown")).alias("entity_type"), value("name").alias("display_name"), "_at"), "entity_id", "_at")
-    edges = read("edge", f"_id string, _source string, _target string, {data}")
-    # An edge without id is named by its place: counted within its partition, after the partitions before it.
-    edges = edges.withColumns({"_part": F.shiftright("_at", 33), "_place": F.row_number().over(Window.partitionBy(F.shiftright("_at", 33)).orderBy("_at"))})
-    sizes = sorted((r._part, r["count"]) for r in edges.groupBy("_part").count().collect())  # one row a partition
-    before = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
-    edges = edges.join(small(spark.createDataFrame(before, "_part long, _before long")), "_part")
-    place = (F.col("_place") + F.col("_before")).cast("string")
-    edges = edges.select(F.coalesce("_id", F.concat(F.lit("edge-"), place)).alias("relationship_id"), F.col("_source").alias("source_entity_id"), F.col("_target").alias("target_entity_id"),
-                         F.coalesce(value("type"), F.lit("related_to")).alias("relationship_type"), N.comma_list(value("evidence_ids")).alias("evidence_ids"))
-    ends = edges.select("relationship_id", F.explode(F.array("source_entity_id", "target_entity_id")).alias("entity_id"))
-    lost = ends.join(nodes.select("entity_id"), "entity_id", "left_anti").limit(1).collect()
+    """Nodes and edges of the first graph of a GraphML document, or of each of a folder; ids count without case.
+
+    The last of repeated nodes wins.  A node without id, an edge without an end, an end that is no node and repeated edge ids raise.
+    """
+    rows = live.graphml_records(spark, path)
+    value = lambda key: F.col("data")[key]
+    odd = F.when((F.col("kind") == "node") & F.col("id").isNull(), "a node has no id").when((F.col("kind") == "edge") & F.col("source").isNull(), "an edge has no source").when((F.col("kind") == "edge") & F.col("target").isNull(), "an edge has no target")
+    bad = rows.withColumn("odd", odd).filter("odd is not null").orderBy("file", "at").limit(1).collect()
+    if bad:
+        raise S.NormalisationError(f"{bad[0].odd} (element {bad[0].at})")
+    at = F.struct("file", "at")
+    nodes = last_wins(rows.filter("kind = 'node'").select(F.upper("id").alias("_key"), F.col("id").alias("entity_id"), F.coalesce(value("label"), F.lit("unknown")).alias("entity_type"), value("name").alias("display_name"), at.alias("_at")), "_key", "_at")
+    # An edge without id is named by its place among the document's edges, after those of the documents before it.
+    edges = rows.filter("kind = 'edge'")
+    counts = edges.groupBy("file").agg(F.count("*").alias("n"))  # one row a document
+    before = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    edges = edges.join(small(before), "file").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("file").orderBy("at")))
+    edges = edges.select(F.coalesce("id", F.concat(F.lit("edge-"), F.col("place").cast("string"))).alias("relationship_id"), F.col("source").alias("source_entity_id"), F.col("target").alias("target_entity_id"),
+                         F.coalesce(value("type"), F.lit("related_to")).alias("relationship_type"), N.comma_list(F.coalesce(value("evidence_ids"), F.lit(""))).alias("evidence_ids"))
+    ends = edges.select("relationship_id", F.explode(F.array("source_entity_id", "target_entity_id")).alias("entity_id")).withColumn("_key", F.upper("entity_id"))
+    lost = ends.join(nodes.select("_key"), "_key", "left_anti").orderBy("relationship_id").limit(1).collect()
     if lost:
         raise S.NormalisationError(f"edge {lost[0].relationship_id!r} names unknown node {lost[0].entity_id!r}")
     twice = duplicate_ids(edges, "relationship_id").limit(1).collect()
@@ -190,19 +220,18 @@ def read_graphml(spark: SparkSession, path: str, name: str | None = None) -> S.D
     return _graph(nodes, edges, "graphml", name or path)
 
 
-def read_property_graph(spark: SparkSession, run: Callable[[str], Iterable[tuple[dict, dict, dict]]], query: str = "MATCH (a)-[r]->(b) RETURN a, r, b", name: str | None = None) -> S.Dataset:
-    """Records (a, r, b) of a graph store's client: nodes ``{id, labels, properties}``, relationships ``{id, type, properties}``."""
-    ident = lambda x: str(x["properties"].get("id") or x["id"])
-    nodes, rels = {}, {}
-    for a, r, b in run(query):
-        for x in (a, b):  # the last wins
-            p = x["properties"]
-            nodes[ident(x)] = ((x.get("labels") or ["unknown"])[0], p.get("name", p.get("display_name")))
-        ids = r["properties"].get("evidence_ids") or []
-        ids = [v.strip() for v in ids.split(",") if v.strip()] if isinstance(ids, str) else [str(v) for v in ids]
-        rels.setdefault(ident(r), (ident(a), ident(b), r.get("type") or "related_to", ids))  # the first wins
-    entities = spark.createDataFrame([(k, *v) for k, v in nodes.items()], "entity_id string, entity_type string, display_name string")
-    return _graph(entities, spark.createDataFrame([(k, *v) for k, v in rels.items()], "relationship_id string, source_entity_id string, target_entity_id string, relationship_type string, evidence_ids array<string>"), "neo4j", name)
+def read_property_graph(spark: SparkSession, uri: str | None = None, query: str | None = None, client: Callable | None = None, parts: int = 1, name: str | None = None) -> S.Dataset:
+    """A graph store's records, read on executors by ``client`` (see :func:`argusledger.sources.live.graph_records`); ids count without case.
+
+    The last of repeated nodes wins and the first of repeated relationships, by part and place.
+    """
+    rows = live.graph_records(spark, client or live.neo4j_client, uri, query if query and query.strip() else live.GRAPH_QUERY, int(parts))
+    place = lambda side: F.struct("part", "at", F.lit(side).alias("side")).alias("_at")
+    ends = rows.select("a.*", place(0)).unionByName(rows.select("b.*", place(1)))
+    nodes = last_wins(ends.select(F.upper("id").alias("_key"), F.col("id").alias("entity_id"), F.col("type").alias("entity_type"), F.col("name").alias("display_name"), "_at"), "_key", "_at")
+    first = rows.groupBy(F.upper("r.id")).agg(F.min_by(F.struct("r", "a", "b"), F.struct("part", "at")).alias("x"))
+    edges = first.select(F.col("x.r.id").alias("relationship_id"), F.col("x.a.id").alias("source_entity_id"), F.col("x.b.id").alias("target_entity_id"), F.col("x.r.type").alias("relationship_type"), F.col("x.r.evidence_ids").alias("evidence_ids"))
+    return _graph(nodes, edges, "neo4j", name)
 
 
 def grounding_ids(spark: SparkSession, path: str, column: str = "txn_id") -> DataFrame:
@@ -223,7 +252,10 @@ def grounding_ids(spark: SparkSession, path: str, column: str = "txn_id") -> Dat
 
 
 class Registry:
-    """Adapters by name, without case; replaceable."""
+    """Adapters by name, without case; replaceable.  Those in ``CONNECTED`` take a connection, under the argument named there."""
+
+    # Adapters of live sources.
+    CONNECTED = {"postgresql": "url", "sqlserver": "url", "rest": "base", "neo4j": "uri"}
 
     def __init__(self):
         self._by_name: dict[str, Callable[..., S.Dataset]] = {}

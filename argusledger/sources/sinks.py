@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argusledger.functions.normalise import iso_o, up_to_four
+from argusledger.functions.tables import cut, drop_cut, partitions
 from argusledger.sources import schema as S
 from argusledger.sources.readers import ADAPTER_VERSION
 
@@ -18,10 +19,6 @@ def write_parquet(transactions: DataFrame, path: str) -> None:
     transactions.drop("source_lineage").write.mode("overwrite").parquet(path)
 
 
-#: Rows up to which a collection is written as one JSON array; beyond it, as JSON lines.
-ARRAY_ROWS = 100_000
-
-
 def write_csv(transactions: DataFrame, path: str, quoted: bool = True) -> None:
     """Ordered by id; id column ``txn_id``; ISO timestamps; quoted where a field needs it, or (``quoted=False``) never."""
     rows = transactions.select(F.col("transaction_id").alias("txn_id"), "source_account", "destination_account", "amount", "currency", iso_o(F.col("timestamp")).alias("timestamp"), "channel", "jurisdiction", F.lower(F.col("sar_linked").cast("string")).alias("sar_linked"))
@@ -59,33 +56,53 @@ def export_case(spark: SparkSession, case: S.Case, root: str) -> list[str]:
     return done
 
 
-def _array(df: DataFrame, key: str) -> DataFrame:
-    rows = df.select(F.col(key).alias("k"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
-    return rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: x.j), ","), F.lit("]")).alias("value"))
-
-
-def _few(df: DataFrame) -> bool:
-    return df.limit(ARRAY_ROWS + 1).count() <= ARRAY_ROWS
+def _write_document(sections: list[tuple[str, DataFrame, str, str]], path: str) -> None:
+    """One JSON document of any size: sections (opening line, rows, key, closing line), an object a line, ordered by key.
+
+    The rows are sorted over all executors; each writes its part of the lines, and the parts, in the order of their names, are the
+    document.  They appear together when Spark commits the write.  Every row but a section's last ends in a comma.
+    """
+    made, parts = [], []
+    for at, (before, df, key, after) in enumerate(sections):
+        spark = df.sparkSession
+        rows = cut(df.select(F.col(key).cast("string").alias("k"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"), F.monotonically_increasing_id().alias("u")))
+        made.append(rows)
+        last = rows.agg(F.max(F.struct("k", "j", "u")).alias("last"))  # one row
+        line = F.when(F.struct("k", "j", "u") == F.col("last"), F.col("j")).otherwise(F.concat("j", F.lit(",")))
+        parts.append(rows.crossJoin(F.broadcast(last)).select(F.lit(3 * at + 1).alias("at"), "k", "j", "u", line.alias("value")))
+        parts.append(spark.createDataFrame([(3 * at, before), (3 * at + 2, after)], "at int, value string").select("at", F.lit(None).cast("string").alias("k"), F.lit(None).cast("string").alias("j"), F.lit(None).cast("long").alias("u"), "value"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    out.orderBy("at", "k", "j", "u").select("value").write.mode("overwrite").text(path)
+    for rows in made:
+        drop_cut(rows)
 
 
 def write_collection(df: DataFrame, key: str, path: str) -> None:
-    """``path``.json with one array ordered by ``key``, or, of more than ARRAY_ROWS rows, ``path``.jsonl with a row a line."""
-    if _few(df):
-        _array(df, key).write.mode("overwrite").text(f"{path}.json")
-    else:
-        write_jsonl(df, key, f"{path}.jsonl")
+    """``path``.json: one array ordered by ``key``, an object a line."""
+    _write_document([("[", df, key, "]")], f"{path}.json")
 
 
 def write_graph(spark: SparkSession, graph: dict[str, DataFrame], path: str) -> None:
-    """``path``.json with the arrays ``entities`` and ``relationships``; large ones as JSON lines of their own."""
-    if all(map(_few, graph.values())):
-        parts = [_array(df, S.COLLECTIONS[n][2]).select(F.lit(n).alias("n"), "value") for n, df in sorted(graph.items())]
-        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: F.concat(F.lit('"'), x.n, F.lit('":'), x.value)), ",")
-        both.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value")).write.mode("overwrite").text(f"{path}.json")
-    else:
-        for name, df in graph.items():
-            write_jsonl(df, S.COLLECTIONS[name][2], f"{path}-{name}.jsonl")
+    """``path``.json: an object with the arrays ``entities`` and ``relationships``, those that are given."""
+    names = sorted(graph)
+    head, foot = lambda i: "{" * (i == 0) + f'"{names[i]}":[', lambda i: "]" + ("}" if i == len(names) - 1 else ",")
+    _write_document([(head(i), graph[n], S.COLLECTIONS[n][2], foot(i)) for i, n in enumerate(names)], f"{path}.json")
+
+
+def write_parts(lines: DataFrame, n: int, path: str) -> None:
+    """(part, at, value): a folder with a file for each part, its lines by ``at``."""
+    lines.repartition(n, "part").sortWithinPartitions("part", "at").drop("at").write.mode("overwrite").partitionBy("part").text(path)
+
+
+def write_graphml(elements: DataFrame, path: str, documents: int | None = None, head: str = "<graphml><graph>", foot: str = "</graph></graphml>") -> None:
+    """Nodes and edges (``value``, as XML) dealt over GraphML documents of their own in the folder ``path``."""
+    spark = elements.sparkSession
+    n = documents or partitions(spark)
+    body = elements.select(F.pmod(F.hash("value"), F.lit(n)).alias("part"), F.lit(1).alias("at"), "value")
+    ends = spark.range(n).select(F.col("id").cast("int").alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit(head).alias("value")), F.struct(F.lit(2).alias("at"), F.lit(foot).alias("value")))).alias("x")).select("part", "x.*")
+    write_parts(body.unionByName(ends), n, path)
 
 
 def table_text(title: str, header: list[str], rows: list[list[str]]) -> str:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from argusledger.functions import normalise as N
 from argusledger.operators import assurance, evidence, graph, merge, risk
-from argusledger.plans import catalogue
+from argusledger.plans import catalogue, connectors  # noqa: F401
 from argusledger.sources import readers, sinks
 from argusledger.sources import schema as S
 from argusledger.streaming.weekly import weekly_counts
@@ -54,7 +54,7 @@ def test_formats_agree(spark, tmp_path):
     (tmp_path / "j.json").write_text(json.dumps({"rows": rows}))
     (tmp_path / "l.jsonl").write_text("\n".join(map(json.dumps, rows)))
     others = [readers.read_parquet(spark, str(tmp_path / "p")), readers.read_csv(spark, str(tmp_path / "c")), readers.read_json(spark, str(tmp_path / "j.json")), readers.read_json(spark, str(tmp_path / "l.jsonl")),
-              readers.read_rest(spark, "http://x/", "/y", "tok", get=lambda u, h: json.dumps(rows) if (u, h["Authorization"]) == ("http://x/y", "Bearer tok") else "{}")]
+              readers.read_rest(spark, "http://x/", "/y", token="tok", get=lambda u, h: json.dumps(rows) if (u, h["Authorization"]) == ("http://x/y", "Bearer tok") else "{}")]
     assert {merge.content_hash(spark, d) for d in others} == {merge.content_hash(spark, base)}
 
 
@@ -85,7 +85,7 @@ def test_graphml_merge_and_integrity(spark, tmp_path):
 
 def test_property_graph(spark):
     a, b = {"id": 1, "labels": ["person"], "properties": {"id": "p1", "name": "x"}}, {"id": 2, "labels": [], "properties": {"display_name": "d"}}
-    d = readers.read_property_graph(spark, lambda q: [(a, {"id": 7, "type": "KNOWS", "properties": {}}, b), (a, {"id": 7, "type": "OTHER", "properties": {}}, b)])
+    d = readers.read_property_graph(spark, client=lambda uri, q, part, parts: [(a, {"id": 7, "type": "KNOWS", "properties": {}}, b), (a, {"id": 7, "type": "OTHER", "properties": {}}, b)])
     assert d.collections["relationships"].first().relationship_type == "KNOWS" and d.collections["entities"].count() == 2
 
 
@@ -120,15 +120,66 @@ def test_strong_ones_after_trimming(spark):
 
 
 def test_synthetic_ledger(spark):
-    from argusledger.sources.synthetic import ledger
+    from argusledger.sources.synthetic import Pattern, ledger
 
     rows = ledger(spark)
-    assert rows.count() == 153 and rows.select("txn_id").distinct().count() == 153 and sorted(rows.collect()) == sorted(ledger(spark).collect()) != sorted(ledger(spark, seed=1).collect())
+    assert rows.count() == rows.select("txn_id").distinct().count() > 500 and sorted(rows.collect()) == sorted(ledger(spark).collect()) != sorted(ledger(spark, seed=2).collect())
     assert rows.filter("source_account = destination_account or amount <= 0").count() == 0
-    t = rows.select(F.col("source_account").alias("src"), F.col("destination_account").alias("dst"), "amount", F.col("timestamp").alias("ts"), (F.col("sar_linked") == 1).alias("sar"))
+    loops = ledger(spark, (Pattern("loop", 7, (3, 5), 1000.0, laps=2, reported=1.0),))
+    t = loops.select(F.col("source_account").alias("src"), F.col("destination_account").alias("dst"), "amount", F.col("timestamp").alias("ts"), (F.col("sar_linked") == 1).alias("sar"))
     clusters = risk.cluster_metrics(t).collect()
-    assert sorted(r.circular_flow for r in clusters) == [0.0] * 18 + [1.0] * 8 and sorted(r.account_count for r in clusters) == sorted([4] * 18 + [4, 5, 3, 4, 5, 3, 4, 5])
-    assert ledger(spark, rings=0, chains=2, hops=5).count() == 10 and ledger(spark, rings=0, chains=0).count() == 0
+    assert [r.circular_flow for r in clusters] == [1.0] * 7 and all(3 <= r.account_count <= 5 for r in clusters) and loops.filter("sar_linked = 0").count() == 0
+    funnel = ledger(spark, (Pattern("funnel", 1, (6, 6), 100.0),)).groupBy("destination_account").count().collect()
+    assert sorted(r["count"] for r in funnel) == [1, 5]
+
+
+def test_documents_of_many_parts(spark, tmp_path):
+    """Fragments, in the order of their names, are one JSON document."""
+    rows = spark.range(1000).select(F.concat(F.lit("E"), F.col("id") % 400).alias("entity_id"), F.lit(None).cast("string").alias("entity_type"), F.lit("x,\n]").alias("display_name")).repartition(7)
+    whole = lambda p: json.loads("".join(f.read_text() for f in sorted((tmp_path / p).glob("part-*"))))
+    sinks.write_collection(rows, "entity_id", str(tmp_path / "a"))
+    got = whole("a.json")
+    assert len(got) == 1000 and [r["entity_id"] for r in got] == sorted(r["entity_id"] for r in got) and got[0]["entity_type"] is None
+    sinks.write_graph(spark, {"entities": rows, "relationships": rows.limit(0).withColumn("relationship_id", F.lit("r"))}, str(tmp_path / "g"))
+    assert len(whole("g.json")["entities"]) == 1000 and whole("g.json")["relationships"] == []
+    sinks.write_collection(rows.limit(0), "entity_id", str(tmp_path / "e"))
+    assert whole("e.json") == []
+
+
+def test_json_layouts(spark, tmp_path):
+    put(tmp_path, bad__json={"other": []}, scalars__json={"rows": [1, 2]}, none__json={"rows": []})
+    (tmp_path / "pretty.json").write_text('[\n {\n "txn_id": "T1", "amount": 1.50}\n, {"txn_id": "T2",\n "amount": 2}\n]\n')
+    (tmp_path / "lines.json").write_text('[\n{"txn_id": "T1", "amount": 1234567890123456.25},\n{"txn_id": "T2"}\n]\n')
+    for name in ("bad", "scalars"):
+        with pytest.raises(S.SourceError):
+            readers.read_json_rows(spark, f"{tmp_path}/{name}.json")
+    assert readers.read_json_rows(spark, f"{tmp_path}/none.json").count() == 0
+    assert [tuple(r) for r in readers.read_json_rows(spark, f"{tmp_path}/lines.json").select("txn_id", "amount").orderBy("txn_id").collect()] == [("T1", "1234567890123456.25"), ("T2", None)]
+    assert readers.read_json_rows(spark, f"{tmp_path}/pretty.json").count() == 2
+
+
+def test_connections():
+    from argusledger.sources import live
+
+    assert live.jdbc_address("postgresql", "jdbc:x") == ("jdbc:x", {})
+    assert live.jdbc_address("postgresql", "Host=h;Port=5;Database=d;Username=u;Password=p") == ("jdbc:postgresql://h:5/d", {"user": "u", "password": "p"})
+    assert live.jdbc_address("sqlserver", "Server=h,1433;Initial Catalog=d;User Id=u;Pwd=p") == ("jdbc:sqlserver://h:1433;databaseName=d", {"user": "u", "password": "p"})
+    with pytest.raises(S.InvalidConfiguration):
+        live.jdbc_address("postgresql", "nothing")
+
+
+def test_graphml_elements():
+    import io
+
+    from argusledger.sources import live
+
+    rows = lambda x: list(live.graphml_elements(io.BytesIO(x.encode())))
+    many = "".join(f'<node id="n{i}"/>' for i in range(5000))
+    assert len(rows(f"<g><graph>{many}</graph></g>")) == 5000 and rows("<g><graph/><graph><node id='x'/></graph></g>") == []
+    assert rows('<a:g xmlns:a="u"><a:graph><a:node id="1"><a:data key="K">x<b>y</b></a:data><graph><node id="2"/></graph></a:node></a:graph></a:g>') == [("node", "1", None, None, {"k": "xy"})]
+    for bad in ("<g><graph>", "<g/>", '<g><graph><node id="1"><data key="a"/><data key="A"/></node></graph></g>', ""):
+        with pytest.raises(S.SourceError):
+            rows(bad)
 
 
 def test_console_report(spark):
@@ -261,7 +312,7 @@ def test_case_and_policy_files(spark, tmp_path):
 
     put(tmp_path, case__json={"case_id": "c", "sources": [{"source_type": "CSV", "path": "a.csv", "role": "bank"}, {"source_type": "postgresql", "connection_profile": "p", "query": "q", "options": {"x": None}}, {"source_type": "csv", "path": "none.csv"}]}, a__csv=CSV)
     case = documents.read_case(spark, f"{tmp_path}/case.json")
-    assert case.case_id == "c" and [s.source_type for s in case.sources] == ["CSV", "postgresql", "csv"] and case.sources[0].path == f"{tmp_path}/a.csv" and case.sources[1].arguments() == {"connection": "p", "query": "q", "x": ""}
+    assert case.case_id == "c" and [s.source_type for s in case.sources] == ["CSV", "postgresql", "csv"] and case.sources[0].path == f"{tmp_path}/a.csv" and case.sources[1].query == "q" and case.sources[1].options == {"x": ""}
     got = merge.load_case(spark, case.definitions(), readers.default_registry())
     assert got.collections["transactions"].count() == 2 and [n for n, _ in got.failures] == ["p", f"{tmp_path}/none.csv"] and got.source_manifest.first().adapter == "csv-adapter"
     for bad in ("[]", "{", '{"case_id": " ", "sources": [{}]}', '{"case_id": "c", "sources": []}', '{"case_id": "c", "sources": [{"path": "x"}]}'):
