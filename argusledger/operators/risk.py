@@ -110,17 +110,63 @@ def _trim(left: DataFrame, nodes: DataFrame, share: int = 16) -> tuple[DataFrame
             return left, nodes, alone
 
 
-def strong_by_colouring(edges: DataFrame) -> DataFrame:
-    """(node, scc) over all executors: what lies on no cycle is trimmed; colours spread forward; what reaches back to a
-    colour's root within it is one strong component; the rest goes on."""
+def _contract(left: DataFrame, nodes: DataFrame, share: int = 8, enough: int = 0) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """A smaller graph with the same strong components, and what :func:`_expand` needs to undo each round.
+
+    A node that a single other one's edges enter lies on a cycle only together with that one, so it goes into it with its edges.  In a round
+    those go whose hash is smaller than that of such neighbours before and after them: none of them goes into another, and of a
+    long chain or cycle about a third go.  Rounds end when fewer than a ``share``-th of the nodes go, or ``enough`` edges are left.
+    """
+    steps = []
+    while left.count() > enough:
+        before = nodes.count()
+        plain = left.filter("src <> dst")
+        entered = plain.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("pred")).filter("n = 1")
+        only = cut(entered.select(F.col("dst").alias("node"), "pred", F.xxhash64("dst", F.lit(len(steps))).alias("h")))
+        ahead = only.select(F.col("node").alias("pred"), F.col("h").alias("h1"))
+        after = only.groupBy(F.col("pred").alias("node")).agg(F.min("h").alias("h2"))
+        chosen = cut(only.join(ahead, "pred", "left").join(after, "node", "left").filter("(h1 is null or h < h1) and (h2 is null or h < h2)").select("node", "pred"))
+        gone = chosen.count()
+        drop_cut(only)
+        if gone * share < before or not gone:
+            drop_cut(chosen)
+            break
+        steps.append(cut(chosen.join(plain.select(F.col("src").alias("node"), F.col("dst").alias("to")), "node", "left")))
+        moved = left.join(chosen.select(F.col("node").alias("dst")), "dst", "left_anti").join(chosen.withColumnRenamed("node", "src"), "src", "left")
+        now, rest = cut(moved.select(F.coalesce("pred", "src").alias("src"), "dst").distinct()), cut(nodes.join(chosen, "node", "left_anti"))
+        for table in (left, nodes, chosen):
+            drop_cut(table)
+        left, nodes = now, rest
+    return left, nodes, steps
+
+
+def _expand(labels: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """(node, scc) of all nodes: one that went into ``pred`` is of its component if any of its edges leads there, else alone."""
+    for step in reversed(steps):
+        to, pred = (labels.select(F.col("node").alias(c), F.col("scc").alias(f"{c}_scc")) for c in ("to", "pred"))
+        inside = step.join(to, "to", "left").join(pred, "pred").groupBy("node").agg(F.max(F.coalesce(F.col("to_scc") == F.col("pred_scc"), F.lit(False))).alias("inside"), F.first("pred_scc").alias("scc"))
+        now = cut(labels.unionByName(inside.select("node", F.when(F.col("inside"), F.col("scc")).otherwise(F.col("node")).alias("scc"))))
+        drop_cut(labels)
+        drop_cut(step)
+        labels = now
+    names = labels.groupBy("scc").agg(F.min("node").alias("name"))
+    return labels.join(small(names), "scc").select("node", F.col("name").alias("scc"))
+
+
+def strong_by_colouring(edges: DataFrame, task_edges: int = 0) -> DataFrame:
+    """(node, scc) over all executors: chains and cycles are contracted; what lies on no cycle is trimmed; colours spread forward; what
+    reaches back to a colour's root within it is one strong component; the rest goes on.  A rest of ``task_edges`` edges is one task's."""
     left = cut(edges.select("src", "dst").distinct())
-    nodes = cut(graph_nodes(left))
+    left, nodes, steps = _contract(left, cut(graph_nodes(left)), enough=task_edges)
     done = []
     while True:
         left, nodes, alone = _trim(left, nodes)
         done += alone
         if not nodes.limit(1).count():
             break
+        if left.count() <= task_edges:
+            done.append(left.withColumn("g", F.lit(True)).groupBy("g").applyInArrow(_strong, "node string, scc string"))
+            break
         colour = _spread(left, nodes.select("node", F.col("node").alias("colour")))
         same = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").filter("c1 = c2")
         turned = cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -135,7 +181,8 @@ def strong_by_colouring(edges: DataFrame) -> DataFrame:
         for table in (colour, turned, reach, left, nodes):
             drop_cut(table)
         left, nodes = kept, rest
-    return union(done) if done else edges.sparkSession.createDataFrame([], "node string, scc string")
+    found = union(done) if done else edges.sparkSession.createDataFrame([], "node string, scc string")
+    return _expand(cut(found), steps) if steps else found
 
 
 def strong_components(edges: DataFrame, weak: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -146,7 +193,7 @@ def strong_components(edges: DataFrame, weak: DataFrame, task_edges: int = TASK_
     fine = pairs.join(small(large), "component", "left_anti").groupBy("component").applyInArrow(_strong, "node string, scc string")
     if not large.limit(1).count():
         return fine
-    return fine.unionByName(strong_by_colouring(pairs.join(small(large), "component", "left_semi")))
+    return fine.unionByName(strong_by_colouring(pairs.join(small(large), "component", "left_semi"), task_edges))
 
 
 def min_max(x: str) -> Column:

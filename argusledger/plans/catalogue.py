@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from argusledger.functions import normalise as N
-from argusledger.functions.tables import shared_dir
+from argusledger.functions.tables import cut, shared_dir
 from argusledger.operators import assurance, evidence, merge, profiles, risk
+from argusledger.operators.graph import connected_components
 from argusledger.sources import documents, readers, sinks
 from argusledger.sources import schema as S
 
@@ -119,6 +120,30 @@ def scc_components(V):
     return strong.join(strong.groupBy("scc").agg(F.count("*").alias("size")), "scc").select("node", "scc", "size")
 
 
+def _order_paths(V) -> DataFrame:
+    """One weak component over all orders.  A customer's orders are a cycle; blocks of a hundred customers are chains of these cycles, the
+    even ones closed to a cycle; each block leads to the next."""
+    V("txn_multi")
+    t = active().table("orders").select(F.concat(F.lit("T"), "o_orderkey").alias("node"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.expr("o_custkey div 100").alias("b"))
+    own = Window.partitionBy("c").orderBy("k")
+    inner = t.select(F.col("node").alias("src"), F.lead("node").over(own).alias("dst"))
+    ends = t.groupBy("b", "c").agg(F.min_by("node", "k").alias("first"), F.max_by("node", "k").alias("last"))
+    around = ends.select(F.col("last").alias("src"), F.col("first").alias("dst"))
+    chain = ends.select(F.col("last").alias("src"), F.lead("first").over(Window.partitionBy("b").orderBy("c")).alias("dst"))
+    block = ends.groupBy("b").agg(F.min_by("first", "c").alias("first"), F.max_by("last", "c").alias("last"))
+    closed = block.filter("b % 2 = 0").select(F.col("last").alias("src"), F.col("first").alias("dst"))
+    on = block.select("b", F.col("last").alias("src")).join(block.select((F.col("b") - 1).alias("b"), F.col("first").alias("dst")), "b").select("src", "dst")
+    return inner.unionByName(around).unionByName(chain).unionByName(closed).unionByName(on).filter("dst is not null")
+
+
+@query("select concat('T', o_orderkey) as node, min(concat('T', o_orderkey)) over (partition by case when o_custkey // 100 % 2 = 0 then -1 - o_custkey // 100 else o_custkey end) as scc, min(concat('T', o_orderkey)) over () as component from orders")
+def order_components(V):
+    """GRF-02, GRF-03 on one large component with strong ones that it crosses, by star steps and contraction over all executors."""
+    edges = cut(_order_paths(V))
+    weak = cut(connected_components(edges, one_task_edges=1000))
+    return risk.strong_components(edges, weak, task_edges=1000).join(weak, "node").select("node", "scc", "component")
+
+
 @query("select component, edge_count, cycle_edges, cycle_edges / greatest(edge_count, 1) as circular_flow from circ", REACH, True)
 def circular_flow(V):
     """AGG-05, JON-05, JON-06."""

@@ -119,6 +119,25 @@ def test_strong_ones_after_trimming(spark):
     assert risk.strong_by_colouring(edges.limit(0)).count() == 0
 
 
+def test_long_cycles_in_few_rounds(spark, monkeypatch):
+    """A cycle and a chain of 8,000 nodes, and random graphs against one task."""
+    import random
+
+    rounds, made = [], risk._contract
+    monkeypatch.setattr(risk, "_contract", lambda *a, **k: (out := made(*a, **k), rounds.append(len(out[2])))[0])
+    n = 8000
+    ids = spark.range(n)
+    edges = ids.select(F.concat(F.lit("c"), "id").alias("src"), F.concat(F.lit("c"), (F.col("id") + 1) % n).alias("dst")).unionByName(ids.select(F.concat(F.lit("p"), "id").alias("src"), F.concat(F.lit("p"), F.col("id") + 1).alias("dst"))).unionByName(spark.createDataFrame([("c5", "p0")], "src string, dst string"))
+    got = risk.strong_by_colouring(edges, 1000).groupBy("scc").count().groupBy("count").agg(F.count("*").alias("n")).collect()
+    assert {r["count"]: r.n for r in got} == {n: 1, 1: n + 1} and 1 < rounds[-1] <= 15
+    rng = random.Random(3)
+    for size, m in ((12, 14), (60, 75)):
+        e = [(f"{rng.randrange(size):03d}", f"{rng.randrange(size):03d}") for _ in range(m)]
+        some = spark.createDataFrame(e, "src string, dst string")
+        want = sorted(map(tuple, some.withColumn("g", F.lit(True)).groupBy("g").applyInArrow(risk._strong, "node string, scc string").collect()))
+        assert sorted(map(tuple, risk.strong_by_colouring(some).collect())) == want
+
+
 def test_synthetic_ledger(spark):
     from argusledger.sources.synthetic import Pattern, ledger
 
