@@ -140,8 +140,8 @@ def _order_paths(V) -> DataFrame:
 def order_components(V):
     """GRF-02, GRF-03 on one large component with strong ones that it crosses, by star steps and contraction over all executors."""
     edges = cut(_order_paths(V))
-    weak = cut(connected_components(edges, one_task_edges=1000))
-    return risk.strong_components(edges, weak, task_edges=1000).join(weak, "node").select("node", "scc", "component")
+    weak = cut(connected_components(edges, one_task_edges=4000))
+    return risk.strong_components(edges, weak, task_edges=4000).join(weak, "node").select("node", "scc", "component")
 
 
 @query("select component, edge_count, cycle_edges, cycle_edges / greatest(edge_count, 1) as circular_flow from circ", REACH, True)
