@@ -477,6 +477,14 @@ def csv_roundtrip(V):
     return _told(readers.read_csv(active(), path).collections["transactions"])
 
 
+@query(_round_trip("csv"))
+def unquoted_roundtrip(V):
+    """SNK-02 without quotes."""
+    rows, path = _canonical(V), _place("plain")
+    sinks.write_csv(rows, path, quoted=False)
+    return _told(readers.read_csv(active(), path).collections["transactions"])
+
+
 @query(_round_trip("json"))
 def json_roundtrip(V):
     """SRC-02, SNK-03, PRJ-04."""
@@ -519,7 +527,7 @@ def graphml_roundtrip(V):
 
 @query("select src, dst, txn_id, cast(cast(amount as decimal(18,2)) as double) as amount, epoch(ts)::bigint as ts, sar from (select source_account as src, destination_account as dst, transaction_id as txn_id, amount, ts, sar_linked as sar from txn)")
 def ledger_roundtrip(V):
-    """SRC-10, SNK-02 without quotes."""
+    """SRC-10."""
     path = _place("ledger")
     flag = F.when(F.col("sar_linked"), "1").otherwise("0")
     V("txn").select(F.col("transaction_id").alias("txn_id"), F.col("ts").cast("string").alias("timestamp"), "source_account", "destination_account", F.col("amount").cast("decimal(18,2)").alias("amount"), flag.alias("sar_linked")).write.option("header", True).csv(path)
@@ -601,7 +609,7 @@ _ISSUES = "ri as (select record_id, ref, case when max(i.id) is null then 'dangl
 
 @query("select issue, n, 'NOT_READY_FOR_DEPLOYMENT' as decision from iss where n > 0", _ISSUES)
 def integrity_summary(V):
-    """DOM-04, DOM-12, SNK-06: the case's issues by kind, and what they make of a decision that would pass."""
+    """DOM-04, DOM-12: the case's issues by kind, and what they make of a decision that would pass."""
     issues = merge.validate(active(), _case(V)).groupBy("issue").agg(F.count("*").alias("n"))
     return issues.withColumn("decision", assurance.case_gate(F.lit("PASS"), F.lit(True), F.col("n"), F.lit(0)))
 

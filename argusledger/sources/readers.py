@@ -170,7 +170,7 @@ def read_jdbc(spark: SparkSession, url: str, query: str | None = None, kind: str
     return _transactions(text, kind, name or table, table)
 
 
-def read_rest(spark: SparkSession, base: str, path: str | None = None, paths: list[str] | None = None, token: str | None = None, name: str | None = None, get: Callable[[str, dict], str] | None = None) -> S.Dataset:
+def read_rest(spark: SparkSession, base: str, path: str | None = None, token: str | None = None, name: str | None = None, get: Callable[[str, dict], str] | None = None, paths: list[str] | None = None) -> S.Dataset:
     """One GET, or one for each of ``paths``, on executors; bodies are arrays or wrapper objects.  ``get(url, headers)`` may replace the HTTP client."""
     records = live.rest_records(spark, [N.combine_url(base, p) for p in paths or [path]], token, get)
     return _transactions(from_records(records), "rest", name or base, exact=True)
