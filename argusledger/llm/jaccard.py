@@ -20,7 +20,8 @@ and :func:`link_counts` each row's class and its number of links.
 
 Edge cases: null or empty texts and texts without words have the empty set and are linked with nothing; rows
 that share a doc_id are documents of their own, each in the component of its own text; a null doc_id is returned with its
-component's smallest doc_id, null if it has none; an empty table gives an empty one.  Only doc_id and text are read, so
+component's smallest doc_id, null if it has none; a text of any length is one set of all its shingles; an empty table gives an empty
+one.  Only doc_id and text are read, so
 other columns may have any names.  Classes are named by a 64-bit hash of the set; a second one tests the names, and where
 two sets share a name all are named anew with another seed.
 """

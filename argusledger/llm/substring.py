@@ -15,8 +15,8 @@ sends one of them.  Seeds with more than ``OFTEN`` places (the ``HOT`` most freq
 their windows is a group of its own, by the BLAKE2b digest of its words, again with one row for each slice at most.
 
 Edge cases: null and empty texts have no words; texts under ``n`` words have no window; repeated rows are separate documents,
-so all of their windows repeat; rows that share a doc_id, or have none, are documents of their own; an empty table gives an
-empty one.  Other columns, of any names, pass through; input columns named ``sd_words``, ``sd_removed`` or ``sd_text`` are replaced.
+so all of their windows repeat; rows that share a doc_id, or have none, are documents of their own; texts of any length are read
+whole, those of over 2^25 words in overlapping parts; an empty table gives an empty one.  Other columns, of any names, pass through; input columns named ``sd_words``, ``sd_removed`` or ``sd_text`` are replaced.
 """
 
 from __future__ import annotations

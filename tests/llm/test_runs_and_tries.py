@@ -138,3 +138,22 @@ def test_trie_by_brute_force(spark):
 @pytest.mark.parametrize("name", ["op12_periodic_runs", "op13_prefix_trie"])
 def test_parity_at_ten_times(same, name):
     same(QUERIES[name], SQL[name], "/root/testdata/sf0.01")
+
+
+def test_stages_on_an_empty_table_and_a_long_text(spark):
+    import corpus_pipeline
+    from argusledger.llm import decontaminate, jaccard, linededup, mixing, substring, tokenpack
+
+    sf = "/root/testdata/sf0.001"
+    none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, none, sf)
+        assert got.count() == 0 and (name == "token_output" or got.columns == none.columns)
+    long = " ".join(f"word{i}" for i in range(60_000))  # over half a megabyte
+    docs = spark.createDataFrame([(1, long, "a"), (2, long.replace("word7 ", "other "), "a"), (3, "short", "b")], "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(5, " ".join(f"word{i}" for i in range(59_980, 60_000)))], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.report(docs, bench).collect()} == {1: 20, 2: 20, 3: 0}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.report(docs).collect()} == {1: (59_996, 1), 2: (59_996, 1), 3: (1, 3)}
+    assert {r.doc_id: r.n_removed for r in substring.report(docs).collect()} == {1: 59_992, 2: 59_992, 3: 0}
+    assert {r.doc_id: r.size for r in mixing.report(docs).collect()} == {1: 60_000, 2: 60_000, 3: 1}
+    assert linededup.report(docs).count() == 3 and {r.doc_id: r.n_tokens > 60_000 for r in tokenpack.report(docs).collect()} == {1: True, 2: True, 3: False}
