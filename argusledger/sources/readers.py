@@ -243,7 +243,10 @@ def grounding_ids(spark: SparkSession, path: str, column: str = "txn_id") -> Dat
         rows = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
         if "_corrupt_record" in rows.columns:
             return none
-        rows = _unwrap(spark, path, rows, ("transactions", "rows", "data", "transfers", "records"))  # fixed values
+        try:
+            rows = _unwrap(spark, path, rows, ("transactions", "rows", "data", "transfers", "records"))  # fixed values
+        except S.SourceError:  # no rows in it
+            return none
     else:
         return none
     if column not in rows.columns:

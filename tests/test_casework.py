@@ -173,6 +173,7 @@ def test_json_layouts(spark, tmp_path):
         with pytest.raises(S.SourceError):
             readers.read_json_rows(spark, f"{tmp_path}/{name}.json")
     assert readers.read_json_rows(spark, f"{tmp_path}/none.json").count() == 0
+    assert all(readers.grounding_ids(spark, f"{tmp_path}/{name}.json").count() == 0 for name in ("bad", "scalars", "none"))
     assert [tuple(r) for r in readers.read_json_rows(spark, f"{tmp_path}/lines.json").select("txn_id", "amount").orderBy("txn_id").collect()] == [("T1", "1234567890123456.25"), ("T2", None)]
     assert readers.read_json_rows(spark, f"{tmp_path}/pretty.json").count() == 2
 
