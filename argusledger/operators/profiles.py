@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,63 +25,66 @@ FINGERPRINTED = ("prompt.md", "instruction.md", "rubric.json", "evidence-annotat
 # --- checks ----------------------------------------------------------------------------------
 
 
-def violations(profile: dict) -> list[str]:
-    """Everything that is wrong with one profile.  A key whose value is null is there, but for the top level's and the status'."""
-    out = [f"no {k}" for k in TOP if profile.get(k) is None]
+def _is(x: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False))
+
+
+def _lacks(x: Column, key: str, empty: bool = False) -> Column:
+    """Whether an object has no such key; ``empty``: or a null under it."""
+    got = F.try_variant_get(x, f"$.{key}", "variant")
+    return got.isNull() | F.is_variant_null(got) if empty else got.isNull()
+
+
+def _flaws(*flaws: Column) -> Column:
+    return F.array_compact(F.array(*flaws))
+
+
+def _each(items: Column, name: str, keys: tuple[str, ...], states: tuple[str, ...] = ()) -> Column:
+    """Flaws of an array's objects: missing keys, and a ``status`` that is none of ``states``."""
 
-    def keys(part, names, where, empty=False):
-        return [f"{where}: no {k}" for k in names if k not in part or (empty and part[k] is None)]
+    def flaws(x, i):
+        where = F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]: "))
+        status = F.try_variant_get(x, "$.status", "string")
+        odd = [F.when(status.isNotNull() & ~status.isin(*states), F.concat(where, F.lit("unknown status "), status))] if states else []
+        return F.when(_is(x, "OBJECT"), _flaws(*[F.when(_lacks(x, k), F.concat(where, F.lit(f"no {k}"))) for k in keys], *odd)).otherwise(F.array(F.concat(where, F.lit("not an object"))))
 
+    return F.coalesce(F.flatten(F.transform(F.try_variant_get(items, "$", "array<variant>"), flaws)), F.array().cast("array<string>"))
+
+
+def violations(profile: Column) -> Column:
+    """Everything that is wrong with a profile, a VARIANT; an empty array where nothing is.
+
+    A key whose value is null is there, but for the top level's, the status' and the run's.
+    """
+    part = lambda k: F.try_variant_get(profile, f"$.{k}", "variant")
+    is_array = lambda x: _is(x, "ARRAY")
+    decision = part("deployment_decision")
+    overall, reasons = F.try_variant_get(decision, "$.overall", "string"), F.try_variant_get(decision, "$.reasons", "variant")
+    gaps = F.filter(F.try_variant_get(part("not_evaluated_dimensions"), "$", "array<variant>"), lambda x: _is(x, "OBJECT") | _is(x, "ARRAY"))
+    wanted = []
     for name, names in PARTS.items():
-        part = profile.get(name)
-        if isinstance(part, dict):
-            out += keys(part, names, name, empty=name == "status_summary")
-        elif name != "status_summary":
-            out.append(f"{name}: not an object")
-    for name in ("metrics", "not_evaluated_dimensions", "operational_capabilities"):
-        if not isinstance(profile.get(name), list):
-            out.append(f"{name}: not an array")
-    if any(isinstance(x, dict | list) for x in profile.get("not_evaluated_dimensions") or ()):
-        out.append("not_evaluated_dimensions: not all are text")
-    decision = profile.get("deployment_decision")
-    decision = decision if isinstance(decision, dict) else {}
-    if decision.get("overall") is not None and decision["overall"] not in assurance.DECISION_RANK:
-        out.append(f"deployment_decision: unknown decision {decision['overall']}")
-    if not isinstance(decision.get("reasons"), list):
-        out.append("deployment_decision: reasons are no array")
-    for name, items, names in (("metrics", profile.get("metrics"), METRIC_KEYS), ("reasons", decision.get("reasons"), REASON_KEYS)):
-        for i, x in enumerate(items if isinstance(items, list) else []):
-            if not isinstance(x, dict):
-                out.append(f"{name}[{i}]: not an object")
-                continue
-            out += keys(x, names, f"{name}[{i}]")
-            if name == "metrics" and x.get("status") is not None and x["status"] not in STATES:
-                out.append(f"metrics[{i}]: unknown status {x['status']}")
-    if not str(profile.get("result_hash") or "").startswith("sha256:"):
-        out.append("result_hash: not sha256:...")
-    if not isinstance(profile.get("provenance"), dict) or profile["provenance"].get("run_id") is None:
-        out.append("provenance: no run to trace it to")
-    return out
+        keys = _flaws(*[F.when(_lacks(part(name), k, empty=name == "status_summary"), f"{name}: no {k}") for k in names])
+        wanted.append(F.when(_is(part(name), "OBJECT"), keys).otherwise(F.array(*[F.lit(f"{name}: not an object")] * (name != "status_summary")).cast("array<string>")))
+    found = F.concat(
+        _flaws(*[F.when(_lacks(profile, k, empty=True), f"no {k}") for k in TOP]), *wanted,
+        _flaws(*[F.when(~is_array(part(k)), f"{k}: not an array") for k in ("metrics", "not_evaluated_dimensions", "operational_capabilities")],
+               F.when(F.size(gaps) > 0, "not_evaluated_dimensions: not all are text"),
+               F.when(overall.isNotNull() & ~overall.isin(*assurance.DECISION_RANK), F.concat(F.lit("deployment_decision: unknown decision "), overall)),
+               F.when(~is_array(reasons), "deployment_decision: reasons are no array")),
+        F.when(is_array(part("metrics")), _each(part("metrics"), "metrics", METRIC_KEYS, STATES)).otherwise(F.array().cast("array<string>")),
+        F.when(is_array(reasons), _each(reasons, "reasons", REASON_KEYS)).otherwise(F.array().cast("array<string>")),
+        _flaws(F.when(~F.coalesce(F.try_variant_get(profile, "$.result_hash", "string").startswith("sha256:"), F.lit(False)), "result_hash: not sha256:..."),
+               F.when(~_is(part("provenance"), "OBJECT") | _lacks(part("provenance"), "run_id", empty=True), "provenance: no run to trace it to")))
+    return F.when(_is(profile, "OBJECT"), found).otherwise(F.array(F.when(profile.isNull(), "not JSON").otherwise("not an object")))
 
 
 def invalid_documents(documents: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, violations) of the JSON documents that are no valid profiles."""
-    import pyarrow as pa
-
-    kind = documents.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for x in batch.column(text).to_pylist():
-                try:
-                    doc = json.loads(x)
-                    found.append(violations(doc) if isinstance(doc, dict) else ["not an object"])
-                except (TypeError, ValueError):
-                    found.append(["not JSON"])
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.list_(pa.string()))], names=[key, "violations"])
-
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, violations array<string>").filter(F.size("violations") > 0)
+    """(key, violations) of the JSON documents that are no valid profiles.
+
+    Null texts, texts that are no JSON and objects with a repeated key are "not JSON"; repeated rows are judged alike.
+    """
+    parsed = documents.select(F.col(key), F.try_parse_json(text).alias("_profile"))
+    return parsed.select(key, violations(F.col("_profile")).alias("violations")).filter(F.size("violations") > 0)
 
 
 # --- building --------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argusledger.functions.normalise import HIGH_RISK_DESTINATIONS, clamp01, round4
-from argusledger.functions.tables import cut, drop_cut, partitions, small
+from argusledger.functions.tables import cut, drop_cut, partitions, skew_join, small
 from argusledger.operators.assurance import union
 from argusledger.operators.graph import connected_components
 
@@ -276,13 +276,40 @@ def weekly_summary(transfers: DataFrame) -> DataFrame:
     return out.select(week.alias("week"), "start_date", F.date_add("start_date", 6).alias("end_date"), "transfer_count", "unique_accounts", "total_value", "new_accounts_count", "high_risk_dest_count", "sar_count", round4(min_max("raw")).alias("anomaly_score"))
 
 
-def mule_findings(transfers: DataFrame) -> DataFrame:
-    """Per account (our rules; the task fixes the schema only): classification, confidence and supporting ids."""
+def _sides(transfers: DataFrame) -> DataFrame:
+    """Each transfer as its sender's and as its receiver's row."""
     money, nothing = F.col("amount").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")
-    side = transfers.select(F.col("src").alias("account_id"), "txn_id", money.alias("sent"), nothing.alias("got"), "sar").unionByName(
+    return transfers.select(F.col("src").alias("account_id"), "txn_id", money.alias("sent"), nothing.alias("got"), "sar").unionByName(
         transfers.select(F.col("dst").alias("account_id"), "txn_id", nothing.alias("sent"), money.alias("got"), "sar"))
-    a = side.groupBy("account_id").agg(F.sum("sent").cast("double").alias("sent"), F.sum("got").cast("double").alias("got"), F.count_if(F.col("sent") > 0).alias("n_out"), F.count_if(F.col("got") > 0).alias("n_in"), F.max("sar").alias("sar"), F.sort_array(F.collect_set("txn_id")).alias("ids"))
+
+
+def _judged(accounts: DataFrame, *more: Column) -> DataFrame:
+    """Classification and confidence by our rules; the task fixes the schema only."""
     through = F.least("sent", "got") / F.greatest("sent", "got")
     kind = F.when((F.col("n_in") >= 1) & (F.col("n_out") >= 1) & (through >= 0.8) & F.col("sar"), "mule").when((F.col("n_in") >= 3) & (F.col("n_out") <= 1), "collector").when((F.col("n_out") >= 3) & (F.col("n_in") <= 1), "distributor").when(F.col("sar"), "suspicious").otherwise("legitimate")
     sure = F.when(kind == "mule", through).when(kind == "legitimate", F.lit(0.5)).otherwise(F.lit(0.7))
-    return a.select("account_id", kind.alias("classification"), round4(sure).alias("confidence"), F.array_join("ids", ";").alias("supporting_txn_ids"))
+    return accounts.select("account_id", kind.alias("classification"), round4(sure).alias("confidence"), *more)
+
+
+def _sums() -> list[Column]:
+    return [F.sum("sent").cast("double").alias("sent"), F.sum("got").cast("double").alias("got"), F.count_if(F.col("sent") > 0).alias("n_out"), F.count_if(F.col("got") > 0).alias("n_in"), F.max("sar").alias("sar")]
+
+
+def mule_accounts(transfers: DataFrame) -> DataFrame:
+    """Per account: classification and confidence.  Sums are made before the shuffle, so a hot account is a row a task."""
+    return _judged(_sides(transfers).groupBy("account_id").agg(*_sums()))
+
+
+def mule_support(transfers: DataFrame) -> DataFrame:
+    """(account_id, classification, confidence, txn_id): a row for each account and supporting transfer, each once.
+
+    Accounts with over a thousandth of the rows are joined by broadcast: no task gets all rows of one.
+    """
+    rows = _sides(transfers).select("account_id", "txn_id").distinct()
+    found = cut(_judged(_sides(transfers).groupBy("account_id").agg(*_sums(), F.count("*").alias("n")), F.col("n")))
+    return skew_join(rows, found, "account_id", "n").select("account_id", "classification", "confidence", "txn_id")
+
+
+def mule_findings(transfers: DataFrame) -> DataFrame:
+    """As :func:`mule_accounts`, with an account's supporting ids joined in its row: for accounts of a bounded number of transfers."""
+    return _judged(_sides(transfers).groupBy("account_id").agg(*_sums(), F.sort_array(F.collect_set("txn_id")).alias("ids")), F.array_join("ids", ";").alias("supporting_txn_ids"))

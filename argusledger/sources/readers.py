@@ -13,6 +13,7 @@ from argusledger.functions.tables import small
 from argusledger.sources import live
 from argusledger.sources import schema as S
 from argusledger.sources.live import WRAPPERS
+from argusledger.sources.places import PLACE, placed, with_numbers
 
 ADAPTER_VERSION = "1.0"
 #: All names that a transaction's fields may have.
@@ -42,15 +43,16 @@ def _raw(df: DataFrame, *names: str, exact: bool = False) -> Column:
 def map_transactions(rows: DataFrame, source_type: str, source_name: str | None = None, table: str | None = None, exact: bool = False) -> DataFrame:
     """All-text rows to canonical transactions with ``problem`` (null: valid).  Aliases are tried in order.
 
-    Each field is parsed once, to a struct; validity is judged on what was parsed.
+    Each field is parsed once, to a struct; validity is judged on what was parsed.  A row's place in its files is kept.
     """
+    place = [PLACE] if PLACE in rows.columns else []
     adapter = F.lit(source_type)
     raw = lambda *names: _raw(rows, *names, exact=exact)
     text = lambda *names: _field(rows, *names, exact=exact)
     parsed = rows.select(
         text("transaction_id", "txn_id").alias("ident"), text("source_account", "from_account").alias("src"), text("destination_account", "to_account").alias("dst"),
         N.blank_to_null(raw("amount")).alias("amount_text"), N.parse_amount(raw("amount")).alias("amount"), N.blank_to_null(raw("timestamp")).alias("ts_text"), N.parse_timestamp(raw("timestamp")).alias("ts"),
-        N.parse_currency(raw("currency")).alias("currency"), raw("channel").alias("channel"), raw("jurisdiction", "destination_country").alias("jurisdiction"), N.parse_flag(raw("sar_linked")).alias("sar_linked"))
+        N.parse_currency(raw("currency")).alias("currency"), raw("channel").alias("channel"), raw("jurisdiction", "destination_country").alias("jurisdiction"), N.parse_flag(raw("sar_linked")).alias("sar_linked"), *place)
     ident = F.col("ident")
     problem = (
         F.when(ident.isNull(), "missing transaction_id").when(F.col("src").isNull(), "missing source_account").when(F.col("dst").isNull(), "missing destination_account")
@@ -62,7 +64,7 @@ def map_transactions(rows: DataFrame, source_type: str, source_name: str | None
         ident.alias("transaction_id"), F.col("src").alias("source_account"), F.col("dst").alias("destination_account"), "amount", "currency", F.col("ts").alias("timestamp"), "channel", "jurisdiction", "sar_linked",
         F.struct(adapter.alias("source_type"), F.lit(source_name).cast("string").alias("source_name"), F.lit(table).cast("string").alias("table"),
                  ident.alias("source_record_id"), F.concat(adapter, F.lit("-adapter")).alias("adapter"), F.lit(ADAPTER_VERSION).alias("adapter_version")).alias("source_lineage"),
-        problem.alias("problem"),
+        problem.alias("problem"), *place,
     )
 
 
@@ -71,15 +73,26 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(F.upper(key).alias("id")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def bad_rows(mapped: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """(row_number, record, problem) of all invalid rows; rows count from 1 over all files, in the order of their names.
+
+    A row with several problems has its first; an empty or a valid table has none.  Two scans of the files, no sort of rows.
+    """
+    return with_numbers(mapped).filter("problem is not null").select("row_number", F.col(key).alias("record"), "problem")
+
+
 def strict(mapped: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """Raises on the first invalid row, or a repeated id; else the canonical rows."""
+    """Raises on the first invalid row (by its number, where rows have a place in files), or a repeated id; else the canonical rows."""
     bad = mapped.filter(F.col("problem").isNotNull()).select("problem", key).limit(1).collect()
+    if bad and PLACE in mapped.columns:
+        first = bad_rows(mapped, key).orderBy("row_number").limit(1).collect()[0]
+        raise S.NormalisationError(f"row {first.row_number}: {first.problem} (record {first.record!r})")
     if bad:
         raise S.NormalisationError(f"{bad[0].problem} (record {bad[0][key]!r})")
     twice = duplicate_ids(mapped, key).limit(1).collect()
     if twice:
         raise S.NormalisationError(f"duplicate {key}: {twice[0].id}")
-    return mapped.drop("problem")
+    return mapped.drop("problem", PLACE)
 
 
 def _transactions(rows: DataFrame, kind: str, name: str | None, table: str | None = None, exact: bool = False) -> S.Dataset:
@@ -90,7 +103,7 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None) -> S.Datas
     rows = spark.read.option("header", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     if not rows.columns:
         raise S.SourceError(f"{path}: no header")
-    return _transactions(rows, "csv", name or path, exact=True)
+    return _transactions(placed(rows), "csv", name or path, exact=True)
 
 
 def from_records(records: DataFrame) -> DataFrame:
@@ -99,23 +112,29 @@ def from_records(records: DataFrame) -> DataFrame:
     have = {r.k for r in keys.collect()}
     own = [c for c in FIELDS if c in have] or ["transaction_id"]
     # A VARIANT keeps all digits of a number.
-    return records.select(F.try_parse_json("record").alias("v")).select(*[F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in own])
+    place = [PLACE] if PLACE in records.columns else []
+    return records.select(F.try_parse_json("record").alias("v"), *place).select(*[F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in own], *place)
 
 
 def _one_a_line(spark: SparkSession, path: str) -> DataFrame | None:
     """Records of a document with a bracket or one object a line (see :func:`argusledger.sinks.write_collection`); None for any other layout."""
-    lines = spark.read.text(path).select(F.trim("value").alias("x")).filter("x not in ('', '[', ']')")
+    lines = spark.read.text(path).filter("trim(value) not in ('', '[', ']')").withColumn("x", F.trim("value"))
     start = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
     if not start or start[0].value.strip("\ufeff \t\r") != "[" or lines.filter(~F.col("x").rlike(r"^\{.*\},?$")).limit(1).count():
         return None
-    records = lines.select(F.regexp_replace("x", ",$", "").alias("record"))
+    records = placed(lines).select(F.regexp_replace("x", ",$", "").alias("record"), PLACE)
     return None if records.filter(F.json_object_keys("record").isNull()).limit(1).count() else records
 
 
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an array, of an object's wrapper array, or of lines (by the suffix .jsonl)."""
+    return _json_rows(spark, path).drop(PLACE)
+
+
+def _json_rows(spark: SparkSession, path: str) -> DataFrame:
+    """These rows with their places, but for an object's wrapper array, which is one task's anyway."""
     if path.endswith(".jsonl"):
-        return spark.read.option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
+        return placed(spark.read.option("primitivesAsString", True).option("mode", "FAILFAST").json(path))
     records = _one_a_line(spark, path)
     if records is not None:
         return from_records(records)
@@ -127,7 +146,7 @@ def _unwrap(spark: SparkSession, path: str, rows: DataFrame, keys: tuple[str, ..
     """A top-level array's rows as they are; of an object, those of its first wrapper.  An object without one is an error."""
     start = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
     if start and start[0].value.lstrip("\ufeff \t").startswith("["):
-        return rows
+        return placed(rows)
     arrays = {f.name: f.dataType.elementType for f in rows.schema.fields if isinstance(f.dataType, T.ArrayType)}
     held = [w for w in keys if w in arrays]
     if not held:
@@ -140,12 +159,12 @@ def _unwrap(spark: SparkSession, path: str, rows: DataFrame, keys: tuple[str, ..
 
 
 def read_json(spark: SparkSession, path: str, name: str | None = None) -> S.Dataset:
-    return _transactions(read_json_rows(spark, path), "json", name or path, exact=True)
+    return _transactions(_json_rows(spark, path), "json", name or path, exact=True)
 
 
 def read_parquet(spark: SparkSession, path: str, name: str | None = None) -> S.Dataset:
     rows = spark.read.parquet(path)
-    return _transactions(rows.select([N.as_text(F.col(f"`{f.name}`"), f.dataType.typeName()).alias(f.name) for f in rows.schema.fields]), "parquet", name or path)
+    return _transactions(placed(rows).select(*[N.as_text(F.col(f"`{f.name}`"), f.dataType.typeName()).alias(f.name) for f in rows.schema.fields], PLACE), "parquet", name or path)
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str | None = None, kind: str = "postgresql", name: str | None = None, key: str | None = None, parts: int = 8, **options: str) -> S.Dataset:

@@ -125,11 +125,11 @@ def record_counts(collections: dict[str, DataFrame]) -> DataFrame:
 
 
 def dataset_manifest(spark: SparkSession, data: S.Dataset, path: str | None = None, at: str = "") -> dict:
-    """What one source gave; ``path`` names the file that its raw hash is of, a live source has none.  ``at``: ISO time."""
+    """What one source gave; ``path`` names the file or folder that its raw hash is of, a live source has none.  ``at``: ISO time."""
     from argusledger.operators.merge import content_hash
-    from argusledger.operators.profiles import files_hash
+    from argusledger.operators.digests import dataset_hash
 
-    raw = files_hash(spark, [path]) if path else None
+    raw = dataset_hash(spark, path) if path else None
     own = {r.collection: r.records for r in record_counts(data.collections).collect()} if data.collections else {}
     counts = {n: own.get(n, 0) for n in S.COLLECTIONS}
     return {

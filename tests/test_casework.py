@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from argusledger.functions import normalise as N
 from argusledger.operators import assurance, evidence, graph, merge, risk
-from argusledger.plans import catalogue, connectors  # noqa: F401
+from argusledger.plans import catalogue, connectors, records  # noqa: F401
 from argusledger.sources import readers, sinks
 from argusledger.sources import schema as S
 from argusledger.streaming.weekly import weekly_counts
@@ -372,8 +372,13 @@ def test_profile_rules(spark, tmp_path):
     path = f"{tmp_path}/p.jsonl"
     documents.write_documents(docs, path)
     good = json.loads(spark.read.text(path).first().value)
-    assert profiles.violations(good) == []
-    change = lambda **k: profiles.violations({**good, **k})
+
+    def violations(document):
+        found = profiles.invalid_documents(spark.createDataFrame([(1, json.dumps(document))], "k long, t string"), "t", "k").collect()
+        return found[0].violations if found else []
+
+    assert violations(good) == []
+    change = lambda **k: violations({**good, **k})
     assert change(metrics=None) == ["no metrics", "metrics: not an array"]
     assert change(result_hash="md5:1") == ["result_hash: not sha256:..."]
     assert change(metrics=[{**good["metrics"][0], "status": "ODD", "value": None}]) == ["metrics[0]: unknown status ODD"]
