@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from argusledger.functions.tables import small
 from argusledger.llm.common import WORD, Shield, Words, chunks, cut, grams, release
 
 #: Benchmark text that is broadcast at once.  A larger benchmark is scanned in blocks of about this size.
@@ -112,7 +113,9 @@ def _without(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hit: np.ndar
 _STATE = ("m_words", "m_hits", "m_items")
 
 
-def _scan(shared, text_col: str):
+def _scan(shared, text_col: str, hits_only: bool = False):
+    """Adds what this block marks to the state; ``hits_only`` gives the rows that it marks alone, without their texts."""
+
     def run(batches):
         block = shared.value
         for batch in batches:
@@ -122,30 +125,37 @@ def _scan(shared, text_col: str):
                 total = np.concatenate([[0], np.cumsum(hit)])
                 counts = w.span[1:] - w.span[:-1]
                 hits = total[w.span[1:]] - total[w.span[:-1]]
-                marks, names = part.column("m_hits").to_pylist(), part.column("m_items").to_pylist()
-                for d in np.flatnonzero(hits).tolist():
-                    own = hit[w.span[d] : w.span[d + 1]]
-                    if marks[d] is not None:
-                        own = own | np.unpackbits(np.frombuffer(marks[d], np.uint8), count=len(own)).astype(bool)
-                    marks[d] = np.packbits(own).tobytes()
-                    names[d] = sorted(found[d].union(names[d] or ()))
-                columns = {c: part.column(c) for c in part.schema.names if c not in _STATE}
+                marks, names = ([x or [] for x in part.column(c).to_pylist()] for c in ("m_hits", "m_items"))
+                at = np.flatnonzero(hits)
+                for d in at.tolist():
+                    marks[d].append(np.packbits(hit[w.span[d] : w.span[d + 1]]).tobytes())
+                    names[d] = sorted(found[d].union(names[d]))
+                columns = {c: part.column(c) for c in part.schema.names if c not in _STATE and not (hits_only and c == text_col)}
                 columns["m_words"] = pa.array(counts, pa.int64())
-                columns["m_hits"] = pa.array(marks, pa.binary())
+                columns["m_hits"] = pa.array(marks, pa.list_(pa.binary()))
                 columns["m_items"] = pa.array(names, pa.list_(pa.string()))
-                yield pa.RecordBatch.from_pydict(columns)
+                out = pa.RecordBatch.from_pydict(columns)
+                yield out.take(pa.array(at)) if hits_only else out
         release()
 
     return run
 
 
+def _either(marks: list[bytes], count: int) -> np.ndarray:
+    """Words that any of the bit sets marks."""
+    out = np.zeros(count, bool)
+    for m in marks:
+        out |= np.unpackbits(np.frombuffer(m, np.uint8), count=count).astype(bool)
+    return out
+
+
 def _finish(text_col: str, excise: bool, names: list[str]):
     def run(batches):
         for batch in batches:
             for part in chunks(batch, text_col):
                 marks, items = part.column("m_hits").to_pylist(), part.column("m_items").to_pylist()
                 counts = part.column("m_words").to_pylist()
-                hit = [int(np.unpackbits(np.frombuffer(m, np.uint8), count=c).sum()) if m else 0 for m, c in zip(marks, counts, strict=True)]
+                hit = [int(_either(m, c).sum()) if m else 0 for m, c in zip(marks, counts, strict=True)]
                 columns = {c: part.column(c) for c in names}
                 if excise and any(hit):
                     texts = part.column(text_col).to_pylist()
@@ -153,8 +163,7 @@ def _finish(text_col: str, excise: bool, names: list[str]):
                         one = pa.array([texts[d]], pa.string())
                         w = Words(one, WORD, lower=True, hashed=False)
                         raw = np.frombuffer(texts[d].encode(), np.uint8)
-                        own = np.unpackbits(np.frombuffer(marks[d], np.uint8), count=counts[d]).astype(bool)
-                        texts[d] = _without(raw, w.starts, w.ends, own)
+                        texts[d] = _without(raw, w.starts, w.ends, _either(marks[d], counts[d]))
                     columns[text_col] = pa.array(texts, pa.string())
                 columns["m_n_words"] = pa.array(counts, pa.int64())
                 columns["m_n_hit"] = pa.array(hit, pa.int64())
@@ -167,20 +176,34 @@ def _finish(text_col: str, excise: bool, names: list[str]):
 def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", excise: bool = False) -> DataFrame:
     """``docs`` with ``dc_n_words``, ``dc_n_hit`` and ``dc_items`` (sorted ids of items with occurring windows).
 
-    ``excise`` cuts hit spans out of the text.  The benchmark is broadcast in blocks of bounded size, each
-    of which is one narrow pass over the documents: nothing is shuffled.
+    ``excise`` cuts hit spans out of the text.  The benchmark is broadcast in blocks of bounded size.  One block is one narrow pass
+    over the documents: nothing is shuffled.  Of several, each but the last reads the texts and writes marks of the rows it hits
+    (a bit a word); the marks are joined to the documents once, by a row number, and the last pass does the rest.
     """
     spark = docs.sparkSession
     own = Shield(docs, text_col)
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).filter("i is not null and t is not null")
     total = items.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    out = own.df.withColumns({"m_words": F.lit(0).cast("long"), "m_hits": F.lit(None).cast("binary"), "m_items": F.lit(None).cast("array<string>")})
-    for b in range(blocks):
+    nothing = {"m_words": F.lit(0).cast("long"), "m_hits": F.lit(None).cast("array<binary>"), "m_items": F.lit(None).cast("array<string>")}
+
+    def block(b: int):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        scan = _scan(spark.sparkContext.broadcast(_item_block(((r.i, r.t) for r in mine.toLocalIterator()), n)), text_col)
-        if b < blocks - 1:
-            out = cut(out.mapInArrow(scan, out.schema))
+        return spark.sparkContext.broadcast(_item_block(((r.i, r.t) for r in mine.toLocalIterator()), n))
+
+    if blocks == 1:
+        out = own.df.withColumns(nothing)
+    else:
+        base, marks = cut(own.df.withColumn("m_id", F.monotonically_increasing_id())), None
+        for b in range(blocks - 1):
+            shared = block(b)
+            mine = cut(base.select("m_id", text_col).withColumns(nothing).mapInArrow(_scan(shared, text_col, True), "m_id long, m_words long, m_hits array<binary>, m_items array<string>"))
+            shared.unpersist()
+            marks = mine if marks is None else marks.unionByName(mine)
+        # At most a set for each block of the benchmark.
+        each = marks.groupBy("m_id").agg(F.flatten(F.collect_list("m_hits")).alias("m_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("m_items")))).alias("m_items"))
+        out = base.join(small(each), "m_id", "left").select(*own.inner, nothing["m_words"].alias("m_words"), "m_hits", "m_items")
+    scan = _scan(block(blocks - 1), text_col)
     schema = T.StructType([*own.df.schema.fields, T.StructField("m_n_words", T.LongType()), T.StructField("m_n_hit", T.LongType()), T.StructField("m_found", T.ArrayType(T.StringType()))])
     finish = _finish(text_col, excise, own.inner)
     return own.back(out.mapInArrow(lambda batches: finish(scan(batches)), schema), {"dc_n_words": "m_n_words", "dc_n_hit": "m_n_hit", "dc_items": "m_found"})

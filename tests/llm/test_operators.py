@@ -74,6 +74,20 @@ def test_decontamination_in_blocks(same, monkeypatch):
     same(QUERIES["op1_decontaminate"], SQL["op1_decontaminate"])
 
 
+def test_blocks_mark_as_one(spark, monkeypatch):
+    from argusledger.llm.common import read
+
+    bench = read(spark, SF, "benchmark").select("item_id", "text")
+    first = [r.text for r in bench.orderBy("item_id").limit(3).collect()]
+    odd = [(None, f"a {first[0]} b {first[1]}", 1), (7, None, 2), (7, "", 3), (7, f"{first[2]} " * 2000, 4), (8, "none of it", 5), (8, "none of it", 5)]
+    docs = read(spark, SF, "documents").select("doc_id", "text", F.lit(0).alias("m_id")).unionByName(spark.createDataFrame(odd, "doc_id long, text string, m_id int"))
+    kept = lambda df: sorted(map(repr, df.collect()))
+    made = lambda: (kept(decontaminate.annotate(docs, bench)), kept(decontaminate.decontaminate(docs, bench)), kept(decontaminate.decontaminate(docs, bench, remove="spans")), kept(decontaminate.annotate(docs.limit(0), bench)))
+    whole = made()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    assert made() == whole and len(whole[1]) < docs.count()
+
+
 def test_apportionment():
     rng = np.random.default_rng(1)
     for _ in range(200):
