@@ -8,9 +8,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argusledger.operators import digests, profiles, risk
-from argusledger.plans.catalogue import _GAPPED, _RUNS, _documents, _place, active, query, run_results
-from argusledger.sources import archive, places, readers, sinks
+from argusledger.operators import digests, evidence, profiles, risk
+from argusledger.plans.catalogue import _CLAIMS, _GAPPED, _RUNS, _documents, _place, _scored, active, query, run_results
+from argusledger.sources import archive, documents, places, readers
 from argusledger.sources import schema as S
 
 
@@ -97,6 +97,26 @@ def run_archives(V):
     return found.select("kind", "run_id", "copies", "verdict")
 
 
+_JUDGED = """ju as (select conv_id as report_id, sum(case when turn % 3 = 0 then 0 else 2 end) as score, 2 * count(*) as most from conversations group by 1),
+rt as (select report_id, count(*) as n, count(*) filter (where scored <> 'supported') as bad from sc group by 1)"""
+
+
+@query("select report_id, cast(score as bigint) as score, round_even(score / most, 4) as percentage, case when round_even(score / most, 4) >= 0.6 then 'PASS' else 'FAIL' end as verdict, round_even(bad / n, 4) as eghr_rate, n as claims from ju join rt using (report_id)", f"{_CLAIMS}, {_JUDGED}")
+def judge_archive(V):
+    """SNK-11, DOM-18: a judge's document for each conversation, archived, and read again."""
+    rates = evidence.hallucination_rate(_scored(V))
+    V("claims")
+    scores = active().table("conversations").select(F.col("conv_id").alias("run_id"), F.when(F.col("turn") % 3 == 0, 0).otherwise(2).alias("score"), F.lit(2).alias("max"))
+    totals = evidence.rubric_totals(scores, 0.6).withColumnRenamed("run_id", "report_id")
+    path = _place("judged")
+    made = documents.judge_documents(totals, rates, task="t", model="m")
+    archive.archive(made.select(F.to_json(F.struct("report_id", F.try_parse_json("judge").alias("judge"))).alias("value")), path, "$.report_id")
+    judge = F.get_json_object("value", "$.judge")
+    m = documents.judge_metrics(judge)
+    at = lambda k: F.get_json_object("value", k)
+    return archive.read_archive(active(), path).select(at("$.report_id").cast("long").alias("report_id"), at("$.judge.overall_score").cast("long").alias("score"), m["task_performance_percentage"].alias("percentage"), at("$.judge.verdict").alias("verdict"), m["eghr_rate"].alias("eghr_rate"), at("$.judge.eghr.total_claims").cast("long").alias("claims"))
+
+
 _SUPPORT = "tx as (select src, dst, cast(amount as decimal(18,2)) as amount, sar, concat(src, '>', dst, '@', strftime(ts, '%Y-%m-%d %H:%M:%S')) as txn_id from transfers), sd as (select src as account_id, txn_id, amount as sent, cast(0 as decimal(18,2)) as got, sar from tx union all select dst, txn_id, 0, amount, sar from tx), ac as (select account_id, cast(sum(sent) as double) as sent, cast(sum(got) as double) as got, count(*) filter (where sent > 0) as n_out, count(*) filter (where got > 0) as n_in, bool_or(sar) as sar from sd group by 1), th as (select *, least(sent, got) / greatest(sent, got) as through from ac), kd as (select *, case when n_in >= 1 and n_out >= 1 and through >= 0.8 and sar then 'mule' when n_in >= 3 and n_out <= 1 then 'collector' when n_out >= 3 and n_in <= 1 then 'distributor' when sar then 'suspicious' else 'legitimate' end as kind from th)"
 
 

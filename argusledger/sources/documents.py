@@ -198,6 +198,24 @@ def parse_claims(column: str = "claims") -> Column:
     return F.coalesce(clean, F.array().cast("array<struct<text:string,cited_ids:array<string>,support:string>>"))
 
 
+def judge_documents(totals: DataFrame, rates: DataFrame, traces: DataFrame | None = None, **meta: str) -> DataFrame:
+    """(report_id, judge): a judge's report as JSON text for each row of ``totals`` (:func:`evidence.rubric_totals`, its run_id as report_id).
+
+    ``rates`` (:func:`evidence.hallucination_rate`) and ``traces`` (report_id and the parts of the traceability) may lack a report: it has
+    no claims, and a null part.  ``meta`` (task, model, judged_at_utc) is text at the top.  One row an id is expected on each side.
+    """
+    # Fixed field names.
+    counts = [F.coalesce(F.col(c), F.lit(0)).alias(n) for c, n in (("claims", "total_claims"), ("supported", "supported_count"), ("unsupported", "unsupported_count"), ("contradicted", "contradicted_count"))]
+    eghr = F.struct((F.coalesce("claims", F.lit(0)) > 0).alias("claims_extracted"), *counts, F.coalesce("eghr_rate", F.lit(0.0)).alias("rate"))
+    rows = totals.join(rates, "report_id", "left")
+    trace = F.lit(None).cast("string")
+    if traces is not None:
+        rows = rows.join(traces.select("report_id", F.struct(*[c for c in traces.columns if c != "report_id"]).alias("trace")), "report_id", "left")
+        trace = F.col("trace")
+    body = F.struct(*[F.lit(v).alias(k) for k, v in meta.items()], F.col("total").alias("overall_score"), F.col("maximum").alias("overall_max"), F.col("percentage").alias("overall_percentage"), "verdict", eghr.alias("eghr"), trace.alias("evidence_traceability"))
+    return rows.select("report_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("judge"))
+
+
 def judge_metrics(judge: Column) -> dict[str, Column]:
     """The four metrics that a judge's report (JSON text) holds; null where it doesn't."""
     number = lambda path: F.get_json_object(judge, path).try_cast("double")

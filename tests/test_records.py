@@ -180,3 +180,21 @@ def test_support_of_a_hot_account(spark):
     assert got.count() == 12_000 and got.filter("account_id = 'hot'").select("classification").distinct().collect()[0][0] == "distributor"
     assert {r.account_id: r.classification for r in risk.mule_accounts(rows).collect()} == {r.account_id: r.classification for r in got.select("account_id", "classification").distinct().collect()}
     assert risk.mule_support(rows.limit(0)).count() == 0
+
+
+def test_judge_documents(spark):
+    from argusledger.operators import evidence
+    from argusledger.sources import documents
+
+    scores = spark.createDataFrame([("a", 1, 2), ("a", 2, 2), ("b", None, 2)], "run_id string, score int, max int")
+    totals = evidence.rubric_totals(scores, 0.7).withColumnRenamed("run_id", "report_id")
+    rates = spark.createDataFrame([("a", 4, 2, 1, 1, 0.5)], "report_id string, claims long, supported long, unsupported long, contradicted long, eghr_rate double")
+    traces = spark.createDataFrame([("a", ["T1"], 0.25)], "report_id string, fabricated_citations array<string>, f1 double")
+    made = documents.judge_documents(totals, rates, traces, task="t", model="m")
+    got = {r.report_id: json.loads(r.judge) for r in made.collect()}
+    assert (got["a"]["task"], got["a"]["overall_score"], got["a"]["verdict"], got["a"]["eghr"]["contradicted_count"], got["a"]["evidence_traceability"]) == ("t", 3, "PASS", 1, {"fabricated_citations": ["T1"], "f1": 0.25})
+    assert got["b"]["eghr"] == {"claims_extracted": False, "total_claims": 0, "supported_count": 0, "unsupported_count": 0, "contradicted_count": 0, "rate": 0.0} and got["b"]["evidence_traceability"] is None
+    m = documents.judge_metrics(F.col("judge"))
+    read = made.filter("report_id = 'a'").select(*[c.alias(k) for k, c in m.items()]).first()
+    assert read.asDict() == {"eghr_rate": 0.5, "evidence_traceability_f1": 0.25, "fabricated_citation_count": 1.0, "task_performance_percentage": 0.75}
+    assert documents.judge_documents(totals.limit(0), rates).count() == 0
