@@ -98,8 +98,15 @@ def not_evaluated(status: DataFrame, gaps: list[str]) -> DataFrame:
     return status.groupBy("run_id").agg(F.array_distinct(F.concat(own, F.array(*map(F.lit, gaps)).cast("array<string>"))).alias("labels"))
 
 
-def profiles(runs: DataFrame, status: DataFrame, gaps: list[str], policy: dict[str, str], meta: dict[str, str]) -> DataFrame:
-    """One profile a run, hash included: (run_id, agent, model, task, tests, judge, precision, recall) and the metrics' status."""
+def profiles(runs: DataFrame, status: DataFrame, gaps: list[str], policy: dict[str, str], meta: dict[str, str], cases: DataFrame | None = None, restrictions: list[str] | None = None) -> DataFrame:
+    """One profile a run, hash included: (run_id, agent, model, task, tests, judge, precision, recall) and the metrics' status.
+
+    ``runs`` may also have ``report`` (a judge's JSON text: the summary of the evidence and the judge's own settings come from it), ``capabilities``
+    (an array), ``max_steps``, ``mode``, ``agent_exit_code`` and any of the texts that ``meta`` else gives for all runs.  ``cases``
+    (:func:`results.case_integrity`) blocks the decision of runs whose case has issues; a run without a row there has no case.
+    """
+    from argusledger.operators import results
+
     decided = assurance.decide(status, len(gaps))
     metric = F.struct("metric", "label", "value", "unit", "threshold", "direction", "required", "status")
     severity = F.when(F.col("required"), "critical").otherwise("warning")
@@ -107,16 +114,44 @@ def profiles(runs: DataFrame, status: DataFrame, gaps: list[str], policy: dict[s
     reason = F.when(F.col("status") == "FAIL", F.struct("metric", "label", F.col("value").alias("actual"), "threshold", rule.alias("rule"), severity.alias("severity")))
     parts = status.groupBy("run_id").agg(F.sort_array(F.collect_list(metric)).alias("metrics"), F.sort_array(F.collect_list(reason)).alias("reasons"), F.count("*").alias("defined"))
     rows = runs.join(parts, "run_id").join(decided, "run_id").join(not_evaluated(status, gaps), "run_id")
-    text = lambda k: F.lit(meta.get(k)).cast("string").alias(k)
+    if cases is None:
+        rows = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("invalid", "long"), ("broken", "long"), ("integrity", "string"))])
+    else:
+        rows = rows.join(cases.select("run_id", "invalid", "broken", "integrity"), "run_id", "left")
+    blocks = results.blocking_reasons()
+    overall = F.when(F.size(blocks) > 0, "NOT_READY_FOR_DEPLOYMENT").otherwise(F.col("decision"))
+    why = F.when((F.size(blocks) > 0) & (F.col("decision") != "NOT_READY_FOR_DEPLOYMENT"), F.concat(F.lit("the case has unresolved issues ("), F.array_join(F.transform(blocks, lambda x: x.label), "; "), F.lit("), whatever the metrics say ("), reason_text(), F.lit(")"))).otherwise(reason_text())
+
+    def text(k: str, kind: str = "string") -> Column:
+        return (F.col(k) if k in runs.columns else F.lit(meta.get(k))).cast(kind).alias(k)
+
+    report = F.try_parse_json("report") if "report" in runs.columns else F.lit(None).cast("variant")
+    told = lambda k, kind="variant": F.try_variant_get(report, f"$.{k}", kind)
+    if "report" in runs.columns:
+        summary = F.struct(*[told(k).alias(k) for k in ("eghr", "evidence_traceability", "claims")])
+    else:
+        summary = F.struct(F.struct("precision", "recall").alias("evidence_traceability"))
+    max_steps = F.col("max_steps") if "max_steps" in runs.columns else F.lit(12)
+    mode = F.col("mode") if "mode" in runs.columns else F.lit("local")
+    capabilities = F.col("capabilities") if "capabilities" in runs.columns else F.array()
+    finished = F.when(F.coalesce(F.col("agent_exit_code") == 0, F.lit(False)), "completed").otherwise("failed") if "agent_exit_code" in runs.columns else F.lit("completed")
+    number = lambda k: F.lit(meta.get(k)).cast("double").alias("temperature")
+    provenance = F.struct(
+        "run_id", *map(text, ("workspace", "started_at_utc", "completed_at_utc")), mode.alias("execution_mode"), text("benchmark_version"), text("git_commit_sha"), F.lit(policy.get("id")).alias("policy_id"), F.lit(policy.get("version")).alias("policy_version"),
+        *map(text, ("policy_file_hash", "dataset_hash", "rubric_hash", "task_fingerprint")), run_hash(F.col("task"), F.col("model"), max_steps, mode, F.lit(policy.get("id")), F.lit(policy.get("version"))).alias("benchmark_config_hash"),
+        F.coalesce(text("agent_version"), F.lit("unversioned")).alias("agent_version"), F.col("model").alias("model_identifier"), number("temperature"), text("random_seed", "long"), told("model", "string").alias("judge_model"),
+        F.struct(told("pass_threshold_overall", "double").alias("pass_threshold_overall"), text("rubric_path"), number("judge_temperature")).alias("judge_config"),
+        F.struct(F.version().alias("spark_version"), text("os")).alias("runtime"), text("reproducibility_note"))
+    block = F.coalesce(F.parse_json("integrity"), F.parse_json(F.lit('{"present":false}')))
     out = rows.select(
         F.lit("0.2").alias("schema_version"), F.lit(meta.get("disclaimer", "research output, no certification")).alias("disclaimer"), text("generated_at_utc"),
-        F.struct(F.lit("completed").alias("execution_status"), assurance.overall_verdict(F.col("tests"), F.col("judge")).alias("benchmark_verdict"), F.col("decision").alias("assurance_decision")).alias("status_summary"),
-        F.struct(F.col("agent").alias("name"), "model", F.lit(12).cast("long").alias("max_steps"), F.lit("local").alias("mode")).alias("agent"),
-        text("benchmark"), F.col("task").alias("scenario_pack"), F.array().cast("array<string>").alias("operational_capabilities"), text("jurisdiction_profile"),
+        F.struct(finished.alias("execution_status"), assurance.overall_verdict(F.col("tests"), F.col("judge")).alias("benchmark_verdict"), overall.alias("assurance_decision")).alias("status_summary"),
+        F.struct(F.col("agent").alias("name"), "model", max_steps.cast("long").alias("max_steps"), mode.alias("mode")).alias("agent"),
+        text("benchmark"), F.col("task").alias("scenario_pack"), capabilities.cast("array<string>").alias("operational_capabilities"), text("jurisdiction_profile"),
         F.struct(*[F.lit(policy.get(k)).cast("string").alias(k) for k in PARTS["policy"]]).alias("policy"), "metrics", F.col("labels").alias("not_evaluated_dimensions"),
-        F.struct(F.col("decision").alias("overall"), reason_text().alias("reason"), F.col("evaluated").alias("evaluated_metric_count"), (F.col("defined") + len(gaps)).alias("total_defined_dimension_count"), "reasons").alias("deployment_decision"),
-        F.struct(F.struct("precision", "recall").alias("evidence_traceability")).alias("evidence_summary"),
-        F.struct("run_id", text("started_at_utc"), text("completed_at_utc"), text("benchmark_version"), F.lit(policy.get("id")).alias("policy_id"), F.lit(policy.get("version")).alias("policy_version"), text("dataset_hash")).alias("provenance"))
+        F.struct(overall.alias("overall"), why.alias("reason"), F.col("evaluated").alias("evaluated_metric_count"), (F.col("defined") + len(gaps)).alias("total_defined_dimension_count"), F.concat("reasons", blocks).alias("reasons")).alias("deployment_decision"),
+        (F.lit(None).cast("array<string>") if restrictions is None else F.array(*map(F.lit, restrictions)).cast("array<string>")).alias("deployment_restrictions"),
+        summary.alias("evidence_summary"), block.alias("case_evidence_integrity"), provenance.alias("provenance"))
     return out.withColumn("result_hash", document_hash(F.struct(*out.columns)))
 
 
@@ -138,7 +173,8 @@ def test_counts(results: DataFrame) -> DataFrame:
 def verdict_reason(tests: Column, passed: Column, total: Column, failed: Column, judge: Column, percentage: Column) -> Column:
     """Why a run passed or failed, in one line; ``tests`` and ``judge`` are verdicts (null: not run)."""
     # Fixed wording.
-    own = F.when(tests == "PASS", F.format_string("xUnit PASS (%d/%d)", passed, total)).when(tests.isNotNull(), F.format_string("xUnit FAIL (%d assertion(s))", failed))
+    n = lambda x: F.coalesce(x.cast("string"), F.lit(""))  # noqa: E731  without results there are no counts
+    own = F.when(tests == "PASS", F.concat(F.lit("xUnit PASS ("), n(passed), F.lit("/"), n(total), F.lit(")"))).when(tests.isNotNull(), F.concat(F.lit("xUnit FAIL ("), n(failed), F.lit(" assertion(s))")))
     other = F.when(judge.isNotNull(), F.format_string("judge %s at %.1f%%", judge, F.coalesce(percentage, F.lit(0.0)) * 100))
     return F.concat_ws("; ", own, other)
 

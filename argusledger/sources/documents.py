@@ -32,8 +32,9 @@ PROFILE = (
     " agent struct<name:string,model:string,max_steps:long,mode:string>, benchmark string, scenario_pack string, operational_capabilities array<string>, jurisdiction_profile string,"
     f" policy struct<id:string,name:string,version:string,path:string>, metrics array<{METRIC}>, not_evaluated_dimensions array<string>,"
     f" deployment_decision struct<overall:string,reason:string,evaluated_metric_count:long,total_defined_dimension_count:long,reasons:array<{REASON}>>,"
-    " evidence_summary struct<evidence_traceability:struct<precision:double,recall:double>>,"
-    " provenance struct<run_id:string,started_at_utc:string,completed_at_utc:string,benchmark_version:string,policy_id:string,policy_version:string,dataset_hash:string>, result_hash string"
+    " deployment_restrictions array<string>, evidence_summary struct<evidence_traceability:struct<precision:double,recall:double>>, case_evidence_integrity variant,"
+    " provenance struct<run_id:string,workspace:string,started_at_utc:string,completed_at_utc:string,execution_mode:string,benchmark_version:string,git_commit_sha:string,policy_id:string,policy_version:string,policy_file_hash:string,dataset_hash:string,"
+    "rubric_hash:string,task_fingerprint:string,benchmark_config_hash:string,model_identifier:string,judge_model:string>, result_hash string"
 )
 
 

@@ -198,3 +198,53 @@ def test_judge_documents(spark):
     read = made.filter("report_id = 'a'").select(*[c.alias(k) for k, c in m.items()]).first()
     assert read.asDict() == {"eghr_rate": 0.5, "evidence_traceability_f1": 0.25, "fabricated_citation_count": 1.0, "task_performance_percentage": 0.75}
     assert documents.judge_documents(totals.limit(0), rates).count() == 0
+
+
+def test_result_documents(spark):
+    from argusledger.operators import results
+
+    runs = spark.sql("""select id as run_id, timestamp'2026-01-01 00:00:00' as started_at, timestamp'2026-01-01 00:00:02.125' as completed_at, 't' as task, 's' as source, 'a' as agent, null as model, 3 as max_steps, 'm' as mode, 'w' as workspace, 0 as agent_exit_code,
+        case when id = 'a' then 1 else 0 end as tests_exit_code, case when id = 'c' then null else 0 end as judge_exit_code from values ('a'), ('b'), ('c'), ('d') as v(id)""")
+    tests = spark.createDataFrame([("a", "t1", "Failed", "1", "m" * 100_000, None), ("a", "t1", "Failed", "1", "m" * 100_000, None), ("a", "t2", "Passed", None, None, None), ("b", "t", "Odd", None, None, None), ("other", "t", "Failed", None, None, None)], "run string, test_name string, outcome string, duration string, message string, stack_trace string")
+    files = spark.createDataFrame([("a", 'q"\\é.md', 3, None, "", 0), ("a", "x.csv", 5, [{"k": "1"}], None, None), ("a", "x.csv", 5, [{"k": "1"}], None, None), ("a", "z.bin", None, None, None, None), ("a", None, 1, None, None, None), ("b", "e.csv", 0, [], None, None)],
+                                  "run_id string, name string, size_bytes long, rows array<map<string,string>>, content_preview string, citation_count long")
+    judges = spark.createDataFrame([("a", '{"verdict": "PASS", "overall_percentage": 0.875, "x": [null]}'), ("c", '{"verdict": "PASS"}'), ("d", "{")], "run_id string, judge string")
+    made = results.result_documents(runs, tests, files, judges)
+    got = {r.run_id: json.loads(r.value) for r in made.collect()}
+    failure = {"test_name": "t1", "duration": "1", "message": "m" * 100_000, "stack_trace": None}
+    assert got["a"]["xunit"] == {"exit_code": 1, "verdict": "FAIL", "total": 3, "passed": 1, "failed": 2, "skipped": 0, "failures": [failure, failure], "trx_present": True}
+    assert got["a"]["agent_outputs"] == {'q"\\é.md': {"size_bytes": 3, "content_preview": "", "citation_count": 0}, "x.csv": {"size_bytes": 5, "rows": [{"k": "1"}]}, "z.bin": {"size_bytes": None}}
+    assert (got["a"]["elapsed_seconds"], got["a"]["started_at_utc"][:19], got["a"]["agent"]["model"], got["a"]["overall_verdict"], got["a"]["overall_reason"]) == (2.12, "2026-01-01T00:00:00", None, "FAIL", "xUnit FAIL (2 assertion(s)); judge PASS at 87.5%")
+    assert got["a"]["judge"] == {"verdict": "PASS", "overall_percentage": 0.875, "x": [None]}
+    assert got["b"]["xunit"]["other_outcomes"] == 1 and got["b"]["agent_outputs"] == {"e.csv": {"size_bytes": 0, "rows": []}} and got["b"]["judge"] == {"was_run": True, "exit_code": 0, "report_present": False}
+    assert got["c"]["judge"] == {"was_run": False} and got["c"]["xunit"] == {"exit_code": 0, "verdict": "PASS", "trx_present": False} and got["c"]["overall_reason"] == "xUnit PASS (/)" and got["c"]["agent_outputs"] == {}
+    assert got["d"]["judge"] == {"parse_error": "the report is not JSON"} and got["d"]["overall_verdict"] == "PASS"
+    assert results.result_documents(runs.limit(0), tests, files, judges).count() == 0
+    bare = results.result_documents(runs, tests.limit(0), files.limit(0), judges.limit(0))
+    assert {json.loads(r.value)["overall_verdict"] for r in bare.collect()} == {"PASS", "FAIL"}
+
+
+def test_case_integrity(spark):
+    from argusledger.operators import results
+
+    cases = spark.createDataFrame([("a", "h1"), ("b", None), ("c", "h3")], "run_id string, canonical_case_hash string")
+    rows = [("a", "dangling", "evidence", "E1", "X2"), ("a", "dangling", "evidence", "E1", "X1"), ("a", "missing_transaction", "sar", "S1", None), ("a", "duplicate_evidence", "evidence", "E9", "E9"), ("a", "duplicate_evidence", "evidence", "E9", "E9"), ("b", "duplicate_evidence", "evidence", "E9", "E9"), ("x", "dangling", "evidence", "E", "X"), ("c", "odd", None, None, None)]
+    issues = spark.createDataFrame(rows, "run_id string, issue string, record_type string, record_id string, ref string")
+    found = {r.run_id: r for r in results.case_integrity(cases, issues).collect()}
+    assert {k: (r.invalid, r.broken) for k, r in found.items()} == {"a": (3, 2), "b": (0, 1), "c": (0, 0)}
+    a, c = json.loads(found["a"].integrity), json.loads(found["c"].integrity)
+    assert [x["evidence_id"] for x in a["invalid_source_evidence_reference"]["dangling_references"]] == ["X1", "X2"] and a["status"] == "failed" and a["canonical_case_hash"] == "h1"
+    assert c == {"present": True, "status": "passed", "case_manifest_path": "case_manifest.json", "canonical_case_hash": "h3", "invalid_source_evidence_reference": {"count": 0, "dangling_references": [], "missing_transaction_references": [], "incompatible_evidence_types": []}, "broken_canonical_evidence_lineage": {"count": 0, "duplicate_evidence_ids": []}}
+    assert results.case_integrity(cases.limit(0), issues).count() == 0
+    # All metrics pass: without issues the decision stays, with them it doesn't; a run without a case has a block that says so.
+    runs = spark.createDataFrame([(r, "ag", "m", "t", 0, None) for r in "abcd"], "run_id string, agent string, model string, task string, tests int, judge int").withColumns({"precision": F.lit(1.0), "recall": F.lit(1.0)})
+    status = runs.select("run_id", F.lit("q").alias("metric"), F.lit("Q").alias("label"), F.lit(1.0).alias("value"), F.lit("rate").alias("unit"), F.lit(0.5).alias("threshold"), F.lit("higher_is_better").alias("direction"), F.lit(True).alias("required"), F.lit("PASS").alias("status"))
+    make = lambda **more: {r.provenance.run_id: r for r in profiles.profiles(runs, status, [], {"id": "p"}, {"git_commit_sha": "g", "temperature": "0"}, **more).collect()}
+    got = make(cases=results.case_integrity(cases, issues), restrictions=["only tests"])
+    assert {k: r.deployment_decision.overall for k, r in got.items()} == {"a": "NOT_READY_FOR_DEPLOYMENT", "b": "NOT_READY_FOR_DEPLOYMENT", "c": "PASS", "d": "PASS"}
+    assert [(r.label, r.actual, r.severity) for r in got["a"].deployment_decision.reasons] == [("Invalid source evidence reference", 3.0, "critical"), ("Broken canonical evidence lineage", 2.0, "critical")]
+    assert got["a"].deployment_decision.reason.startswith("the case has unresolved issues (Invalid source evidence reference; Broken") and got["c"].deployment_decision.reason == "all metrics passed"
+    assert json.loads(got["d"].case_evidence_integrity.toJson()) == {"present": False} and got["a"].deployment_restrictions == ["only tests"]
+    p = got["a"].provenance
+    assert (p.git_commit_sha, p.agent_version, p.model_identifier, p.temperature, p.random_seed, p.judge_model) == ("g", "unversioned", "m", 0.0, None, None)
+    assert len({r.result_hash for r in got.values()}) == 4 and {r.status_summary.assurance_decision for r in make().values()} == {"PASS"}
