@@ -7,7 +7,8 @@ similarity of at least ``percent`` / 100, which is tested on whole sets.
 1. Order: shingles that occur in many classes (the most frequent ones, counted over all documents) come last,
    the others by hash.  The order steers cost only; any order gives the same links.
 2. Index: similar sets share a shingle in their prefixes, so only prefixes are listed, with set size and position.
-   Lists are sorted by size and cut into blocks; a block whose best position cannot reach the overlap is skipped.
+   Lists are sorted by size and cut into blocks; a block whose best position cannot reach the overlap is skipped.  A long
+   list is crossed in pairs of larger blocks, skipped alike, each pair a row of its own, so that no task has a list's square.
 3. First answers: in each list a set is paired with the list's leader of its size group, then, in rounds, with a few
    sets of other components; each set's most promising partners are verified, and the links' components follow.  The
    rounds end when they find little.
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from argusledger.functions.tables import BROADCAST_ROWS, cut, drop_cut, partitions, skew_join, small
+from argusledger.functions.tables import BROADCAST_ROWS, cut, drop_cut, partitions, scratch, skew_join, small
 from argusledger.llm.common import NOT_SPACE, Shield, Words, chunks, grams, mix64, release, row_key, runs
 from argusledger.operators.graph import connected_components
 
@@ -47,6 +48,8 @@ GROUP = 250
 #: Rounds of first answers, at most; what they leave is settled in the last step.
 ROUNDS = 6
 _BLOCK = 64
+#: A list with more entries is crossed in pairs of blocks of this size, each pair by itself.
+LONG = 1 << 13
 
 
 def _sets(batches, n: int):
@@ -347,17 +350,52 @@ def _partners(percent: int, turn: int, comps):
 # --- 4: what is left -------------------------------------------------------------------------
 
 
-def _cross(percent: int, comps):
-    """Pairs in a list that can reach their overlap and aren't connected yet."""
+def _pieces(percent: int, long: int):
+    """Of lists with over ``long`` entries: each two of their blocks that have sets in reach of each other, as a list of its own.
 
-    def pairs(node, size, at, comp):
+    ``cut`` counts the first block's entries; 0: a block with itself.  ``p`` is negative and spreads the pieces.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                number, *columns = _arrays(row)
+                edge = runs(number)
+                for k in np.flatnonzero(np.diff(edge) > long).tolist():
+                    node, size, at = (c[edge[k] : edge[k + 1]] for c in columns)
+                    starts = np.arange(0, len(node), long)
+                    ends = np.minimum(starts + long, len(node))
+                    low, high = size[starts].astype(np.int64), size[ends - 1].astype(np.int64)
+                    best = np.maximum.reduceat(size.astype(np.int64) - at, starts)  # the most that a set of the block can still share
+                    for i in range(len(starts)):
+                        j = np.arange(i, len(starts))
+                        need = -(-percent * (low[i] + low[j]) // (100 + percent))
+                        for to in j[(100 * high[i] >= percent * low[j]) & (np.minimum(best[i], best[j]) >= need)].tolist():
+                            part = np.arange(starts[i], ends[i]) if to == i else np.concatenate([np.arange(starts[i], ends[i]), np.arange(starts[to], ends[to])])
+                            name = -1 - (xxhash.xxh3_64_intdigest(np.array([row["p"], k, i, to], np.int64).tobytes()) >> 1)
+                            blobs = [np.zeros(len(part), np.uint32), *(c[part] for c in (node, size, at))]
+                            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in blobs], pa.array([0 if to == i else long], pa.int32())], names=["p", "list", "node", "size", "at", "cut"])
+
+    return run
+
+
+def _crossed(lists: DataFrame, percent: int, long: int) -> DataFrame:
+    """The lists to cross: as they are (``cut`` null), and the pieces of long ones, dealt out to all tasks."""
+    some = lists.filter(F.octet_length("list") > 4 * long).mapInArrow(_pieces(percent, long), "p long, list binary, node binary, size binary, at binary, cut int")
+    return lists.select(F.col("p").cast("long").alias("p"), "list", "node", "size", "at", F.lit(None).cast("int").alias("cut")).unionByName(some.repartition(partitions(lists.sparkSession), "p"))
+
+
+def _cross(percent: int, comps, long: int):
+    """Pairs in a list that can reach their overlap and aren't connected yet.  Lists of over ``long`` entries are left to their pieces."""
+
+    def pairs(node, size, at, comp, cut):
         m = len(node)
         starts = np.arange(0, m, _BLOCK)
         low, high, least = size[starts], size[np.minimum(starts + _BLOCK, m) - 1], np.minimum.reduceat(at, starts)
-        for i in range(m - 1):
+        for i in range(cut or m - 1):
             to = int(np.searchsorted(size, 100 * int(size[i]) // percent, "right"))
-            j = np.arange(i + 1, to)
-            if to - i > 2 * _BLOCK:  # skip blocks by position
+            j = np.arange(max(i + 1, cut), to)
+            if len(j) > 2 * _BLOCK:  # skip blocks by position
                 need = -(-percent * (int(size[i]) + low.astype(np.int64)) // (100 + percent))
                 can = high.astype(np.int64) - least >= need
                 j = j[can[j // _BLOCK]]
@@ -381,9 +419,11 @@ def _cross(percent: int, comps):
                 comp = _label(comps, node, row)
                 edge = runs(number)
                 mixed = np.maximum.reduceat(comp, edge[:-1]) != np.minimum.reduceat(comp, edge[:-1])
+                if row["cut"] is None:
+                    mixed &= np.diff(edge) <= long
                 found, held = [], 0
                 for k in np.flatnonzero(mixed).tolist():
-                    for x in pairs(*(v[edge[k] : edge[k + 1]] for v in (node, size, at, comp))):
+                    for x in pairs(*(v[edge[k] : edge[k + 1]] for v in (node, size, at, comp)), row["cut"] or 0):
                         found.append(x)
                         held += len(x[0])
                     if held > 500_000:
@@ -408,13 +448,13 @@ def _with_components(lists: DataFrame, comps: DataFrame, make, schema: str) -> D
         for batch in batches:
             for row in batch.to_pylist():
                 own = np.unique(np.frombuffer(row["node"], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row["p"], np.int32)), pa.array(own)], names=["p", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row["p"], np.int64)), pa.array(own)], names=["p", "node"])
 
     def pack(key, table):
         order = np.argsort(table.column("node").to_numpy())
-        return pa.table({"p": [key[0].as_py()], "keys": [table.column("node").to_numpy()[order].tobytes()], "values": [table.column("component").to_numpy()[order].tobytes()]}, schema=pa.schema([("p", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())]))
+        return pa.table({"p": [key[0].as_py()], "keys": [table.column("node").to_numpy()[order].tobytes()], "values": [table.column("component").to_numpy()[order].tobytes()]}, schema=pa.schema([("p", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())]))
 
-    own = lists.mapInArrow(nodes, "p int, node long").join(comps, "node").groupBy("p").applyInArrow(pack, "p int, keys binary, values binary")
+    own = lists.mapInArrow(nodes, "p long, node long").join(comps, "node").groupBy("p").applyInArrow(pack, "p long, keys binary, values binary")
     full = lists.join(own, "p", "left").withColumns({c: F.coalesce(c, F.lit(b"")) for c in ("keys", "values")})
     return full.mapInArrow(make(None), schema)
 
@@ -496,15 +536,16 @@ def _similar(percent: int) -> str:
     return f"100 * overlap >= {percent} * (size_a + size_b - overlap)"
 
 
-def all_links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0) -> DataFrame:
+def all_links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0, long: int = LONG) -> DataFrame:
     """Every link (a, b, size_a, size_b, overlap), a > b, between classes: all pairs in reach of a list are verified.
 
     A group of G similar but different sets has G * G / 2 links, and so has this result; copies are one class.
     """
     lists, listed, sets = _index(docs, n, percent, seed)
     none = docs.sparkSession.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    out = cut(overlaps(sets, cut(lists.mapInArrow(_cross(percent, none), "a long, b long").distinct())).filter(_similar(percent)))
-    for done in (lists, listed, sets):
+    near = cut(_crossed(lists, percent, long).mapInArrow(_cross(percent, none, long), "a long, b long").distinct())
+    out = cut(overlaps(sets, near).filter(_similar(percent)))
+    for done in (lists, listed, sets, near):
         drop_cut(done)
     return out
 
@@ -520,7 +561,7 @@ def link_counts(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     return skew_join(members, per, "node", "n").select("doc_id", "n_shingles", "node", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0) -> DataFrame:
+def links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0, long: int = LONG) -> DataFrame:
     """Verified links (a, b) between classes: enough of them to connect whatever the join connects."""
     spark = docs.sparkSession
     lists, listed, sets = _index(docs, n, percent, seed)
@@ -547,7 +588,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0) -> Data
         if good <= 0.003 * tried and (turn or not good):
             break
 
-    left = _with_components(lists, comps, lambda c: _cross(percent, c), "a long, b long").distinct()
+    left = _with_components(_crossed(lists, percent, long), comps, lambda c: _cross(percent, c, long), "a long, b long").distinct()
     left = cut(left.join(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
     info = found.select(F.col("a").alias("node"), F.col("b").alias("lead"), (F.col("size_a") - F.col("overlap")).alias("extra"), F.col("size_a").alias("own"))
     info = cut(info.groupBy("node").agg(F.min(F.struct("lead", "extra", "own")).alias("x")).select("node", "x.*"))
@@ -617,7 +658,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+    with scratch() as made:
+        out = cut(near_duplicates(docs).select("doc_id", "n_shingles", "component_id"))
+        made.remove(out)
+    return out
 
 
 #: DuckDB SQL for op4.

@@ -530,3 +530,30 @@ def test_any_mark_after_a_role(spark):
     for bad in ({"after_role": ""}, {"after_role": "&"}, {"head": ""}, {"end": "x"}):
         with pytest.raises(ValueError):
             chatformat.ChatTemplate(**bad)
+
+
+@pytest.mark.parametrize("long", [2, 7, 64])
+def test_long_lists_in_pieces(spark, long):
+    pick = np.random.default_rng(5)
+    base = [pick.integers(0, 3, 90).tolist() for _ in range(4)]
+    texts = []
+    for i in range(260):  # few words, so that all shingles are frequent and lists are long; sizes and places vary
+        w = list(base[i % 4][: int(pick.integers(20, 90))])
+        for at in pick.integers(0, len(w), int(pick.integers(0, 4))):
+            w[at] = int(pick.integers(0, 3))
+        texts.append(" ".join(f"v{x}" for x in w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = list({frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for t in texts)})
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    found = [(r.a, r.b, r.overlap) for r in jaccard.all_links(docs, long=long).collect()]
+    assert len(found) == len(set(found)) == len(near) and sorted(x[2] for x in found) == sorted(len(sets[i] & sets[j]) for i, j in near)
+
+    def groups(pairs):
+        root = {}
+        up = lambda x: x if root.setdefault(x, x) == x else up(root[x])
+        for x, y in pairs:
+            root[up(x)] = up(y)
+        return sorted(np.unique([up(x) for x in root], return_counts=True)[1].tolist())
+
+    pieces = jaccard._crossed(jaccard._index(docs, 5, 75, 0)[0], 75, long).filter("cut is not null")
+    assert (pieces.count() > 0) and groups((r.a, r.b) for r in jaccard.links(docs, long=long).collect()) == groups(near)
