@@ -116,11 +116,21 @@ def from_records(records: DataFrame) -> DataFrame:
     return records.select(F.try_parse_json("record").alias("v"), *place).select(*[F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in own], *place)
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    """The first two characters, without blanks, of the first line that is not blank, of the files in the order of their names.
+
+    Spark reads the largest split first, so its first row may be any line.
+    """
+    lines = placed(spark.read.text(path).filter(F.btrim("value", F.lit("\ufeff \t\r")) != "")).select(F.substring(F.btrim("value", F.lit("\ufeff \t\r")), 1, 2).alias("x"), PLACE)
+    return lines.agg(F.min_by("x", PLACE)).first()[0] or ""
+
+
 def _one_a_line(spark: SparkSession, path: str) -> DataFrame | None:
     """Records of a document with a bracket or one object a line (see :func:`argusledger.sinks.write_collection`); None for any other layout."""
+    if _first_line(spark, path) != "[":
+        return None
     lines = spark.read.text(path).filter("trim(value) not in ('', '[', ']')").withColumn("x", F.trim("value"))
-    start = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    if not start or start[0].value.strip("\ufeff \t\r") != "[" or lines.filter(~F.col("x").rlike(r"^\{.*\},?$")).limit(1).count():
+    if lines.filter(~F.col("x").rlike(r"^\{.*\},?$")).limit(1).count():
         return None
     records = placed(lines).select(F.regexp_replace("x", ",$", "").alias("record"), PLACE)
     return None if records.filter(F.json_object_keys("record").isNull()).limit(1).count() else records
@@ -144,8 +154,7 @@ def _json_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def _unwrap(spark: SparkSession, path: str, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """A top-level array's rows as they are; of an object, those of its first wrapper.  An object without one is an error."""
-    start = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    if start and start[0].value.lstrip("\ufeff \t").startswith("["):
+    if _first_line(spark, path).startswith("["):
         return placed(rows)
     arrays = {f.name: f.dataType.elementType for f in rows.schema.fields if isinstance(f.dataType, T.ArrayType)}
     held = [w for w in keys if w in arrays]
