@@ -25,6 +25,8 @@ from argusledger.sources import documents, readers, sinks
 from argusledger.sources import schema as S
 
 TOKEN = "a-token"
+#: Bytes of a page that the server holds at once, and rows that a page has at most (about), so that pages grow in number, not in size.
+CHUNK, PAGE_ROWS = 1 << 18, 20_000
 
 
 @contextmanager
@@ -32,29 +34,31 @@ def served(spark: SparkSession, folder: str):
     """The address of a server of ``folder``'s pages (``/3``: what part=3 holds) for bearers of TOKEN; ``/broken`` fails."""
     hadoop = spark._jvm.org.apache.hadoop.fs
 
-    def page(name: str) -> bytes:
+    def files(name: str) -> tuple:
         p = hadoop.Path(f"{folder}/part={name}")
         fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        out = b""
-        for f in sorted(x.getPath().toString() for x in fs.listStatus(p)):
-            stream = fs.open(hadoop.Path(f))
-            out += bytes(stream.readAllBytes())
-            stream.close()
-        return out
+        return fs, sorted((x.getPath().toString(), x.getLen()) for x in fs.listStatus(p))
+
+    def send(fs, name: str, out) -> None:
+        stream = fs.open(hadoop.Path(name))
+        while part := bytes(stream.readNBytes(CHUNK)):
+            out.write(part)
+        stream.close()
 
     class Pages(BaseHTTPRequestHandler):
         def do_GET(self):
-            code, body = 200, b""
+            code, fs, found = 200, None, []
             if self.headers.get("Authorization") != f"Bearer {TOKEN}":
                 code = 401
             elif self.path == "/broken":
                 code = 500
             else:
-                body = page(self.path.strip("/"))
+                fs, found = files(self.path.strip("/"))
             self.send_response(code)
-            self.send_header("Content-Length", str(len(body)))
+            self.send_header("Content-Length", str(sum(n for _, n in found)))
             self.end_headers()
-            self.wfile.write(body)
+            for name, _ in found:
+                send(fs, name, self.wfile)
 
         def log_message(self, *_):
             pass
@@ -114,10 +118,11 @@ def rest_roundtrip(V):
     V("txn")
     spark = active()
     rows = spark.table("customer").join(spark.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = rows.select((F.col("c_custkey") % 8).alias("page"), F.concat(F.lit("C"), "c_custkey").alias("txn_id"), F.col("c_name").alias("from_account"), F.lit("bank").alias("to_account"), F.col("c_acctbal").cast("decimal(18,2)").alias("amount"), F.lit("2026-01-05T00:00:00Z").alias("timestamp"), F.col("n_name").alias("destination_country"))
+    n = max(8, -(-rows.count() // PAGE_ROWS))
+    rows = rows.select((F.col("c_custkey") % n).alias("page"), F.concat(F.lit("C"), "c_custkey").alias("txn_id"), F.col("c_name").alias("from_account"), F.lit("bank").alias("to_account"), F.col("c_acctbal").cast("decimal(18,2)").alias("amount"), F.lit("2026-01-05T00:00:00Z").alias("timestamp"), F.col("n_name").alias("destination_country"))
     load, errors = readers.default_registry().resolve("REST"), []
-    with served(spark, pages(rows, "page", "txn_id", 8, "data")) as base:
-        got = load(spark, base=base, paths=[f"/{i}" for i in range(8)], token=TOKEN).collections["transactions"]
+    with served(spark, pages(rows, "page", "txn_id", n, "data")) as base:
+        got = load(spark, base=base, paths=[f"/{i}" for i in range(n)], token=TOKEN).collections["transactions"]
         for path, token in (("/0", "wrong"), ("/broken", TOKEN)):
             try:
                 load(spark, base=base, path=path, token=token)

@@ -1,5 +1,8 @@
 """What failed over larger tables, other masters or other stores."""
 
+import urllib.request
+
+from argusledger.plans import catalogue, connectors
 from argusledger.sources import readers
 
 
@@ -11,3 +14,21 @@ def test_a_document_whose_first_part_is_small(spark, tmp_path):
     (d / "part-00002.txt").write_text('{"txn_id":"last"}\n]\n')
     rows = readers.read_json_rows(spark, str(d))
     assert rows.count() == 501 and {r.txn_id for r in rows.collect()} == {f"t{i}" for i in range(500)} | {"last"}
+
+
+def test_pages_grow_in_number_and_are_served_in_pieces(spark, same, monkeypatch):
+    made = []
+    monkeypatch.setattr(connectors, "PAGE_ROWS", 10)
+    monkeypatch.setattr(connectors, "CHUNK", 64)
+    monkeypatch.setattr(connectors, "pages", lambda *a, f=connectors.pages: made.append(a[3]) or f(*a))
+    same(catalogue.QUERIES["rest_roundtrip"], catalogue.SQL["rest_roundtrip"])
+    assert made == [15]  # 150 customers
+
+
+def test_a_page_of_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(connectors, "CHUNK", 7)
+    (tmp_path / "part=3").mkdir()
+    for i in range(3):
+        (tmp_path / "part=3" / f"f{i}").write_text(f"{i}" * 20)
+    with connectors.served(spark, str(tmp_path)) as base, urllib.request.urlopen(urllib.request.Request(f"{base}/3", headers={"Authorization": f"Bearer {connectors.TOKEN}"}), timeout=30) as r:
+        assert r.read().decode() == "0" * 20 + "1" * 20 + "2" * 20
