@@ -1,14 +1,15 @@
 """Queries over live sources: what is served or stored from the given tables is read again by the executors.
 
-A database, an endpoint and a graph store are needed that executors reach; here the driver's own stand in for them, over all rows of
-the tables: an embedded database in Spark's JVM, and a small server of the pages that Spark wrote.  So these queries run on local
-masters; on a cluster ``argusledger.jdbc.url`` names a database, and the server's address must be one that executors reach.
+A database, an endpoint and a graph store are needed that executors reach; here stand-ins hold all rows of the tables: an embedded
+database in shards in the shared folder (``argusledger.jdbc.url`` names another one), and a small server of the pages that Spark wrote,
+whose address is the driver's own, so that executors must be on its machine.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import threading
 import uuid
 from contextlib import contextmanager
@@ -88,17 +89,78 @@ def pages(rows: DataFrame, part: str, key: str, n: int, wrap: str | None = None)
     return path
 
 
+#: Rows that a shard of the stand-in database has at most (about); one task makes it.
+SHARD_ROWS = 1_000_000
+
+
+def _shard(batches, root: str, columns: str):
+    """The path of an archive in ``root`` that holds these rows as a Derby database, made by Derby's own tool, import and shutdown."""
+    import glob
+    import shutil
+    import subprocess
+    import tempfile
+    import zipfile
+
+    import pyspark
+    from pyarrow import csv
+
+    home = next(d for d in (os.environ.get("SPARK_HOME"), os.path.dirname(pyspark.__file__)) if d and glob.glob(f"{d}/jars/derby*.jar"))
+    java = shutil.which(f"{os.environ.get('JAVA_HOME', '')}/bin/java") or "java"
+    name = f"{root}/{uuid.uuid4().hex}.jar"
+    with tempfile.TemporaryDirectory() as d:
+        d = os.path.realpath(d)
+        with open(f"{d}/rows.csv", "wb") as f:
+            for batch in batches:
+                csv.write_csv(batch, f, csv.WriteOptions(include_header=False))
+        with open(f"{d}/make.sql", "w") as f:
+            f.write(f"connect 'jdbc:derby:{d}/shard;create=true';\ncreate table TRANSACTIONS ({columns});\n"
+                    f"call SYSCS_UTIL.SYSCS_IMPORT_TABLE(null, 'TRANSACTIONS', '{d}/rows.csv', null, null, 'UTF-8', 0);\ndisconnect;\nconnect 'jdbc:derby:{d}/shard;shutdown=true';\n")
+        own = [f"-Dderby.{x}" for x in ("storage.pageSize=4096", "system.durability=test", f"system.home={d}")]
+        told = subprocess.run([java, "-Xmx192m", *own, "-cp", os.pathsep.join(glob.glob(f"{home}/jars/derby*.jar")), "org.apache.derby.tools.ij", f"{d}/make.sql"], capture_output=True, text=True).stdout
+        wrong = [x for x in told.splitlines() if x.startswith("ERROR") and not x.startswith("ERROR 08006")]
+        if wrong or "ERROR 08006" not in told:  # 08006: it was shut down
+            raise S.SourceError(f"no database: {(wrong or [told])[0]}")
+        os.makedirs(root, exist_ok=True)
+        with zipfile.ZipFile(f"{name}.part", "w", zipfile.ZIP_STORED) as z:
+            for folder, _, files in os.walk(f"{d}/shard"):
+                for f in files:
+                    if not f.endswith(".lck"):
+                        z.write(f"{folder}/{f}", os.path.relpath(f"{folder}/{f}", d))
+        os.rename(f"{name}.part", name)
+    return name
+
+
 def database(rows: DataFrame) -> str:
-    """The URL of a database whose table TRANSACTIONS holds the rows."""
+    """The URL of a database whose table TRANSACTIONS holds the rows.
+
+    Without a database named by ``argusledger.jdbc.url`` its URLs, a shard a line: archives in the shared folder, each made by one task,
+    that any number of executors read at a time.
+    """
     spark = rows.sparkSession
-    url = spark.conf.get("argusledger.jdbc.url", None)
-    if not url:
-        if not spark.sparkContext.master.startswith("local"):
-            raise S.InvalidConfiguration("argusledger.jdbc.url must name a database that all executors reach")
-        url = f"jdbc:derby:memory:argus{uuid.uuid4().hex};create=true"
     named = rows.toDF(*[c.upper() for c in rows.columns])
-    named.write.format("jdbc").option("url", url).option("dbtable", "TRANSACTIONS").mode("overwrite").save()
-    return url
+    url = spark.conf.get("argusledger.jdbc.url", None)
+    if url:
+        named.write.format("jdbc").option("url", url).option("dbtable", "TRANSACTIONS").mode("overwrite").save()
+        return url
+    root = _place("database")
+    if not root.startswith(("file:", "/")):
+        raise S.InvalidConfiguration("argusledger.jdbc.url must name a database, since the shared folder is no file system's")
+    root = re.sub("^file:/*", "/", root)
+    kinds = {"string": "varchar(32672)", "int": "integer", "bigint": "bigint", "double": "double", "timestamp": "timestamp"}
+    fields = [(f.name, f.dataType.simpleString()) for f in named.schema.fields]
+    columns = ", ".join(f'"{n}" {kinds.get(k, k)}' for n, k in fields)
+    # The JDBC source takes a timestamp's clock for that of the JVM's zone.
+    here = lambda c: F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(c, spark.conf.get("spark.sql.session.timeZone")), spark._jvm.java.util.TimeZone.getDefault().getID()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    text = named.select(*[(here(n) if k == "timestamp" else F.col(n).cast("string") if k.startswith("decimal") else F.col(n)).alias(n) for n, k in fields])
+
+    def load(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"path": [_shard(batches, root, columns)]})
+
+    n = max(4, -(-rows.count() // SHARD_ROWS))
+    paths = sorted(r.path for r in text.repartition(n).mapInArrow(load, "path string").collect())  # one row a shard
+    return "\n".join(f"jdbc:derby:jar:({p})shard" for p in paths)
 
 
 def _stored(V) -> DataFrame:
@@ -108,7 +170,7 @@ def _stored(V) -> DataFrame:
 
 @query(_round_trip("postgresql"))
 def jdbc_roundtrip(V):
-    """SRC-05, SRC-06: all orders through a database, in eight ranges of a key, by the default query."""
+    """SRC-05, SRC-06: all orders through a database, in eight ranges of a key over its shards, by the default query."""
     return _told(cut(readers.read_jdbc(active(), database(_stored(V)), parts=8).collections["transactions"]))
 
 

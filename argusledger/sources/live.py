@@ -10,6 +10,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +46,15 @@ def jdbc_address(kind: str, text: str) -> tuple[str, dict[str, str]]:
 
 
 def jdbc_rows(spark: SparkSession, url: str, query: str, key: str | None = None, parts: int = 8, **options: str) -> DataFrame:
-    """The query's rows in ``parts`` ranges of ``key``, one query of the database each.
+    """The query's rows in ``parts`` ranges of ``key``, one query of the database each.  A URL of several lines names shards, a line each,
+    which share the parts.
 
     ``key`` is a column of numbers, dates or timestamps; without it the first such one of the result.  Its bounds are asked of
     the database; rows without it are in the first range.  A result without such a column is one partition.
     """
+    shards = url.split("\n")
+    if len(shards) > 1:
+        return reduce(DataFrame.unionByName, [jdbc_rows(spark, u, query, key, -(-parts // len(shards)), **options) for u in shards])
     read = lambda table: spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
     inner = f"({query.strip().rstrip(';')}) q"
     whole = read(inner).load()

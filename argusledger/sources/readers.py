@@ -189,7 +189,7 @@ def read_jdbc(spark: SparkSession, url: str, query: str | None = None, kind: str
         raise
     except Exception as e:
         what = str(e).splitlines()[0]
-        for secret in (address, url, *own.values()):
+        for secret in (address, url, *address.split("\n"), *own.values()):
             what = what.replace(secret, "***")
         raise S.SourceError(f"{kind} query failed for {name or 'the connection'}: {what}") from None
     text = rows.select([N.as_text(F.col(f"`{f.name}`"), f.dataType.typeName()).alias(f.name) for f in rows.schema.fields])

@@ -1,5 +1,9 @@
 """What failed over larger tables, other masters or other stores."""
 
+import json
+import os
+import subprocess
+import sys
 import urllib.request
 
 from argusledger.plans import catalogue, connectors
@@ -32,3 +36,26 @@ def test_a_page_of_several_files(spark, tmp_path, monkeypatch):
         (tmp_path / "part=3" / f"f{i}").write_text(f"{i}" * 20)
     with connectors.served(spark, str(tmp_path)) as base, urllib.request.urlopen(urllib.request.Request(f"{base}/3", headers={"Authorization": f"Bearer {connectors.TOKEN}"}), timeout=30) as r:
         assert r.read().decode() == "0" * 20 + "1" * 20 + "2" * 20
+
+
+def test_databases_of_executors_in_jvms_of_their_own(tmp_path):
+    code = f"""
+import json
+from pyspark.sql import SparkSession
+import __spark_entry__
+conf = {{"spark.master": "local-cluster[2,1,1024]", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": "file://{tmp_path}/shared", "spark.sql.shuffle.partitions": "4"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+got = __spark_entry__.queries()["jdbc_roundtrip"](spark, "/root/testdata/sf0.001")
+case = __spark_entry__.queries()["case_file"](spark, "/root/testdata/sf0.001")
+print("GOT", json.dumps([got.count(), got.select("transaction_id").distinct().count(), got.selectExpr("sum(cast(amount as decimal(18,2)))").first()[0].__str__(), {{r.source: r.n for r in case.collect()}}]))
+"""
+    env = os.environ | {"SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": os.getcwd() + os.pathsep + os.environ.get("PYTHONPATH", "")}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=240)
+    assert "GOT" in done.stdout, done.stderr[-2000:]
+    rows, ids, total, case = json.loads(done.stdout.split("GOT ")[1])
+    import duckdb
+
+    want = duckdb.sql("select count(*), cast(sum(cast(o_totalprice as decimal(18,2))) as varchar), count(*) filter (where o_orderkey % 2 = 0) from '/root/testdata/sf0.001/orders.parquet'").fetchall()[0]
+    assert (rows, ids, total) == (want[0], want[0], want[1])
+    assert case == {"csv-adapter": want[2], "postgresql-adapter": want[0] - want[2], "failed: none": 1, "failed: lost": 1}
