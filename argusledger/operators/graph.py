@@ -7,10 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argusledger.functions.tables import cut, drop_cut, skew_join
+from argusledger.functions.tables import cut, drop_cut, skew_join, small
 
 #: Up to so many edges one task settles the components (tens of MB); beyond it the star steps do, over all executors.
 ONE_TASK_EDGES = 500_000
+#: Edges that a task settles at a time before the components that it finds are merged with those of other tasks.
+CHUNK_EDGES = 500_000
 
 
 def _print(edges: DataFrame) -> tuple[int, int]:
@@ -51,17 +53,62 @@ def _one_task(batches):
     yield pa.RecordBatch.from_arrays([pa.array(names, both.type), pa.array(names[label], both.type)], names=["node", "component"])
 
 
+def _forests(batches):
+    """(node, component) of the edges that a task sees, up to CHUNK_EDGES of them at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK_EDGES:
+            yield from _one_task(held)
+            held, n = [], 0
+    yield from _one_task(held)
+
+
+def _merged(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, p), p the smallest component that a node has in any task, and edges (u, v) between components that share a node."""
+    kind = pairs.schema["u"].dataType.simpleString()
+    found = cut(pairs.mapInArrow(_forests, f"node {kind}, component {kind}"))
+    nodes = cut(found.groupBy("node").agg(F.min("component").alias("p"), F.max("component").alias("q")))
+    shared = small(nodes.filter("p <> q").select("node", "p"))
+    links = found.join(shared, "node").filter("component <> p").select(F.col("component").alias("u"), F.col("p").alias("v")).distinct()
+    links = cut(links)
+    drop_cut(found)
+    return nodes.select("node", "p"), links
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component) for every endpoint; the component is its smallest node.
 
-    A graph of at most ``one_task_edges`` distinct edges is settled in one task; a larger one by alternating large-star and small-star steps, whose rounds grow with the logarithm of the longest path.
+    A graph of at most ``one_task_edges`` edges is settled in one task.  Of a larger one each task settles the edges that it has, CHUNK_EDGES
+    at a time; the components found there that share a node are the edges of a smaller graph, and so on while they grow fewer by a quarter.
+    What is left is settled by alternating large-star and small-star steps, whose rounds grow with the logarithm of the longest path.
     Each round is written to the shared folder, so a lost executor costs one round at most.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
-    all_pairs = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if all_pairs.count() <= one_task_edges:
-        kind = all_pairs.schema["u"].dataType.simpleString()
-        return all_pairs.repartition(1).mapInArrow(_one_task, f"node {kind}, component {kind}")
+    now = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    n, levels = now.count(), []
+    while n > max(one_task_edges, 0):
+        nodes, links = _merged(now)
+        drop_cut(now)
+        levels.append(nodes)
+        before, n, now = n, links.count(), links
+        if 4 * n > 3 * before:
+            break
+    if n <= max(one_task_edges, 0):
+        kind = now.schema["u"].dataType.simpleString()
+        labels = now.repartition(1).mapInArrow(_one_task, f"node {kind}, component {kind}")
+    else:
+        labels = _by_stars(now, max_rounds)
+    for nodes in reversed(levels):
+        held = nodes.groupBy("p").agg(F.count("*").alias("n")).join(labels.withColumnRenamed("node", "p"), "p")
+        labels = skew_join(nodes, cut(held), "p", "n").select("node", F.coalesce("component", "p").alias("component"))
+    return labels
+
+
+def _by_stars(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, component) of all edges (u, v), u > v or equal, by star steps over all executors."""
+    all_pairs = cut(edges.distinct())
     nodes = cut(all_pairs.select(F.col("u").alias("node")).unionByName(all_pairs.select(F.col("v").alias("node"))).distinct())
     now = cut(all_pairs.filter("u <> v"))
     seen = _print(now)

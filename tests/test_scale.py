@@ -6,6 +6,7 @@ import subprocess
 import sys
 import urllib.request
 
+from argusledger.operators import graph
 from argusledger.plans import catalogue, connectors
 from argusledger.sources import readers
 
@@ -59,3 +60,19 @@ print("GOT", json.dumps([got.count(), got.select("transaction_id").distinct().co
     want = duckdb.sql("select count(*), cast(sum(cast(o_totalprice as decimal(18,2))) as varchar), count(*) filter (where o_orderkey % 2 = 0) from '/root/testdata/sf0.001/orders.parquet'").fetchall()[0]
     assert (rows, ids, total) == (want[0], want[0], want[1])
     assert case == {"csv-adapter": want[2], "postgresql-adapter": want[0] - want[2], "failed: none": 1, "failed: lost": 1}
+
+
+def test_components_without_star_steps(spark, monkeypatch):
+    ids = spark.range(0, 8000, 1, 16)
+    edges = ids.selectExpr("concat('p', id) as src", "concat('p', id + 1) as dst").unionByName(ids.selectExpr("concat('q', id) as src", "concat('q', id) as dst"))
+    monkeypatch.setattr(graph, "_star", None)
+    got = {r.node: r.component for r in graph.connected_components(edges, one_task_edges=100).collect()}
+    assert got == {**{f"p{i}": "p0" for i in range(8001)}, **{f"q{i}": f"q{i}" for i in range(8000)}}
+
+
+def test_components_against_star_steps(spark):
+    edges = spark.range(3000).selectExpr("xxhash64(id) % 4000 as src", "xxhash64(id, 1) % 4000 as dst")
+    pairs = edges.selectExpr("greatest(src, dst) as u", "least(src, dst) as v")
+    want = sorted(map(tuple, graph._by_stars(pairs, 60).collect()))
+    for bound in (10**6, 50, -1):
+        assert sorted(map(tuple, graph.connected_components(edges, one_task_edges=bound).collect())) == want
