@@ -50,6 +50,9 @@ ROUNDS = 6
 _BLOCK = 64
 #: A list with more entries is crossed in pairs of blocks of this size, each pair by itself.
 LONG = 1 << 13
+#: Pairs up to so many are broadcast as they are (under 20 MB), without the jobs and shuffles that more of them need: each
+#: task and each plan costs the driver memory.
+FEW = 200_000
 
 
 def _sets(batches, n: int):
@@ -478,8 +481,8 @@ def _ship(n: int, seed: int = 0):
 
 
 def _compare(batches):
-    """Rows sorted by (b, salt, kind): the leader's set, then those to compare with it."""
-    key, lead = None, np.zeros(0, np.uint64)
+    """Rows sorted by (b, salt, kind, node): the leader's set, then those to compare with it.  A set that several tasks have sent counts once."""
+    key, lead, last = None, np.zeros(0, np.uint64), None
     for batch in batches:
         out = [[], [], [], [], []]
         b, salt, kind, a = (batch.column(c).to_pylist() for c in ("b", "salt", "kind", "node"))
@@ -487,8 +490,9 @@ def _compare(batches):
         for i, k in enumerate(zip(b, salt, strict=True)):
             x = np.frombuffer(items[i].as_py(), np.uint64)
             if kind[i] == 0:
-                key, lead = k, x
-            elif k == key:
+                key, lead, last = k, x, None
+            elif k == key and a[i] != last:
+                last = a[i]
                 slot = np.minimum(np.searchsorted(lead, x), len(lead) - 1)
                 for c, v in zip(out, (a[i], b[i], len(x), len(lead), int((lead[slot] == x).sum())), strict=True):
                     c.append(v)
@@ -502,19 +506,28 @@ def _listed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(own)], names=["node"])
 
 
-def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, size_a, size_b, overlap) of every pair (a, b) of classes, from whole sets.
+def _unknown(pairs: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
+    """The pairs that are not among the known ones, of which there are at most ``n_known``."""
+    known = known.select("a", "b")
+    return pairs.join(F.broadcast(known) if n_known <= FEW else known, ["a", "b"], "left_anti")
+
+
+def overlaps(sets: DataFrame, pairs: DataFrame, n_pairs: int | None = None) -> DataFrame:
+    """(a, b, size_a, size_b, overlap) of every pair (a, b) of classes, once, from whole sets.  ``n_pairs``: how many there are, if known.
 
     A class's set goes to the group of each b that it is paired with; groups are split after GROUP sets.
     """
     parts = partitions(sets.sparkSession)
-    groups = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.expr(f"cast((n + {GROUP - 1}) div {GROUP} as int)"))
-    mine = skew_join(pairs, groups, "b", "n").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
+    few = (pairs.count() if n_pairs is None else n_pairs) <= FEW
+    groups = cut(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.expr(f"cast((n + {GROUP - 1}) div {GROUP} as int)")))
+    salted = pairs.join(F.broadcast(groups.drop("n")), "b") if few else skew_join(pairs, groups, "b", "n")
+    mine = salted.select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
     leads = groups.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
     targets = cut(mine.unionByName(leads))
-    dealt = sets.join(small(targets), "node").repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "kind")
-    out = cut(dealt.mapInArrow(_compare, "a long, b long, size_a long, size_b long, overlap long").distinct())
+    dealt = sets.join(F.broadcast(targets) if few else small(targets), "node").repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "kind", "node")
+    out = cut(dealt.mapInArrow(_compare, "a long, b long, size_a long, size_b long, overlap long"))
     drop_cut(targets)
+    drop_cut(groups)
     return out
 
 
@@ -569,6 +582,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0, long: i
 
     found = known = spark.createDataFrame([], "a long, b long, size_a long, size_b long, overlap long")
     comps = spark.createDataFrame([], "node long, component long")
+    n_known = 0
     for turn in range(ROUNDS):
         if turn == 0:
             some = lists.mapInArrow(_leaders(percent), "a long, b long, shared long")
@@ -577,11 +591,13 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0, long: i
         best = Window.partitionBy("x").orderBy(F.desc("shared"), F.xxhash64("a", "b"))
         some = some.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
         some = some.select(F.col("a").alias("x"), F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "shared")
-        some = some.join(known.select("a", "b"), ["a", "b"], "left_anti").withColumn("_r", F.row_number().over(best))
+        some = _unknown(some, known, n_known).withColumn("_r", F.row_number().over(best))
         some = cut(some.filter(F.col("_r") <= (1 if turn == 0 else 2 << turn)).select("a", "b").distinct())
-        checked = overlaps(sets, some)
+        tried = some.count()
+        checked = overlaps(sets, some, tried)
         known = cut(known.unionByName(checked))
-        good, tried = checked.filter(similar).count(), some.count()
+        n_known += tried
+        good = checked.filter(similar).count()
         if good:
             found = known.filter(similar)
             comps = cut(connected_components(found, "a", "b"))
@@ -589,14 +605,14 @@ def links(docs: DataFrame, n: int = 5, percent: int = 75, seed: int = 0, long: i
             break
 
     left = _with_components(_crossed(lists, percent, long), comps, lambda c: _cross(percent, c, long), "a long, b long").distinct()
-    left = cut(left.join(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    left = cut(_unknown(left, known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), n_known))
     info = found.select(F.col("a").alias("node"), F.col("b").alias("lead"), (F.col("size_a") - F.col("overlap")).alias("extra"), F.col("size_a").alias("own"))
     info = cut(info.groupBy("node").agg(F.min(F.struct("lead", "extra", "own")).alias("x")).select("node", "x.*"))
     side = lambda k: small(info).select(F.col("node").alias(k), F.col("lead").alias(f"l{k}"), F.col("extra").alias(f"e{k}"), F.col("own").alias(f"s{k}"))
     led = left.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), F.coalesce("ea", F.lit(0)).alias("ea"), F.coalesce("eb", F.lit(0)).alias("eb"), "sa", "sb")
     led = cut(led.withColumns({"x": F.least("la", "lb"), "y": F.greatest("la", "lb")}))
     ask = led.select(F.col("y").alias("a"), F.col("x").alias("b")).filter("a <> b").distinct()
-    fresh = overlaps(sets, cut(ask.join(known.select("a", "b"), ["a", "b"], "left_anti")))
+    fresh = overlaps(sets, cut(_unknown(ask, known, n_known)))
     known = known.unionByName(fresh)
     both = led.join(small(known.select(F.col("a").alias("y"), F.col("b").alias("x"), "size_a", "size_b", "overlap")), ["x", "y"], "left")
     direct = (F.col("ea") == 0) & (F.col("eb") == 0) & F.least("a", "b").eqNullSafe(F.col("x")) & F.greatest("a", "b").eqNullSafe(F.col("y"))
@@ -628,8 +644,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, keep: tuple[
     own, members, classes, seed = _named(docs, n, keep)
     comps = connected_components(links(own, n, percent, seed), "a", "b")
     classes = cut(classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    roots = classes.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("w"))
-    named = skew_join(classes, roots, "component", "w").select("node", "component", "component_id", "n")
+    roots = cut(classes.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("w")))
+    named = cut(skew_join(classes, roots, "component", "w").select("node", "component", "component_id", "n"))  # a skew join reads it three times
     out = skew_join(members, named, "node", "n")
     return out.select("doc_id", *keep, "n_shingles", "node", "component", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -557,3 +557,31 @@ def test_long_lists_in_pieces(spark, long):
 
     pieces = jaccard._crossed(jaccard._index(docs, 5, 75, 0)[0], 75, long).filter("cut is not null")
     assert (pieces.count() > 0) and groups((r.a, r.b) for r in jaccard.links(docs, long=long).collect()) == groups(near)
+
+
+def test_overlaps_of_few_and_of_many_pairs(spark, monkeypatch):
+    """A set that came from several tasks counts once, and few pairs take few tasks, which cost the driver memory."""
+    items = {i: np.arange(i, i + 6, dtype=np.uint64) for i in range(40)}
+    rows = [(i, x.tobytes()) for i, x in items.items()] * 3
+    sets = spark.createDataFrame(rows, "node long, items binary").repartition(6)
+    asked = [(a, b) for b in range(4) for a in range(b + 1, 40)]
+    pairs = spark.createDataFrame(asked, "a long, b long")
+    want = sorted((a, b, 6, 6, max(0, 6 - (a - b))) for a, b in asked)
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "50"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for few, most in ((200_000, 220), (-1, 600)):
+            monkeypatch.setattr(jaccard, "FEW", few, raising=False)
+            spark.sparkContext.setJobGroup(f"overlaps {few}", "")
+            got = jaccard.overlaps(sets, pairs)
+            tell = spark.sparkContext.statusTracker()
+            stages = [tell.getStageInfo(i) for j in tell.getJobIdsForGroup(f"overlaps {few}") for i in tell.getJobInfo(j).stageIds]
+            assert sorted(map(tuple, got.collect())) == want
+            assert sum(s.numCompletedTasks for s in stages if s) < most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext._jsc.clearJobGroup()
