@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def load_case(spark: SparkSession, definitions: list[tuple[str, str, dict]], reg
             for df in data.collections.values():
                 df.write.format("noop").mode("overwrite").save()  # read it now, so that a bad file fails here
             good.append(data)
-        except (S.AdapterError, PySparkException, OSError) as e:
+        except (S.AdapterError, PySparkException, Py4JJavaError, OSError) as e:  # Py4JJavaError: a task failed
             failures.append((name, str(e).splitlines()[0]))
     if not good:
         raise S.SourceError(f"no source could be read: {failures}")

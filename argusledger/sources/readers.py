@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from argusledger.functions import normalise as N
-from argusledger.functions.tables import small
+from argusledger.functions.tables import cut, small
 from argusledger.sources import live
 from argusledger.sources import schema as S
 from argusledger.sources.live import WRAPPERS
@@ -179,12 +179,14 @@ def read_parquet(spark: SparkSession, path: str, name: str | None = None) -> S.D
 def read_jdbc(spark: SparkSession, url: str, query: str | None = None, kind: str = "postgresql", name: str | None = None, key: str | None = None, parts: int = 8, **options: str) -> S.Dataset:
     """PostgreSQL and SQL Server through Spark's JDBC source, in ``parts`` ranges of ``key`` (its driver jar comes with the cluster).
 
-    ``url`` is a JDBC URL or a client's ``Key=Value;…``.  Errors never name the connection.
+    ``url`` is a JDBC URL or a client's ``Key=Value;…``.  Errors never name the connection.  The rows are written to the shared folder
+    once, so that the database is asked once, whatever is done with them, and what fails on the way fails here.
     """
     query = query if query and query.strip() else live.DEFAULT_QUERY
     address, own = live.jdbc_address(kind, url)
     try:
         rows = live.jdbc_rows(spark, address, query, key, int(parts), **{**own, **options})
+        text = cut(rows.select([N.as_text(F.col(f"`{f.name}`"), f.dataType.typeName()).alias(f.name) for f in rows.schema.fields]))
     except S.AdapterError:
         raise
     except Exception as e:
@@ -192,7 +194,6 @@ def read_jdbc(spark: SparkSession, url: str, query: str | None = None, kind: str
         for secret in (address, url, *address.split("\n"), *own.values()):
             what = what.replace(secret, "***")
         raise S.SourceError(f"{kind} query failed for {name or 'the connection'}: {what}") from None
-    text = rows.select([N.as_text(F.col(f"`{f.name}`"), f.dataType.typeName()).alias(f.name) for f in rows.schema.fields])
     words = query.split()
     table = next((b.rstrip(";") for a, b in zip(words, words[1:], strict=False) if a.upper() == "FROM"), None)
     return _transactions(text, kind, name or table, table)

@@ -6,9 +6,10 @@ import subprocess
 import sys
 import urllib.request
 
-from argusledger.operators import graph
+from argusledger.functions.normalise import connection_variable
+from argusledger.operators import graph, merge
 from argusledger.plans import catalogue, connectors
-from argusledger.sources import readers
+from argusledger.sources import documents, readers
 
 
 def test_a_document_whose_first_part_is_small(spark, tmp_path):
@@ -76,3 +77,20 @@ def test_components_against_star_steps(spark):
     want = sorted(map(tuple, graph._by_stars(pairs, 60).collect()))
     for bound in (10**6, 50, -1):
         assert sorted(map(tuple, graph.connected_components(edges, one_task_edges=bound).collect())) == want
+
+
+def test_sources_that_fail_while_they_are_read(spark, tmp_path, monkeypatch):
+    """A database that gives up at a row and a broken file of several are sources that can't be read; the others are merged."""
+    rows = spark.createDataFrame([(f"T{i}", float(i)) for i in range(8)], "transaction_id string, amount double").selectExpr("transaction_id", "'a' as source_account", "'b' as destination_account", "cast(amount as decimal(18,2)) as amount", "'USD' as currency", "timestamp'2026-01-05' as timestamp", "'c' as channel", "'d' as jurisdiction", "1 as sar_linked")
+    monkeypatch.setenv(connection_variable("orders"), connectors.database(rows))
+    rows.repartition(4).write.parquet(str(tmp_path / "broken"))
+    last = sorted((tmp_path / "broken").glob("part-*.parquet"))[-1]
+    last.write_bytes(last.read_bytes()[:4] + bytes(40) + last.read_bytes()[44:])
+    for crc in (tmp_path / "broken").glob(".*.crc"):
+        crc.unlink()
+    query = "SELECT transaction_id, source_account, destination_account, 1 / (amount - 5) AS amount, currency, timestamp FROM transactions"
+    sources = [{"source_type": "postgresql", "connection_profile": "orders", "role": "all", "options": {"key": "timestamp", "parts": "4"}},
+               {"source_type": "postgresql", "connection_profile": "orders", "role": "row", "query": query}, {"source_type": "parquet", "path": "broken"}]
+    case = merge.load_case(spark, documents.parse_case(json.dumps({"case_id": "c", "sources": sources}), str(tmp_path)).definitions(), readers.default_registry())
+    assert case.collections["transactions"].count() == 8 and [n for n, _ in case.failures] == ["row", str(tmp_path / "broken")]
+    assert "jdbc:" not in case.failures[0][1]
